@@ -10,6 +10,13 @@ from textquarry.catalog import table
 ORACLE: dict[str, str] = {}
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes on three-word shingles at 0.85; see ``near_dup``."""
+    from textquarry.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; see ``sharding``."""
     from textquarry.llm.sharding import histogram_shards
@@ -19,5 +26,6 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op7_histogram_sort": op7_histogram_sort,
 }
