@@ -17,6 +17,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a FLAC stream and back; see ``media``."""
+    from textquarry.llm.media import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; see ``sharding``."""
     from textquarry.llm.sharding import histogram_shards
@@ -27,5 +34,6 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_flac_media": op3_flac_media,
     "op7_histogram_sort": op7_histogram_sort,
 }
