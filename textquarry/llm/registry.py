@@ -17,6 +17,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op2_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text; see ``quality``."""
+    from textquarry.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a FLAC stream and back; see ``media``."""
     from textquarry.llm.media import media_digests
@@ -34,6 +41,7 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_factorisation_quality": op2_factorisation_quality,
     "op3_flac_media": op3_flac_media,
     "op7_histogram_sort": op7_histogram_sort,
 }
