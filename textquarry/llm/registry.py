@@ -31,6 +31,13 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity severity of every text; see ``toxicity``."""
+    from textquarry.llm.toxicity import toxic_severity
+
+    return toxic_severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; see ``sharding``."""
     from textquarry.llm.sharding import histogram_shards
@@ -43,5 +50,6 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
     "op3_flac_media": op3_flac_media,
+    "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op7_histogram_sort": op7_histogram_sort,
 }
