@@ -43,6 +43,7 @@ def _sigmoid(x):
 class OrdinalModel:
     w: np.ndarray
     theta: np.ndarray
+    threshold: float = 0.5
 
     def distribution(self, off: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Probability of each grade, rows x (thresholds + 1)."""
@@ -68,7 +69,7 @@ def grades(off: np.ndarray, bucket: np.ndarray, n: np.ndarray, label: np.ndarray
     return np.where(label > 0, 1 + (count > 2) + (count > 4), 0).astype(np.int64)
 
 
-def train(off, bucket, n, grade, epochs: int = 15, batch: int = 200, rate: float = 0.2, l1: float = 2e-4, seed: int = 11) -> OrdinalModel:
+def train(off, bucket, n, grade, epochs: int = 30, batch: int = 200, rate: float = 0.3, l1: float = 5e-4, seed: int = 11) -> OrdinalModel:
     """AdaGrad on the cumulative-link likelihood, with L1 shrinkage of the shared weights."""
     k = int(grade.max(initial=0))
     if k == 0:
@@ -110,7 +111,20 @@ def train(off, bucket, n, grade, epochs: int = 15, batch: int = 200, rate: float
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 8000) -> OrdinalModel:
     """The model learnt from at most ``max_rows`` labelled rows that are not held out."""
     off, bucket, n, _, y = X.collect_bags(X.sample(docs, labels, label, max_rows), BITS, False)
-    return train(off, bucket, n, grades(off, bucket, n, y))
+    model = train(off, bucket, n, grades(off, bucket, n, y))
+    model.threshold = best_threshold(1 - model.distribution(off, bucket, n)[:, 0], y > 0)
+    return model
+
+
+def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the gap between training scores with the best F1; 0.5 without toxic rows."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + toxic.sum())
+    at = int(f1.argmax())
+    return float((s[at] + s[min(at + 1, len(s) - 1)]) / 2)
 
 
 def severities(docs: DataFrame, model: OrdinalModel, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -130,7 +144,9 @@ def severities(docs: DataFrame, model: OrdinalModel, text: str = "text", row_id:
     return X.with_meta(docs, row_id, text).mapInArrow(score, "doc_id long, score double, severity double, grade int")
 
 
-def toxic_severity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 8000) -> DataFrame:
-    """doc_id, held_out, score, severity, grade, predicted (1 where the score is at least ``threshold``)."""
-    out = severities(docs, fit(docs, labels, max_rows=max_rows))
+def toxic_severity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, max_rows: int = 8000) -> DataFrame:
+    """doc_id, held_out, score, severity, grade, predicted (1 where the score is at least ``threshold``, by default the model's)."""
+    model = fit(docs, labels, max_rows=max_rows)
+    threshold = model.threshold if threshold is None else threshold
+    out = severities(docs, model)
     return out.select("doc_id", X.held_out().alias("held_out"), "score", "severity", "grade", (F.col("score") >= threshold).cast("int").alias("predicted"))
