@@ -38,6 +38,14 @@ def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; see ``pii``."""
+    from textquarry.llm.pii import fit, personal_data, span_digests
+
+    docs = table(spark, sf_dir, "documents")
+    return span_digests(personal_data(docs, fit(docs)))
+
+
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes; see ``sharding``."""
     from textquarry.llm.sharding import histogram_shards
@@ -51,5 +59,6 @@ QUERIES = {
     "op2_factorisation_quality": op2_factorisation_quality,
     "op3_flac_media": op3_flac_media,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
+    "op6_semi_markov_pii": op6_semi_markov_pii,
     "op7_histogram_sort": op7_histogram_sort,
 }
