@@ -124,6 +124,17 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.nd
     return out, off
 
 
+def whole(h: np.ndarray, n: int) -> np.ndarray:
+    """For each run of n words, the one shingle that a text of just these words has."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.full(m, U(n << 8), np.uint64)
+    for j in range(n):
+        total += h[j : j + m] * _MULT[j]
+    return mix(total)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct shingle hashes of one text."""
     for _, _, buf, off in runs(pa.array([text or ""]), 1 << 62):

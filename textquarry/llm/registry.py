@@ -31,6 +31,13 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked benchmark item of every document; see ``decontaminate``."""
+    from textquarry.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected toxicity severity of every text; see ``toxicity``."""
     from textquarry.llm.toxicity import toxic_severity
@@ -58,6 +65,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
     "op3_flac_media": op3_flac_media,
+    "op4_simhash_decontamination": op4_simhash_decontamination,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_semi_markov_pii": op6_semi_markov_pii,
     "op7_histogram_sort": op7_histogram_sort,
