@@ -282,13 +282,13 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray, number:
     lead = data[start + 4]
     width = np.where(lead < 0x80, 1, 0)
     for s in range(2, 8):
-        width = np.where(lead >> (7 - s) == (0xFF << 1 & 0xFF) >> (7 - s) if s < 7 else lead == 0xFE, s, width)
+        width = np.where(lead >> (7 - s) == ((0xFF00 >> s) & 0xFF) >> (7 - s), s, width)
     at = start + 4 + width
     if (_crc(data, start, at, 8) != data[at]).any():
         raise ValueError("the CRC-8 of a frame header does not match")
     if (_crc(data, start, end - 2, 16) != (data[end - 2].astype(np.int32) << 8 | data[end - 1])).any():
         raise ValueError("the CRC-16 of a frame does not match")
-    found = lead.astype(np.int64) & np.where(width == 1, 0x7F, (1 << np.maximum(7 - width - 0, 0)) - 1)
+    found = lead.astype(np.int64) & np.where(width == 1, 0x7F, (1 << np.maximum(7 - width, 0)) - 1)
     for j in range(1, int(width.max())):
         found = np.where(j < width, found << 6 | data[np.minimum(start + 4 + j, len(data) - 1)] & 0x3F, found)
     if (found != number).any():
