@@ -7,11 +7,14 @@
    the first filled bin of its own fixed random order (optimal densification).
 3. Classes that agree on all rows of a band share a bucket.  A bucket proposes
    star edges from its smallest member to the others, never all pairs.
-4. Edges between classes not yet connected are confirmed on the full sets, and
-   components are merged.  While a bucket holds members of several components,
-   its star centre (compared with all others by now) leaves it, and the next
-   member becomes the centre: no pair that shares a bucket is lost, and no pair
-   whose members are already connected is compared.
+4. Each class is confirmed with its likeliest centre on the full sets, and linked
+   classes are merged.
+5. Classes that star edges connect, confirmed or not, are a *family*: any two
+   classes of one bucket are in one family.  In a family that is not one component
+   by now, the members outside its largest component are compared with all its
+   members, on the full sets: small blocks of the former meet small portions of the
+   latter in one task, which counts common shingles through an index and emits
+   only links.  So no pair that shares a bucket is lost, and pairs are not emitted.
 
 With 32 bands of 4 rows a pair at similarity 0.85 shares a bucket with
 probability above 1 - 1e-10 (0.8: 1 - 5e-8).
@@ -38,6 +41,8 @@ from textquarry.llm.graph import merge_labels
 from textquarry.session import Scratch
 
 BANDS, ROWS = 32, 4
+#: Members of a family that meet in one task: about PORTION of all, and BLOCK of those outside the largest component.
+PORTION, BLOCK = 1000, 256
 _PAIRS_AT_ONCE = 256
 
 
@@ -150,36 +155,75 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _set_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, off in K.runs(batch.column(1)):
+                h, doc, _, _ = K.words(buf, off)
+                sh, at = K.shingles(h, doc, b - a, k)
+                sets = [np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["rep", "set"])
+
+    return rows
+
+
+def _links_of(num: int, den: int):
+    """Links between the members of a portion and the members of a block of other components."""
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if len(left) and len(right):
+            ids, labels = (np.asarray(left[c].to_numpy()) for c in ("rep", "label"))
+            other, other_labels = (np.asarray(right[c].to_numpy()) for c in ("rep", "label"))
+            sets = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i, mine in enumerate(left["set"].to_pylist()):
+                u = np.frombuffer(mine, np.uint64)
+                lo, hi = np.searchsorted(flat, u, "left"), np.searchsorted(flat, u, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                for j in np.flatnonzero((den * both >= num * (len(u) + size - both)) & (other_labels != labels[i])).tolist():
+                    out_a.append(int(ids[i]))
+                    out_b.append(int(other[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return links
+
+
 def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    labels = scratch.write(members.groupBy(F.col("rep").alias("node")).agg(F.min("rep").alias("label")), "labels")
-    tested, turn = None, 0
-    while True:
-        labelled = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep")
-        # A bucket whose members are all of one component can add nothing.
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members = scratch.write(labelled.join(mixed, "bucket"), "mixed")
-        if members.isEmpty():
-            return labels
-        seats = 1 << 2 * max(0, turn - 2)  # more centres a pass, so that few passes are left
-        seat = F.pmod(F.xxhash64("rep"), F.lit(seats))
-        centres = members.groupBy("bucket", seat.alias("seat")).agg(F.min(F.struct("rep", "n", "label")).alias("c")).select("bucket", "c")
-        centres = scratch.write(centres, "centres")
-        pairs = members.join(centres, "bucket").where("c.label <> label").where(F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num)
-        pairs = pairs.groupBy(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).agg(F.count("*").alias("shared"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn == 0:
-            # First only the likeliest centre of each member: most others are then connected.
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-        pairs = scratch.write(pairs.select("a", "b"), "pairs")
-        second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        links = scratch.write(both.mapInArrow(_confirm(k, num, den), "a long, b long"), "links")
-        if not links.isEmpty():
-            labels = merge_labels(labels, links, scratch)
-        tested = pairs if tested is None else scratch.write(tested.unionByName(pairs), "tested")
-        if turn > 0:
-            done = centres.select("bucket", F.col("c.rep").alias("rep"))
-            members = members.join(done, ["bucket", "rep"], "left_anti")
-        members = members.select("rep", "n", "bucket")
-        turn += 1
+    """node, label: the smallest class of the component of each class that shares a bucket."""
+    start = scratch.write(members.groupBy(F.col("rep").alias("node")).agg(F.min("rep").alias("label")), "start")
+    if start.isEmpty():
+        return start
+    centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
+    star = members.join(scratch.write(centres, "centres"), "bucket").where("c.rep <> rep")
+    star = scratch.write(star.groupBy(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")), "star")
+    able = star.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    pairs = able.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    second = scratch.write(pairs, "pairs").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    links = scratch.write(both.mapInArrow(_confirm(k, num, den), "a long, b long"), "links")
+    labels = merge_labels(start, links, scratch)
+
+    families = merge_labels(start, star.select("a", "b"), scratch).select("node", F.col("label").alias("family"))
+    parts = scratch.write(families.join(labels, "node").groupBy("family", "label").agg(F.count("*").alias("many")), "parts")
+    sizes = parts.groupBy("family").agg(F.max(F.struct("many", (-F.col("label")).alias("l"))).alias("top"), F.sum("many").alias("all"), F.count("*").alias("parts"))
+    sizes = sizes.where("parts > 1").select("family", (-F.col("top.l")).alias("largest"), F.ceil(F.col("all") / PORTION).cast("int").alias("portions"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).cast("int").alias("blocks"))
+    open_ = families.join(scratch.write(sizes, "sizes"), "family").join(labels, "node")
+    open_ = scratch.write(open_.select(F.col("node").alias("rep"), "family", "label", "largest", "portions", "blocks"), "open")
+    if open_.isEmpty():
+        return labels
+    sets = texts.join(open_.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_set_rows(k), "rep long, set binary")
+    rows = scratch.write(open_.join(sets, "rep"), "sets")
+    h = F.xxhash64("rep")
+    all_of = rows.withColumn("portion", F.pmod(h, F.col("portions")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    minor = rows.where("label <> largest").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    keys, cols = ["family", "portion", "block"], ["family", "portion", "block", "rep", "label", "set"]
+    found = all_of.select(*cols).groupBy(*keys).cogroup(minor.select(*cols).groupBy(*keys)).applyInArrow(_links_of(num, den), "a long, b long")
+    labels = merge_labels(labels, scratch.write(found, "late"), scratch)
+    scratch.forget(rows)
+    return labels
