@@ -74,7 +74,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
