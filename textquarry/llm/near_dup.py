@@ -227,3 +227,11 @@ def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int,
     labels = merge_labels(labels, scratch.write(found, "late"), scratch)
     scratch.forget(rows)
     return labels
+
+
+def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """One row of each component, that of the smallest id, with all columns; rows without an id stay."""
+    kept = near_duplicates(docs, k, num, den, text=text, row_id=row_id).where(F.col("kept") & F.col("doc_id").isNotNull())
+    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.join(ids, F.col(row_id).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([row_id])
+    return found.unionByName(docs.where(F.col(row_id).isNull()))

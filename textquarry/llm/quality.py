@@ -126,3 +126,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     """doc_id, held_out, score, predicted (1 where the score is at least ``threshold``)."""
     out = scores(docs, fit(docs, labels, max_rows=max_rows))
     return out.select("doc_id", X.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``; nothing is exchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows=max_rows))  # of fixed size
+    at, meta = docs.columns.index(text), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def keep(batches):
+        m = shared.value
+        for batch in batches:
+            n = batch.column(meta).cast(pa.int64()) if meta is not None else pa.nulls(len(batch), pa.int64())
+            triple = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at), n], ["doc_id", "text", "n_chars"])
+            good = []
+            for _, a, b, (d, bucket, count), dense in X.documents(iter([triple]), BITS, True):
+                off = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=b - a))))
+                s, _ = m.margins(b - a, *m.matrix(off, bucket, count.astype(np.float32), dense))
+                good.append(1 / (1 + np.exp(-np.clip(s, -30, 30))) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(keep, docs.schema)

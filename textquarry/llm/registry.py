@@ -61,6 +61,22 @@ def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(docs, 8).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate secrets of every text, hashed; see ``secrets``."""
+    from textquarry.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), "n", F.sha2("value", 256).alias("value_sha256"), "before", "score", "secret")
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of documents mixed by source, none read more than twice; see ``mixing``."""
+    from textquarry.llm.mixing import OUTPUT, mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, max_repeat=2.0).select("doc_id", "source", *OUTPUT)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
@@ -69,4 +85,6 @@ QUERIES = {
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_semi_markov_pii": op6_semi_markov_pii,
     "op7_histogram_sort": op7_histogram_sort,
+    "op9_forest_secret_scan": op9_forest_secret_scan,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
