@@ -77,6 +77,14 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, max_repeat=2.0).select("doc_id", "source", *OUTPUT)
 
 
+def op8_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of long repeated runs of lines; see ``line_dedup``."""
+    from textquarry.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "deleted", F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
@@ -85,6 +93,7 @@ QUERIES = {
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_semi_markov_pii": op6_semi_markov_pii,
     "op7_histogram_sort": op7_histogram_sort,
+    "op8_suffix_line_dedup": op8_suffix_line_dedup,
     "op9_forest_secret_scan": op9_forest_secret_scan,
     "op10_temperature_mixing": op10_temperature_mixing,
 }
