@@ -68,11 +68,12 @@ def without_votes(c: Column) -> Column:
 
 
 def size_text(c: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
+    """Bytes as B, KB, MB or GB, cut to a tenth."""
     steps = [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]
     out = F.concat(c.cast("string"), F.lit(" B"))
     for size, unit in reversed(steps):
-        out = F.when(c >= size, F.concat(F.format_string("%.1f", c / size), F.lit(f" {unit}"))).otherwise(out)
+        tenths = F.floor(c * 10 / size)
+        out = F.when(c >= size, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
