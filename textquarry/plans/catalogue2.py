@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.catalog import table
+from textquarry.functions import html as HT
 from textquarry.functions import text as T
 from textquarry.functions import urls as U
 from textquarry.operators import archives as A
@@ -290,3 +291,19 @@ def ext_setops_customers_without_orders(spark, sf):
 def ext_tumbling_events(spark, sf):
     e = table(spark, sf, "events")
     return e.groupBy(F.window("ts", "1 day").getField("start").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"SELECT page_id, {PAGE_TITLE} <> '' AS has_title, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS INTEGER) AS n_sections, CAST(len(list_filter(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>', 1), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '(?i)^(javascript|mailto|tel|data|blob|vbscript):'))) AS INTEGER) AS n_links FROM pages")
+def html_bundle_counts(spark, sf):
+    b = HT.bundles(table(spark, sf, "pages"))
+    return b.select("page_id", (F.col("title") != "").alias("has_title"), F.size("sections").alias("n_sections"), F.size("links").alias("n_links"))
+
+
+@query()
+def html_toc(spark, sf):
+    return HT.table_of_contents(HT.bundles(table(spark, sf, "pages")))
+
+
+@query()
+def html_summary(spark, sf):
+    return HT.summary(HT.bundles(table(spark, sf, "pages")), 60)
