@@ -135,15 +135,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, text: str = "text", row_id
     found = longest_copies(scratch, lines)
     per_doc = found.groupBy(F.shiftleft(F.shiftright("pos", LINE_BITS), LINE_BITS).alias("doc")).agg(F.collect_list((F.col("pos") % (1 << LINE_BITS)).cast("int")).alias("at"), F.collect_list("length").alias("size"))
     known = order.join(per_doc, "doc", "left")
-    known = scratch.write(known, "known")
-    keyed = docs.withColumns({"__th": key})
-    joined = keyed.join(known, (F.col("__th") == F.col("th")) & F.col(row_id).cast("long").eqNullSafe(F.col("id")))
+    known = scratch.write(known.select(F.col("id").alias("__id"), F.col("th").alias("__known"), F.col("at").alias("__at"), F.col("size").alias("__size")), "known")
+    keyed = docs.withColumn("__th", key)
+    joined = keyed.join(known, (F.col("__th") == F.col("__known")) & F.col(row_id).cast("long").eqNullSafe(F.col("__id")))
     return _cleaned(joined, docs.columns, text, min_words)
 
 
 def _cleaned(joined: DataFrame, columns: list[str], text: str, min_words: int) -> DataFrame:
     at = columns.index(text)
-    kept = joined.select(*columns, "at", "size")
+    kept = joined.select(*columns, "__at", "__size")
     clean = _clean(min_words)
 
     def run(batches):
