@@ -13,6 +13,7 @@ from textquarry.operators import archives as A
 from textquarry.operators import changes as C
 from textquarry.operators import links as L
 from textquarry.operators import passages as P
+from textquarry.operators import promote as PR
 from textquarry.operators import search as S
 from textquarry.plans.catalogue import CANON, HOST, PAGE_TITLE, QUERY, TOP, bm25_sql, docs_of, query
 
@@ -307,3 +308,46 @@ def html_toc(spark, sf):
 @query()
 def html_summary(spark, sf):
     return HT.summary(HT.bundles(table(spark, sf, "pages")), 60)
+
+
+TOPIC_LIST = ("the best small ring", "red widget of blue bolt", "hot gear", "no such thing")
+
+
+@query("WITH q AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in TOPIC_LIST) + """]) AS topic), w AS (SELECT topic, string_split(topic, ' ') AS w FROM q), s AS (SELECT topic, w, unnest(range(1, least(len(w), 4) + 1)) AS n FROM w),
+t AS (SELECT topic, array_to_string(w[len(w) - n + 1:len(w)], ' ') AS tail, CAST(least(len(w), 4) - n + 1 AS INTEGER) AS tail_ord FROM s), p AS (SELECT p_name AS title, min(p_partkey) AS key FROM part GROUP BY p_name),
+m AS (SELECT topic, tail, tail_ord, key, title, row_number() OVER (PARTITION BY topic ORDER BY tail_ord, key) AS rn FROM t JOIN p ON title = tail) SELECT topic, tail, tail_ord, key, title FROM m WHERE rn = 1""")
+def title_promotion(spark, sf):
+    t = table(spark, sf, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("key"))
+    return PR.by_tails(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in TOPIC_LIST])).alias("topic")), t)
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS title, replace(p_name, ' ', '_') AS path FROM part), h AS (SELECT path, title, title AS snippet, row_number() OVER (ORDER BY title) AS rn FROM p WHERE contains(title, 'ring')), c AS (SELECT path, title FROM p WHERE lower(title) = 'small ring'),
+r AS (SELECT h.*, CASE WHEN c.path IS NOT NULL THEN -1 ELSE 0 END AS k FROM h LEFT JOIN c USING (path)) SELECT path, title, snippet, rn, row_number() OVER (ORDER BY k, rn) AS new_rn FROM r ORDER BY new_rn LIMIT 5""")
+def canonical_splice(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("title"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("path")).distinct()
+    h = p.where(F.contains("title", F.lit("ring"))).withColumn("snippet", F.col("title")).withColumn("rn", F.row_number().over(Window.orderBy("title")))
+    return PR.splice(h, p, "Small Ring", 5)
+
+
+@query("SELECT replace(p_name, ' ', '_') AS path, p_name AS title FROM (SELECT DISTINCT p_name FROM part) WHERE starts_with(lower(p_name), 'b') ORDER BY length(p_name), p_name LIMIT 1")
+def canonical_prefix_probe(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("title"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("path")).distinct()
+    return PR.prefix_probe(p, "B")
+
+
+@query(RANKED + " SELECT doc_id, rn, score FROM t WHERE rn > 5 AND rn <= 8")
+def considered_articles(spark, sf):
+    ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20).select("doc_id", "rn", "score")
+    return ranked.join(ranked.where("rn <= 5").select("doc_id"), "doc_id", "left_anti").orderBy("rn").limit(3)
+
+
+@query(bm25_sql() + ", t AS (SELECT source, doc_id, score, max(score) OVER (PARTITION BY source) AS top FROM hits) SELECT source, doc_id, score FROM t WHERE score >= 0.25 * top")
+def relevance_floor(spark, sf):
+    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY).select("source", "doc_id", "score")
+    top = hits.groupBy("source").agg(F.max("score").alias("top"))
+    return hits.join(top, "source").where(F.col("score") >= F.lit(0.25) * F.col("top")).drop("top")
+
+
+@query("SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta[^>]*charset=\"([^\"]*)\"', 1) AS charset FROM pages")
+def html_meta(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", '<meta[^>]*charset="([^"]*)"', 1).alias("charset"))
