@@ -11,11 +11,13 @@ from textquarry.functions import text as T
 from textquarry.functions import urls as U
 from textquarry.operators import archives as A
 from textquarry.operators import changes as C
+from textquarry.operators import index as IX
 from textquarry.operators import links as L
 from textquarry.operators import passages as P
 from textquarry.operators import promote as PR
 from textquarry.operators import search as S
-from textquarry.plans.catalogue import CANON, HOST, PAGE_TITLE, QUERY, TOP, bm25_sql, docs_of, query
+from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TOP, bm25_sql, docs_of, query
+from textquarry.session import Scratch
 
 PATH = "regexp_replace(url, '^[a-z]+://', '')"
 LINKS = f"""WITH p AS (SELECT page_id, {PATH} AS path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 1) AS h, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 2) AS a FROM pages),
@@ -351,3 +353,19 @@ def relevance_floor(spark, sf):
 @query("SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, '<meta[^>]*charset=\"([^\"]*)\"', 1) AS charset FROM pages")
 def html_meta(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", '<meta[^>]*charset="([^"]*)"', 1).alias("charset"))
+
+
+TERMS_SQL = "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY term, doc_id)"
+
+
+@query(TERMS_SQL + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+def index_terms(spark, sf):
+    return IX.term_counts(IX.postings(docs_of(spark, sf)))
+
+
+@query(ORACLE["fulltext_search"])
+def fulltext_search_indexed(spark, sf):
+    d = docs_of(spark, sf)
+    scratch = Scratch(spark, "index")
+    IX.build(d, scratch.root)
+    return S.page(IX.search(spark, scratch.root, QUERY).withColumnRenamed("id", "doc_id"))
