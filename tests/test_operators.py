@@ -206,3 +206,19 @@ def test_promotion_gates():
     assert promotion.tangential("paris climate treaty", "Paris Hilton show") and not promotion.tangential("paris climate treaty", "Paris climate accord")
     assert not promotion.accept_tail("old history of rome", "Rome", "direct", other_entities=2) and promotion.accept_tail("old history of rome", "Rome", "direct", other_entities=1)
     assert promotion.possessive_ok("newton's laws", "Newton's_laws", "fuzzy_suggest") and not promotion.possessive_ok("newton's laws", "Newton (unit)", "fuzzy_suggest")
+
+
+def test_snippets(spark):
+    from textquarry.functions import snippets as SN
+
+    assert SN.marked("Gödel met godel and GODELS", ["godel"]) == "**Gödel** met **godel** and GODELS"
+    assert SN.marked("a **rome** [rome](x) rome romes", ["rom*"], 1) == "a **rome** [rome](x) **rome** romes"
+    assert SN.repaired("see [the li") == "see" and SN.repaired("a **b") == "a b" and SN.repaired(None) is None
+    df = spark.createDataFrame([("Été",), (None,)], "t string")
+    assert [r["x"] for r in df.select(SN.fold_all("t").alias("x")).collect()] == ["ete", None]
+    assert SN.token_estimate("x" * 40) == 11 and SN.token_estimate("x", lambda t: 100) == 106
+
+
+def test_main_page(spark, entries):
+    archives = spark.createDataFrame([("one", "C/Rhine.html"), ("two", None), ("none", None)], "archive string, main_path string")
+    assert {r["archive"]: (r["path"], r["found_by"]) for r in A.main_page(archives, entries).collect()} == {"one": ("C/Rhine.html", "main"), "two": ("C/List_of_rivers", "first entry"), "none": (None, None)}

@@ -94,3 +94,18 @@ def metadata_map(entries: DataFrame) -> DataFrame:
     rows = entries.where(F.col("path").startswith("M/") & ~F.col("path").startswith("M/Illustration_"))
     pair = F.struct(F.substring(F.col("path"), F.lit(3), F.length("path")).alias("key"), F.col("html").alias("value"))
     return rows.groupBy("archive").agg(F.map_from_entries(F.array_sort(F.collect_set(pair))).alias("metadata"))
+
+
+def sample(entries: DataFrame, n: int, seed: str = "") -> DataFrame:
+    """``n`` entries in the order of a seeded hash: the same ones on every run."""
+    return entries.select("entry_id", "path").orderBy(F.md5(F.concat(F.lit(seed), "path", F.col("entry_id").cast("string"))), "entry_id").limit(n)
+
+
+def main_page(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """archive, path, found_by: the archive's main path, else ``C/mainPage``, ``A/index.html`` or the first entry."""
+    tries = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("path")) for i, c in enumerate((F.col("main_path"), F.lit("C/mainPage"), F.lit("A/mainPage"), F.lit("A/index.html")))])
+    asked = archives.select("archive", F.explode(tries).alias("t")).select("archive", "t.prio", "t.path").where("path is not null")
+    hit = entries.select("archive", "path").join(small(asked), ["archive", "path"]).groupBy("archive").agg(F.min(F.struct("prio", "path")).alias("h"))
+    first = entries.groupBy("archive").agg(F.min(F.struct("entry_id", "path")).alias("f"))
+    rows = archives.select("archive").join(hit, "archive", "left").join(first, "archive", "left")
+    return rows.select("archive", F.coalesce("h.path", "f.path").alias("path"), F.when(F.col("h.prio") == 0, "main").when(F.col("h.prio").isNotNull(), "usual name").when(F.col("f").isNotNull(), "first entry").alias("found_by"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from textquarry.catalog import table
 from textquarry.functions import html as HT
+from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
 from textquarry.functions import urls as U
 from textquarry.operators import archives as A
@@ -369,3 +370,15 @@ def fulltext_search_indexed(spark, sf):
     scratch = Scratch(spark, "index")
     IX.build(d, scratch.root)
     return S.page(IX.search(spark, scratch.root, QUERY).withColumnRenamed("id", "doc_id"))
+
+
+@query(ENTRIES + " SELECT entry_id, path FROM e ORDER BY md5('17' || path || entry_id), entry_id LIMIT 25")
+def sample_entries(spark, sf):
+    return A.sample(page_entries(spark, sf), 25, "17")
+
+
+@query("SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '\\b(that)\\b', '**\\1**') AS line FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*\\bthat\\b[ -~]*$') AND NOT contains(lower(split_part(text, chr(10), 1)), '*')")
+def snippet_highlight(spark, sf):
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    rows = docs_of(spark, sf).where(line.rlike(r"^[ -~]*\bthat\b[ -~]*$") & ~F.contains(line, F.lit("*")))
+    return rows.select("doc_id", SN.highlight(["that"], 1)(line).alias("line"))
