@@ -377,7 +377,7 @@ def sample_entries(spark, sf):
     return A.sample(page_entries(spark, sf), 25, "17")
 
 
-@query("SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '\\b(that)\\b', '**\\1**') AS line FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*\\bthat\\b[ -~]*$') AND NOT contains(lower(split_part(text, chr(10), 1)), '*')")
+@query("SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '(?i)\\b(that)\\b', '**\\1**') AS line FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*\\bthat\\b[ -~]*$') AND NOT contains(lower(split_part(text, chr(10), 1)), '*')")
 def snippet_highlight(spark, sf):
     line = F.split_part("text", F.lit("\n"), F.lit(1))
     rows = docs_of(spark, sf).where(line.rlike(r"^[ -~]*\bthat\b[ -~]*$") & ~F.contains(line, F.lit("*")))
