@@ -64,3 +64,10 @@ def test_small_functions(spark):
     assert one(spark, T.is_disambiguation(F.col("x")), x="Mercury_(disambiguation)")
     assert one(spark, T.is_pseudo_entry(F.col("p"), F.col("t")), p="X/a", t="b") and not one(spark, T.is_pseudo_entry(F.col("p"), F.col("t")), p="A/a", t="b")
     assert one(spark, T.starts_with_word(F.col("x"), F.lit("new")), x="new york") and not one(spark, T.starts_with_word(F.col("x"), F.lit("new")), x="newer")
+
+
+def test_paths(spark):
+    assert one(spark, U.normal_path(F.col("p")), p=" //A//b/c ") == "A/b/c"
+    assert [one(spark, U.climbs(F.col("p")), p=p) for p in ("a/../b", "a/..b", "%2e%2e/x", "C:/x", "a/b")] == [True, False, True, True, False]
+    assert one(spark, U.search_terms(F.col("p")), p="A/The_Great-War.html?x=1") == "The Great War"
+    assert one(spark, U.same_path(F.col("a"), F.col("b")), a="C/The_Rhine", b="the-rhine.html") and not one(spark, U.same_path(F.col("a"), F.col("b")), a="C/Rhine", b="C/Rhone")

@@ -75,3 +75,26 @@ def parse_counter(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(r"([^=;]+(?:;\s*[^=;]+=[^=;]+?)*)=(\d+)(?:;|$)"), F.lit(0))
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(.*)=(\d+);?$", 1).alias("key"), F.regexp_extract(x, r"^(.*)=(\d+);?$", 2).cast("long").alias("value"))
     return F.map_from_entries(F.transform(found, pair))
+
+
+def normal_path(path: Column) -> Column:
+    """A path as entries spell it: trimmed, one slash between segments, none in front."""
+    return F.regexp_replace(F.regexp_replace(F.trim(path), "/+", "/"), "^/", "")
+
+
+def climbs(path: Column) -> Column:
+    """Whether a path, as it is or decoded, has a ``..`` segment or a drive, and must be refused."""
+    bad = r"(^|[/\\])\.\.([/\\]|$)|^[A-Za-z]:[/\\]|\x00"
+    return path.rlike(bad) | F.coalesce(F.try_url_decode(path).rlike(bad), F.lit(False))
+
+
+def search_terms(path: Column) -> Column:
+    """What to search for when no entry has a path: its last segment without namespace, extension and marks."""
+    name = F.regexp_replace(F.regexp_extract(canonical(path), "([^/]*)/*$", 1), r"\.(html?|md|php)$", "")
+    return F.trim(F.regexp_replace(F.coalesce(F.try_url_decode(name), name), r"[_\-.+]+", " "))
+
+
+def same_path(a: Column, b: Column) -> Column:
+    """Whether two paths name one entry: without case, marks, namespace and extension."""
+    bare = lambda c: F.regexp_replace(F.lower(F.regexp_replace(search_terms(c), r"^[A-Za-z-]/", "")), r"[^\p{L}\p{N}]+", "")
+    return (bare(a) != "") & (bare(a) == bare(b))
