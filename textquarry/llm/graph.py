@@ -11,17 +11,22 @@ from textquarry.session import Scratch
 def merge_labels(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Labels (node, label) after joining along ``links`` (a, b: nodes).
 
-    A label is the smallest node of its component so far.  Each pass hooks every
-    label to the smallest label it is linked with, follows the hooks twice, and
-    ends when no link joins two labels.  All state is in written tables.
+    A label is the smallest node of its component.  The graph is contracted to one
+    vertex for each label.  Each pass hooks every vertex to the smallest one it is
+    linked with, follows the hooks twice, and renames vertices, labels and the ends
+    of the links alike, so that a link is given up only when both its ends have one
+    name.  (Looking up the label of the node a link once named would not do: after
+    a pass that node may have moved on without the others that bore its name.)
+    All state is in written tables.
     """
+    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     while True:
-        la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        open_links = scratch.write(links.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open")
+        open_links = scratch.write(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open")
         if open_links.isEmpty():
             return labels
-        both = open_links.select("a", "b").unionAll(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = open_links.unionAll(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
         hooks = scratch.write(hooks, "hooks")
         for _ in range(2):
@@ -29,5 +34,6 @@ def merge_labels(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataF
             hooks = scratch.write(hooks.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to")), "hooks")
         to = hooks.select(F.col("node").alias("label"), "to")
         labels = scratch.write(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        links = open_links
-        # The links now speak of labels: each label is a node of its own component.
+        ta = hooks.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        tb = hooks.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        named = open_links.join(ta, "a").join(tb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
