@@ -29,10 +29,15 @@ def parsed_query(query: str) -> list[str]:
 def bm25(docs: DataFrame, query: str, text: str = "text", where: Column | None = None) -> DataFrame:
     """Rows that hold a query term, with ``score``.  ``where`` filters rows, not the statistics."""
     terms = parsed_query(query)
-    tokens = T.words(F.coalesce(F.col(text), F.lit("")))
+    source = F.coalesce(F.col(text), F.lit(""))
     count = lambda t: F.size(F.filter("__t", lambda x: x == t))
-    counted = docs.withColumn("__t", tokens).withColumns({f"__n{i}": count(t) for i, t in enumerate(terms)}).withColumn("__dl", F.size("__t")).drop("__t")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("__dl").alias("avgdl"), *[F.count_if(F.col(f"__n{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+
+    def counted(rows: DataFrame) -> DataFrame:
+        # Made by a generator of one row, as filters on plain columns would be pushed below and tokenise again for each term.
+        counts = F.struct(*[count(t).alias(f"__n{i}") for i, t in enumerate(terms)], F.size("__t").alias("__dl"))
+        return rows.withColumn("__t", T.words(source)).select(*docs.columns, F.inline(F.array(counts)))
+
+    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("__dl").alias("avgdl"), *[F.count_if(F.col(f"__n{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     parts = []
     for i in range(len(terms)):
@@ -41,7 +46,9 @@ def bm25(docs: DataFrame, query: str, text: str = "text", where: Column | None =
         tf = F.col(f"__n{i}").cast("double")
         parts.append(idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("__dl") / F.lit(avgdl))))
     score = reduce(lambda a, b: a + b, parts)
-    hits = counted if where is None else counted.where(where)
+    # A text that holds a term as a token contains it: a cheap filter of what is tokenised for scores.
+    likely = docs.where(reduce(lambda a, b: a | b, [F.lower(source).contains(t) for t in terms]))
+    hits = counted(likely if where is None else likely.where(where))
     hits = hits.where(reduce(lambda a, b: a | b, [F.col(f"__n{i}") > 0 for i in range(len(terms))]))
     return hits.withColumn("score", F.round(score, 6)).select(*docs.columns, "score")
 
