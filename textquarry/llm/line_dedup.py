@@ -19,6 +19,7 @@ Defined results
 * null text: no lines, stays null.  Empty text: one empty line, which is no words.
 * null ids come first.  Rows of equal id and text are one document with one result;
   each of these rows is returned.  (Copies under other ids are copies.)
+* documents are numbered without gaps; more than 2^32 of them raise an error.
 * a run does not cross documents; overlapping copies are deleted as a union.
 * empty table: no rows.  Extra columns are kept; columns named like an output column are replaced.
 """
@@ -34,8 +35,27 @@ from pyspark.sql import functions as F
 
 from textquarry.session import Scratch
 
-#: Bits of a place for the line within a document, and for the document within a task.
-LINE_BITS, DOC_BITS = 24, 20
+#: Bits of a place for the line within a document (a text has fewer than 2^31 bytes), and for the number of the document.
+LINE_BITS, DOC_BITS = 31, 32
+
+
+def numbered(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """``rows`` with doc, their number from 0 in the order of the tasks and of the rows within a task."""
+    rows = scratch.write(rows.withColumn("__m", F.monotonically_increasing_id()), "order")
+    task = F.shiftright("__m", 33)
+    counts = rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()
+    bases, total = ["0:0"][len(counts) :], 0
+    for r in counts:
+        bases.append(f"{r['task']}:{total}")
+        total += r["n"]
+    if total > 1 << DOC_BITS:
+        raise ValueError(f"{total} documents; places number at most 2^{DOC_BITS}")
+    # One row a task, so it may be broadcast; split from text, for which no Python worker is started.
+    pair = F.split("pair", ":")
+    bases = scratch.spark.range(1).select(F.explode(F.split(F.lit(" ".join(bases)), " ")).alias("pair"))
+    bases = F.broadcast(bases.select(pair[0].cast("long").alias("__task"), pair[1].cast("long").alias("__base")))
+    rows = rows.join(bases, task == F.col("__task")).withColumn("doc", F.col("__base") + F.col("__m").bitwiseAND((1 << 33) - 1))
+    return rows.drop("__m", "__task", "__base")
 
 
 def _repeated(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
@@ -125,12 +145,11 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, text: str = "text", row_id
     docs = docs.drop("clean_text", "n_lines", "n_deleted", "deleted")
     key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = docs.select(F.col(row_id).cast("long").alias("id"), key.alias("th"), F.col(text).cast("string").alias("t"))
-    # Documents in order: a sorted table of ids, numbered by task and by row within the task.
-    order = rows.select("id", "th").distinct().orderBy("id", "th").select("id", "th", F.monotonically_increasing_id().alias("m"))
-    place = F.shiftright("m", 33) * F.lit(1 << (LINE_BITS + DOC_BITS)) + F.col("m").bitwiseAND((1 << 33) - 1) * F.lit(1 << LINE_BITS)
-    order = scratch.write(order.select("id", "th", place.alias("doc")), "order")
-    numbered = rows.where("t is not null").dropDuplicates(["id", "th"]).join(order, (rows["th"] == order["th"]) & rows["id"].eqNullSafe(order["id"]))
-    lines = numbered.select("doc", F.posexplode(F.split("t", "\n")).alias("i", "line"))
+    # Documents in order: a sorted table of ids, numbered without gaps.
+    order = numbered(scratch, rows.select("id", "th").distinct().orderBy("id", "th"))
+    order = order.select("id", "th", F.shiftleft("doc", LINE_BITS).alias("doc"))
+    texts = rows.where("t is not null").dropDuplicates(["id", "th"]).join(order, (rows["th"] == order["th"]) & rows["id"].eqNullSafe(order["id"]))
+    lines = texts.select("doc", F.posexplode(F.split("t", "\n")).alias("i", "line"))
     lines = scratch.write(lines.select((F.col("doc") + F.col("i")).alias("pos"), F.xxhash64("line").alias("name")), "lines")
     found = longest_copies(scratch, lines)
     per_doc = found.groupBy(F.shiftleft(F.shiftright("pos", LINE_BITS), LINE_BITS).alias("doc")).agg(F.collect_list((F.col("pos") % (1 << LINE_BITS)).cast("int")).alias("at"), F.collect_list("length").alias("size"))
