@@ -86,6 +86,18 @@ def test_secret_candidates_match_a_plain_scan(spark, frame):
     assert got == want
 
 
+def test_dictionary_is_counted_over_all_documents(spark, frame):
+    # More words than a fixed list of 3000 holds, each in three of 1200 documents or in one.
+    rows = [(i, " ".join(f"w{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}{'xyz'[i % 3 - 1]}{chr(97 + k // 1000)}" for k in range(i // 9 * 30, i // 9 * 30 + 30)), None, None, None) for i in range(1200)]
+    df = Counter(w for r in rows for w in set(r[1].split()))
+    want = {w for w, n in df.items() if n >= max(2, 0.001 * len(rows))}
+    docs = frame(rows + [(2000, "alone", None, None, None), (None, None, None, None, None)])
+    assert len(want) > 3000 and {r["w"] for r in secrets.dictionary_words(docs).collect()} == want
+    found = spark.createDataFrame([("alone-wabcxa/1234", "x", "x ", 1)] * 2 + [("1234567890123456", "", "", 0)], "value string, before string, lead string, label int")
+    words = spark.createDataFrame([("wabcxa",), ("alone",), ("other",)], "w string")
+    assert sorted((r["value"], r["__covered"]) for r in secrets._covered(found, words).collect()) == [("1234567890123456", 0.0)] + [("alone-wabcxa/1234", 11.0)] * 2
+
+
 def shares(spark, tokens):
     total = float(sum(tokens))
     return spark.createDataFrame([(t / total, total) for t in tokens], "p double, total double")

@@ -9,8 +9,9 @@ and how often such words stood before secrets in the labelled findings.
 
 The forest is learnt from labelled findings (``value``, ``before``, ``path``, ``label``): by
 default rule-labelled candidates of a bounded sample of documents (``max_docs``,
-4000) and made-up findings of known secret and harmless forms.  All of it, learning
-included, is DataFrame and JVM code.
+4000; ``max_findings`` of them, 8000) and made-up findings of known secret and
+harmless forms.  Dictionary words are counted over all documents: those in a
+``SHARE`` of them.  All of it, learning included, is DataFrame and JVM code.
 
 Defined results
 * null or empty text: no findings.  Null ids pass through as null.
@@ -30,6 +31,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.session import Scratch, small
+
 # The form of a candidate and of the word and sign before it.
 CANDIDATE = r"(?:(?<![A-Za-z_.-])[A-Za-z_.-]{2,32}+[\"']?[ \t]{0,2}[=:]?[ \t]{0,2})?[\"']?(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
 VALUE = r"[A-Za-z0-9+/_-]{16,}$"
@@ -38,14 +41,15 @@ BEFORE = r"^([A-Za-z_.-]{2,32})[\"']?[ \t]*[=: \"']"
 SECRET_VALUE = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[0-9A-Za-z-]{16,}|sk_live_[0-9A-Za-z]{16,})$"
 SECRET_WORD = r"^(password|passwd|pwd|token|secret|api[_.-]?key|access[_.-]?key|auth[_.-]?token|private[_.-]?key)$"
 FEATURES = "length digits upper distinct flips cases hex number dictionary slashes assigns quoted word_odds".split()
-DICTIONARY, WORDS = 3000, 1000
+#: A dictionary word stands in this share of all documents, and in two at least.
+SHARE = 0.001
 
 
 @dataclass
 class SecretModel:
     forest: Model
-    dictionary: list[str]
-    odds: dict[str, float]
+    dictionary: DataFrame
+    odds: DataFrame
 
 
 def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -89,41 +93,62 @@ def made_up(spark, count: int = 2400) -> DataFrame:
     return spark.range(count).select(made.alias("m")).select("m.*")
 
 
-def _features(rows: DataFrame, dictionary: list[str], odds: dict[str, float]) -> DataFrame:
+def dictionary_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """w: the runs of four or more letters that stand in a ``SHARE`` of all documents, and in two at least."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))
+    # The empty word stands in every document, so its count is theirs.
+    counts = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = Scratch(docs.sparkSession, "secret-words").write(counts.where("n > 1"), "counts")
+    total = counts.where("w = ''").first()
+    return counts.where((F.col("w") != "") & (F.col("n") >= SHARE * (total["n"] if total else 0))).select("w")
+
+
+def _covered(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``rows`` with __covered, the letters of the value's distinct dictionary words."""
+    columns = rows.columns
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}"), F.lit(0)))
+    # SHARE bounds this side by the mean distinct words of a document over SHARE, so it may be broadcast.
+    known = F.broadcast(dictionary.select(F.col("w").alias("__w"), F.length("w").alias("__n")))
+    parts = rows.select(*columns, F.explode_outer(runs).alias("__w")).join(known, "__w", "left")
+    sums = parts.groupBy(*columns).agg(F.count("*").alias("__rows"), F.coalesce(F.sum("__n"), F.lit(0)).alias("__sum"))
+    # Equal rows were summed up together; each is returned.
+    times = (F.col("__rows") / F.greatest(F.size(runs), F.lit(1))).cast("int")
+    return sums.select(*columns, (F.col("__sum") / times).alias("__covered"), F.explode(F.array_repeat(F.lit(0), times)).alias("__i")).drop("__i")
+
+
+def _features(rows: DataFrame, dictionary: DataFrame, odds: DataFrame) -> DataFrame:
     """The columns of ``FEATURES`` beside those of ``rows``."""
+    columns = rows.columns
+    rows = _covered(rows, dictionary).join(small(odds), "before", "left")
     v = F.col("value")
     n = F.length(v).cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
-    known = F.array_intersect(F.regexp_extract_all(F.lower(v), F.lit("[a-z]{4,}"), F.lit(0)), F.split(F.lit(" ".join(dictionary)), " "))
-    pairs = [F.lit(x) for kv in odds.items() for x in kv]
-    word = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("before")), F.lit(0.0)) if pairs else F.lit(0.0)
     made = {
         "length": n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "flips": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "cases": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"), "number": v.rlike("^[0-9_+/-]+$").cast("double"),
-        "dictionary": F.length(F.array_join(known, "")) / n, "slashes": share("[/-]"),
-        "assigns": F.col("lead").rlike("[=:]").cast("double"), "quoted": F.col("lead").rlike("[\"']$").cast("double"), "word_odds": word,
+        "dictionary": F.col("__covered") / n, "slashes": share("[/-]"),
+        "assigns": F.col("lead").rlike("[=:]").cast("double"), "quoted": F.col("lead").rlike("[\"']$").cast("double"), "word_odds": F.coalesce("__odds", F.lit(0.0)),
     }
-    return rows.withColumns({f"__{k}": c.cast("double") for k, c in made.items()})
+    return rows.select(*columns, *[c.cast("double").alias(f"__{k}") for k, c in made.items()])
 
 
 _ASSEMBLER = dict(inputCols=[f"__{f}" for f in FEATURES], outputCol="__x", handleInvalid="keep")
 
 
-def fit(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", row_id: str = "doc_id", max_docs: int = 4000, trees: int = 24, depth: int = 6, seed: int = 9) -> SecretModel:
+def fit(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", row_id: str = "doc_id", max_docs: int = 4000, max_findings: int = 8000, trees: int = 24, depth: int = 6, seed: int = 9) -> SecretModel:
     """The forest learnt from ``findings`` (value, before, lead, label), or from the default ones."""
     spark = docs.sparkSession
     ids = docs.select(F.col(row_id).cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     # max_docs bounds this side, so it may be broadcast at any size of the corpus.
     some = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
-    words = some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")).groupBy("w").count()
-    dictionary = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()]
+    dictionary = dictionary_words(docs, text)
     if findings is None:
         found = candidates(some.dropDuplicates(["doc_id"])).select("value", "before", "lead").withColumn("label", rule_label())
-        findings = found.distinct().orderBy(F.xxhash64("value"), "value", "before", "lead").limit(8000).unionByName(made_up(spark))
+        findings = found.distinct().orderBy(F.xxhash64("value"), "value", "before", "lead").limit(max_findings).unionByName(made_up(spark))
     odds = findings.groupBy("before").agg(F.count("*").alias("n"), F.sum("label").alias("y")).where("n >= 5 and before <> ''")
-    odds = odds.orderBy(F.desc("n"), "before").limit(WORDS).select("before", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5)).alias("o")).collect()
-    odds = {r["before"]: float(r["o"]) for r in odds}
+    odds = odds.select("before", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5)).alias("__odds"))
+    odds = Scratch(spark, "secret-odds").write(odds, "odds")
     rows = VectorAssembler(**_ASSEMBLER).transform(_features(findings, dictionary, odds)).select("__x", F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
     return SecretModel(forest, dictionary, odds)
