@@ -98,6 +98,16 @@ def test_dictionary_is_counted_over_all_documents(spark, frame):
     assert sorted((r["value"], r["__covered"]) for r in secrets._covered(found, words).collect()) == [("1234567890123456", 0.0)] + [("alone-wabcxa/1234", 11.0)] * 2
 
 
+def test_short_assigned_values_are_candidates(spark, frame):
+    texts = ["x password=Tr0ub4dor3 y", 'say "passwd": "horse!b@ttery", next', "DB_PWD=qWmzkTxv;", "token: aGk3.bX9z!Lq2", "api_key = '7h3r3,now'", "userToken=abCd9!x", "secret: therefore we", "password=${DB_PASSWORD} z", "token: 123", "tokens=abcdefgh", "password=7602ad27cf5550de1c1 y"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = secrets.find_secrets(frame(rows)).collect()
+    want = {(0, "Tr0ub4dor3"), (1, "horse!b@ttery"), (2, "qWmzkTxv"), (3, "aGk3.bX9z!Lq2"), (4, "7h3r3,now"), (5, "abCd9!x"), (6, "therefore"), (7, "${DB_PASSWORD"), (10, "7602ad27cf5550de1c1")}
+    assert {(r["doc_id"], r["value"]) for r in got} == want and len(got) == len(want)
+    assert all(texts[r["doc_id"]][r["start"] :].startswith(r["value"]) for r in got)
+    assert {r["doc_id"] for r in got if r["secret"]} == {0, 1, 2, 3, 4, 5, 10}
+
+
 def shares(spark, tokens):
     total = float(sum(tokens))
     return spark.createDataFrame([(t / total, total) for t in tokens], "p double, total double")

@@ -1,8 +1,11 @@
 """Secret scan: candidate strings, and a random forest that removes false findings.
 
 Candidates are the longest runs of 16 or more letters, digits and ``+/_-`` with at
-least one digit, with the word before them.  Features: length, share of digits
-and of upper case, distinct characters, changes between letters and digits and
+least one digit, with the word before them, and besides them the values of six or
+more characters without space that are assigned (``=``, ``:``) to a secret-bearing word,
+with or without digits; such a value ends before a quote and before punctuation
+that stands at its end.  Features: length, share of digits
+and of upper case, distinct characters, share of signs, changes between letters and digits and
 between cases, hexadecimal only, digits only, share of letters in dictionary
 words, path separators, and the neighbouring word: whether it assigns (``=``, ``:``)
 and how often such words stood before secrets in the labelled findings.
@@ -36,11 +39,17 @@ from textquarry.session import Scratch, small
 # The form of a candidate and of the word and sign before it.
 CANDIDATE = r"(?:(?<![A-Za-z_.-])[A-Za-z_.-]{2,32}+[\"']?[ \t]{0,2}[=:]?[ \t]{0,2})?[\"']?(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
 VALUE = r"[A-Za-z0-9+/_-]{16,}$"
+RUN = r"^(?=.*[0-9])[A-Za-z0-9+/_-]{16,}$"
 BEFORE = r"^([A-Za-z_.-]{2,32})[\"']?[ \t]*[=: \"']"
+# Fixed value: a value assigned to a secret-bearing word; its last three groups hold the value.
+ASSIGNED = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:password|passwd|pwd|token|secret|api[_.-]?key|access[_.-]?key|auth[_.-]?token|private[_.-]?key)[\"']?[ \t]{0,2}(?::=|=>|==|[=:])[ \t]{0,2}(?:\"([^\"\s]{6,})(?=\"|$)|'([^'\s]{6,})(?='|$)|[\"']?([^\s\"']{5,}[^\s\"'.,;:)\]}>]))"
 # Forms that label a finding as a secret.
 SECRET_VALUE = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[0-9A-Za-z-]{16,}|sk_live_[0-9A-Za-z]{16,})$"
 SECRET_WORD = r"^(password|passwd|pwd|token|secret|api[_.-]?key|access[_.-]?key|auth[_.-]?token|private[_.-]?key)$"
-FEATURES = "length digits upper distinct flips cases hex number dictionary slashes assigns quoted word_odds".split()
+#: Assigned values that are no secrets: numbers, one word after a colon, stars, and names that are filled in.
+HARMLESS_VALUE = r"^([0-9]+|[*x.X-]+|[$%<{\[(].*|[A-Za-z_.]+[(\[].*|(?i:true|false|none|null|undefined)\W*)$"
+PROSE_VALUE = r"^[A-Za-z]?[a-z]+\W?$"
+FEATURES = "length digits upper distinct signs flips cases hex number dictionary slashes assigns quoted word_odds".split()
 #: A dictionary word stands in this share of all documents, and in two at least.
 SHARE = 0.001
 
@@ -55,10 +64,17 @@ class SecretModel:
 def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """doc_id, value, before, lead, n, start (code points): the distinct candidates of each row."""
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    rows = rows.withColumn("__f", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))).where(F.size("__f") > 0)
-    one = lambda x: F.struct(x.alias("hit"), F.size(F.filter("__f", lambda y: y == x)).cast("long").alias("n"), F.instr(F.col("__t"), x).cast("long").alias("at"))
-    rows = rows.select("doc_id", F.explode(F.transform(F.array_distinct("__f"), one)).alias("h"))
-    value = F.regexp_extract("h.hit", VALUE, 0)
+    runs = F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))
+    named = F.regexp_extract_all("__t", F.lit(ASSIGNED), F.lit(0))
+    rows = rows.select("doc_id", "__t", runs.alias("__f"), named.alias("__g")).where("size(__f) > 0 or size(__g) > 0")
+    one = lambda hits, value: lambda x: F.struct(x.alias("hit"), value(x).alias("value"), F.size(F.filter(hits, lambda y: y == x)).cast("long").alias("n"), F.instr(F.col("__t"), x).cast("long").alias("at"))
+    run = lambda x: F.regexp_extract(x, VALUE, 0)
+    assigned = lambda x: F.concat(*[F.regexp_extract(x, ASSIGNED, i) for i in (1, 2, 3)])
+    found = F.transform(F.array_distinct("__f"), one("__f", run))
+    # Values that are runs are candidates already.
+    more = F.filter(F.transform(F.array_distinct("__g"), one("__g", assigned)), lambda h: ~h["value"].rlike(RUN))
+    rows = rows.select("doc_id", F.explode(F.concat(found, more)).alias("h"))
+    value = F.col("h.value")
     lead = F.substring("h.hit", F.lit(1), F.length("h.hit") - F.length(value))
     return rows.select("doc_id", value.alias("value"), F.lower(F.regexp_extract("h.hit", BEFORE, 1)).alias("before"), lead.alias("lead"), F.col("h.n").alias("n"), (F.col("h.at") - 1 + F.length(lead)).alias("start"))
 
@@ -66,7 +82,8 @@ def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> D
 def rule_label() -> Column:
     """1 for the forms known as secrets, 0 for any other."""
     assigned = F.col("before").rlike(SECRET_WORD) & F.col("lead").rlike("[=:]")
-    return (F.col("value").rlike(SECRET_VALUE) | (assigned & ~F.col("value").rlike("^[0-9]+$"))).cast("int")
+    prose = F.col("value").rlike(PROSE_VALUE) & ~F.col("lead").contains("=")
+    return (F.col("value").rlike(SECRET_VALUE) | (assigned & ~F.col("value").rlike(HARMLESS_VALUE) & ~prose)).cast("int")
 
 
 def made_up(spark, count: int = 2400) -> DataFrame:
@@ -88,6 +105,15 @@ def made_up(spark, count: int = 2400) -> DataFrame:
         (F.concat(F.lit("static/js/main-"), F.substring(md5, 1, 8)), word, " ", 0),
         (md5, F.lit("checksum"), ": ", 0),
         (F.concat(word, F.lit("-report-final-"), F.substring(F.conv(F.substring(md5, 1, 8), 16, 10), 1, 4)), word, " ", 0),
+        (F.concat(F.initcap(word), F.substring(mixed, 1, 6)), F.lit("password"), "=", 1),
+        (F.concat(F.substring(mixed, 1, 5), F.lit("!"), F.substring(mixed, 6, 4), F.lit("@"), word), F.lit("pwd"), ": ", 1),
+        (F.concat(F.substring(mixed, 1, 20), F.lit("."), F.substring(mixed, 21, 15)), F.lit("token"), ": ", 1),
+        (F.concat(F.translate(F.substring(md5, 1, 8), "0123456789", "ghijklmnop"), word), F.lit("passwd"), "=", 1),
+        (F.concat(F.lit("${"), F.upper(word), F.lit("_PASSWORD")), F.lit("password"), "=", 0),
+        (F.repeat(F.lit("*"), F.pmod("id", F.lit(9)).cast("int") + 6), F.lit("password"), "=", 0),
+        (F.concat(F.lit("get_"), word, F.lit("("), word), F.lit("secret"), "=", 0),
+        (F.element_at(F.array(*[F.lit(w) for w in "something required another therefore however usually".split()]), (F.pmod("id", F.lit(6)) + 1).cast("int")), F.lit("secret"), ": ", 0),
+        (F.substring(F.conv(F.substring(md5, 1, 14), 16, 10), 1, 8), F.lit("token"), ": ", 0),
     ]
     made = F.element_at(F.array(*[F.struct(v.alias("value"), b.alias("before"), F.concat(b, F.lit(s)).alias("lead"), F.lit(y).alias("label")) for v, b, s, y in forms]), (F.pmod(F.xxhash64("id"), F.lit(len(forms))) + 1).cast("int"))
     return spark.range(count).select(made.alias("m")).select("m.*")
@@ -125,7 +151,7 @@ def _features(rows: DataFrame, dictionary: DataFrame, odds: DataFrame) -> DataFr
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     made = {
         "length": n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "flips": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "cases": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+        "signs": share("[^A-Za-z0-9+/_-]"), "flips": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "cases": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"), "number": v.rlike("^[0-9_+/-]+$").cast("double"),
         "dictionary": F.col("__covered") / n, "slashes": share("[/-]"),
         "assigns": F.col("lead").rlike("[=:]").cast("double"), "quoted": F.col("lead").rlike("[\"']$").cast("double"), "word_odds": F.coalesce("__odds", F.lit(0.0)),
