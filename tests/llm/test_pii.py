@@ -63,6 +63,28 @@ def test_dynamic_program_finds_the_best_segmentation():
     assert field.decode(text, "", words) == max(every(0, "start"), key=lambda x: x[0])[1]
 
 
+def test_field_reads_whole_regions_long_words_and_any_white_space():
+    field = pii.SemiMarkovField()
+    field.learn(pii.made_up(600))
+    phone = "(645) 555-3345"
+
+    def spans(text):
+        return {text[s:e] for k, s, e in pii.find(text, field)[1] if k == "phone"}
+
+    for n in range(20, 30):
+        text = "12 " * n + phone + " 7" * 20
+        assert [len(w) for _, w in pii.regions(text)] == [n + 22] and spans(text) == {phone}, n
+    for gap in ("  ", "\t", "\n", "\r\n"):
+        assert spans(f"call (645){gap}555-3345 now") == {f"(645){gap}555-3345"}
+    filler = '"note":"' + "x" * 80 + '"'
+    assert spans("{" + filler + ',"phone":"645-555-3345","n":12}') == {"645-555-3345"}
+    assert spans("{" + filler + ',"phone":"(645) 555-3345","n":12}') == {phone}
+    assert spans(",".join(["name"] * 20 + ["645-555-3345", "12"])) == {"645-555-3345"}
+    assert pii.regions("x" * 30 + "9" * 65) == []
+    many = pii.regions("12 " * 100_000)
+    assert len(many) == 1 and len(many[0][1]) == 100_000
+
+
 def test_rows(spark, frame, odd):
     docs = frame(odd, clash=True)
     got = pii.span_digests(pii.personal_data(docs, pii.fit(docs))).collect()

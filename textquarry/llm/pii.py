@@ -5,7 +5,9 @@ pass its test (octets at most 255, 14 to 19 digits with a valid check digit, 10
 to 15 digits); a match that fails is dropped and not retried.
 
 The random field reads *regions*: runs of neighbouring words with a digit or an
-@.  A region is cut into segments of one kind each (one to ``MOST_WORDS`` words) or
+@, joined by up to ``MOST_GAP`` characters of white space of any kind.  Long words and
+words with a double quote inside are split at punctuation that numbers and addresses
+do not have, and pieces that are still long at any.  A region is cut into segments of one kind each (one to ``MOST_WORDS`` words) or
 of single other words; whole-segment features (digit count, shape, separators,
 check digit, octets, @ and dots, brackets, the word before) and transitions score
 a segmentation, and dynamic programming over (end, kind) picks boundaries and
@@ -15,9 +17,9 @@ the patterns miss (national phone numbers, grouped numbers, numbers that are
 nothing).  A decoded span is added where it meets no base span.
 
 Defined results
-* null or empty text: no spans.  Texts are read whole; words of more than
-  ``LONGEST_WORD`` characters are left to the patterns; a region of more than 24 words
-  is decoded 24 words at a time.
+* null or empty text: no spans.  Texts are read whole and regions decoded whole, however
+  long; only unbroken runs of more than ``LONGEST_WORD`` letters and digits, which no kind
+  the field adds can be, end a region and are left to the patterns.
 * null ids and repeated rows pass through row by row; empty table: no rows.
 * extra columns are not read.
 """
@@ -28,6 +30,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,7 +49,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MOST_WORDS, LONGEST_WORD = 6, 64
+MOST_WORDS, LONGEST_WORD, MOST_GAP = 6, 64, 4
+_SPACE = re.compile(r"\s+")
+_PIECE, _RUN = re.compile(r"[^\"'<>\[\]{},;:=|&/\\?!#*~^`$]+"), re.compile(r"[^\W_]+(?:@[^\W_]+)?")
+_JOIN = re.compile(r"[^\w\s@]{1,2}|_")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
 _MARK = re.compile(r"[0-9@]")
@@ -96,6 +102,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[bool, int, int]]:
+    """The parts of a word with a digit or @, and whether a part may go on across punctuation."""
+    if end - start <= LONGEST_WORD and '"' not in text[start:end].strip(_STRIP):
+        yield False, start, end
+        return
+    for m in _PIECE.finditer(text, start, end):
+        if m.end() - m.start() <= LONGEST_WORD:
+            if _MARK.search(text, *m.span()):
+                yield False, *m.span()
+            continue
+        for x in _RUN.finditer(text, *m.span()):
+            if x.end() - x.start() <= LONGEST_WORD and _MARK.search(text, *x.span()):
+                yield x.start() > m.start(), *x.span()
+
+
 def regions(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     """Runs of neighbouring words with a digit or @: the word before, and the words' spans."""
     found: list[tuple[str, list[tuple[int, int]]]] = []
@@ -108,12 +129,13 @@ def regions(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
         end = m.end()
         while end < len(text) and not text[end].isspace():
             end += 1
-        if end - start <= LONGEST_WORD:
-            if found and text[found[-1][1][-1][1] : start] == " ":
-                found[-1][1].append((start, end))
+        for joins, start, at in _pieces(text, start, end):
+            gap = text[found[-1][1][-1][1] : start] if found and start - found[-1][1][-1][1] <= MOST_GAP else ""
+            if gap.isspace() or joins and _JOIN.fullmatch(gap):
+                found[-1][1].append((start, at))
             else:
-                before = text[max(0, start - 24) : start].split()
-                found.append((before[-1].strip(_STRIP + "()").lower() if before else "", [(start, end)]))
+                before = re.findall(r"[^\s\"]+", text[max(0, start - 24) : start])
+                found.append((before[-1].strip(_STRIP + "()").lower() if before else "", [(start, at)]))
         done = end
         m = _MARK.search(text, end)
     return found
@@ -129,7 +151,8 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def segment_features(s: str, n_words: int, before: str) -> list[str]:
-    """Features of a whole segment."""
+    """Features of a whole segment; white space counts as one space."""
+    s = _SPACE.sub(" ", s)
     digits = "".join(c for c in s if "0" <= c <= "9")
     shape = re.sub(r"[0-9]+", lambda m: f"{min(len(m.group()), 9)}d", re.sub(r"[^\W\d_]+", "a", s))
     parts = s.split(".")
@@ -158,43 +181,49 @@ class SemiMarkovField:
     def __init__(self, weights: dict[tuple[str, str], float] | None = None):
         self.w = dict(weights or {})
 
-    def _segments(self, text: str, before: str, words: list[tuple[int, int]]):
-        """(first, end, kind, features) of every candidate segment, by end."""
-        by_end: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(len(words) + 1)]
-        for a in range(len(words)):
+    def _ending(self, text: str, before: str, words: list[tuple[int, int]], b: int) -> Iterator[tuple[int, str, list[str]]]:
+        """(first, kind, features) of every candidate segment that ends at word ``b``."""
+        for a in range(max(0, b - MOST_WORDS), b):
             prior = before if a == 0 else text[slice(*words[a - 1])].strip(_STRIP + "()").lower()[:12]
-            for b in range(a + 1, min(len(words), a + MOST_WORDS) + 1):
-                s, e = trimmed(text, words[a][0], words[b - 1][1])
-                f = segment_features(text[s:e], b - a, prior)
-                if b == a + 1:
-                    by_end[b].append((a, "other", f))
-                if e > s:
-                    by_end[b].extend((a, kind, f) for kind in KINDS)
-        return by_end
+            s, e = trimmed(text, words[a][0], words[b - 1][1])
+            f = segment_features(text[s:e], b - a, prior)
+            if b == a + 1:
+                yield a, "other", f
+            if e > s:
+                for kind in KINDS:
+                    yield a, kind, f
+
+    def _segments(self, text: str, before: str, words: list[tuple[int, int]]):
+        """The candidate segments by end."""
+        return [[]] + [list(self._ending(text, before, words, b)) for b in range(1, len(words) + 1)]
 
     def _score(self, kind: str, features: list[str]) -> float:
         return sum(self.w.get((kind, f), 0.0) for f in features)
 
     def decode(self, text: str, before: str, words: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
         """The best segmentation: (first word, end word, kind) of its segments that are of a kind."""
-        by_end = self._segments(text, before, words)
-        best: list[dict[str, tuple[float, int, str]]] = [{"start": (0.0, 0, "")}]
+        names = ("other", *KINDS, "start")
+        # Scores of the last ends only; of each end and kind, one byte tells the length and the prior kind.
+        best: dict[int, dict[str, float]] = {0: {"start": 0.0}}
+        back, width = bytearray((len(words) + 1) * (len(names) - 1)), len(names) - 1
         for b in range(1, len(words) + 1):
-            here: dict[str, tuple[float, int, str]] = {}
-            for a, kind, f in by_end[b]:
+            here: dict[str, float] = {}
+            for a, kind, f in self._ending(text, before, words, b):
                 s = self._score(kind, f)
-                for prior, (p, _, _) in best[a].items():
+                for prior, p in best[a].items():
                     t = p + s + self.w.get((prior, kind), 0.0)
-                    if kind not in here or t > here[kind][0]:
-                        here[kind] = (t, a, prior)
-            best.append(here)
+                    if kind not in here or t > here[kind]:
+                        here[kind] = t
+                        back[b * width + names.index(kind)] = (b - a) * len(names) + names.index(prior)
+            best[b] = here
+            best.pop(b - MOST_WORDS, None)
         out, b = [], len(words)
-        kind = max(best[b], key=lambda k: best[b][k][0])
+        kind = max(best[b], key=lambda k: best[b][k])
         while b:
-            _, a, prior = best[b][kind]
+            size, prior = divmod(back[b * width + names.index(kind)], len(names))
             if kind != "other":
-                out.append((a, b, kind))
-            b, kind = a, prior
+                out.append((b - size, b, kind))
+            b, kind = b - size, names[prior]
         return out[::-1]
 
     def learn(self, examples, epochs: int = 5, rate: float = 0.3, l2: float = 1e-4) -> None:
@@ -306,6 +335,18 @@ def made_up(count: int = 900, seed: int = 3) -> list:
             s = r.choice([".".join(str(r.randint(256, 999)) for _ in range(4)), f"{d(18)}", f"{d(8)}{r.choice('abcdef')}{d(7)}", f"password={d(9)}a{d(3)}"])
         words = [m.span() for m in re.finditer(r"\S+", s)]
         out.append((s, "", words, [(0, len(words), kind)] if kind else []))
+    # Regions of several forms and of plain numbers in rows, as in tables.
+    for i in range(count // 3):
+        parts = [r.choice(out[:count]) for _ in range(r.randint(2, 4))]
+        for _ in range(2):
+            row = " ".join(d(r.randint(1, 5)) for _ in range(r.randint(1, 8)))
+            parts.insert(r.randint(0, len(parts)), (row, "", [m.span() for m in re.finditer(r"\S+", row)], []))
+        words, gold = [], []
+        for t, _, own, right in parts:
+            gold += [(a + len(words), b + len(words), k) for a, b, k in right]
+            words += own
+        s = " ".join(x[0] for x in parts)
+        out.append((s, "", [m.span() for m in re.finditer(r"\S+", s)], gold))
     return out
 
 
@@ -356,18 +397,22 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, str]]:
             yield a + i, raw[off[i] : off[i + 1]].decode("utf-8", "surrogatepass") if has[i] else ""
 
 
+def _meets(base: list[Span], starts: list[int], longest: int, s: int, e: int) -> bool:
+    """Whether a base span meets [s, e); ``base`` is sorted by start."""
+    return any(x[2] > s for x in base[bisect_left(starts, s - longest) : bisect_left(starts, e)])
+
+
 def find(text: str, field: SemiMarkovField | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with what the field adds."""
     base = base_spans(text)
     every = list(base)
+    starts, longest = [x[1] for x in base], max((x[2] - x[1] for x in base), default=0)
     if field is not None:
         for before, words in regions(text):
-            for at in range(0, len(words), 24):
-                part = words[at : at + 24]
-                for a, b, kind in field.decode(text, before if at == 0 else "", part):
-                    s, e = trimmed(text, part[a][0], part[b - 1][1])
-                    if not any(x < e and y > s for _, x, y in base):
-                        every.append((kind, s, e))
+            for a, b, kind in field.decode(text, before, words):
+                s, e = trimmed(text, words[a][0], words[b - 1][1])
+                if not _meets(base, starts, longest, s, e):
+                    every.append((kind, s, e))
     return base, sorted(every, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
