@@ -222,3 +222,29 @@ def test_snippets(spark):
 def test_main_page(spark, entries):
     archives = spark.createDataFrame([("one", "C/Rhine.html"), ("two", None), ("none", None)], "archive string, main_path string")
     assert {r["archive"]: (r["path"], r["found_by"]) for r in A.main_page(archives, entries).collect()} == {"one": ("C/Rhine.html", "main"), "two": ("C/List_of_rivers", "first entry"), "none": (None, None)}
+
+
+def test_snippet_highlight_whole_reads_all_rows_and_lines(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from textquarry.registry import QUERIES
+
+    texts = [
+        "That line\nand that, später für FÜR fur pour that", "no hit", "", None, "first\nthat late", "keep **that** and [that](x) but thatch that",
+        "é that * that", "that " * 8, "Pour fu\u0308r with tion", "[[that]] für **pour für** pour",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower()
+
+    def brute(text):
+        out, hits = [], 0
+        for piece in re.split(r"(\*\*[^*]*\*\*|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\))", text):
+            for w in re.split(r"((?:\w|[\u0300-\u036f])+)", piece):
+                hit = fold(w) in ("that", "with", "tion", "fur", "pour") and hits < 5 and piece[:1] not in ("*", "[")
+                hits += hit
+                out.append(f"**{w}**" if hit else w)
+        return "".join(out)
+
+    got = {r["doc_id"]: r["text"] for r in QUERIES["snippet_highlight_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}

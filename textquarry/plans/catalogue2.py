@@ -382,3 +382,9 @@ def snippet_highlight(spark, sf):
     line = F.split_part("text", F.lit("\n"), F.lit(1))
     rows = docs_of(spark, sf).where(line.rlike(r"^[ -~]*\bthat\b[ -~]*$") & ~F.contains(line, F.lit("*")))
     return rows.select("doc_id", SN.highlight(["that"], 1)(line).alias("line"))
+
+
+@query()
+def snippet_highlight_whole(spark, sf):
+    """The five terms in whole texts of all rows, with the default number of hits; SQL cannot count hits or skip zones."""
+    return docs_of(spark, sf).select("doc_id", SN.highlight(QUERY.split())(F.col("text")).alias("text"))
