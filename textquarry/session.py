@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,15 @@ _folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; only a session
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a local session
     without that setting (tests, a laptop) gets a folder of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     key = spark.sparkContext.applicationId
     if key not in _folders:
         _folders[key] = "file://" + tempfile.mkdtemp(prefix="textquarry-")
@@ -35,8 +39,14 @@ class Scratch:
 
     Tasks can be recomputed from these tables when an executor is lost. The
     folder is removed when the interpreter ends, or by ``drop``.
+
+    In a mounted folder (``file:``) files are written by Hadoop's raw local file
+    system: its usual one starts four ``chmod`` processes for each file and writes a
+    ``.crc`` file beside it.  Other stores are not touched by these options.
     """
 
+    RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/textquarry-{label}-{uuid.uuid4().hex[:12]}"
@@ -46,7 +56,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(compression="zstd", **self.RAW).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
