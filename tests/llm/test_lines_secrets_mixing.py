@@ -46,6 +46,58 @@ def test_line_runs_match_brute_force(frame, odd, least):
     assert got.count() == len(rows) and dedup_lines(frame([])).count() == 0
 
 
+def test_suffix_array_over_many_tasks_and_slices(spark, frame, monkeypatch):
+    """Groups, prefixes and copies that cross the borders of tasks and of slices; one very common line."""
+    monkeypatch.setattr(line_dedup, "LEAST_SLICE", 7)
+    monkeypatch.setattr(line_dedup, "SLICES", 40)
+    rng = random.Random(8)
+    pool = [f"line {i} has words" for i in range(5)]
+    texts = ["\n".join("the very common line" if rng.random() < 0.5 else rng.choice(pool) if rng.random() < 0.9 else f"own {i} {j}" for j in range(rng.randrange(1, 30))) for i in range(24)]
+    texts += [texts[3] + "\n" + texts[4], texts[5], "\n".join(["the very common line"] * 40), texts[4] + "\nend"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: r["clean_text"] for r in dedup_lines(frame(rows), 1).collect()}
+        ranks = [f"{d:03}{i:03}" for d, t in enumerate(texts) for i, _ in enumerate(t.split("\n"))]
+        lines = [(d << line_dedup.LINE_BITS | i, hash(x)) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n"))]
+        places, lcps, total = line_dedup.suffix_array(Scratch(spark, "sa"), spark.createDataFrame(lines, "pos long, name long").repartition(5))
+        array = [r["pos"] for r in places.orderBy("rank").collect()]
+        shared = {r["rank"]: r["lcp"] for r in lcps.collect()}
+        order = {r["pos"]: r["rank"] for r in places.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = brute_lines(rows, 1)
+    assert got == {d: want[d, t] for d, t in enumerate(texts)}
+    assert total == len(ranks) and len(set(order.values())) == len(array)
+    names = {p: n for p, n in lines}
+
+    def prefix(p, q):
+        n = 0
+        while p + n in names and q + n in names and names[p + n] == names[q + n]:
+            n += 1
+        return n
+
+    assert all(prefix(p, q) == shared.get(order[q], 0) for p, q in zip(array, array[1:]))
+
+
+def test_scans_of_slices_join_to_the_scan_of_the_whole():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        pos, lcp = rng.sample(range(100), n), [0] + [rng.choice((0, 1, 1, 2, 3, 5)) for _ in range(n - 1)]
+        whole, _ = line_dedup._scan(pos, lcp, [])
+        brute = [max([0] + [min(lcp[j + 1 : i + 1]) for j in range(i) if pos[j] < pos[i]]) for i in range(n)]
+        carry, found, at = [], [], 0
+        while at < n:
+            end = min(n, at + rng.randrange(1, 9))
+            found += line_dedup._scan(pos[at:end], lcp[at:end], carry)[0]
+            _, own = line_dedup._scan(pos[at:end], [0, *lcp[at + 1 : end]], [])
+            carry = line_dedup._joined(carry, min(lcp[at:end]), own)
+            at = end
+        assert whole == brute == found
+
+
 def test_documents_are_numbered_without_gaps_or_clashes(spark, monkeypatch):
     # Two tasks, each of more rows than the 2^20 that a fixed share of a place has room for.
     n = 2 * ((1 << 20) + 8)
