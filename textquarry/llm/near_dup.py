@@ -1,7 +1,7 @@
 """Near-duplicate classes by one-permutation MinHash, banded buckets and star edges.
 
-1. Each text becomes the set of its k-word shingles.  Equal sets are one class,
-   named by its smallest ``doc_id``; copies are never expanded into pairs.
+1. Each text becomes the set of its k-word shingles.  Equal sets are one class
+   with a number; copies are never expanded into pairs.
 2. One-permutation hashing: a shingle's hash falls into one of bands x rows bins
    by its high bits, a bin keeps its smallest hash, and an empty bin borrows from
    the first filled bin of its own fixed random order (optimal densification).
@@ -22,7 +22,8 @@ probability above 1 - 1e-10 (0.8: 1 - 5e-8).
 Defined results
 * null or empty text, or one of only white space: set size 0, its own component.
 * a text shorter than k words: one shingle, the whole word sequence.
-* rows with the same text: one class; rows with the same doc_id keep it.
+* rows with the same text: one class.  Rows that share a doc_id but not their text are
+  classes of their own, linked or not by their texts alone, in any order of the rows.
 * null doc_id: linked with nothing, component null, kept.
 * empty table: no rows.  Extra columns of the input are not read.
 """
@@ -77,8 +78,8 @@ def _signatures(k: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(bands, rows)
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, buf, off in K.runs(batch.column(1)):
+            ids, hashes = batch.column(0), batch.column(1)
+            for a, b, buf, off in K.runs(batch.column(2)):
                 h, doc, _, _ = K.words(buf, off)
                 sh, at = K.shingles(h, doc, b - a, k)
                 n = np.zeros(b - a, np.int64)
@@ -92,7 +93,10 @@ def _signatures(k: int, bands: int, rows: int):
                         key[i] = m.sum(dtype=np.uint64), (m * m).sum(dtype=np.uint64)
                         out[i] = signer.bands_of(u)
                 rows_of = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(K.signed(out.ravel())))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(K.signed(key[:, 0].copy())), pa.array(K.signed(key[:, 1].copy())), rows_of], ["doc_id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(n), pa.array(K.signed(key[:, 0].copy())), pa.array(K.signed(key[:, 1].copy())), rows_of],
+                    ["doc_id", "th", "n", "k1", "k2", "bands"],
+                )
 
     return sign
 
@@ -119,6 +123,38 @@ def _confirm(k: int, num: int, den: int):
     return confirm
 
 
+def classified(docs: DataFrame, k: int, num: int, den: int, bands: int, rows: int, text: str, row_id: str) -> DataFrame:
+    """doc_id, th (hash of the text), n, label, component_id of each row of ``docs``.
+
+    A class is a shingle set and has a number of its own, so rows that share an id
+    but not a set are in classes of their own.  ``label`` is one class of the row's
+    component; it is null, as is component_id, without an id or without shingles.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "neardup")
+    texts = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    sig = scratch.write(texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, th long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    exploded = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
+    members = scratch.write(exploded.join(shared, "bucket"), "members")
+    reps = members.select("c").distinct().join(classes.select("c", "rep.doc_id", "rep.th"), "c")
+    candidates = scratch.write(texts.join(reps, ["doc_id", "th"]).groupBy("c").agg(F.first("text").alias("text")), "texts")
+    labels = _components(scratch, members, candidates, k, num, den)
+
+    named = classes.select("k1", "k2", "n", "c", "rep.doc_id").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select("k1", "k2", "n", "doc_id", F.coalesce("label", "c").alias("label"))
+    named = scratch.write(named, "named")
+    # Only components of several classes need their smallest id looked up.
+    firsts = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.write(named.drop("doc_id").join(firsts, "label"), "components")
+    for used in (members, candidates, classes):
+        scratch.forget(used)
+    usable = F.when(F.col("doc_id").isNotNull(), F.col("n"))
+    return sig.select("doc_id", "th", "n", "k1", "k2").withColumn("__n", usable).join(named.withColumnRenamed("n", "__n"), ["k1", "k2", "__n"], "left").select("doc_id", "th", "n", "label", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -133,26 +169,9 @@ def near_duplicates(
 
     Linked: den * intersection >= num * union of the distinct k-word shingles.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    texts = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sig = scratch.write(texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = scratch.write(classes, "classes")
-    exploded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    members = scratch.write(exploded.join(shared, "bucket"), "members")
-    reps = members.select("rep").distinct()
-    candidates = scratch.write(texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    labels = _components(scratch, members, candidates, k, num, den)
-
-    named = classes.select("k1", "k2", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
-    named = scratch.write(named, "named")
-    for used in (members, candidates, classes):
-        scratch.forget(used)
-    out = sig.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = classified(docs, k, num, den, bands, rows, text, row_id)
+    component = F.coalesce("component_id", "doc_id")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _set_rows(k: int):
@@ -162,7 +181,7 @@ def _set_rows(k: int):
                 h, doc, _, _ = K.words(buf, off)
                 sh, at = K.shingles(h, doc, b - a, k)
                 sets = [np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["rep", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["c", "set"])
 
     return rows
 
@@ -173,8 +192,8 @@ def _links_of(num: int, den: int):
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if len(left) and len(right):
-            ids, labels = (np.asarray(left[c].to_numpy()) for c in ("rep", "label"))
-            other, other_labels = (np.asarray(right[c].to_numpy()) for c in ("rep", "label"))
+            ids, labels = (np.asarray(left[c].to_numpy()) for c in ("c", "label"))
+            other, other_labels = (np.asarray(right[c].to_numpy()) for c in ("c", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in right["set"].to_pylist()]
             size = np.array([len(x) for x in sets])
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -196,16 +215,16 @@ def _links_of(num: int, den: int):
 
 def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node, label: the smallest class of the component of each class that shares a bucket."""
-    start = scratch.write(members.groupBy(F.col("rep").alias("node")).agg(F.min("rep").alias("label")), "start")
+    start = scratch.write(members.groupBy(F.col("c").alias("node")).agg(F.min("c").alias("label")), "start")
     if start.isEmpty():
         return start
-    centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"))
-    star = members.join(scratch.write(centres, "centres"), "bucket").where("c.rep <> rep")
-    star = scratch.write(star.groupBy(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")), "star")
+    centres = members.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("centre"))
+    star = members.join(scratch.write(centres, "centres"), "bucket").where("centre.c <> c")
+    star = scratch.write(star.groupBy(F.col("centre.c").alias("a"), F.col("c").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")), "star")
     able = star.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     pairs = able.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-    second = scratch.write(pairs, "pairs").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    second = scratch.write(pairs, "pairs").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     links = scratch.write(both.mapInArrow(_confirm(k, num, den), "a long, b long"), "links")
     labels = merge_labels(start, links, scratch)
 
@@ -214,15 +233,15 @@ def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int,
     sizes = parts.groupBy("family").agg(F.max(F.struct("many", (-F.col("label")).alias("l"))).alias("top"), F.sum("many").alias("all"), F.count("*").alias("parts"))
     sizes = sizes.where("parts > 1").select("family", (-F.col("top.l")).alias("largest"), F.ceil(F.col("all") / PORTION).cast("int").alias("portions"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).cast("int").alias("blocks"))
     open_ = families.join(scratch.write(sizes, "sizes"), "family").join(labels, "node")
-    open_ = scratch.write(open_.select(F.col("node").alias("rep"), "family", "label", "largest", "portions", "blocks"), "open")
+    open_ = scratch.write(open_.select(F.col("node").alias("c"), "family", "label", "largest", "portions", "blocks"), "open")
     if open_.isEmpty():
         return labels
-    sets = texts.join(open_.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_set_rows(k), "rep long, set binary")
-    rows = scratch.write(open_.join(sets, "rep"), "sets")
-    h = F.xxhash64("rep")
+    sets = texts.join(open_.select("c"), "c", "left_semi").mapInArrow(_set_rows(k), "c long, set binary")
+    rows = scratch.write(open_.join(sets, "c"), "sets")
+    h = F.xxhash64("c")
     all_of = rows.withColumn("portion", F.pmod(h, F.col("portions")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     minor = rows.where("label <> largest").withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
-    keys, cols = ["family", "portion", "block"], ["family", "portion", "block", "rep", "label", "set"]
+    keys, cols = ["family", "portion", "block"], ["family", "portion", "block", "c", "label", "set"]
     found = all_of.select(*cols).groupBy(*keys).cogroup(minor.select(*cols).groupBy(*keys)).applyInArrow(_links_of(num, den), "a long, b long")
     labels = merge_labels(labels, scratch.write(found, "late"), scratch)
     scratch.forget(rows)
@@ -230,8 +249,13 @@ def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int,
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns; rows without an id stay."""
-    kept = near_duplicates(docs, k, num, den, text=text, row_id=row_id).where(F.col("kept") & F.col("doc_id").isNotNull())
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.join(ids, F.col(row_id).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([row_id])
-    return found.unionByName(docs.where(F.col(row_id).isNull()))
+    """One row of each component, that of the smallest id (then text hash), with all columns; rows without an id stay.
+
+    Rows equal in id and text are one document; rows that share an id but not their text are two.
+    """
+    found = classified(docs, k, num, den, BANDS, ROWS, text, row_id).where("doc_id is not null")
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.doc_id", "r.th")
+    kept = first.unionByName(found.where("label is null").select("doc_id", "th").distinct())
+    keyed = docs.withColumns({"__id": F.col(row_id).cast("long"), "__th": F.xxhash64(F.col(text).cast("string"))})
+    one = keyed.join(kept.toDF("__id", "__th"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return one.select(*docs.columns).unionByName(docs.where(F.col(row_id).isNull()))
