@@ -79,6 +79,35 @@ def test_items_in_blocks_and_drop(spark, frame, leaky, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _, _ in brute(rows, items)}
 
 
+def test_hits_and_windows_in_small_pieces(leaky, monkeypatch):
+    import pyarrow as pa
+
+    rows, items = leaky
+    index = D.Index(items, 5)
+    texts = pa.array([r[1] for r in rows])
+    whole = D.leaks_of(texts, index, 0.8)
+    monkeypatch.setattr(D, "HITS", 3)
+    monkeypatch.setattr(D, "PIECE", 2)
+    assert D.leaks_of(texts, index, 0.8) == whole
+    assert sorted(((rows[d][0], i, round(x, 9)) for d, i, x, _, _ in whole), key=str) == brute(rows, items)
+
+
+def test_memory_does_not_grow_with_the_text_between_hits(leaky):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    index, item = D.Index(leaky[1], 5), leaky[1][5][1]
+    text = pa.array([item + " filler é" * 400_000 + " " + item.upper()])
+    D.leaks_of(text, index, 0.8)
+    tracemalloc.start()
+    got = D.leaks_of(text, index, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, x, s) for _, i, x, s, _ in got if i == 5] == [(5, 1.0, 0)]
+    assert peak < 40 * len(text[0].as_py().encode())  # the words' hashes and places; the bits of windows would be 70 times
+
+
 def test_every_fingerprint_in_the_radius_is_found():
     rng = np.random.default_rng(3)
     own = D._Sized(9, 5, ids=list(range(300)), prints=rng.integers(0, 256, (300, 8), np.uint8))

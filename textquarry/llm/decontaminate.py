@@ -15,7 +15,9 @@ shingles (a text of fewer than k words is one shingle).
 3. The similarity of each candidate is computed exactly.
 
 The index of a block of items (at most ``BLOCK_BYTES`` of text, measured) is
-broadcast; a larger benchmark is taken block by block, each against all rows.
+broadcast; a larger benchmark is taken block by block, each against all rows, and
+the driver holds one block at a time.  Windows are looked at in pieces of
+neighbouring ones, so memory does not grow with the text between hits.
 
 Defined results
 * null or empty texts and items leak nothing; null ids pass through as null.
@@ -35,8 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm import kernels as K
+from textquarry.session import Scratch
 
 RADIUS, BLOCK_BYTES = 23, 8 << 20
+#: Hits and window starts looked at together.
+HITS, PIECE = 1 << 16, 1 << 12
 _FLIPS = np.array(sorted({sum(1 << b for b in c) for r in range(RADIUS // 8 + 1) for c in combinations(range(8), r)}), np.uint8)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 LEAKS = "doc_id long, item_id long, similarity double, start long, end long"
@@ -91,18 +96,27 @@ class Index:
         self.table = np.zeros(1 << 22, bool)
         self.table[(self.shingles >> K.U(42)).astype(np.int64)] = True
         # Which lengths hold each shingle, so that a hit opens only windows of these lengths.
-        pairs = [(s, n) for n, own in self.sized.items() for s in np.unique(np.concatenate(own.keys))]
-        self.lengths: dict[int, list[int]] = {}
-        for s, n in pairs:
-            self.lengths.setdefault(int(s), []).append(n)
+        pairs = [(i, n) for n, own in self.sized.items() if n >= k for i in np.searchsorted(self.shingles, np.unique(np.concatenate(own.keys)))]
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.shingles) + 1))
+        self.lengths = pairs[:, 1]
 
-    def hits(self, sh: np.ndarray) -> np.ndarray:
-        """Positions of shingles that some item has."""
+    def hits(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of shingles that some item has, and which shingles they are."""
         at = np.flatnonzero(self.table[(sh >> K.U(42)).astype(np.int64)])
         if not len(at):
-            return at
+            return at, at
         i = np.minimum(np.searchsorted(self.shingles, sh[at]), len(self.shingles) - 1)
-        return at[self.shingles[i] == sh[at]]
+        ok = self.shingles[i] == sh[at]
+        return at[ok], i[ok]
+
+    def opened(self, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, positions) of the hits, by length."""
+        many = self.first[which + 1] - self.first[which]
+        pos = np.repeat(at, many)
+        n = self.lengths[np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(len(pos))]
+        for one in np.unique(n).tolist():
+            yield one, pos[n == one]
 
     def near(self, own: _Sized, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) of all fingerprints within the radius."""
@@ -134,6 +148,53 @@ def _similarity(sh: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> float:
     return both / (len(sh) + int(counts.sum()) - both)
 
 
+def _pieces(hits: np.ndarray, span: int, last: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of window starts, at most ``PIECE`` each, of the windows of ``span`` shingles over the hits."""
+    low, high = np.clip(hits - span + 1, 0, last), np.clip(hits, 0, last)
+    head = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1] + 1)))
+    for a, b in zip(low[head].tolist(), high[np.concatenate((head[1:] - 1, [len(hits) - 1]))].tolist()):
+        for x in range(a, b + 1, PIECE):
+            yield x, min(b + 1, x + PIECE)
+
+
+def _best_windows(mine: np.ndarray, n_words: int, hits: np.ndarray, which: np.ndarray, index: Index, similarity: float) -> Iterator[tuple[_Sized, int, float, int]]:
+    """(length, item, similarity, first word) of the best window of each item that one text leaks."""
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for h in range(0, len(hits), HITS):
+        for n, at in index.opened(hits[h : h + HITS], which[h : h + HITS]):
+            own, span = index.sized[n], max(1, min(n, n_words) - index.k + 1)
+            for a, b in _pieces(at, span, max(0, len(mine) - span)):
+                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(mine[a : b + span - 1]), axis=0, dtype=np.int32)))
+                for w, j in index.near(own, _fingerprints(sums[span:] - sums[:-span], np.full(b - a, span))):
+                    x = _similarity(mine[a + w : a + w + span], own.keys[j], own.counts[j])
+                    if x >= similarity and ((n, j) not in best or x > best[n, j][0]):
+                        best[n, j] = x, a + w
+    for (n, j), (x, s) in sorted(best.items()):
+        yield index.sized[n], j, x, s
+
+
+def _short_runs(h: np.ndarray, index: Index) -> Iterator[tuple[_Sized, int, float, int]]:
+    """The same for items of n < k words, which are one shingle: any equal run of n words leaks them."""
+    for n in index.short:
+        own, run = index.sized[n], K.whole(h, n)
+        keys = np.concatenate(own.keys)
+        at = np.flatnonzero(np.isin(run, keys))
+        found, first = np.unique(run[at], return_index=True)
+        place = dict(zip(found.tolist(), at[first].tolist()))
+        for j, key in enumerate(keys.tolist()):
+            if key in place:
+                yield own, j, 1.0, place[key]
+
+
+def _code_points(buf: np.ndarray, at: list[int]) -> dict[int, int]:
+    """The number of code points before each of some places, by one pass over the bytes."""
+    out, total, last = {}, 0, 0
+    for p in sorted(set(at)):
+        total += int(((buf[last:p] & 0xC0) != 0x80).sum())
+        out[p], last = total, p
+    return out
+
+
 def leaks_of(column: pa.Array, index: Index, similarity: float) -> list[tuple[int, int | None, float, int, int]]:
     """(row, item, similarity, start, end) of a column of texts; start and end in code points."""
     out = []
@@ -141,76 +202,45 @@ def leaks_of(column: pa.Array, index: Index, similarity: float) -> list[tuple[in
         h, doc, start, end = K.words(buf, off)
         if not len(h):
             continue
-        n_words = K.counts(doc, b - a)
-        first = np.concatenate(([0], np.cumsum(n_words)))
+        first = np.concatenate(([0], np.cumsum(K.counts(doc, b - a))))
         sh, at = K.shingles(h, doc, b - a, index.k)
-        opened: dict[tuple[int, int], list[int]] = {}
-        hits = index.hits(sh)
-        owner = np.searchsorted(at, hits, side="right") - 1
-        for i, d in zip(hits.tolist(), owner.tolist()):
-            for n in index.lengths[int(sh[i])]:
-                opened.setdefault((d, n), []).append(i - int(at[d]))
-        for n in index.short:  # an item of n < k words is one shingle: any equal run of n words leaks it
-            run = K.whole(h, n)
-            inside = np.flatnonzero(doc[: len(run)] == doc[n - 1 :])
-            for i in inside[np.isin(run[inside], np.concatenate(index.sized[n].keys))].tolist():
-                opened.setdefault((int(doc[i]), -n), []).append(i - int(first[doc[i]]))
-        for (d, n), positions in sorted(opened.items()):
-            best: dict[int, tuple[float, int]] = {}
-            if n < 0:
-                own = index.sized[-n]
-                run = K.whole(h[first[d] : first[d + 1]], -n)
-                for p in positions:
-                    for j, keys in enumerate(own.keys):
-                        if keys[0] == run[p] and j not in best:
-                            best[j] = (1.0, p)
-                width = -n
-            else:
-                own = index.sized[n]
-                mine = sh[at[d] : at[d + 1]]
-                if n < index.k:  # found word by word above
-                    continue
-                span = max(1, min(n, int(n_words[d])) - index.k + 1)
-                last = max(0, len(mine) - span)
-                starts = np.unique(np.clip(np.concatenate([np.arange(p - span + 1, p + 1) for p in positions]), 0, last))
-                lo, hi = int(starts[0]), int(starts[-1]) + span
-                sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(mine[lo:hi]), axis=0, dtype=np.int32)))
-                prints = _fingerprints(sums[starts - lo + span] - sums[starts - lo], np.full(len(starts), span))
-                for w, j in index.near(own, prints):
-                    s = int(starts[w])
-                    x = _similarity(mine[s : s + span], own.keys[j], own.counts[j])
-                    if x >= similarity and (j not in best or x > best[j][0]):
-                        best[j] = (x, s)
-                width = min(n, int(n_words[d]))
-            for j, (x, s) in sorted(best.items()):
-                lead = buf[off[d] : start[first[d] + s]]
-                text = buf[start[first[d] + s] : end[first[d] + s + width - 1]]
-                chars = lambda v: int(((v & 0xC0) != 0x80).sum())
-                out.append((a + d, own.ids[j], x, chars(lead), chars(lead) + chars(text)))
+        hits, which = index.hits(sh)
+        bounds = np.searchsorted(hits, at)
+        for d in range(b - a) if index.short else np.flatnonzero(np.diff(bounds)).tolist():
+            x, y = bounds[d], bounds[d + 1]
+            w = slice(first[d], first[d + 1])
+            found = list(_short_runs(h[w], index))
+            if x < y:
+                found += _best_windows(sh[at[d] : at[d + 1]], first[d + 1] - first[d], hits[x:y] - at[d], which[x:y], index, similarity)
+            if not found:
+                continue
+            spans = [(start[w][s], end[w][s + min(own.words, first[d + 1] - first[d]) - 1]) for own, _, _, s in found]
+            chars = _code_points(buf[off[d] : off[d + 1]], [int(p - off[d]) for span in spans for p in span])
+            out += [(a + d, own.ids[j], x, chars[int(s - off[d])], chars[int(e - off[d])]) for (own, j, x, _), (s, e) in zip(found, spans)]
     return out
 
 
-def blocks(benchmark: DataFrame, k: int, text: str = "text", item_id: str = "item_id") -> list[Index]:
-    """Indexes of the benchmark, each of at most ``BLOCK_BYTES`` of text (or one item)."""
+def blocks(benchmark: DataFrame, k: int, text: str = "text", item_id: str = "item_id") -> Iterator[tuple[Index, bool]]:
+    """Indexes of the benchmark, each of at most ``BLOCK_BYTES`` of text (or one item), and whether it is the last."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    held, size, out = [], 0, []
+    held, size = [], 0
     for r in rows.toLocalIterator():
-        held.append((r["i"], r["t"]))
-        size += len(r["t"] or "")
-        if size >= BLOCK_BYTES:
-            out.append(Index(held, k))
+        more = len((r["t"] or "").encode())
+        if held and size + more > BLOCK_BYTES:
+            yield Index(held, k), False
             held, size = [], 0
-    if held:
-        out.append(Index(held, k))
-    return out
+        held.append((r["i"], r["t"]))
+        size += more
+    yield Index(held, k), True
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """doc_id, item_id, similarity, start, end: each leaked item of each document, at its best window."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for index in blocks(benchmark, k):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    scratch, out = Scratch(spark, "leaks"), None
+    for index, last in blocks(benchmark, k):
+        shared = spark.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
             for batch in batches:
@@ -220,15 +250,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: fl
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *cols], ["doc_id", "item_id", "similarity", "start", "end"])
 
         one = rows.mapInArrow(scan, LEAKS)
+        if not last:
+            one = scratch.write(one, "block")
+            shared.destroy()
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that leak no item; nothing is exchanged."""
-    at = docs.columns.index(text)
-    for index in blocks(benchmark, k):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    spark, at = docs.sparkSession, docs.columns.index(text)
+    scratch = Scratch(spark, "clean")
+    for index, last in blocks(benchmark, k):
+        shared = spark.sparkContext.broadcast(index)
 
         def keep(batches, shared=shared):
             for batch in batches:
@@ -236,5 +270,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, similarity: fl
                 clean[[f[0] for f in leaks_of(batch.column(at), shared.value, similarity)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        kept = docs.mapInArrow(keep, docs.schema)
+        if not last:
+            before, kept = docs, scratch.write(kept, "block")
+            scratch.forget(before)
+            shared.destroy()
+        docs = kept
     return docs

@@ -91,12 +91,30 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
     if len(start) == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    up, down = _powers(n)
-    h = np.add.reduceat((_BYTE if lower else _BYTE_EXACT)[buf] * up, start) * down[start]
+    h = np.empty(len(start), np.uint64)
+    value, a = _BYTE if lower else _BYTE_EXACT, 0
+    while a < len(start):  # words of about RUN_BYTES at a time; all of them but in a long text
+        b = max(a + 1, int(np.searchsorted(end, start[a] + RUN_BYTES, side="right")))
+        low, high = int(start[a]), int(end[b - 1])
+        if high - low <= RUN_BYTES:
+            up, down = _powers(RUN_BYTES)
+            h[a:b] = np.add.reduceat(value[buf[low:high]] * up[: high - low], start[a:b] - low) * down[start[a:b] - low]
+        else:
+            h[a] = _long_word(value, buf[low:high])
+        a = b
     doc = np.searchsorted(off, start, side="right") - 1
     return mix(h), doc, start, end
 
 
+def _long_word(value: np.ndarray, word: np.ndarray) -> int:
+    """The sum of the bytes' values times rising powers, of one word of any length."""
+    total, up = 0, _powers(RUN_BYTES)[0]
+    for c in range(0, len(word), RUN_BYTES):
+        piece = int((value[word[c : c + RUN_BYTES]] * up[: len(word) - c]).sum(dtype=np.uint64))
+        total += piece * pow(int(_P), c, 1 << 64)
+    return total & ((1 << 64) - 1)
+
+
 def counts(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc, minlength=n_docs).astype(np.int64)
 
