@@ -138,6 +138,35 @@ def test_secret_candidates_match_a_plain_scan(spark, frame):
     assert got == want
 
 
+def test_places_and_counts_are_those_of_the_matches(spark, frame):
+    import re
+
+    texts = ["x a1b2c3d4e5f6a7b8zz then\na1b2c3d4e5f6a7b8", "é🙂 token=a1b2c3d4e5f6a7b8 and commit a1b2c3d4e5f6a7b8, a1b2c3d4e5f6a7b8 again"]
+    rng = random.Random(5)
+    parts = ["wörd ", "key=", "a1b2c3d4e5f6a7b8", "1234567890123456", "🙂", "x/y/z-0123456789abc", " ", "\n", '"', ": ", "zz"]
+    texts += ["".join(rng.choice(parts) for _ in range(14)) for _ in range(60)]
+    rows = [(i // 2, t, None, None, None) for i, t in enumerate(texts)]  # two texts an id
+    got = sorted((r["doc_id"], r["value"], r["n"], r["start"]) for r in secrets.find_secrets(frame(rows)).collect())
+    want = []
+    for d, t, *_ in rows:
+        at = {}
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", t):
+            if re.search("[0-9]", m.group()):
+                at.setdefault(m.group(), []).append(m.start())
+        want += [(d, v, len(a), a[0]) for v, a in at.items()]
+    assert got == sorted(want)
+
+
+def test_findings_with_paths_teach_the_forest(spark, frame):
+    import hashlib
+
+    value = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    found = spark.createDataFrame([(value(i), "id", "conf/prod" if i % 2 else "docs/x", i % 2) for i in range(200)] + [("", "x", None, 1), (None, None, None, 0)], "value string, before string, path string, label int")
+    rows = [(1000 + i, f"id {value(1000 + i)} here", None, "conf/prod" if i % 2 else "docs/x", None) for i in range(40)]
+    got = secrets.find_secrets(frame(rows), found, path="source").collect()
+    assert len(got) == 40 and all(r["secret"] == (r["path"] == "conf/prod") for r in got)
+
+
 def test_dictionary_is_counted_over_all_documents(spark, frame):
     # More words than a fixed list of 3000 holds, each in three of 1200 documents or in one.
     rows = [(i, " ".join(f"w{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}{'xyz'[i % 3 - 1]}{chr(97 + k // 1000)}" for k in range(i // 9 * 30, i // 9 * 30 + 30)), None, None, None) for i in range(1200)]

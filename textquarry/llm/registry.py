@@ -65,7 +65,7 @@ def op9_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate secrets of every text, hashed; see ``secrets``."""
     from textquarry.llm.secrets import find_secrets
 
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(table(spark, sf_dir, "documents"), path="source")
     return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), "n", F.sha2("value", 256).alias("value_sha256"), "before", "score", "secret")
 
 

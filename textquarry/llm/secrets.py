@@ -6,11 +6,14 @@ more characters without space that are assigned (``=``, ``:``) to a secret-beari
 with or without digits; such a value ends before a quote and before punctuation
 that stands at its end.  Features: length, share of digits
 and of upper case, distinct characters, share of signs, changes between letters and digits and
-between cases, hexadecimal only, digits only, share of letters in dictionary
-words, path separators, and the neighbouring word: whether it assigns (``=``, ``:``)
-and how often such words stood before secrets in the labelled findings.
-
-The forest is learnt from labelled findings (``value``, ``before``, ``path``, ``label``): by
+between cases, how likely its neighbouring letters are in dictionary words, hexadecimal
+only, digits only, share of letters in dictionary words, path separators, the
+neighbouring word (whether it assigns, ``=`` or ``:``, and how often such words stood
+before secrets in the labelled findings), and the path (how often findings there
+were secrets, and whether it is of tests or examples).
+
+The forest is learnt from labelled findings (``value``, ``before``, ``label``, and if
+there are such columns ``lead``, the text between word and value, and ``path``): by
 default rule-labelled candidates of a bounded sample of documents (``max_docs``,
 4000; ``max_findings`` of them, 8000) and made-up findings of known secret and
 harmless forms.  Dictionary words are counted over all documents: those in a
@@ -19,12 +22,15 @@ harmless forms.  Dictionary words are counted over all documents: those in a
 Defined results
 * null or empty text: no findings.  Null ids pass through as null.
 * a string that stands in a document many times is one finding with its count and
-  first place; a row in the input many times has its findings as often.
-* empty table: no rows.  Extra columns are not read.
+  the place of its first match; word and score are those of the place that scores
+  most (of several, the first).  A row in the input many times has its findings as often.
+* empty table: no rows.  Extra columns but the path are not read; without a path it is empty.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Model
@@ -33,6 +39,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.session import Scratch, small
 
@@ -49,7 +56,9 @@ SECRET_WORD = r"^(password|passwd|pwd|token|secret|api[_.-]?key|access[_.-]?key|
 #: Assigned values that are no secrets: numbers, one word after a colon, stars, and names that are filled in.
 HARMLESS_VALUE = r"^([0-9]+|[*x.X-]+|[$%<{\[(].*|[A-Za-z_.]+[(\[].*|(?i:true|false|none|null|undefined)\W*)$"
 PROSE_VALUE = r"^[A-Za-z]?[a-z]+\W?$"
-FEATURES = "length digits upper distinct signs flips cases hex number dictionary slashes assigns quoted word_odds".split()
+#: Paths whose findings are mostly made up.
+TEST_PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|fixtures?|mocks?|docs?)([/_.-]|$)"
+FEATURES = "length digits upper distinct signs flips cases letters hex number dictionary slashes assigns quoted word_odds path_odds test_path".split()
 #: A dictionary word stands in this share of all documents, and in two at least.
 SHARE = 0.001
 
@@ -58,25 +67,40 @@ SHARE = 0.001
 class SecretModel:
     forest: Model
     dictionary: DataFrame
+    pairs: dict[str, float]
     odds: DataFrame
 
 
-def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, value, before, lead, n, start (code points): the distinct candidates of each row."""
-    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+def _places(text: Column, hits: Column, pattern: str, kind: int) -> Column:
+    """kind, hit and the length of the text between it and the hit before, of each match in order."""
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    return F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x: F.struct(F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.length(x["gap"]).cast("long").alias("gap")))
+
+
+def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None) -> DataFrame:
+    """row, doc_id, path, value, before, lead, n, start (code points): the candidates of each row by value and lead.
+
+    ``row`` tells rows of the input apart; ``start`` is the first of the ``n`` matches.
+    """
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     runs = F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))
     named = F.regexp_extract_all("__t", F.lit(ASSIGNED), F.lit(0))
-    rows = rows.select("doc_id", "__t", runs.alias("__f"), named.alias("__g")).where("size(__f) > 0 or size(__g) > 0")
-    one = lambda hits, value: lambda x: F.struct(x.alias("hit"), value(x).alias("value"), F.size(F.filter(hits, lambda y: y == x)).cast("long").alias("n"), F.instr(F.col("__t"), x).cast("long").alias("at"))
-    run = lambda x: F.regexp_extract(x, VALUE, 0)
-    assigned = lambda x: F.concat(*[F.regexp_extract(x, ASSIGNED, i) for i in (1, 2, 3)])
-    found = F.transform(F.array_distinct("__f"), one("__f", run))
-    # Values that are runs are candidates already.
-    more = F.filter(F.transform(F.array_distinct("__g"), one("__g", assigned)), lambda h: ~h["value"].rlike(RUN))
-    rows = rows.select("doc_id", F.explode(F.concat(found, more)).alias("h"))
-    value = F.col("h.value")
-    lead = F.substring("h.hit", F.lit(1), F.length("h.hit") - F.length(value))
-    return rows.select("doc_id", value.alias("value"), F.lower(F.regexp_extract("h.hit", BEFORE, 1)).alias("before"), lead.alias("lead"), F.col("h.n").alias("n"), (F.col("h.at") - 1 + F.length(lead)).alias("start"))
+    rows = rows.select("doc_id", "path", "__t", runs.alias("__f"), named.alias("__g")).where("size(__f) > 0 or size(__g) > 0")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Texts without hits are gone; from here on only hits are carried, and a row is known by its number.
+    hits = F.concat(_places(F.col("__t"), F.col("__f"), CANDIDATE, 0), _places(F.col("__t"), F.col("__g"), ASSIGNED, 1))
+    rows = rows.select("row", "doc_id", "path", F.posexplode(hits).alias("pos", "h"))
+    # A match begins after all gaps up to it and all matches before it.
+    length = F.length("h.hit").cast("long")
+    upto = F.sum(F.col("h.gap") + length).over(Window.partitionBy("row", "h.kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    assigned = F.concat(*[F.regexp_extract("h.hit", ASSIGNED, i) for i in (1, 2, 3)])
+    rows = rows.select("row", "doc_id", "path", "h.kind", "h.hit", (upto - length).alias("at"), F.when(F.col("h.kind") == 0, F.regexp_extract("h.hit", VALUE, 0)).otherwise(assigned).alias("value"))
+    # Assigned values that are runs are candidates already.
+    rows = rows.where((F.col("kind") == 0) | ~F.col("value").rlike(RUN))
+    lead = F.substring("hit", F.lit(1), F.length("hit") - F.length("value"))
+    rows = rows.select("row", "doc_id", "path", "value", F.lower(F.regexp_extract("hit", BEFORE, 1)).alias("before"), lead.alias("lead"), (F.col("at") + F.length(lead)).alias("start"))
+    return rows.groupBy("row", "doc_id", "path", "value", "before", "lead").agg(F.count("*").alias("n"), F.min("start").alias("start"))
 
 
 def rule_label() -> Column:
@@ -142,19 +166,39 @@ def _covered(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return sums.select(*columns, (F.col("__sum") / times).alias("__covered"), F.explode(F.array_repeat(F.lit(0), times)).alias("__i")).drop("__i")
 
 
-def _features(rows: DataFrame, dictionary: DataFrame, odds: DataFrame) -> DataFrame:
+def letter_pairs(dictionary: DataFrame) -> dict[str, float]:
+    """The log share of each pair of neighbouring letters in the dictionary words (26 x 26 at most)."""
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2))))
+    counts = {r["p"]: r["n"] for r in dictionary.select(pair.alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values()) + 26 * 26
+    return {p: round(math.log((n + 1) / total), 6) for p, n in sorted(counts.items())} | {"": round(math.log(1 / total), 6)}
+
+
+def _letters(value: Column, pairs: dict[str, float]) -> Column:
+    """The mean log share of the pairs of neighbouring letters of a value; without any, that of an unknown pair."""
+    known = F.from_json(F.lit(json.dumps(pairs)), "map<string,double>")
+    found = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(F.lower(value), i, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    total = F.aggregate(found, F.lit(0.0), lambda s, p: s + F.coalesce(F.element_at(known, p), F.lit(pairs[""])))
+    return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(pairs[""]))
+
+
+def _features(rows: DataFrame, dictionary: DataFrame, pairs: dict[str, float], odds: DataFrame) -> DataFrame:
     """The columns of ``FEATURES`` beside those of ``rows``."""
     columns = rows.columns
-    rows = _covered(rows, dictionary).join(small(odds), "before", "left")
+    rows = _covered(rows, dictionary)
+    for name in ("before", "path"):
+        of = odds.where(F.col("what") == name).select(F.col("key").alias(name), F.col("odds").alias(f"__{name}_odds"))
+        rows = rows.join(small(of), name, "left")
     v = F.col("value")
     n = F.length(v).cast("double")
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     made = {
         "length": n, "digits": share("[0-9]"), "upper": share("[A-Z]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "signs": share("[^A-Za-z0-9+/_-]"), "flips": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), "cases": share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
-        "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"), "number": v.rlike("^[0-9_+/-]+$").cast("double"),
+        "letters": _letters(v, pairs), "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"), "number": v.rlike("^[0-9_+/-]+$").cast("double"),
         "dictionary": F.col("__covered") / n, "slashes": share("[/-]"),
-        "assigns": F.col("lead").rlike("[=:]").cast("double"), "quoted": F.col("lead").rlike("[\"']$").cast("double"), "word_odds": F.coalesce("__odds", F.lit(0.0)),
+        "assigns": F.col("lead").rlike("[=:]").cast("double"), "quoted": F.col("lead").rlike("[\"']$").cast("double"), "word_odds": F.coalesce("__before_odds", F.lit(0.0)),
+        "path_odds": F.coalesce("__path_odds", F.lit(0.0)), "test_path": F.col("path").rlike(TEST_PATH).cast("double"),
     }
     return rows.select(*columns, *[c.cast("double").alias(f"__{k}") for k, c in made.items()])
 
@@ -162,31 +206,47 @@ def _features(rows: DataFrame, dictionary: DataFrame, odds: DataFrame) -> DataFr
 _ASSEMBLER = dict(inputCols=[f"__{f}" for f in FEATURES], outputCol="__x", handleInvalid="keep")
 
 
-def fit(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", row_id: str = "doc_id", max_docs: int = 4000, max_findings: int = 8000, trees: int = 24, depth: int = 6, seed: int = 9) -> SecretModel:
-    """The forest learnt from ``findings`` (value, before, lead, label), or from the default ones."""
+def _findings(rows: DataFrame) -> DataFrame:
+    """value, before, lead, path, label of labelled findings; a missing lead is a space after the word."""
+    text = lambda c, default: F.coalesce(F.col(c).cast("string"), default) if c in rows.columns else default
+    rows = rows.withColumn("before", F.coalesce(F.lower("before"), F.lit("")))
+    return rows.select(F.col("value").cast("string").alias("value"), "before", text("lead", F.concat("before", F.lit(" "))).alias("lead"), text("path", F.lit("")).alias("path"), F.col("label").cast("int").alias("label")).where("value <> '' and label is not null")
+
+
+def fit(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", row_id: str = "doc_id", path: str | None = None, max_docs: int = 4000, max_findings: int = 8000, trees: int = 24, depth: int = 6, seed: int = 9) -> SecretModel:
+    """The forest learnt from ``findings`` (value, before, label; lead, path), or from the default ones."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(row_id).cast("long").alias("doc_id")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    # max_docs bounds this side, so it may be broadcast at any size of the corpus.
-    some = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
     dictionary = dictionary_words(docs, text)
     if findings is None:
-        found = candidates(some.dropDuplicates(["doc_id"])).select("value", "before", "lead").withColumn("label", rule_label())
-        findings = found.distinct().orderBy(F.xxhash64("value"), "value", "before", "lead").limit(max_findings).unionByName(made_up(spark))
-    odds = findings.groupBy("before").agg(F.count("*").alias("n"), F.sum("label").alias("y")).where("n >= 5 and before <> ''")
-    odds = odds.select("before", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5)).alias("__odds"))
+        ids = docs.select(F.col(row_id).cast("long").alias("__id")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+        # max_docs bounds this side, so it may be broadcast at any size of the corpus.
+        some = docs.join(F.broadcast(ids), F.col(row_id).cast("long") == F.col("__id"), "left_semi")
+        found = candidates(some, text, row_id, path).select("value", "before", "lead", "path").withColumn("label", rule_label())
+        findings = found.distinct().orderBy(F.xxhash64("value"), "value", "before", "lead", "path").limit(max_findings).unionByName(made_up(spark).withColumn("path", F.lit("")))
+    findings = Scratch(spark, "secret-findings").write(_findings(findings), "findings")
+    odds = None
+    for name in ("before", "path"):
+        n, y = F.count("*").alias("n"), F.sum("label").alias("y")
+        one = findings.groupBy(F.col(name).alias("key")).agg(n, y).where("n >= 5 and key <> ''")
+        one = one.select(F.lit(name).alias("what"), "key", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5)).alias("odds"))
+        odds = one if odds is None else odds.unionByName(one)
     odds = Scratch(spark, "secret-odds").write(odds, "odds")
-    rows = VectorAssembler(**_ASSEMBLER).transform(_features(findings, dictionary, odds)).select("__x", F.col("label").cast("double").alias("label"))
+    pairs = letter_pairs(dictionary)
+    rows = VectorAssembler(**_ASSEMBLER).transform(_features(findings, dictionary, pairs, odds)).select("__x", F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(featuresCol="__x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
-    return SecretModel(forest, dictionary, odds)
+    return SecretModel(forest, dictionary, pairs, odds)
 
 
-def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, value, before, n, start, score and secret of every candidate; ``secret`` is what the forest keeps."""
-    rows = _features(candidates(docs, text, row_id), model.dictionary, model.odds)
+def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, text: str = "text", row_id: str = "doc_id", path: str | None = None) -> DataFrame:
+    """doc_id, path, value, before, n, start, score and secret of every finding; ``secret`` is what the forest keeps."""
+    rows = _features(candidates(docs, text, row_id, path), model.dictionary, model.pairs, model.odds)
     scored = model.forest.transform(VectorAssembler(**_ASSEMBLER).transform(rows))
-    return scored.select("doc_id", "value", "before", "n", "start", F.round(vector_to_array("probability")[1], 9).alias("score")).withColumn("secret", F.col("score") >= threshold)
+    scored = scored.withColumn("score", F.round(vector_to_array("probability")[1], 9))
+    best = F.max(F.struct("score", (-F.col("start")).alias("s"), "before")).alias("best")
+    one = scored.groupBy("row", "doc_id", "path", "value").agg(F.sum("n").alias("n"), F.min("start").alias("start"), best)
+    return one.select("doc_id", "path", "value", F.col("best.before").alias("before"), "n", "start", F.col("best.score").alias("score")).withColumn("secret", F.col("score") >= threshold)
 
 
-def find_secrets(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """``scan`` with a model learnt from ``findings`` or the default ones."""
-    return scan(docs, fit(docs, findings))
+    return scan(docs, fit(docs, findings, path=path), path=path)
