@@ -232,3 +232,40 @@ def test_mixing_with_a_small_budget_and_odd_rows(frame, odd):
     out = mix_sources(frame(odd, clash=True), max_repeat=2.0)
     assert {r["doc_id"] for r in out.collect()} == {r[0] for r in odd} and set(OUTPUT) <= set(out.columns)
     assert mix_sources(frame([])).count() == 0
+
+
+@pytest.mark.parametrize(("max_repeat", "budget"), [(1.7, None), (1.4, 3000.0)])
+def test_mixing_matches_brute_force(frame, max_repeat, budget):
+    """Every pass reads its source's blocks in the order of their hashes, rows of the last one by theirs."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 3, 9, 40))), "en", rng.choice(["big"] * 6 + ["small", None]), None) for i in range(700)]
+    rows += [(None, f"no id {i % 3}", "en", "big", None) for i in range(9)] + [rows[5], rows[5]]
+    docs = frame(rows)
+    got = mix_sources(docs, max_repeat=max_repeat, budget=budget, block_tokens=100, seed=3).collect()
+    repeats = {r["source"]: r["repeats"] for r in got}
+    key = F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null"))
+    x = F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
+    keyed = docs.select("doc_id", "text", "source", key.alias("k"), x.alias("x"))
+    epochs = range(3)
+    keyed = [r for r in keyed.withColumns({f"y{e}": F.xxhash64(F.lit(3), F.lit(e), "x") for e in epochs}).collect()]
+    want = Counter()
+    for s in repeats:
+        mine = [(len(r["text"].split()), r) for r in keyed if r["source"] == s]
+        total = sum(t for t, _ in mine)
+        n = 1
+        while n * 100 < total:
+            n *= 2
+        order = docs.sparkSession.range(n).select("id", *[F.xxhash64(F.lit(3), F.lit("null" if s is None else f"s:{s}"), F.lit(e), "id").alias(f"o{e}") for e in epochs]).collect()
+        for e in epochs:
+            left = round((repeats[s] - e) * total)
+            for b in sorted(order, key=lambda r: r[f"o{e}"]):
+                block = sorted(((r[f"y{e}"], t, r) for t, r in mine if r["x"] % n == b["id"]), key=lambda z: z[0])
+                begun, last = left, None
+                for y, t, r in block:
+                    if sum(q for z, q, _ in block) <= begun or sum(q for z, q, _ in block if z < y) < begun:
+                        if left > 0 or (e == 0 and repeats[s] >= 1):
+                            want[r["doc_id"], r["text"], e] += 1
+                left -= sum(t for _, t, _ in block)
+    assert Counter((r["doc_id"], r["text"], r["epoch"]) for r in got) == want
+    if budget is None:
+        assert {(r[0], r[1]) for r in rows} == {(d, t) for d, t, _ in want}

@@ -9,17 +9,21 @@ The budget is the number of tokens at which the least repeated source is read
 once (so that no row is lost), or ``budget`` if given.  A source's part of it is
 dealt out in blocks: rows fall into blocks by a hash of their id, every pass over
 the source permutes its blocks afresh, and the last pass ends in the middle of a
-block, row by row.  ``mix_key`` (0 to 1) is the place of a block in its source's
-stream; sorting by it interleaves the sources by weight throughout.
+block: its rows are read by a hash while tokens are left, so up to a bound of that
+hash.  The bound is found by sums over the hash's high bits, then among the rows of
+the one interval that holds it.  ``mix_key`` (0 to 1) is the place of a block in its
+source's stream; sorting by it interleaves the sources by weight throughout.
 
-Only expressions and joins: no Python on the executors.  A hot source has up to
-``most_blocks`` blocks, so it is many small groups, and blocks are summed before
-anything is sorted.
+Only expressions and joins: no Python on the executors.  Texts are never exchanged:
+hashes and token counts of the rows tell what is read, and the texts are filtered by
+block and bound.  A hot source has up to ``most_blocks`` blocks, so it is many small
+groups, and blocks are summed before anything is sorted.
 
 Defined results
 * null source: a source of its own.  Null or empty text: no tokens.
 * a source without tokens: read once.  Rows in the input many times are as many rows.
-* null ids share a block.  Empty table: no rows.
+* rows without an id fall into blocks by their text.  Rows equal in id (without one: in
+  text) are read or left together in the last pass.  Empty table: no rows.
 * columns of the input named like an output column are replaced.
 """
 
@@ -96,10 +100,11 @@ def mix_sources(
     scratch = Scratch(spark, "mix")
     docs = docs.drop(*OUTPUT)
     key = F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("null"))
-    spread = F.xxhash64(F.lit(seed), F.coalesce(F.col(row_id).cast("string"), F.lit("")))
+    spread = F.xxhash64(F.lit(seed), F.coalesce(F.col(row_id).cast("string"), F.xxhash64(text).cast("string")))
     keyed = docs.withColumns({"__s": key, "tokens": word_count(text), "__x": spread})
+    slim = scratch.write(keyed.select("__s", "__x", "tokens"), "rows")
     # Block sums of the finest blocks; coarser blocks and source totals follow from them.
-    fine = scratch.write(keyed.groupBy("__s", F.pmod("__x", F.lit(most_blocks)).alias("f")).agg(F.sum("tokens").alias("t")), "fine")
+    fine = scratch.write(slim.groupBy("__s", F.pmod("__x", F.lit(most_blocks)).alias("f")).agg(F.sum("tokens").alias("t")), "fine")
     total = fine.groupBy("__s").agg(F.sum("t").alias("t"))
     whole = fine.agg(F.sum("t")).first()[0] or 0
     shares = scratch.write(total.where("t > 0").select("__s", "t", (F.col("t") / F.lit(float(whole or 1))).alias("p"), F.lit(float(whole)).alias("total")), "shares")
@@ -119,15 +124,37 @@ def mix_sources(
     order = F.xxhash64(F.lit(seed), "__s", "epoch", "block")
     runs = runs.withColumn("before", F.sum("bt").over(Window.partitionBy("__s", "epoch").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)))
     left = F.round((F.col("repeats") - F.col("epoch")) * F.col("t")) - F.coalesce("before", F.lit(0))
-    runs = runs.withColumn("left", left).where("left > 0 or t = 0")
+    # Blocks without tokens at the end of a whole pass have nothing left before them, but rows to read.
+    runs = runs.withColumn("left", left).where("left > 0 or t = 0 or (epoch = 0 and repeats >= 1)")
     place = (F.col("epoch") * F.col("t") + F.coalesce("before", F.lit(0))) / F.greatest(F.col("quota"), F.lit(1.0))
     runs = scratch.write(runs.select("__s", "block", "epoch", "weight", "repeats", "n_blocks", (F.col("left") < F.col("bt")).alias("cut"), "left", F.least(place, F.lit(1.0)).alias("mix_key")), "runs")
 
     blocks = small(plan.select("__s", "n_blocks"))
-    placed = keyed.join(blocks, "__s").withColumn("block", F.pmod("__x", F.col("n_blocks"))).drop("n_blocks")
-    out = placed.join(small(runs.drop("n_blocks")), ["__s", "block"])
-    whole_blocks = out.where(~F.col("cut"))
-    # One block of each source ends its last pass: its rows are read in hashed order while tokens are left.
-    inside = Window.partitionBy("__s", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "__x"), row_id).rowsBetween(Window.unboundedPreceding, -1)
-    cut = out.where(F.col("cut")).withColumn("__b", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("__b < left").drop("__b")
-    return whole_blocks.unionByName(cut).select(*docs.columns, *OUTPUT)
+    in_block = F.pmod("__x", F.col("n_blocks"))
+    ends = scratch.write(_ends(slim.join(blocks, "__s").withColumn("block", in_block), runs, seed), "ends")
+    runs = scratch.write(runs.join(ends, ["__s", "block", "epoch"], "left").drop("n_blocks", "left"), "bounded")
+    out = keyed.join(blocks, "__s").withColumn("block", in_block).drop("n_blocks").join(small(runs), ["__s", "block"])
+    return out.where(~F.col("cut") | (_within(seed) <= F.col("bound"))).select(*docs.columns, *OUTPUT)
+
+
+def _within(seed: int) -> Column:
+    """The hash by which the rows of a pass's last block are read."""
+    return F.xxhash64(F.lit(seed), "epoch", "__x")
+
+
+def _ends(rows: DataFrame, runs: DataFrame, seed: int, bits: int = 12) -> DataFrame:
+    """__s, block, epoch, bound: the largest hash that is read of each block that ends a pass.
+
+    A row is read if the rows of smaller hashes have fewer tokens than are left.
+    """
+    keys = ["__s", "block", "epoch"]
+    cut = rows.join(small(runs.where("cut").select(*keys, "left")), ["__s", "block"]).withColumn("y", _within(seed))
+    cut = cut.withColumn("high", F.shiftrightunsigned(F.col("y").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
+    sums = cut.groupBy(*keys, "high", "left").agg(F.sum("tokens").alias("t"))
+    before = lambda by, part: F.coalesce(F.sum("t").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most 2^bits intervals a block; the last one that is begun holds the bound.
+    begun = sums.withColumn("b", before("high", keys)).where("b < left")
+    last = begun.groupBy(*keys).agg(F.max(F.struct("high", "b")).alias("m")).select(*keys, F.col("m.high").alias("high"), F.col("m.b").alias("b"))
+    inside = cut.join(small(last), [*keys, "high"]).groupBy(*keys, "y", "left", "b").agg(F.sum("tokens").alias("t"))
+    read = inside.withColumn("b", F.col("b") + before("y", keys)).where("b < left")
+    return read.groupBy(*keys).agg(F.max("y").alias("bound"))
