@@ -86,7 +86,8 @@ def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", path
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), where.alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     runs = F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0))
     named = F.regexp_extract_all("__t", F.lit(ASSIGNED), F.lit(0))
-    rows = rows.select("doc_id", "path", "__t", runs.alias("__f"), named.alias("__g")).where("size(__f) > 0 or size(__g) > 0")
+    # Made by a generator of one row, as filters on plain columns would be pushed below and match again.
+    rows = rows.select("doc_id", "path", "__t", F.inline(F.array(F.struct(runs.alias("__f"), named.alias("__g"))))).where("size(__f) > 0 or size(__g) > 0")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     # Texts without hits are gone; from here on only hits are carried, and a row is known by its number.
     hits = F.concat(_places(F.col("__t"), F.col("__f"), CANDIDATE, 0), _places(F.col("__t"), F.col("__g"), ASSIGNED, 1))
