@@ -137,7 +137,7 @@ def classified(docs: DataFrame, k: int, num: int, den: int, bands: int, rows: in
     sig = scratch.write(texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, th long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    exploded = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    exploded = classes.select("c", "n", F.col("rep.doc_id").alias("first"), F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
     members = scratch.write(exploded.join(shared, "bucket"), "members")
     reps = members.select("c").distinct().join(classes.select("c", "rep.doc_id", "rep.th"), "c")
@@ -218,7 +218,8 @@ def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int,
     start = scratch.write(members.groupBy(F.col("c").alias("node")).agg(F.min("c").alias("label")), "start")
     if start.isEmpty():
         return start
-    centres = members.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("centre"))
+    # The earliest document of a bucket is its centre: copies come after what they copy, so the stars of a group share centres.
+    centres = members.groupBy("bucket").agg(F.min(F.struct("first", "c", "n")).alias("centre"))
     star = members.join(scratch.write(centres, "centres"), "bucket").where("centre.c <> c")
     star = scratch.write(star.groupBy(F.col("centre.c").alias("a"), F.col("c").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")), "star")
     able = star.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
