@@ -18,7 +18,7 @@ def test_resolved(spark, href, base, want):
     assert one(spark, U.resolved(F.col("h"), F.col("b")), h=href, b=base) == want
 
 
-@pytest.mark.parametrize(("path", "mime", "want"), [("a/b.PNG?x=1", None, True), ("a/b.html", None, False), ("a/b.htm", "image/png", True), ("a/b.png", "text/html", False), ("c", "", False)])
+@pytest.mark.parametrize(("path", "mime", "want"), [("a/b.PNG?x=1", None, True), ("a/b.html", None, False), ("a/b.htm", "image/png", True), ("a/b.png", "text/html", True), ("a/b", "text/css; charset=utf-8", True), ("a/b", " Application/PDF", True), ("a/b.xml", None, False), ("a/b.flac", None, False), ("a/b.mjs#x", None, True), ("c", "", False)])
 def test_asset(spark, path, mime, want):
     assert one(spark, U.is_asset(F.col("p"), F.col("m").cast("string")), p=path, m=mime) is want
 
@@ -60,7 +60,10 @@ def test_small_functions(spark):
     assert one(spark, T.slug(F.col("x")), x="  The Great War! (1914) ") == "the-great-war-1914"
     assert one(spark, T.fold(F.col("x")), x="Gödel É") == "godel e"
     assert one(spark, T.size_text(F.col("x")), x=1536) == "1.5 KB"
-    assert one(spark, T.is_list_article(F.col("x")), x="A/List_of_rivers") and not one(spark, T.is_list_article(F.col("x")), x="Listing")
+    for path in ("A/List_of_rivers", "Lists_of_x", "listed_buildings_in_York", "Foo_discography", "C/Foo_awards_and_honors", "Foo_honours_and_awards"):
+        assert one(spark, T.is_list_article(F.col("x")), x=path), path
+    for path in ("Listing", "Academy_Awards", "Discography", "List of rivers", "wiki/List_of_rivers"):
+        assert not one(spark, T.is_list_article(F.col("x")), x=path), path
     assert one(spark, T.is_disambiguation(F.col("x")), x="Mercury_(disambiguation)")
     assert one(spark, T.is_pseudo_entry(F.col("p"), F.col("t")), p="X/a", t="b") and not one(spark, T.is_pseudo_entry(F.col("p"), F.col("t")), p="A/a", t="b")
     assert one(spark, T.starts_with_word(F.col("x"), F.lit("new")), x="new york") and not one(spark, T.starts_with_word(F.col("x"), F.lit("new")), x="newer")

@@ -199,13 +199,74 @@ def test_language():
     assert language.alternative_archives("python lists", ["docs.python.zim", "wiki.zim"]) == ["docs.python.zim"]
 
 
-def test_promotion_gates():
-    assert promotion.strong("berlin wall", "Berlin") and not promotion.strong("fall of the berlin wall", "Berlin")
-    assert promotion.tail_hijack("history of rome", "Rome") and not promotion.tail_hijack("rome", "Rome")
-    assert promotion.smeared("C++ language", "C/C_language") and not promotion.smeared("berlin", "Berlin")
-    assert promotion.tangential("paris climate treaty", "Paris Hilton show") and not promotion.tangential("paris climate treaty", "Paris climate accord")
-    assert not promotion.accept_tail("old history of rome", "Rome", "direct", other_entities=2) and promotion.accept_tail("old history of rome", "Rome", "direct", other_entities=1)
-    assert promotion.possessive_ok("newton's laws", "Newton's_laws", "fuzzy_suggest") and not promotion.possessive_ok("newton's laws", "Newton (unit)", "fuzzy_suggest")
+GATES = [  # topic, path, match type, path before a redirect: what the gates say (base, z4, tail with no other titles, tail with two)
+    ("stalin ussr russia", "A/Russia", "direct", None, False, True, True, False),
+    ("hamlet denmark prince", "Hamlet", "direct", None, True, True, True, True),
+    ("apollo 11 moon landing", "Moon_landing", "direct", None, True, True, True, True),
+    ("berlin germany", "Berlin", "fuzzy_suggest", None, True, True, True, True),
+    ("marie curie radioactivity", "Radioactive_(Redniss_book)", "fuzzy_suggest", None, False, False, False, False),
+    ("tesla electricity", "Tesla's_Wireless_Electricity", "fuzzy_suggest", None, True, False, False, False),
+    ("united states constitution", "Constitution_of_the_United_States", "direct", None, True, True, True, True),
+    ("beethoven symphony", "Symphony_No._1_(Beethoven)", "fuzzy_suggest", None, True, False, False, False),
+    ("beethoven 9th symphony", "Symphony_No._9_(Beethoven)", "fuzzy_suggest", None, True, True, True, True),
+    ("big rapids michigan ferris state", "Ferris_State_University", "fuzzy_suggest", None, True, True, True, True),
+    ("darwin's evolution", "Evolution", "fuzzy_suggest", None, False, True, False, False),
+    ("newton's gravity", "Newton's_law_of_universal_gravitation", "redirect", "Newton_Laws_of_Gravity", True, True, True, True),
+    ("plato's cave", "Allegory_of_the_cave", "redirect", "Plato's_cave", True, True, True, True),
+    ("plato's republic philosophy", "Czech_philosophy", "redirect", "Bohemian_thought", False, True, False, False),
+    ("c++", "C", "direct", None, True, False, False, False),
+    ("carbon capture & storage technology", "A/Carbon_capture", "direct", None, True, True, True, True),
+]
+
+
+def test_promotion_gates(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([g[:4] for g in GATES], "topic string, path string, kind string, pre string")
+    topic, path, kind, pre = F.col("topic"), F.col("path"), F.col("kind"), F.coalesce("pre", "path")
+    name, no = promotion.name_of(path), F.lit(False)
+    tail = lambda n: promotion.tail_ok(topic, path, name, kind, pre, F.lit(n), no)
+    got = df.select("topic", "path", promotion.base_ok(topic, name, kind, pre), promotion.z4(topic, path, name, no), tail(0), tail(2)).collect()
+    assert [tuple(r) for r in got] == [(g[0], g[1], *g[4:]) for g in GATES]
+    twin = spark.createDataFrame([("mercury", "Mercury_(disambiguation)"), ("mercury disambiguation", "Mercury_(disambiguation)"), ("mercury", "Mercury_(planet)"), ("immanuel kant", "Kant, Immanuel | Encyclopedia"), ("texas", "Paris, Texas")], "t string, p string")
+    assert [r[0] for r in twin.select(promotion.strong_canonical(F.col("t"), F.col("p"), F.col("p"))).collect()] == [False, True, True, True, False]
+
+
+def test_promotion_passes(spark):
+    titles = spark.createDataFrame(
+        [("a", 1, "Big_Rapids", "Big Rapids", None), ("a", 1, "Michigan", "Michigan", None), ("a", 1, "Tourism", "Tourism", None), ("a", 1, "Photosynthesis", "Photosynthesis", None), ("b", 2, "Photosynthesis", "Photosynthesis", None),
+         ("a", 1, "Allegory_of_the_cave", "Allegory of the cave", None), ("a", 1, "Allegory_of_the_cave", "Plato's cave", "Plato's_cave"), ("a", 1, "Cave", "Cave", None), ("a", 1, "Russia", "Russia", None), ("a", 1, "Stalin", "Stalin", None), ("a", 1, "Ussr", "USSR", None), ("a", 1, "Detroit", "Detroit", None)],
+        "archive string, ord int, path string, title string, pre string",
+    )
+    topics = ["famous people from big rapids", "big rapids festival", "big rapids tourism", "photosythesis", "plato's cave", "stalin ussr russia", "population of detroit", "nothing here", "Michigan"]
+    got = {r["topic"]: (r["pass"], r["path"]) for r in promotion.promote(spark.createDataFrame([(t,) for t in topics], "topic string"), titles).collect()}
+    assert got == {
+        "famous people from big rapids": (1, "Big_Rapids"), "big rapids festival": (2, "Big_Rapids"), "big rapids tourism": (1, "Tourism"), "photosythesis": (3, "Photosynthesis"), "plato's cave": (0, "Allegory_of_the_cave"),
+        "population of detroit": (1, "Detroit"), "Michigan": (0, "Michigan"), "stalin ussr russia": (2, "Stalin"),
+    }
+
+
+def test_synthesis_stages(spark):
+    from textquarry.operators import synthesis as SY
+
+    hits = spark.createDataFrame([
+        ("wiki", 1, "List_of_rivers", "List of rivers", 9.0, 1), ("wiki", 1, "Rhine", "Rhine", 8.0, 2), ("wiki", 1, "Elbe", "Elbe", 1.0, 3),
+        ("film", 2, "Black_Adder", "Black Adder", 7.0, 1), ("film", 2, "Rivers_and_Tides", "Rivers and Tides", 6.0, 2), ("film", 2, "River_Song", "River Song", 5.0, 3), ("film", 2, "Rivers_film", "Rivers film", 5.0, 4),
+    ], "archive string, ord int, path string, title string, relevance double, rn int")
+    none = spark.createDataFrame([], "archive string, path string, title string")
+    found = spark.createDataFrame([("wiki", "Rhine", "Rhine")], none.schema)
+    names = lambda df: [r["path"] for r in df.orderBy("rn").collect()]
+    one = hits.where("archive = 'wiki'")
+    assert names(SY.select_hits(one, none, "rivers of europe", False)) == ["Rhine", "List_of_rivers"]
+    assert names(SY.select_hits(one, found, "rhine river", False)) == ["Rhine", "List_of_rivers"]
+    assert names(SY.promote(SY.fuse(one, False), found, "the rhine")) == ["Rhine", "List_of_rivers", "Elbe"]
+    both = SY.fuse(hits, True, 7)
+    assert names(both)[:2] == ["Black_Adder", "List_of_rivers"]
+    assert names(SY.leakage_floor(SY.demote(SY.promote(both, none, "rivers")), "rivers")) == ["Black_Adder", "Rivers_and_Tides", "River_Song", "Rivers_film", "List_of_rivers"]
+    assert names(SY.leakage_floor(both, "list rivers")) == ["List_of_rivers", "Rhine", "Rivers_and_Tides", "Elbe", "Rivers_film"]
+    assert names(SY.leakage_floor(both, "water")) == ["Black_Adder", "List_of_rivers", "Rhine", "Rivers_and_Tides", "River_Song", "Rivers_film"]
+    lost = SY.promote(SY.fuse(one.where("rn > 9"), False), found, "rhine")
+    assert names(SY.demote(lost)) == ["Rhine"]
 
 
 def test_snippets(spark):

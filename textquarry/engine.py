@@ -8,25 +8,36 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.functions import html as HT
+from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
 from textquarry.functions import urls as U
 from textquarry.operators import archives as A
+from textquarry.operators import index as IX
 from textquarry.operators import links as L
 from textquarry.operators import passages as P
-from textquarry.operators import promote as PR
+from textquarry.operators import promotion as PM
 from textquarry.operators import search as S
+from textquarry.operators import synthesis as SY
 from textquarry.operators import titles as TI
 from textquarry.plans import language, paging
+from textquarry.session import Scratch
 
 
 class Engine:
-    def __init__(self, entries: DataFrame):
+    """Calls over one set of entries.  ``index`` names a folder with a stored index, or where to build one.
+
+    What calls share is built at the first call that needs it and let go by ``close``.
+    """
+
+    def __init__(self, entries: DataFrame, index: str | None = None):
         self.entries = entries
         self.spark = entries.sparkSession
+        self._index, self._scratch = index, None
 
     @cached_property
     def bundles(self) -> DataFrame:
@@ -34,6 +45,36 @@ class Engine:
         pages = self.entries.where("redirect_to is null and html is not null and (mimetype is null or mimetype like 'text/html%')")
         return HT.bundles(pages.select("path", "html"), key="path").persist()
 
+    @cached_property
+    def index(self) -> str:
+        """The folder of the inverted index over the entries' texts; built only if the given folder has none."""
+        path = self._index
+        if path is None:
+            self._scratch = Scratch(self.spark, "engine")
+            path = f"{self._scratch.root}/index"
+        if not IX.exists(self.spark, path):
+            rows = self.entries.select("archive", "path").join(self.bundles.select("path", "markdown"), "path")
+            IX.build(rows.select(F.struct("archive", "path").alias("key"), "markdown"), path, "markdown", "key")
+        return path
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """archive, ord, path, title, pre: every title with the page it leads to; ``pre`` is the path of a redirect."""
+        order = self.entries.select("archive").distinct()
+        ends = self.entries.select("archive", "path", "title").join(self.redirects.where("state = 'ok'"), "path")
+        rows = ends.select("archive", F.col("canonical").alias("path"), "title", F.when(F.col("hops") > 0, F.col("path")).alias("pre"))
+        return rows.join(F.broadcast(order.withColumn("ord", F.dense_rank().over(Window.orderBy("archive")))), "archive")  # one row an archive
+
+    def close(self) -> None:
+        """Lets go of all frames and tables that calls shared."""
+        for name in ("bundles", "redirects", "outbound", "edges"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+        for name in ("index", "titles"):
+            self.__dict__.pop(name, None)
+        if self._scratch is not None:
+            self._scratch.drop()
+
     @cached_property
     def redirects(self) -> DataFrame:
         return L.resolve_redirects(self.entries).persist()
@@ -49,44 +90,84 @@ class Engine:
     def edges(self) -> DataFrame:
         return L.edges(self.outbound).persist()
 
+    def ranked(self, query: str) -> DataFrame:
+        """archive, path, title, mimetype, score of all entries that hold a word of the query, from the stored index."""
+        hits = IX.search(self.spark, self.index, query).select("id.archive", "id.path", "score")
+        return self.entries.select("archive", "path", "title", "mimetype").join(hits, ["archive", "path"])
+
     def search(self, query: str, mode: str = "fulltext", archive: str | None = None, namespace: str | None = None, content_type: str | None = None, limit: int = 10, offset: int = 0, per_archive: int | None = None):
-        """A page of hits (path, title, snippet, score); the meta tells why it is empty or weak."""
-        if not query.strip():
-            return paging.Page([], 0, offset, limit, None, True, {"reason": "bad_query"})
+        """A page of hits (path, title, snippet, score); the meta tells why it is empty or weak.
+
+        Scores come from the index; only the rows of the page have their text read for a snippet.
+        """
+        if not S.parsed_query(query):
+            return paging.Page([], 0, offset, limit, None, True, {"reason": "0_hits" if query.strip() else "bad_query"})
         if mode == "title":
             return self.find_title(query, limit)
         if mode == "suggest":
             return paging.take_page(TI.suggest(self.entries.where(~T.is_pseudo_entry(F.col("path"), F.col("title"))), query, limit, key="path"), "suggest", limit)
-        rows = self.entries.join(self.bundles.select("path", "markdown"), "path")
-        if archive is not None:
-            rows = rows.where(F.col("archive") == archive)
         where = F.lit(True)
         if namespace is not None:
             where = where & (U.namespace(F.col("path")) == U.canonical_namespace(F.lit(namespace)))
         if content_type is not None:
             where = where & F.coalesce(F.col("mimetype"), F.lit("")).startswith(content_type)
-        hits = S.bm25(rows.select("archive", "path", "title", "mimetype", "markdown"), query, "markdown")
-        kept = hits.where(where)
-        canon = S.canonical_first(kept.withColumn("canon", U.canonical(F.col("path"))).withColumn("__o", F.struct((-F.col("score")).alias("s"), "path")), "canon", "__o").drop("canon", "__o")
+        hits = self.ranked(query)
+        hits = hits if archive is None else hits.where(F.col("archive") == archive)
+        order = F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))
+        canon = S.canonical_first(hits.where(where).withColumn("canon", U.canonical(F.col("path"))).withColumn("__o", order), "canon", "__o").drop("canon", "__o")
         if per_archive is not None:
             canon = S.top_per_group(canon, "archive", per_archive, "path").drop("rn")
-        before, total = hits.count(), canon.count()
-        weak = S.weak_result(canon, query, "title").first()
-        term = (language.snippet_terms(query) or [(query, False)])[0][0].lower()
-        out = canon.select("archive", "path", "title", P.snippet(F.col("markdown"), term).alias("snippet"), "score").orderBy(F.desc("score"), "path")
-        page = paging.take_page(out, "search", limit, offset, total, q=query, ns=namespace)
-        why = paging.reason(query, total, before, weak["strong"])
+        canon = canon.persist()
+        try:
+            weak = S.weak_result(canon, query, "title").first()
+            before = weak["hits"] if weak["hits"] or content_type is None else hits.count()
+            known = namespace is None or weak["hits"] > 0 or not self.entries.where(U.namespace(F.col("path")) == U.canonical_namespace(F.lit(namespace))).isEmpty()
+            page = paging.take_page(canon.select("archive", "path", "title", "score").orderBy(F.desc("score"), "path"), "search", limit, offset, weak["hits"], q=query, ns=namespace)
+        finally:
+            canon.unpersist()
+        page.results = self._with_snippets(page.results, query)
+        why = paging.reason(query, weak["hits"], before, weak["strong"], known)
         if why:
             page.meta["reason"] = why
+        if why in ("0_hits", "low_relevance"):
+            page.meta["suggestions"] = self.recovery(query, why)
         return page
 
+    def _with_snippets(self, rows: list, query: str) -> list:
+        """The rows of a page with the snippet of each text."""
+        if not rows:
+            return rows
+        texts = self.bundles.where(F.col("path").isin([r["path"] for r in rows])).select("path", SN.excerpt(query)("markdown").alias("snippet"))
+        found = {r["path"]: r["snippet"] for r in texts.collect()}
+        make = Row("archive", "path", "title", "snippet", "score")
+        return [make(r["archive"], r["path"], r["title"], found.get(r["path"]), r["score"]) for r in rows]
+
+    def recovery(self, query: str, why: str, most: int = 5) -> list[dict]:
+        """What to try after an empty or weak page: other titles, and archives named like a word of the query."""
+        out = []
+        if why == "0_hits":
+            first = query.split()[0]
+            rows = TI.suggest(self.entries.where(~T.is_pseudo_entry(F.col("path"), F.col("title"))), first, 3 * most, key="path").collect()
+            names = dict.fromkeys(r["title"].replace("_", " ") for r in rows)
+            out += [{"type": "alt_spelling", "value": n} for n in names if n.lower() != query.lower()][:most]
+        names = [r["archive"] for r in self.entries.select("archive").distinct().orderBy("archive").collect()]
+        return out + [{"type": "alt_archive", "value": a} for a in language.alternative_archives(query, names)]
+
     def find_title(self, title: str, limit: int = 10):
-        """Entries that a title names, best tier first."""
+        """Entries that a title names, best tier first, each path of an archive once."""
         topic = self.spark.range(1).select(F.lit(title).alias("topic"))
-        found = TI.lookup(self.entries.select("path", "title"), topic, key="path").select(F.col("key").alias("path"), "score", "match_type")
-        rows = found.join(self.entries.select("path", "title"), "path").orderBy(F.desc("score"), "path")
+        keyed = self.entries.select(F.struct("archive", "path").alias("id"), "archive", "path", "title")
+        found = TI.results(TI.lookup(keyed.select("id", "title", "path"), topic), keyed, 1000)
+        rows = found.select("archive", "path", "title", "score", "match_type").orderBy(F.desc("score"), "archive", "path")
         return paging.take_page(rows, "title", limit, total=found.count())
 
+    def promoted(self, query: str) -> DataFrame:
+        """archive, path, title of the page that a query names, by the gated passes of ``promotion``; one row or none."""
+        topic = self.spark.range(1).select(F.lit(query).alias("topic"))
+        hit = PM.promote(topic, self.titles).select("path", "title")
+        owner = self.titles.groupBy("path").agg(F.min(F.struct("ord", "archive")).getField("archive").alias("archive"))
+        return hit.join(owner, "path").select("archive", "path", "title")
+
     def get(self, paths: list[str], view: str = "full", content_offset: int = 0, max_chars: int = 100_000) -> DataFrame:
         """idx, path, success and the view (full, summary, toc, structure) of each asked entry, in the order asked."""
         asked = self.spark.range(1).select(F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("idx", "path"))
@@ -133,16 +214,19 @@ class Engine:
         return self.entries.groupBy("archive").agg(F.count("*").alias("entries"), F.count_if(F.col("redirect_to").isNotNull()).alias("redirects"), F.count_if(F.col("html").isNull() & F.col("redirect_to").isNull()).alias("empty"))
 
     def synthesize(self, query: str, per_archive: int = 10, keep: int = 5, budget: int = 4800) -> tuple[DataFrame, DataFrame]:
-        """(passages with citations in order, the answer): fused over archives, affine sections first, within the budget."""
-        rows = self.entries.select("archive", "path", "title").join(self.bundles.select("path", "markdown", "sections"), "path")
-        hits = S.top_per_group(S.bm25(rows, query, "markdown"), "archive", per_archive, "path")
-        fused = S.rrf(hits, "path").withColumnRenamed("rrf_score", "score")
-        owner = hits.groupBy("path").agg(F.min(F.struct("rn", "archive")).getField("archive").alias("archive"))
-        top = S.page(fused, keep, by="path").join(owner, "path").join(rows.drop("archive"), "path")
-        terms = language.snippet_terms(query)
-        term = terms[0][0].lower() if terms else query.lower()
-        text = T.without_links(P.snippet(F.col("markdown"), term))
-        top = top.withColumn("passage", text).withColumn("at", F.instr(F.col("markdown"), F.col("passage")) - 1)
+        """(passages with citations in order, the answer).
+
+        Hits of each archive are fused, the page that the query names goes first, list articles go last, the floors
+        apply; a query without hits is answered by the page it names, if any.  Sections like the query
+        gain, and the passages are cut to the budget.
+        """
+        names = self.entries.select("archive").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("archive")))  # one row an archive
+        hits = S.top_per_group(self.ranked(query), "archive", per_archive, "path").join(F.broadcast(names), "archive")
+        hits = hits.select("archive", "ord", "path", "title", F.col("score").alias("relevance"), "rn")
+        top = SY.select_hits(hits, self.promoted(query), query, names.count() > 1, keep)
+        rows = self.bundles.select("path", "markdown", "sections")
+        top = top.select("archive", "path", "title", "score", "rn").join(rows, "path")
+        top = top.withColumn("passage", T.without_links(SN.excerpt(query, most=0)("markdown"))).withColumn("at", P.located(F.col("passage"), F.col("markdown")))
         inside = F.filter("sections", lambda s: (s["char_start"] <= F.col("at")) & (F.col("at") < s["char_end"]))
         top = top.withColumn("section", F.coalesce(F.element_at(F.when(F.size(inside) > 0, inside), -1), F.get("sections", F.lit(0))))
         top = top.withColumn("cite_id", F.concat_ws("#", F.concat_ws("/", "archive", "path"), F.col("section.id"))).withColumn("heading", F.coalesce("section.title", F.lit("")))
@@ -155,22 +239,41 @@ class Engine:
         """Reads a request in words and makes the call it asks for: (intent, result)."""
         kind, _ = language.intent(request)
         topic = language.topic(request)
+        subject = language.subject(request, kind)
+        page = None
+        if kind in ("summary", "toc", "structure", "get_article", "get_section", "links", "related", "tell_me_about", "binary"):
+            page = PM.promote(self.spark.range(1).select(F.lit(subject).alias("topic")), self.titles).first()
         if kind == "list_namespaces":
             return kind, self.namespaces()
         if kind == "metadata":
             return kind, self.metadata()
         if kind == "list_files":
             return kind, self.health()
+        if kind == "main_page":
+            names = self.entries.select("archive").distinct().withColumn("main_path", F.lit(None).cast("string"))
+            return kind, A.main_page(names, self.entries)
+        if kind in ("browse", "walk_namespace"):
+            ns = language.namespace_in(request)
+            return kind, self.browse(ns, walk_from=0 if kind == "walk_namespace" else None, **options)
         if kind == "suggestions":
             return kind, self.search(topic.split()[-1] if topic else request, "suggest", **options)
         if kind == "find_by_title":
-            return kind, self.find_title(topic.split("titled ")[-1].split("named ")[-1], **options)
+            return kind, self.find_title(subject, **options)
         if kind == "search_all":
-            return kind, self.search(topic, per_archive=10, **options)
-        if kind == "tell_me_about":
-            found = PR.by_tails(self.spark.range(1).select(F.lit(topic.split("about ")[-1]).alias("topic")), self.entries.select(F.col("path").alias("key"), "title")).first()
-            if found is not None:
-                return kind, self.get([found["key"]], "summary")
+            return kind, self.search(re_topic(topic), per_archive=10, **options)
+        if kind == "filtered_search":
+            return kind, self.search(re_topic(language.without_filter(topic)), namespace=language.namespace_in(request) if "namespace" in request.lower() else None, **options)
+        if kind == "get_zim_entries":
+            return kind, self.get([language.without_article(p) for p in language.listed(subject)])
+        if page is not None:
+            if kind in ("toc", "structure", "summary"):
+                return kind, self.get([page["path"]], kind)
+            if kind in ("links", "related"):
+                return kind, self.links(page["path"], "outbound" if kind == "links" else "related", **options)
+            if kind == "get_section":
+                wanted = HT.slugify(language.section_in(request))
+                return kind, self.section(page["path"], wanted)
+            return kind, self.get([page["path"]], "summary" if kind == "tell_me_about" else "full")
         return kind, self.search(re_topic(topic), **options)
 
 

@@ -241,6 +241,19 @@ def table_of_contents(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.select(key, "pos", "s.level", "s.id", "s.title", "s.parent_id", F.regexp_count(section_text(F.col("markdown"), F.col("s")), F.lit(r"\S+")).alias("words"))
 
 
+def section_views(bundles_: DataFrame, key: str = "page_id", size: int = 300) -> DataFrame:
+    """A row for each section: key, pos, level, id, title, preview (``size`` characters after the heading line, white space squeezed), words."""
+    rows = bundles_.select(key, "markdown", F.posexplode("sections").alias("pos", "s"))
+    text = section_text(F.col("markdown"), F.col("s"))
+    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"^#+ [^\n]*\n?", ""), r"\s+", " "))
+    return rows.select(key, "pos", "s.level", "s.id", "s.title", F.substring(body, 1, size).alias("preview"), F.regexp_count(body, F.lit(r"\S+")).cast("long").alias("words"))
+
+
+def depths(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, n_headings, max_depth."""
+    return bundles_.select(key, F.size("sections").cast("long").alias("n_headings"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["level"])), F.lit(0)).alias("max_depth"))
+
+
 def summary(bundles_: DataFrame, n_words: int = 200, key: str = "page_id") -> DataFrame:
     """key, summary: the first words of the first section, or of the page."""
     first = F.get("sections", F.lit(0))

@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on these lists and numbers.
-LIST_ARTICLE = r"(?i)^((lists?|index|outline|glossary|timeline|bibliography)[ _]of[ _]|listed[ _])"
+LIST_PREFIX = r"(?i)^((lists?|index|outline|glossary|timeline|bibliography)_of_|listed_)"
+LIST_SUFFIX = r"(?i)_(discography|filmography|videography|bibliography|appearances_and_filmography|awards_and_nominations|awards_and_honou?rs|honou?rs_and_awards)$"
 PSEUDO_PATHS = ("M/", "X/", "-/")
 PSEUDO_TITLES = ("File:", "Category:", "Template:")
-ASSET_EXTENSIONS = "png jpg jpeg gif svg webp ico bmp tif tiff css js json xml pdf mp3 mp4 ogg ogv oga webm wav flac woff woff2 ttf otf eot zip gz".split()
+ASSET_EXTENSIONS = "jpg jpeg png gif svg webp bmp ico tif tiff eot otf ttf woff woff2 css js mjs json pdf zip gz mp4 webm mp3 ogg wav avi mov m4a".split()
+ASSET_MIMES = (
+    "text/css application/javascript text/javascript application/json application/pdf application/zip application/gzip "
+    "application/x-font-ttf application/x-font-woff application/font-woff application/vnd.ms-fontobject"
+).split()
 ASSET_MIME_PREFIXES = ("image/", "video/", "audio/", "font/")
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -29,6 +34,21 @@ def site_title(c: Column) -> Column:
     return F.trim(F.split_part(c, F.lit(" | "), F.lit(1)))
 
 
+def without_site(c: Column) -> Column:
+    """A title without what follows its last pipe."""
+    return F.trim(F.regexp_replace(c, r"\|[^|]*$", ""))
+
+
+def inverted(c: Column) -> Column:
+    """``First Last rest`` of a title ``Last, First rest`` without its site; null where the title is of another form.
+
+    The last name holds no ``:``, ``(`` or pipe; the first name ends before ``:`` or ``(`` and holds no comma or pipe.
+    """
+    form = r"(?s)^\s*([^,:(|]*[^,:(|\s])\s*,\s*([^,|:(]*[^,|:(\s])\s*([:(].*)?$"
+    stripped = without_site(c)
+    return F.when(stripped.rlike(form), F.regexp_replace(stripped, form, "$2 $1$3"))
+
+
 def last_first(c: Column) -> Column:
     """``Last, First rest`` as ``First Last rest``; other titles as they are."""
     return F.regexp_replace(c, r"^([^,:(]+),\s*([^,|:(]+?)(\s*\(.*)?$", "$2 $1$3")
@@ -77,13 +97,25 @@ def size_text(c: Column) -> Column:
     return out
 
 
+def count_text(c: Column) -> Column:
+    """A count as it is, from a thousand on in K: with a tenth below ten of them."""
+    k = c / F.lit(1000.0)
+    return F.when(c < 1000, c.cast("string")).when(k < 10, F.format_string("%.1fK", k)).otherwise(F.concat(F.floor(k).cast("string"), F.lit("K")))
+
+
+def token_estimate(c: Column) -> Column:
+    """Tokens of a text at four characters each, with a margin of a twentieth."""
+    return (F.floor(F.length(c) / F.lit(4.0) * F.lit(1.05)) + 1).cast("long")
+
+
 def word_number(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+")).cast("long")
 
 
 def is_list_article(path: Column) -> Column:
     """Whether a path (without its namespace of up to two characters) names a list or catalogue."""
-    return F.regexp_replace(path, r"^[^/]{1,2}/", "").rlike(LIST_ARTICLE)
+    name = F.regexp_replace(path, r"^[^/]{0,2}/(?=.)", "")
+    return name.rlike(LIST_PREFIX) | name.rlike(LIST_SUFFIX)
 
 
 def is_disambiguation(path: Column) -> Column:
@@ -127,6 +159,23 @@ def strong_title(topic: Column, title: Column) -> Column:
     return ok
 
 
+def _covers_long(candidate: Column, topic: Column) -> Column:
+    """``covers``, with at least three characters on both sides unless the tokens are equal."""
+    long = lambda a: F.length(F.array_join(a, "")) >= 3
+    return ((F.size(topic) > 0) & (candidate == topic)) | (covers(candidate, topic) & long(candidate) & long(topic))
+
+
+def strong_form(topic: Column, candidate: Column) -> Column:
+    """A strong match of a topic with a path or title as it is, without its site, or turned from ``Last, First``.
+
+    The turned form counts only for topics of as many words as the turned name has.
+    """
+    t, turned = words(topic), inverted(candidate)
+    name = F.regexp_extract(turned, r"(?s)^([^:(]*)", 1)
+    by_name = F.coalesce(_covers_long(words(turned), t) & (F.size(t) >= F.size(words(name))), F.lit(False))
+    return _covers_long(words(candidate), t) | _covers_long(words(without_site(candidate)), t) | by_name
+
+
 def one_typo(query: Column, title: Column) -> Column:
     """Whether the title is the query with one transposition, or (five letters on) one edit of a letter."""
     q, t = F.lower(query), F.lower(title)

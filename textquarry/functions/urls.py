@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import ASSET_EXTENSIONS, ASSET_MIME_PREFIXES
+from textquarry.functions.text import ASSET_EXTENSIONS, ASSET_MIME_PREFIXES, ASSET_MIMES
 
 HREF = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)'
 SKIPPED_SCHEMES = r"(?i)^(javascript|mailto|tel|data|blob|vbscript):"
@@ -60,14 +60,20 @@ def resolved(href: Column, base: Column) -> Column:
 
 
 def is_asset(path: Column, mimetype: Column | None = None) -> Column:
-    """Whether a target is no article: by MIME type if there is one, else by extension."""
+    """Whether a target is no article: by a MIME type of assets if there is one, else by its extension."""
     by_name = F.lower(canonical(path)).rlike(r"\.(" + "|".join(ASSET_EXTENSIONS) + ")$")
     if mimetype is None:
         return by_name
-    by_mime = F.lit(False)
+    kind = F.lower(F.trim(F.split_part(mimetype, F.lit(";"), F.lit(1))))
+    by_mime = kind.isin(ASSET_MIMES)
     for p in ASSET_MIME_PREFIXES:
-        by_mime = by_mime | mimetype.startswith(p)
-    return F.when(mimetype.isNotNull() & (mimetype != ""), by_mime).otherwise(by_name)
+        by_mime = by_mime | kind.startswith(p)
+    return F.coalesce(by_mime, F.lit(False)) | by_name
+
+
+def is_content_source(path: Column, new_scheme: Column) -> Column:
+    """Whether links are taken from an entry: those of A and C in the old scheme, any that has a path in the new one."""
+    return F.when(new_scheme, F.length(path) > 0).otherwise(path.rlike("^[AC]/."))
 
 
 def parse_counter(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,9 @@ from textquarry.session import small
 # Descriptions of namespaces, and marks of archive types.
 NAMESPACES = {"A": "Articles", "C": "Content", "I": "Images", "M": "Metadata", "W": "Well-known entries", "X": "Search indexes", "-": "Layout"}
 SCRAPERS = {"sotoki": "stackexchange", "ted2zim": "ted", "gutenberg2zim": "gutenberg", "youtube2zim": "youtube", "zimit": "website"}
+HTML_MARKS = ("<!doctype html", "<html", "<head", "<title>")
+METADATA_CAP = 800
+WELL_KNOWN = ("W/index", "W/robots.txt", "W/exception.html", "W/404.html")
 WIKIS = {"wikipedia": "wikipedia", "wiktionary": "wiktionary", "wikivoyage": "wikivoyage", "wikibooks": "wikibooks", "wikiquote": "wikiquote"}
 
 
@@ -84,11 +87,70 @@ def archive_type(archives: DataFrame) -> DataFrame:
 
 def effective_preset(types: DataFrame, pins: DataFrame, by_type: DataFrame) -> DataFrame:
     """archive, preset: a pin beats the type's preset, which needs high confidence; else ``default``."""
-    typed = types.join(F.broadcast(by_type.select("type", F.col("preset").alias("__t"))), "type", "left")  # one row a type
+    typed = types.join(small(by_type.select("type", F.col("preset").alias("__t"))), "type", "left")
     both = typed.join(pins.select("archive", F.col("preset").alias("__p")), "archive", "left")
     return both.select("archive", F.coalesce("__p", F.when(F.col("confidence") == "high", F.col("__t")), F.lit("default")).alias("preset"))
 
 
+def distilled(value: Column, cap: int = METADATA_CAP) -> Column:
+    """A metadata value as shown: of an HTML page its title, else its text; at most ``cap`` characters, then a note."""
+    title = F.regexp_extract(value, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    body = value
+    for tag in ("script", "style", "head"):
+        body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    body = F.regexp_replace(body, r"(?s)<[^>]*>", " ")
+    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    low = F.lower(F.substring(value, 1, 512))
+    page = F.lit(False)
+    for mark in HTML_MARKS:
+        page = page | low.contains(mark)
+    shown = F.when(page, F.when(clean(title) != "", clean(title)).otherwise(clean(body))).otherwise(value)
+    note = F.concat(F.rtrim(F.substring(shown, 1, cap)), F.lit("… [truncated, "), F.format_number(F.length(shown), 0), F.lit(" chars total]"))
+    return F.when(F.length(shown) > cap, note).otherwise(shown)
+
+
+def metadata_entries(entries: DataFrame, key: str | None = None) -> DataFrame:
+    """archive, key, value of the readable entries of the M namespace (``M/<key>`` or, with ``key``, this one), distilled."""
+    path = F.col("path")
+    rows = entries.where(path == f"M/{key}") if key is not None else entries.where(path.startswith("M/") & ~path.startswith("M/Illustration_"))
+    return rows.select("archive", F.substring(path, F.lit(3), F.length(path)).alias("key"), distilled(F.coalesce("html", F.lit(""))).alias("value"))
+
+
+def known_walk(archives: DataFrame, entries: DataFrame, namespace: str) -> DataFrame:
+    """archive, path of the entries of M or W: the metadata keys, or the main page, favicon and fixed paths there are.
+
+    ``archives`` has main_path (null: none) and has_illustration.
+    """
+    if namespace == "M":
+        return entries.where(F.col("path").startswith("M/")).select("archive", "path")
+    main = archives.where("main_path is not null").select("archive", F.lit("W/mainPage").alias("path"))
+    icon = archives.where("has_illustration").select("archive", F.lit("W/favicon").alias("path"))
+    return main.unionByName(icon).unionByName(entries.where(F.col("path").isin(list(WELL_KNOWN))).select("archive", "path"))
+
+
+def all_namespaces(archives: DataFrame, entries: DataFrame) -> DataFrame:
+    """archive, ns, n, description: content entries, metadata keys and well-known entries of each archive."""
+    content = entries.where(~F.col("path").rlike("^[MWX]/")).select("archive", F.lit("C").alias("ns"))
+    rows = content
+    for ns in "MW":
+        rows = rows.unionByName(known_walk(archives, entries, ns).select("archive", F.lit(ns).alias("ns")))
+    described = F.create_map(*[F.lit(x) for kv in NAMESPACES.items() for x in kv])
+    return rows.groupBy("archive", "ns").agg(F.count("*").alias("n")).withColumn("description", described[F.col("ns")])
+
+
+def content_page(entries: DataFrame, ns: str, limit: int, scan_at: int = 0, mimetype: str = "mimetype") -> DataFrame:
+    """A page of articles by id from ``scan_at`` on, with ``assets_filtered``: the assets passed over on the way.
+
+    The page's last id bounds the count, which is one filtered sum over the ids before it.
+    """
+    rows = entries.where((F.col("ns") == ns) & (F.col("entry_id") >= scan_at)).withColumn("asset", U.is_asset(F.col("path"), F.col(mimetype)))
+    page = rows.where("not asset").select("entry_id", "path").orderBy("entry_id").limit(limit)
+    end = page.agg(F.max("entry_id").alias("end"))
+    # One row on each side.
+    passed = rows.where("asset").join(F.broadcast(end), F.col("entry_id") < F.col("end")).agg(F.count("*").alias("assets_filtered"))
+    return page.join(F.broadcast(passed))
+
+
 def metadata_map(entries: DataFrame) -> DataFrame:
     """archive, metadata: readable keys of the M namespace as a map."""
     rows = entries.where(F.col("path").startswith("M/") & ~F.col("path").startswith("M/Illustration_"))

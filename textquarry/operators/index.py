@@ -1,7 +1,9 @@
 """An inverted index as tables: postings sorted by term, terms with document counts, corpus totals.
 
-Built once, it answers a query from the postings of its few terms: files are
-sorted by term within hashed parts, so the filter prunes to a few row groups.
+Built once, it answers a query from the postings of its few terms: files hold ranges
+of (term, id), so the filter prunes to the files and row groups of the terms, and the
+postings of a frequent term are spread over files.  The files are as many as the
+postings need at ``PART_ROWS`` a file.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.operators.search import B, K1, parsed_query
+from textquarry.session import Scratch
 
-PARTS = 64
+#: Postings in a file, about 100 MB of them.
+PART_ROWS = 8_000_000
 
 
 def postings(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -33,17 +37,26 @@ def term_counts(postings_: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id") -> None:
-    """Writes the index; a frequent term is spread over parts by the ids' hash, so no part holds all of it."""
-    p = postings(docs, text, row_id).withColumn("part", F.pmod(F.xxhash64("term", F.pmod(F.xxhash64("id"), F.lit(8))), F.lit(PARTS)).cast("int"))
-    p.repartition("part").sortWithinPartitions("part", "term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    term_counts(stored).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    """Writes the index; texts are tokenised once, and the postings sorted from what was written."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "postings")
+    p = scratch.write(postings(docs, text, row_id), "raw")
+    files = max(1, -(-p.count() // PART_ROWS))
+    p.repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    scratch.drop()
+    term_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     size = F.size(T.words(F.coalesce(F.col(text), F.lit(""))))
     docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a whole index is at ``path``: its last table is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def search(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """id, score of all documents that hold a term of the query, as ``search.bm25`` scores them."""
+    """id, score of all documents that hold a term of the query, as ``search.bm25`` scores them; none for a query without words."""
     return score(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"), query)
 
 
@@ -52,6 +65,8 @@ def score(postings_: DataFrame, terms: DataFrame, corpus: DataFrame, query: str)
     c = corpus.first()
     df = {r["term"]: r["df"] for r in terms.where(F.col("term").isin(wanted)).collect()}
     wanted = [t for t in wanted if t in df]
+    if not wanted:
+        return postings_.select("id", F.lit(0.0).alias("score")).where("false")
     hits = postings_.where(F.col("term").isin(wanted))
     tf = lambda t: F.max(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double")
     rows = hits.groupBy("id").agg(F.max("dl").alias("dl"), *[tf(t).alias(f"n{i}") for i, t in enumerate(wanted)])

@@ -50,22 +50,41 @@ def kind_totals(links: DataFrame, source: str = "path") -> DataFrame:
     return links.groupBy(source).agg(of("internal"), of("external"), of("anchor"), of("skip"))
 
 
+def with_media(links: DataFrame) -> DataFrame:
+    """Links whose internal target is an asset as links of the kind ``media``: an image in an anchor is no article."""
+    return links.withColumn("kind", F.when((F.col("kind") == "internal") & F.coalesce(U.is_asset(F.col("target")), F.lit(False)), "media").otherwise(F.col("kind")))
+
+
+def bucket_totals(links: DataFrame, source: str = "path") -> DataFrame:
+    """Links of each page by bucket: internal, external, media, anchor."""
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return with_media(links).groupBy(source).agg(of("internal"), of("external"), of("media"), of("anchor"))
+
+
+def with_titles(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """``links`` with the title of the entry each target names (null: no such entry)."""
+    return links.join(entries.select(F.col("path").alias("target"), F.col("title").alias("target_title")), "target", "left")
+
+
 def resolve_redirects(entries: DataFrame, path: str = "path", to: str = "redirect_to", depth: int = REDIRECT_DEPTH) -> DataFrame:
     """path, canonical, hops, state: where each path ends after at most ``depth`` redirects.
 
-    Pointers are followed one level a join; ``state`` is ok, dangling (the target
+    Pointers of the redirects alone are doubled, so four joins follow ten hops; ``state`` is ok, dangling (the target
     does not exist), or unresolved (a cycle or too long a chain: the path itself stays).
     """
-    table = entries.select(F.col(path).alias("p"), F.col(to).alias("t"))
-    at = table.select(F.col("p").alias("path"), F.col("p").alias("here"), F.col("t").alias("next"), F.lit(0).alias("hops"), F.lit(True).alias("exists"))
-    for _ in range(depth):
-        step = table.select(F.col("p").alias("next"), F.col("t").alias("after"), F.lit(True).alias("there"))
-        at = at.join(step, "next", "left").select(
-            "path",
-            F.coalesce("next", "here").alias("here"),
-            F.when(F.col("next").isNotNull(), F.col("after")).alias("next"),
-            F.when(F.col("next").isNotNull(), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-            F.when(F.col("next").isNotNull(), F.coalesce("there", F.lit(False))).otherwise(F.col("exists")).alias("exists"),
-        )
-    state = F.when(F.col("next").isNotNull(), "unresolved").when(~F.col("exists"), "dangling").otherwise("ok")
-    return at.select("path", F.when(F.col("next").isNotNull(), F.col("path")).otherwise(F.col("here")).alias("canonical"), "hops", state.alias("state"))
+    table = entries.select(F.col(path).alias("path"), F.col(to).alias("next"))
+    # Only redirects are followed: (path, here, next, hops), where ``next`` is null once ``here`` is no redirect.
+    jump = table.where("next is not null").select("path", F.col("next").alias("here"), F.lit(1).alias("hops"))
+    done = 1
+    while done < depth:
+        # Pointers double: what k hops lead to is looked up among what the same hops lead to from there.
+        step = jump.select(F.col("path").alias("here"), F.col("here").alias("far"), F.col("hops").alias("more"))
+        jump = jump.join(step, "here", "left").select("path", F.coalesce("far", "here").alias("here"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        done *= 2
+    ends = table.select(F.col("path").alias("here"), F.lit(True).alias("exists"), F.col("next").isNotNull().alias("goes_on"))
+    jump = jump.join(ends, "here", "left")
+    # A cycle never ends, so its rows go on beyond the depth, as those of longer chains do.
+    long = (F.col("hops") > depth) | F.coalesce("goes_on", F.lit(False))
+    jump = jump.select("path", F.when(long, F.col("path")).otherwise(F.col("here")).alias("canonical"), F.least("hops", F.lit(depth)).alias("hops"), F.when(long, "unresolved").when(F.col("exists").isNull(), "dangling").otherwise("ok").alias("state"))
+    own = table.where("next is null").select("path", F.col("path").alias("canonical"), F.lit(0).alias("hops"), F.lit("ok").alias("state"))
+    return own.unionByName(jump)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,26 +11,73 @@ from textquarry.functions import text as T
 
 
 def sections(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """id, pos, line, char_start, char_end of every line; offsets are sums within the row's array."""
-    lines = F.split(F.col(text), "\n")
-    ends = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    rows = docs.select(F.col(row_id), F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(ends, F.lit(1), F.size(lines)).alias("at"))).alias("pos", "x"))
-    return rows.select(row_id, "pos", F.col("x.line").alias("line"), F.col("x.at").alias("char_start"), (F.col("x.at") + F.length("x.line")).alias("char_end"))
+    """id, pos, line, char_start, char_end of every line of each row.
 
+    Lines are numbered in their row; their offsets are running sums over the row's
+    lines, which are exchanged by a number of the row, not by its id.
+    """
+    rows = docs.select(row_id, F.col(text).alias("__t")).withColumn("__r", F.monotonically_increasing_id())
+    lines = rows.select(row_id, "__r", F.posexplode(F.split("__t", "\n")).alias("pos", "line"))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("__r").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("char_start", F.coalesce(upto, F.lit(0)).cast("int"))
+    return lines.select(row_id, "pos", "line", "char_start", (F.col("char_start") + F.length("line")).alias("char_end"))
+
+
+def heading_sections(headings: DataFrame, page: str = "page_id", levels: int = 6) -> DataFrame:
+    """page, pos, level, text, id, char_start, char_end, parent_pos: a section ends at the next heading of its level or above.
 
-def heading_sections(headings: DataFrame, page: str = "page_id") -> DataFrame:
-    """headings with id, parent and char_end: a section ends at the next heading of its level or above.
+    ``headings`` has pos, level (1 to ``levels``), text, start and length (of the page).
+    Running values for each level answer what comes next and what stands above, so
+    the work grows with the number of headings; a repeated id gets ``_2``, ``_3`` and so on.
+    """
+    after = Window.partitionBy(page).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(page).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("level")
+    ends = F.coalesce(*[F.when(level == k, F.last(F.when(level <= k, F.col("start")), True).over(after)) for k in range(1, levels + 1)], F.col("length"))
+    # The nearest heading of a lower level, over all such levels.
+    parents = F.coalesce(*[F.when(level == k, F.last(F.when(level < k, F.col("pos")), True).over(above)) for k in range(2, levels + 1)])
+    slug = T.slug(F.col("text"))
+    rows = headings.withColumns({"char_end": ends, "parent_pos": parents, "__s": slug})
+    same = F.row_number().over(Window.partitionBy(page, "__s").orderBy("pos"))
+    rows = rows.withColumn("id", F.concat("__s", F.when(same > 1, F.concat(F.lit("_"), same.cast("string"))).otherwise(F.lit(""))))
+    return rows.select(page, "pos", "level", "text", "id", F.col("start").alias("char_start"), "char_end", "parent_pos")
+
+
+def trimmed_pages(docs: DataFrame, size: int, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """id, page_no, char_offset, n_chars: pages of at most ``size`` characters; white space at a page's end is left to the next.
+
+    A page begins where the one before ended, so offsets are followed within the row, in one pass over its pages.
+    """
 
-    ``headings`` has pos, level, text, start and length (of the page).  Works on the
-    page's array of headings, whose number a page bounds.
+    def cut(batches):
+        for batch in batches:
+            ids, no, at, n = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                place = page = 0
+                while t and place < len(t):
+                    rest = len(t) - place
+                    kept = rest if rest <= size else len(t[place : place + size].rstrip()) or size
+                    ids.append(i)
+                    no.append(page)
+                    at.append(place)
+                    n.append(kept)
+                    place, page = place + kept, page + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(no, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], [row_id, "page_no", "char_offset", "n_chars"])
+
+    kind = docs.schema[row_id].dataType.simpleString()
+    return docs.select(row_id, F.col(text).cast("string")).mapInArrow(cut, f"`{row_id}` {kind}, page_no int, char_offset int, n_chars int")
+
+
+def located(passage: Column, markdown: Column, probe: int = 80, least: int = 12) -> Column:
+    """Where a passage stands in a page (from 0): as it is, both without bold marks, else by its first words with single spaces; -1 if nowhere.
+
+    The place is that in the markdown without bold marks.
     """
-    item = F.struct("pos", "level", "text", "start")
-    rows = headings.groupBy(page, "length").agg(F.array_sort(F.collect_list(item)).alias("h")).select(page, "length", "h", F.explode("h").alias("x"))
-    later = F.filter("h", lambda y: (y["pos"] > F.col("x.pos")) & (y["level"] <= F.col("x.level")))
-    above = F.filter("h", lambda y: (y["pos"] < F.col("x.pos")) & (y["level"] < F.col("x.level")))
-    same = F.size(F.filter("h", lambda y: (y["pos"] <= F.col("x.pos")) & (T.slug(y["text"]) == T.slug(F.col("x.text")))))
-    ident = F.concat(T.slug(F.col("x.text")), F.when(same > 1, F.concat(F.lit("_"), same.cast("string"))).otherwise(F.lit("")))
-    return rows.select(page, F.col("x.pos").alias("pos"), F.col("x.level").alias("level"), F.col("x.text").alias("text"), ident.alias("id"), F.col("x.start").alias("char_start"), F.coalesce(F.get(later, F.lit(0))["start"], F.col("length")).alias("char_end"), F.try_element_at(above, F.lit(-1))["pos"].alias("parent_pos"))
+    plain, own = T.without_bold(markdown), T.without_bold(passage)
+    exact = F.instr(plain, own)
+    head = F.substring(T.squeezed(own), 1, probe)
+    loose = F.instr(T.squeezed(plain), head)
+    return F.when((own != "") & (exact > 0), exact - 1).when((F.length(head) >= least) & (loose > 0), loose - 1).otherwise(-1)
 
 
 def content_pages(docs: DataFrame, size: int, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -95,5 +143,5 @@ def citations(passages: DataFrame, cite: str = "cite_id", order: str = "rn") ->
 
 
 def demoted(rows: DataFrame, is_list: Column, order: str) -> DataFrame:
-    """``new_rn``: the rank after list articles go behind all others, orders kept."""
+    """``new_rn``: the rank after list articles go behind all others, orders kept; ``rows`` is a page of hits."""
     return rows.withColumn("is_list", is_list).withColumn("new_rn", F.row_number().over(Window.orderBy(F.col("is_list").cast("int"), order)))

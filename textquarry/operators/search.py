@@ -27,8 +27,10 @@ def parsed_query(query: str) -> list[str]:
 
 
 def bm25(docs: DataFrame, query: str, text: str = "text", where: Column | None = None) -> DataFrame:
-    """Rows that hold a query term, with ``score``.  ``where`` filters rows, not the statistics."""
+    """Rows that hold a query term, with ``score``; none for a query without words.  ``where`` filters rows, not the statistics."""
     terms = parsed_query(query)
+    if not terms:  # nothing is asked for
+        return docs.where("false").withColumn("score", F.lit(0.0))
     source = F.coalesce(F.col(text), F.lit(""))
     count = lambda t: F.size(F.filter("__t", lambda x: x == t))
 
@@ -62,6 +64,20 @@ def page(ranked: DataFrame, limit: int = 10, offset: int = 0, by: str = "doc_id"
     return top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), by))).where(F.col("rn") > offset)
 
 
+def scan_page(ranked: DataFrame, keep: Column, limit: int, skip: int = 0, cap: int = 10_000, by: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(page, one row about it): rows ``skip`` + 1 on of those that pass a filter, among the first ``cap`` of a ranking.
+
+    The row has scanned, matched, total_is_lower_bound (the ranking goes on beyond the cap) and next_skip (null at the end).
+    """
+    top = page(ranked, cap, by=by)
+    kept = top.where(keep).withColumn("n", F.row_number().over(Window.orderBy("rn")))
+    got = kept.where((F.col("n") > skip) & (F.col("n") <= skip + limit)).drop("n")
+    about = top.agg(F.count("*").alias("scanned"), F.count_if(keep).alias("matched"))
+    total = ranked.limit(cap + 1).agg((F.count("*") > cap).alias("total_is_lower_bound"))  # one row
+    about = about.join(F.broadcast(total)).withColumn("next_skip", F.when(F.col("matched") > skip + limit, F.lit(skip + limit)))
+    return got, about
+
+
 def top_per_group(ranked: DataFrame, group: str, k: int, by: str = "doc_id") -> DataFrame:
     """The ``k`` best of each group, with rank ``rn``; a group limit runs before the exchange."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), by)
@@ -79,7 +95,10 @@ def canonical_first(rows: DataFrame, canon: str, order: str) -> DataFrame:
 
 
 def lookbehind(rows: DataFrame, group: str, canon: str, order: str, span: int = 8) -> DataFrame:
-    """``suppressed``: whether the canonical path stood among the ``span`` rows before, within the group."""
+    """``suppressed``: whether the canonical path stood among the ``span`` rows before, within the group.
+
+    ``rows`` are pages of ranked hits, so a group has few of them.
+    """
     w = Window.partitionBy(group).orderBy(order).rowsBetween(-span, -1)
     return rows.withColumn("suppressed", F.array_contains(F.collect_list(canon).over(w), F.col(canon)))
 

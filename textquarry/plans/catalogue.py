@@ -187,12 +187,19 @@ def strong_title_match(spark, sf):
     return p.select("page_id", "title", q.alias("topic")).where(T.strong_title(F.col("topic"), F.col("title"))).select("topic", "page_id", "title")
 
 
-@query("""WITH t AS (SELECT DISTINCT p_type, p_brand, p_type || ' of ' || p_brand AS title FROM part), r AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN 'List of ' || p_brand ELSE title END AS path, row_number() OVER (ORDER BY p_brand, p_type) AS rn FROM t)
-SELECT path, rn, regexp_matches(path, '(?i)^((lists?|index|outline|glossary|timeline|bibliography)[ _]of[ _]|listed[ _])') AS is_list, row_number() OVER (ORDER BY CASE WHEN regexp_matches(path, '(?i)^((lists?|index|outline|glossary|timeline|bibliography)[ _]of[ _]|listed[ _])') THEN 1 ELSE 0 END, rn) AS new_rn FROM r""")
+# The rule as it is defined: a name without its namespace of up to two characters that begins or ends like a list.
+IS_LIST = """regexp_matches(CASE WHEN instr(path, '/') BETWEEN 1 AND 3 AND length(path) > instr(path, '/') THEN substr(path, instr(path, '/') + 1) ELSE path END,
+ '(?i)^(list|index|outline|glossary|timeline|bibliography|lists)_of_|^listed_|_(discography|filmography|videography|bibliography|appearances_and_filmography|awards_and_nominations|awards_and_honou?rs|honou?rs_and_awards)$')"""
+LIST_FORMS = {"ECONOMY": ("A/List_of_", ""), "MEDIUM": ("", "_discography"), "LARGE": ("Listed_", ""), "STANDARD": ("Academy_Awards_", ""), "PROMO": ("", "_awards_and_honours"), "SMALL": ("C/Outline_of_", "_x")}
+
+
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in LIST_FORMS.items()) + f""") AS v(p_type, a, b)), t AS (SELECT DISTINCT a || p_brand || b AS path, p_type, p_brand FROM part JOIN f USING (p_type)), r AS (SELECT path, row_number() OVER (ORDER BY p_brand, p_type) AS rn FROM t)
+SELECT path, rn, {IS_LIST} AS is_list, row_number() OVER (ORDER BY CASE WHEN {IS_LIST} THEN 1 ELSE 0 END, rn) AS new_rn FROM r WHERE rn <= 200""")
 def list_article_demotion(spark, sf):
     t = table(spark, sf, "part").select("p_type", "p_brand").distinct()
-    path = F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("List of "), F.col("p_brand"))).otherwise(F.concat("p_type", F.lit(" of "), "p_brand"))
-    ranked = t.select(path.alias("path"), F.row_number().over(Window.orderBy("p_brand", "p_type")).alias("rn"))
+    form = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in LIST_FORMS.items() for x in (k, v[i])]), F.col("p_type"))
+    hits = t.withColumn("path", F.concat(form(0), "p_brand", form(1))).orderBy("p_brand", "p_type").limit(200)
+    ranked = hits.select("path", F.row_number().over(Window.orderBy("p_brand", "p_type")).alias("rn"))
     return P.demoted(ranked, T.is_list_article(F.col("path")), "rn")
 
 

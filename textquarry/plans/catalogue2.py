@@ -25,7 +25,9 @@ LINKS = f"""WITH p AS (SELECT page_id, {PATH} AS path, regexp_extract_all(html,
 x AS (SELECT page_id, path, unnest(range(0, len(h))) AS pos, unnest(h) AS href, trim(unnest(a)) AS anchor FROM p),
 k AS (SELECT *, CASE WHEN regexp_matches(href, '(?i)^(javascript|mailto|tel|data|blob|vbscript):') OR trim(href) = '' THEN 'skip' WHEN starts_with(href, '#') THEN 'anchor' WHEN regexp_matches(href, '(?i)^(https?:)?//') THEN 'external' ELSE 'internal' END AS kind, split_part(split_part(href, '?', 1), '#', 1) AS bare FROM x),
 links AS (SELECT page_id, path, pos, href, anchor, kind, CASE WHEN kind = 'internal' AND bare NOT IN ('', '.', './', '/') THEN nullif(CASE WHEN starts_with(bare, '/') THEN ltrim(bare, '/') ELSE regexp_replace(path, '[^/]*$', '') || bare END, '') END AS target FROM k)"""
-ASSET = "regexp_matches(lower(split_part(split_part(target, '?', 1), '#', 1)), '\\.(" + "|".join(T.ASSET_EXTENSIONS) + ")$')"
+# The rule as it is defined: these extensions are no articles.
+ASSET_ENDS = r"\.(jpg|jpeg|png|gif|svg|webp|bmp|ico|tif|tiff|eot|otf|ttf|woff|woff2|css|js|mjs|json|pdf|zip|gz|mp4|webm|mp3|ogg|wav|avi|mov|m4a)$"
+ASSET = f"regexp_matches(lower(split_part(split_part(target, '?', 1), '#', 1)), '{ASSET_ENDS}')"
 EDGES = LINKS + f", edges AS (SELECT path AS source, target, arg_min(anchor, pos) AS anchor FROM links WHERE target IS NOT NULL AND path <> target AND NOT {ASSET} GROUP BY path, target)"
 
 
@@ -328,7 +330,9 @@ def title_promotion(spark, sf):
 r AS (SELECT h.*, CASE WHEN c.path IS NOT NULL THEN -1 ELSE 0 END AS k FROM h LEFT JOIN c USING (path)) SELECT path, title, snippet, rn, row_number() OVER (ORDER BY k, rn) AS new_rn FROM r ORDER BY new_rn LIMIT 5""")
 def canonical_splice(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_name").alias("title"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("path")).distinct()
-    h = p.where(F.contains("title", F.lit("ring"))).withColumn("snippet", F.col("title")).withColumn("rn", F.row_number().over(Window.orderBy("title")))
+    # A page of hits is cut before it is numbered.
+    page = p.where(F.contains("title", F.lit("ring"))).orderBy("title").limit(1000)
+    h = page.withColumn("snippet", F.col("title")).withColumn("rn", F.row_number().over(Window.orderBy("title")))
     return PR.splice(h, p, "Small Ring", 5)
 
 

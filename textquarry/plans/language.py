@@ -105,3 +105,39 @@ def alternative_archives(query: str, archives: Iterable[str]) -> list[str]:
     """Archives whose name holds a word of the query of at least four letters."""
     words = {w for w in re.findall(r"[a-z0-9]+", query.lower()) if len(w) >= 4}
     return [a for a in archives if any(w in a.lower() for w in words)]
+
+
+def subject(request: str, kind: str) -> str:
+    """What a request of a kind is about: its topic without the words that made it of this kind."""
+    words = {
+        "summary": r"^(?:summar\w*|(?:an? )?overview)(?: of)?", "toc": r"^(?:(?:the )?(?:table of contents|toc|contents))(?: of| for)?", "structure": r"^(?:(?:the )?(?:structure|outline|headings))(?: of| for)?",
+        "get_article": r"^(?:get|fetch|read|open|show)?\s*(?:the )?(?:article|entry|page)(?: on| about| for| titled| named| called)?", "get_section": r"^.*?\bsections?\b\s*(?:of|from|in)", "links": r"^(?:links?|references)\s*(?:in|from|of|to)",
+        "related": r"^(?:articles? )?(?:related|similar)(?: articles?)?(?: to)?", "find_by_title": r"^.*?\b(?:titled|title|named|called)\b", "get_zim_entries": r"^(?:get|fetch|read)?\s*(?:the )?(?:articles|entries|pages)(?: on| about| for)?",
+        "tell_me_about": r"^(?:tell me about|explain|describe|about)", "binary": r"^(?:get|fetch)?\s*(?:the )?(?:image|pdf|video|audio|binary|media)(?: of| from| for)?",
+    }
+    text = topic(request)
+    if kind in words:
+        text = re.sub(words[kind], "", text, flags=re.I).strip()
+        text = re.sub(r"^(?:of|for|to|from|in|on|about|the)\s+", "", text, flags=re.I)
+    return text or topic(request)
+
+
+def section_in(request: str) -> str:
+    """The section that a request names before the word ``section``."""
+    m = re.search(r"(?:the\s+)?([\w -]+?)\s+sections?\b", topic(request), re.I)
+    return re.sub(r"^(?:get|show|read|fetch)\s+(?:the\s+)?", "", m.group(1), flags=re.I).strip() if m else topic(request)
+
+
+def namespace_in(request: str) -> str:
+    """The namespace letter or name that a request gives; content without one."""
+    m = re.search(r"\bnamespace\s+([A-Za-z-]+)|\b([A-Z-])\s+namespace\b|\bbrowse\s+([A-Z])\b", request)
+    return next((g for g in m.groups() if g), "C") if m else "C"
+
+
+def without_filter(text: str) -> str:
+    return re.sub(r"\s*\b(?:in (?:the )?namespace|of (?:content )?type|within)\b.*$", "", text, flags=re.I)
+
+
+def listed(text: str) -> list[str]:
+    """The things of a list in words."""
+    return [p.strip() for p in re.split(r"\s*(?:,|;|\band\b)\s*", text) if p.strip()]
