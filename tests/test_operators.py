@@ -232,6 +232,64 @@ def test_promotion_gates(spark):
     assert [r[0] for r in twin.select(promotion.strong_canonical(F.col("t"), F.col("p"), F.col("p"))).collect()] == [False, True, True, True, False]
 
 
+def test_archives_of_several_folders(spark, tmp_path):
+    import os
+
+    for f in ("a", "b", "out"):
+        (tmp_path / f).mkdir()
+    zim.write_zim(str(tmp_path / "a" / "one.zim"), [("C", "x", "X", "text/html", b"hello")])
+    zim.write_zim(str(tmp_path / "out" / "far.zim"), [("C", "x", "X", "text/html", b"hello")])
+    (tmp_path / "b" / "bad.zim").write_bytes(b"nothing")
+    os.symlink(tmp_path / "out" / "far.zim", tmp_path / "b" / "far.zim")
+    folders = [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "a")]
+    got = zim.list_archives(spark, folders)
+    rows = sorted((r["path"].rsplit("/", 2)[1:], r["readable"], r["warning"]) for r in got.collect())
+    assert rows == [(["a", "one.zim"], True, None), (["b", "bad.zim"], False, "not an archive")]
+    checked = {r["path"].rsplit("/", 1)[1]: (r["ok"], r["error"] is None) for r in zim.check_archives(got).collect()}
+    assert checked["one.zim"] == (True, True) and checked["bad.zim"][0] is False
+
+
+def test_settings(spark, tmp_path):
+    from textquarry.operators import archives as A
+    from textquarry.sources import settings
+
+    (tmp_path / "w.txt").write_text("# words\nTeh=the\nbad line\nrecieve=receive\n")
+    (tmp_path / "x.txt").write_text("teh\n")
+    (tmp_path / "p.toml").write_text('[preset.stackexchange]\nmax_paragraphs = 5\n[pin.mine]\ntype = "wikipedia"\nsummary_style = "q_and_a"\n')
+    words = settings.load_misspellings(tmp_path / "w.txt", {})
+    assert words == {"teh": "the", "recieve": "receive"} and settings.load_misspellings(None, {"a": "b"}) == {"a": "b"}
+    assert language.respelt("Teh goverment's (recieve)") == "Teh government's (receive)"
+    assert language.respelt("teh recieve", words, excluded=settings.load_exclusions(tmp_path / "x.txt")) == "teh receive"
+    p = settings.load_presets(tmp_path / "p.toml")
+    assert p.effective("stackexchange", "high", "other") == {"summary_style": "q_and_a", "max_paragraphs": 5} and p.effective("stackexchange", "medium", "other") is None
+    assert p.effective("ted", "none", "mine") == {"summary_style": "q_and_a"}
+    types = spark.createDataFrame([("mine", "ted", "none"), ("so", "stackexchange", "high"), ("x", "wikipedia", "medium")], "archive string, type string, confidence string")
+    got = {r["archive"]: r["preset"] for r in A.effective_preset(types, *p.tables(spark)).collect()}
+    assert got == {"mine": "q_and_a", "so": "q_and_a", "x": "default"}
+
+
+def test_reasons():
+    assert paging.reason(" ", 0) == "bad_query" and paging.reason("x", 0) == "0_hits" and paging.reason("x", 0, before_filter=3) == "no_content_type_match"
+    assert paging.reason("x", 5, strong=0) == "low_relevance" and paging.reason("x", 5, strong=1) is None and paging.reason("x", 0, known_namespace=False) == "bad_namespace"
+    assert paging.reason("x", 3, indexed=False) == "no_xapian_index" and paging.reason(None, 3, n_headings=0) == "no_headings" and paging.reason(None, 3, is_html=False) == "non_html"
+    assert paging.reason("x", 3, failed_archives=1) == "archive_unavailable" and paging.reason("x", 3, out_of_time=True) == "search_all_budget_exceeded"
+    assert paging.reason(None, 3, sampled=True) == "sample_only" and paging.reason(None, 3, cut_links=True) == "scan_truncated"
+
+
+def test_excerpts(spark):
+    from textquarry.functions import snippets as SN
+
+    text = "# Rhine\n\n* Home\n* Start Here\n\n[](pics/a.png)\n\nOn this page:\n\n## History\n\nOld words here.\n\n## River\n\nThe **Rhine** is a river; see [rhine](x).\n\nIt flows north with $$\\\\phi \\\\leq x$$ force."
+    got = SN.excerpted(text, "river")
+    assert got == "## **River**\n\nThe **Rhine** is a **river**; see [rhine](x).\n\nIt flows north with φ ≤ x force."
+    assert SN.excerpted(text, "zzzz") == "## History\n\nOld words here.\n\n## River\n\nThe **Rhine** is a river; see [rhine](x)."
+    assert SN.excerpted("a\n\nphotosynthetic cells", "photosynthesis") == "photosynthetic cells"
+    assert SN.excerpted("x " * 100, "x", length=20).endswith("...") and len(SN.excerpted("x " * 100, "yyy", length=20)) <= 20
+    assert SN.excerpted(None, "a") is None and SN.excerpted("", "abc") == ""
+    assert SN.tex_text(r"\text{set} \Omega \in \foo{x}") == "set Ω∈ foox" or SN.tex_text(r"\alpha") == "α"
+    assert SN.bold_offsets("a **b** c") == ("a b c", [0, 1, 4, 7, 8])
+
+
 def test_promotion_passes(spark):
     titles = spark.createDataFrame(
         [("a", 1, "Big_Rapids", "Big Rapids", None), ("a", 1, "Michigan", "Michigan", None), ("a", 1, "Tourism", "Tourism", None), ("a", 1, "Photosynthesis", "Photosynthesis", None), ("b", 2, "Photosynthesis", "Photosynthesis", None),

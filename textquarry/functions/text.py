@@ -108,6 +108,19 @@ def token_estimate(c: Column) -> Column:
     return (F.floor(F.length(c) / F.lit(4.0) * F.lit(1.05)) + 1).cast("long")
 
 
+def cleaned_input(c: Column) -> Column:
+    """A request without control characters other than line ends and tabs."""
+    return F.trim(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+
+
+def one_line(c: Column, most: int = 1024) -> Column:
+    """A text as one line of a log: runs of control characters as a space, cut with a note of what is left out."""
+    line = F.regexp_replace(c, r"[\x00-\x1F\x7F]+", " ")
+    kept = F.rtrim(F.substring(line, 1, most))
+    note = F.concat(kept, F.lit("... [+"), (F.length(line) - F.length(kept)).cast("string"), F.lit(" chars elided]"))
+    return F.when(F.length(line) > most, note).otherwise(line)
+
+
 def word_number(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+")).cast("long")
 

@@ -368,12 +368,39 @@ def index_terms(spark, sf):
     return IX.term_counts(IX.postings(docs_of(spark, sf)))
 
 
+_INDEXES: dict[tuple[str, str], Scratch] = {}
+
+
+def stored_index(spark, sf) -> str:
+    """The folder of the documents' index, built at the first call of a session and kept for later ones."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES or not IX.exists(spark, _INDEXES[key].root):
+        _INDEXES[key] = Scratch(spark, "index")
+        IX.build(docs_of(spark, sf), _INDEXES[key].root)
+    return _INDEXES[key].root
+
+
+def indexed(spark, sf, query=QUERY):
+    """doc_id and score of the documents that hold a word of the query, from the stored index."""
+    return IX.search(spark, stored_index(spark, sf), query).withColumnRenamed("id", "doc_id")
+
+
 @query(ORACLE["fulltext_search"])
 def fulltext_search_indexed(spark, sf):
-    d = docs_of(spark, sf)
-    scratch = Scratch(spark, "index")
-    IX.build(d, scratch.root)
-    return S.page(IX.search(spark, scratch.root, QUERY).withColumnRenamed("id", "doc_id"))
+    return S.page(indexed(spark, sf))
+
+
+@query(ORACLE["search_all_sources"])
+def search_all_sources_indexed(spark, sf):
+    hits = indexed(spark, sf).join(docs_of(spark, sf).select("doc_id", "source"), "doc_id")
+    return S.top_per_group(hits.select("source", "doc_id", "score"), "source", 5)
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS INTEGER) AS rn WHERE false")
+def search_without_words(spark, sf):
+    """A query without a word finds nothing, by the index and by the scan."""
+    found = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), " ?! ").select("doc_id", "score"))
+    return found.unionByName(S.page(indexed(spark, sf, "?!")))
 
 
 @query(ENTRIES + " SELECT entry_id, path FROM e ORDER BY md5('17' || path || entry_id), entry_id LIMIT 25")

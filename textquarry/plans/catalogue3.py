@@ -145,6 +145,13 @@ def markdown_plain(spark, sf):
     return p.select("n", "c", T.without_links(md).alias("no_links"), T.without_bold(md).alias("no_bold"), T.without_votes(F.col("voted")).alias("no_votes"), T.squeezed(md).alias("squeezed"), T.token_estimate(md).alias("tokens"), T.count_text(F.col("c")).alias("humane"))
 
 
+@query("""WITH t AS (SELECT doc_id, ' ' || chr(7) || text || chr(13) || chr(10) || chr(9) || text || ' ' AS t FROM documents), l AS (SELECT doc_id, t, regexp_replace(t, '[\\x00-\\x1F\\x7F]+', ' ', 'g') AS line FROM t),
+k AS (SELECT *, rtrim(substr(line, 1, 1024)) AS kept FROM l) SELECT doc_id, md5(trim(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))) AS cleaned, CASE WHEN length(line) > 1024 THEN kept || '... [+' || (length(line) - length(kept)) || ' chars elided]' ELSE line END AS line FROM k""")
+def log_lines(spark, sf):
+    t = docs_of(spark, sf).select("doc_id", F.concat(F.lit(" \x07"), "text", F.lit("\r\n\t"), "text", F.lit(" ")).alias("t"))
+    return t.select("doc_id", F.md5(T.cleaned_input(F.col("t"))).alias("cleaned"), T.one_line(F.col("t")).alias("line"))
+
+
 @query("SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents")
 def fold_texts(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.md5(SN.fold_all(F.col("text"))).alias("folded"))

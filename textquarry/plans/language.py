@@ -33,6 +33,13 @@ INTENTS = (
     ("search", r"\b(search|find|look up|look for)\b", 0.7, 4),
     ("tell_me_about", r"\b(tell me about|what (is|are|was|were)|who (is|are|was|were)|explain|describe)\b", 0.75, 5),
 )
+MISSPELLINGS = dict(x.split("=") for x in (
+    "acommodate=accommodate accomodate=accommodate recieve=receive seperate=separate occured=occurred occurence=occurrence neccessary=necessary neccesary=necessary "
+    "truely=truly embarass=embarrass embarrasing=embarrassing goverment=government independant=independent maintainance=maintenance mispell=misspell priviledge=privilege "
+    "publically=publicly referal=referral succesful=successful tomatos=tomatoes photosythesis=photosynthesis photosythesise=photosynthesise bilogy=biology "
+    "mediterranian=mediterranean mediterrean=mediterranean egiptian=egyptian brittish=british arithmatic=arithmetic asssassination=assassination beggining=beginning "
+    "millenium=millennium parralel=parallel tommorow=tomorrow tuesdsay=tuesday wedensday=wednesday hierachy=hierarchy existance=existence inteligence=intelligence ressurection=resurrection"
+).split())
 OPERATORS = frozenset(("and", "or", "not", "near", "xor", "adj"))
 
 
@@ -71,13 +78,17 @@ def snippet_terms(query: str) -> list[tuple[str, bool]]:
     return out
 
 
-def respelt(query: str, misspellings: dict[str, str], known: Callable[[str], bool] | None = None) -> str:
-    """The query with each misspelt word put right; a word that is known as it is stays. Possessives keep their end."""
+def respelt(query: str, misspellings: dict[str, str] | None = None, known: Callable[[str], bool] | None = None, excluded: frozenset[str] = frozenset()) -> str:
+    """The query with each misspelt word put right; a word that is known as it is, or excluded, stays.
+
+    Punctuation around a word and the end of a possessive are kept.
+    """
+    misspellings = MISSPELLINGS if misspellings is None else misspellings
 
     def fix(m: re.Match) -> str:
         word, end = m.group(1), m.group(2) or ""
         right = misspellings.get(word.lower())
-        if right is None or (known is not None and known(word)):
+        if right is None or word.lower() in excluded or (known is not None and known(word)):
             return m.group(0)
         return (right.capitalize() if word[:1].isupper() else right) + end
 

@@ -60,15 +60,32 @@ class Page:
         return {"offset": self.offset, "limit": self.limit, "returned": len(self.results)}
 
 
-def reason(query: str | None, total: int, before_filter: int | None = None, strong: int | None = None, known_namespace: bool = True) -> str | None:
-    """Why a page is empty or weak."""
+def reason(
+    query: str | None,
+    total: int,
+    before_filter: int | None = None,
+    strong: int | None = None,
+    known_namespace: bool = True,
+    *,
+    indexed: bool = True,
+    failed_archives: int = 0,
+    out_of_time: bool = False,
+    sampled: bool = False,
+    cut_links: bool = False,
+    is_html: bool = True,
+    n_headings: int | None = None,
+) -> str | None:
+    """Why a page is empty, weak or not the whole answer; the first reason that holds."""
     if query is not None and not query.strip():
         return "bad_query"
-    if not known_namespace:
-        return "bad_namespace"
-    if total == 0:
-        return "no_content_type_match" if before_filter else "0_hits"
-    return "low_relevance" if strong == 0 else None
+    for code, holds in (
+        ("no_xapian_index", not indexed), ("bad_namespace", not known_namespace), ("non_html", not is_html), ("no_headings", n_headings == 0),
+        ("search_all_budget_exceeded", out_of_time), ("archive_unavailable", failed_archives > 0), ("no_content_type_match", total == 0 and bool(before_filter)), ("0_hits", total == 0),
+        ("sample_only", sampled), ("scan_truncated", cut_links), ("low_relevance", strong == 0),
+    ):
+        if holds:
+            return code
+    return None
 
 
 def take_page(ordered: DataFrame, tool: str, limit: int = DEFAULT_LIMIT, offset: int = 0, total: int | None = None, **state) -> Page:

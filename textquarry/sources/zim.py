@@ -8,11 +8,14 @@ archive is read in parallel; a task keeps the last few unpacked clusters.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import uuid as uuids
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -149,14 +152,70 @@ def read_zim(spark: SparkSession, path: str, entries_per_task: int = 5000) -> Da
     return e.join(to, "redirect_id", "left").select(*e.columns, "redirect_to")
 
 
-def list_archives(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
-    """path, length, modified, readable of all ``*.zim`` under a folder; the signature is read, not the file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zim").load(folder)
-    out = files.select("path", "length", F.col("modificationTime").alias("modified"), (F.substring("content", 1, 4) == F.lit(struct.pack("<I", MAGIC))).alias("readable"))
-    out = out.dropDuplicates(["path"])
+LISTED = "path string, length long, modified timestamp, ord int, real string, readable boolean, warning string"
+
+
+def list_archives(spark: SparkSession, folder: str | list[str], name: str | None = None) -> DataFrame:
+    """path, length, modified, readable, warning of all ``*.zim`` under one or more folders; only the signature of a file is read.
+
+    A link that leads out of its folder is left out.  A file that several folders hold is
+    listed once, by the first of them.
+    """
+    folders = [folder] if isinstance(folder, str) else folder
+    files = None
+    for i, f in enumerate(folders):
+        # The content is not selected, so it is not read.
+        one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zim").load(f)
+        one = one.select("path", "length", F.col("modificationTime").alias("modified"), F.lit(i).alias("ord"))
+        files = one if files is None else files.unionByName(one)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_signature(p, folders[i]) for p, i in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())]
+            keep = pa.array([r is not None for r in rows])
+            rows = [r for r in rows if r is not None]
+            kept = batch.filter(keep)
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.bool_(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [c.split()[0] for c in LISTED.split(", ")])
+
+    out = files.mapInArrow(look, LISTED)
+    best = F.min(F.struct("ord", "path", "length", "modified", "readable", "warning")).alias("b")
+    out = out.groupBy("real").agg(best).select("b.path", "b.length", "b.modified", "b.readable", "b.warning")
     return out if name is None else out.where(F.contains(F.lower("path"), F.lit(name.lower())))
 
 
+def _signature(path: str, folder: str) -> tuple[str, bool, str | None] | None:
+    """(real path, readable, warning) of a file, or None if it leads out of its folder."""
+    local = lambda p: re.sub("^file:/*", "/", p) if p.startswith("file:") else p
+    own, real = local(path), local(path)
+    if "://" not in own:
+        real, root = os.path.realpath(own), os.path.realpath(local(folder))
+        if os.path.commonpath([real, root]) != root:
+            return None
+    try:
+        with _open(own) as f:
+            ok = f.read(4) == struct.pack("<I", MAGIC)
+        return real, ok, None if ok else "not an archive"
+    except OSError as e:
+        return real, False, f"cannot be read: {type(e).__name__}"
+
+
+def check_archives(archives: DataFrame) -> DataFrame:
+    """path, ok, error of each archive of a listing: its checksum, one file a row, spread over the tasks."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                ok = error = None
+                try:
+                    ok = check_integrity(re.sub("^file:/*", "/", p) if p.startswith("file:") else p)
+                except (OSError, ValueError, struct.error) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([{"path": p, "ok": bool(ok), "error": error}], pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("error", pa.string())]))
+
+    return archives.select("path").repartition("path").mapInArrow(check, "path string, ok boolean, error string")
+
+
 def check_integrity(path: str) -> bool:
     """Whether the MD5 at the end of an archive is that of what stands before it."""
     with _open(path) as f:
