@@ -1,10 +1,14 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from textquarry.llm import kernels as K
 from textquarry.llm import quality, toxicity
-from textquarry.llm.features import held_out
+from textquarry.llm.features import held_out, sample
 from textquarry.llm.registry import QUERIES
 
 BAD = ["junk!! SHOUT!! junk!!", "a | b | c | d"]
@@ -55,6 +59,79 @@ def test_pairwise_term_is_that_of_all_pairs():
     assert got[0] == pytest.approx(want)
 
 
+def plain_words(text, lower=True):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text) if lower else text)
+
+
+def plain_bag(text, bits):
+    """Bucket and count of each hashed word, one word at a time."""
+    count = Counter()
+    for w in plain_words(text):
+        h = K.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]
+        count[int(h) >> (64 - bits)] += 1
+    return count
+
+
+def plain_stats(text, n_chars):
+    raw, w = text.encode(), plain_words(text)
+    spaces, lines = b" \t\n\x0b\x0c\r", text.count("\n") + 1
+    of = lambda test: sum(map(test, raw)) / max(len(raw), 1)
+    n = max(len(w), 1)
+    own = plain_words(text, False)
+    ends = [x.encode()[-1] for x in own]
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or 48 <= c <= 57
+    sign = lambda c: c < 128 and not letter(c) and c not in spaces and chr(c) not in ".,'-"
+    triples = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return [
+        math.log1p(len(raw)), math.log1p(len(w)), math.log1p(lines), sum(len(x.encode()) for x in w) / n,
+        of(lambda c: 65 <= c <= 90), of(lambda c: 48 <= c <= 57), of(sign), raw.count(b"|") / n, of(lambda c: c in spaces), of(lambda c: c >= 128),
+        len(set(w)) / n, max(Counter(w).values(), default=0) / n, len(triples) / max(len(w) - 2, 1), sum(a == b for a, b in zip(w, w[1:])) / n,
+        sum(len(x.encode()) <= 2 for x in own) / n, sum(map(sign, ends)) / n, math.log1p(len(raw) / lines), math.log1p(len(raw) if n_chars is None else max(n_chars, 0)),
+    ]
+
+
+def some_texts(odd):
+    rows, _ = rows_and_labels()
+    return [(r[0], r[1], r[4]) for r in rows[:25]] + [(1000 + i, r[1] or "", r[4]) for i, r in enumerate(odd)]
+
+
+def test_quality_scores_match_a_plain_machine(spark, frame, data, odd):
+    m = quality.fit(*data)
+    texts = some_texts(odd)
+    got = {r["doc_id"]: r["score"] for r in quality.scores(frame([(d, t, None, None, n) for d, t, n in texts]), m).collect()}
+    for d, text, n_chars in texts:
+        x = {b: math.log1p(n) for b, n in plain_bag(text, quality.BITS).items()}
+        norm = max(math.sqrt(sum(v * v for v in x.values())), 1e-9)
+        x = {b: v / norm for b, v in x.items()}
+        for i, v in enumerate(plain_stats(text, n_chars)):
+            x[(1 << quality.BITS) + i] = min(5, max(-5, (v - m.centre[i]) / m.scale[i])) / 2
+        at, values = list(x), np.array(list(x.values()))
+        s = m.w0 + m.w[at] @ values
+        for f in range(quality.RANK):
+            t = m.v[at, f] * values
+            s += sum(t[i] * t[:i].sum() for i in range(len(t)))  # every pair once
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, s)))), abs=1e-4), d
+
+
+def test_severities_match_a_plain_model(frame, data, odd):
+    m = toxicity.fit(*data)
+    texts = some_texts(odd)
+    got = {r["doc_id"]: r for r in toxicity.severities(frame([(d, t, None, None, n) for d, t, n in texts]), m).collect()}
+    for d, text, _ in texts:
+        s = sum(m.w[b] * math.log2(1 + n) for b, n in plain_bag(text, toxicity.BITS).items())
+        below = [0.0] + [1 / (1 + math.exp(-min(30, max(-30, t - s)))) for t in m.theta] + [1.0]
+        p = np.diff(below)
+        assert got[d]["score"] == pytest.approx(1 - p[0], abs=1e-6) and got[d]["severity"] == pytest.approx(sum(i * q for i, q in enumerate(p)), abs=1e-6)
+        assert p[got[d]["grade"]] == pytest.approx(max(p))
+
+
+def test_sample_takes_one_text_of_a_repeated_id(spark, frame):
+    rows = [(1, t, "en", "s", None) for t in ("one text", "an other text", "one text")] + [(2, "x", "en", "s", 1)]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    picks = [sorted((r["doc_id"], r["text"], r["label"]) for r in sample(frame(x), labels, "quality", 10).collect()) for x in (rows, rows[::-1])]
+    assert picks[0] == picks[1] and len({p[0] for p in picks[0]}) == len(picks[0])
+
+
 def test_toxicity_on_held_out_rows(data):
     docs, labels = data
     got = toxicity.toxic_severity(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -157,6 +157,36 @@ def test_places_and_counts_are_those_of_the_matches(spark, frame):
     assert got == sorted(want)
 
 
+def test_scores_match_plain_features_and_the_forest(spark, frame):
+    import math
+    import re
+
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(9)
+    value = lambda n: "".join(rng.choice("abcdefXYZ0123456789-_/") for _ in range(n))
+    rows = [(i, f"report{'s' * (i % 2)} {rng.choice(['commit', 'token =', 'password:', 'see'])} {value(rng.randrange(16, 40))}7 done report", None, rng.choice(["docs/a", "conf/b", None]), None) for i in range(60)]
+    docs = frame(rows)
+    model = secrets.fit(docs, path="source")
+    words = {r["w"] for r in model.dictionary.collect()}
+    odds = {(r["what"], r["key"]): r["odds"] for r in model.odds.collect()}
+    got = secrets.scan(docs, model, path="source").collect()
+    lead = {(r["doc_id"], r["value"], r["before"]): r["lead"] for r in secrets.candidates(docs, path="source").collect()}
+    assert len(got) >= 60 and words
+    for r in got:
+        v, n, ahead = r["value"], len(r["value"]), lead[r["doc_id"], r["value"], r["before"]]
+        share = lambda p: len(re.findall(p, v)) / n  # noqa: E731,B023
+        pairs = [v[i : i + 2].lower() for i in range(n - 1) if re.fullmatch("[a-z]{2}", v[i : i + 2].lower())]
+        x = [
+            n, share("[0-9]"), share("[A-Z]"), len(set(v)) / n, share("[^A-Za-z0-9+/_-]"), share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), share("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
+            sum(model.pairs.get(p, model.pairs[""]) for p in pairs) / len(pairs) if pairs else model.pairs[""], float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v))), float(bool(re.fullmatch("[0-9_+/-]+", v))),
+            sum(len(w) for w in set(re.findall("[a-z]{4,}", v.lower())) if w in words) / n, share("[/-]"), float(bool(re.search("[=:]", ahead))), float(bool(re.search("[\"']$", ahead))),
+            odds.get(("before", r["before"]), 0.0), odds.get(("path", r["path"]), 0.0), float(bool(re.search(secrets.TEST_PATH, r["path"]))),
+        ]
+        assert r["score"] == pytest.approx(model.forest.predictProbability(Vectors.dense(x))[1], abs=1e-6), r
+        assert r["secret"] == (r["score"] >= 0.5) and not math.isnan(r["score"])
+
+
 def test_findings_with_paths_teach_the_forest(spark, frame):
     import hashlib
 

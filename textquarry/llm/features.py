@@ -85,13 +85,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, row_id
     """doc_id, text, n_chars, label of at most ``max_rows`` labelled rows that are not held out.
 
     The rows with the smallest hashes of their ids are taken, so the sample is
-    the same on every run.  An id labelled twice has its smaller label.
+    the same on every run.  An id labelled twice has its smaller label; of rows that
+    share an id the one with the smallest text hash is taken.
     """
     known = labels.select(F.col(row_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.where(~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows bounds this side, so it may be broadcast at any size of the corpus.
-    return with_meta(docs, row_id).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = with_meta(docs, row_id).join(F.broadcast(known), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars")).alias("r"))
+    return one.select("doc_id", "r.text", "r.n_chars", "label")
 
 
 def with_meta(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
