@@ -9,12 +9,13 @@
    star edges from its smallest member to the others, never all pairs.
 4. Each class is confirmed with its likeliest centre on the full sets, and linked
    classes are merged.
-5. Classes that star edges connect, confirmed or not, are a *family*: any two
-   classes of one bucket are in one family.  In a family that is not one component
-   by now, the members outside its largest component are compared with all its
-   members, on the full sets: small blocks of the former meet small portions of the
-   latter in one task, which counts common shingles through an index and emits
-   only links.  So no pair that shares a bucket is lost, and pairs are not emitted.
+5. A bucket whose classes are one component by now is done.  The others are *mixed*,
+   and classes that mixed buckets connect are a *family*.  In it the members outside
+   its largest component are compared with all its members, on the full sets: small
+   blocks of the former meet small portions of the latter in one task, which counts
+   common shingles through an index and emits only links.  So no pair that shares a
+   bucket is lost, pairs are not emitted, and a group that its centre has joined, of
+   any size, costs nothing more.
 
 With 32 bands of 4 rows a pair at similarity 0.85 shares a bucket with
 probability above 1 - 1e-10 (0.8: 1 - 5e-8).
@@ -229,14 +230,21 @@ def _components(scratch: Scratch, members: DataFrame, texts: DataFrame, k: int,
     links = scratch.write(both.mapInArrow(_confirm(k, num, den), "a long, b long"), "links")
     labels = merge_labels(start, links, scratch)
 
-    families = merge_labels(start, star.select("a", "b"), scratch).select("node", F.col("label").alias("family"))
+    # Buckets that hold classes of several components by now; only pairs in these are still to be compared.
+    named = members.select("bucket", "c").join(labels.select(F.col("node").alias("c"), "label"), "c")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = scratch.write(named.join(mixed, "bucket"), "mixed")
+    if mixed.isEmpty():
+        return labels
+    hubs = mixed.groupBy("bucket").agg(F.min("c").alias("a"))
+    spokes = mixed.join(hubs, "bucket").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    nodes = scratch.write(mixed.select(F.col("c").alias("node"), F.col("c").alias("label")).distinct(), "mixed-classes")
+    families = merge_labels(nodes, spokes, scratch).select("node", F.col("label").alias("family"))
     parts = scratch.write(families.join(labels, "node").groupBy("family", "label").agg(F.count("*").alias("many")), "parts")
-    sizes = parts.groupBy("family").agg(F.max(F.struct("many", (-F.col("label")).alias("l"))).alias("top"), F.sum("many").alias("all"), F.count("*").alias("parts"))
-    sizes = sizes.where("parts > 1").select("family", (-F.col("top.l")).alias("largest"), F.ceil(F.col("all") / PORTION).cast("int").alias("portions"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).cast("int").alias("blocks"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("many", (-F.col("label")).alias("l"))).alias("top"), F.sum("many").alias("all"))
+    sizes = sizes.select("family", (-F.col("top.l")).alias("largest"), F.ceil(F.col("all") / PORTION).cast("int").alias("portions"), F.ceil((F.col("all") - F.col("top.many")) / BLOCK).cast("int").alias("blocks"))
     open_ = families.join(scratch.write(sizes, "sizes"), "family").join(labels, "node")
     open_ = scratch.write(open_.select(F.col("node").alias("c"), "family", "label", "largest", "portions", "blocks"), "open")
-    if open_.isEmpty():
-        return labels
     sets = texts.join(open_.select("c"), "c", "left_semi").mapInArrow(_set_rows(k), "c long, set binary")
     rows = scratch.write(open_.join(sets, "c"), "sets")
     h = F.xxhash64("c")
