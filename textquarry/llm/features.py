@@ -37,13 +37,25 @@ def bag(h: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarr
     return u >> bits, u & ((1 << bits) - 1), n
 
 
+def _byte_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How often each byte stands in each document (documents x 256), a piece of a long text at a time."""
+    out = np.zeros((len(off) - 1, 256), np.int64)
+    if len(out) == 1:
+        for a in range(0, len(buf), K.RUN_BYTES):
+            out[0] += np.bincount(buf[a : a + K.RUN_BYTES], minlength=256)
+    elif len(buf):
+        owner = np.repeat(np.arange(len(out)), np.diff(off))
+        out = np.bincount(owner << 8 | buf, minlength=len(out) << 8).reshape(-1, 256)
+    return out
+
+
 def stats(buf: np.ndarray, off: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, meta: np.ndarray) -> np.ndarray:
     """Structure statistics (documents x STATS) of a run; shares of nothing are 0."""
     n = len(off) - 1
     size = np.diff(off).astype(float)
-    owner = np.repeat(np.arange(n), np.diff(off))
-    per = lambda mask: np.bincount(owner[mask[buf]], minlength=n) if len(buf) else np.zeros(n)
-    lines = np.bincount(owner[buf == 10], minlength=n) + 1.0 if len(buf) else np.ones(n)
+    byte = _byte_counts(buf, off)
+    per = lambda mask: byte[:, mask].sum(axis=1)
+    lines = byte[:, 10] + 1.0
     w = np.bincount(doc, minlength=n).astype(float)
     length = np.bincount(doc, weights=end - start, minlength=n)
     some = lambda a, b: a / np.maximum(b, 1)
@@ -57,7 +69,7 @@ def stats(buf: np.ndarray, off: np.ndarray, h: np.ndarray, doc: np.ndarray, star
     last = buf[end - 1] if len(end) else np.zeros(0, np.uint8)
     out = [
         np.log1p(size), np.log1p(w), np.log1p(lines), some(length, w),
-        some(per(_UPPER), size), some(per(_DIGIT), size), some(per(_SYMBOL), size), some(np.bincount(owner[buf == 124], minlength=n) if len(buf) else np.zeros(n), w),
+        some(per(_UPPER), size), some(per(_DIGIT), size), some(per(_SYMBOL), size), some(byte[:, 124], w),
         some(per(_SPACE), size), some(per(_HIGH), size),
         some(np.bincount(d, minlength=n), w), some(top, w), some(triples, np.maximum(w - 2, 1)), some(np.bincount(doc[same], minlength=n), w),
         some(np.bincount(doc[end - start <= 2], minlength=n), w), some(np.bincount(doc[_SYMBOL[last]], minlength=n), w),
