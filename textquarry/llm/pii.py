@@ -12,7 +12,7 @@ of single other words; whole-segment features (digit count, shape, separators,
 check digit, octets, @ and dots, brackets, the word before) and transitions score
 a segmentation, and dynamic programming over (end, kind) picks boundaries and
 kinds jointly.  It is learnt by maximum likelihood from the base spans of a
-bounded sample of documents (``max_docs``, 2000) and from made-up regions of forms
+bounded sample of documents (``max_docs``, 2000; ``max_regions`` of their regions, 1500) and from made-up regions of forms
 the patterns miss (national phone numbers, grouped numbers, numbers that are
 nothing).  A decoded span is added where it meets no base span.
 
@@ -49,7 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MOST_WORDS, LONGEST_WORD, MOST_GAP = 6, 64, 4
+MOST_WORDS, LONGEST_WORD, MOST_GAP, TAUGHT_WORDS = 6, 64, 4, 24
 _SPACE = re.compile(r"\s+")
 _PIECE, _RUN = re.compile(r"[^\"'<>\[\]{},;:=|&/\\?!#*~^`$]+"), re.compile(r"[^\W_]+(?:@[^\W_]+)?")
 _JOIN = re.compile(r"[^\w\s@]{1,2}|_")
@@ -350,8 +350,16 @@ def made_up(count: int = 900, seed: int = 3) -> list:
     return out
 
 
+def _taught(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The regions to learn from; those of more than ``TAUGHT_WORDS`` words in pieces (one that cuts a span is not learnt from)."""
+    for before, words in regions(text):
+        for a in range(0, len(words), TAUGHT_WORDS):
+            prior = before if a == 0 else text[slice(*words[a - 1])].strip(_STRIP + "()").lower()[:12]
+            yield prior, words[a : a + TAUGHT_WORDS]
+
+
 def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", max_docs: int = 2000, max_regions: int = 1500) -> SemiMarkovField:
-    """The field learnt from the base spans of the ``max_docs`` documents of smallest hashed id."""
+    """The field learnt from the base spans of the ``max_docs`` documents of smallest hashed id, by at most ``max_regions`` distinct regions of them."""
     ids = docs.select(F.col(row_id).alias("__id")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     # max_docs bounds this side, so it may be broadcast at any size of the corpus.
     rows = docs.select(F.col(row_id).alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "__id").select("text")
@@ -361,10 +369,9 @@ def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", max_docs: i
             found = []
             for t in _marked(batch.column(0)):
                 spans = base_spans(t)
-                for before, words in regions(t):
+                for before, words in _taught(t):
                     lo, hi = max(0, words[0][0] - 24), words[-1][1]
-                    if len(words) <= 24:
-                        found.append((t[lo:hi], before, [f"{a - lo}-{b - lo}" for a, b in words], [f"{k}:{a - lo}:{b - lo}" for k, a, b in spans if a < hi and b > words[0][0]]))
+                    found.append((t[lo:hi], before, [f"{a - lo}-{b - lo}" for a, b in words], [f"{k}:{a - lo}:{b - lo}" for k, a, b in spans if a < hi and b > words[0][0]]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([" ".join(x[2]) for x in found]), pa.array([",".join(x[3]) for x in found])], ["t", "before", "words", "spans"])
 
