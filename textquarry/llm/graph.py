@@ -19,21 +19,30 @@ def merge_labels(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataF
     a pass that node may have moved on without the others that bore its name.)
     All state is in written tables.
     """
+    given = labels
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     named = links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    used: list[DataFrame] = []  # tables of the pass before that nothing reads once the links have their new names
     while True:
         open_links = scratch.write(named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open")
+        for table in used:
+            scratch.forget(table)
         if open_links.isEmpty():
             return labels
+        used = [open_links]
         both = open_links.unionAll(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to"))
         hooks = scratch.write(hooks, "hooks")
         for _ in range(2):
             far = hooks.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            used.append(hooks)
             hooks = scratch.write(hooks.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to")), "hooks")
         to = hooks.select(F.col("node").alias("label"), "to")
-        labels = scratch.write(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        used.append(hooks)
+        last, labels = labels, scratch.write(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        if last is not given:
+            scratch.forget(last)
         ta = hooks.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         tb = hooks.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         named = open_links.join(ta, "a").join(tb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
