@@ -85,7 +85,29 @@ def op8_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "deleted", F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def shards_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about op7's result: rows, bytes, shards, whether slots are gapless and shards within a hundredth of equal bytes (or the largest row)."""
+    s = op7_histogram_sort(spark, sf_dir)
+    per = s.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots"), F.max("size").alias("most"))
+    gapless = F.min((F.col("top") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    near = (F.max("bytes") - F.min("bytes")) <= F.greatest(F.sum("bytes") / 8 / 100, F.max("most") * 2)
+    return per.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), gapless.alias("gapless"), near.alias("near_equal"))
+
+
+def mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, rows, tokens, whole: what op10 reads of each source in its first pass, and whether no row is read more than twice."""
+    m = op10_temperature_mixing(spark, sf_dir)
+    most = m.groupBy("source", "doc_id").agg(F.count("*").alias("k")).groupBy("source").agg((F.max("k") <= 2).alias("at_most_twice"))
+    first = m.where("epoch = 0").groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    return first.join(most, "source")
+
+
+ORACLE["shards_law"] = "SELECT count(*) AS n, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes, 8 AS shards, true AS gapless, true AS near_equal FROM documents"
+ORACLE["mix_totals"] = "SELECT source, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens, true AS at_most_twice FROM documents GROUP BY source"
+
 QUERIES = {
+    "shards_law": shards_law,
+    "mix_totals": mix_totals,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
     "op3_flac_media": op3_flac_media,
