@@ -28,6 +28,9 @@ from textquarry.plans import language, paging
 from textquarry.session import Scratch
 
 
+MOST_PATHS = 50
+
+
 class Engine:
     """Calls over one set of entries.  ``index`` names a folder with a stored index, or where to build one.
 
@@ -168,24 +171,38 @@ class Engine:
         owner = self.titles.groupBy("path").agg(F.min(F.struct("ord", "archive")).getField("archive").alias("archive"))
         return hit.join(owner, "path").select("archive", "path", "title")
 
-    def get(self, paths: list[str], view: str = "full", content_offset: int = 0, max_chars: int = 100_000) -> DataFrame:
-        """idx, path, success and the view (full, summary, toc, structure) of each asked entry, in the order asked."""
+    def get(self, paths: list[str], view: str = "full", content_offset: int = 0, max_chars: int = 100_000, style: str | None = None) -> DataFrame:
+        """idx, path, found_by and the view (full, summary, toc, structure, lead) of each asked entry, in the order asked.
+
+        A path is looked up as it is, decoded, without its slash, then by its last segment; ``M/<key>`` gives a
+        metadata value.  Redirects are followed.  At most ``MOST_PATHS`` a call.
+        """
+        if len(paths) > MOST_PATHS:
+            raise ValueError(f"at most {MOST_PATHS} paths a call")
         asked = self.spark.range(1).select(F.posexplode(F.array(*[F.lit(p) for p in paths])).alias("idx", "path"))
-        named = A.fetch(asked, self.entries.select("path", "entry_id"))
+        named = A.fetch_ladder(asked, self.entries.select("path", "entry_id"))
         end = self.entries.select("entry_id", F.col("path").alias("found")).join(self.redirects.select(F.col("path").alias("found"), "canonical"), "found")
         named = named.join(end.select("entry_id", "canonical"), "entry_id", "left")
         b = self.bundles.withColumnRenamed("path", "canonical")
         if view == "summary":
-            b = HT.summary(b, key="canonical").withColumnRenamed("summary", "content")
+            b = HT.summary(b, key="canonical", style=style).withColumnRenamed("summary", "content")
+        elif view == "lead":
+            b = HT.lead_with_contents(b, "canonical").select("canonical", F.concat_ws("\n\n", "lead", F.nullif("contents", F.lit(""))).alias("content"))
         elif view in ("toc", "structure"):
             b = b.select("canonical", F.to_json("sections").alias("content"))
         else:
             b = b.select("canonical", F.substring(F.col("markdown"), F.lit(content_offset + 1), F.lit(max_chars)).alias("content"), "char_count")
-        return named.join(b, "canonical", "left").orderBy("idx")
+        meta = A.metadata_entries(self.entries.where(F.col("path").isin(paths))).select(F.concat(F.lit("M/"), "key").alias("path"), F.col("value").alias("__m")).dropDuplicates(["path"])
+        rows = named.join(b, "canonical", "left").join(meta, "path", "left")
+        return rows.withColumn("content", F.coalesce("__m", "content")).withColumn("success", F.coalesce(F.col("found_by").isin("path", "search") | F.col("content").isNotNull(), F.lit(False))).drop("__m").orderBy("idx")
 
     def section(self, path: str, section_id: str, subsections: bool = True) -> DataFrame:
         return HT.section(self.bundles.where(F.col("path") == path), section_id, "path", subsections)
 
+    def why_no_section(self, path: str, section_id: str) -> DataFrame:
+        """path, reason, n_sections, closest: why a page has no section of an id, and the id most like it."""
+        return HT.closest_sections(self.bundles.where(F.col("path") == path), section_id, "path")
+
     def browse(self, namespace: str, limit: int = 50, offset: int = 0, walk_from: int | None = None, include_assets: bool = False):
         rows = self.entries.withColumn("ns", U.namespace(F.col("path")))
         if not include_assets:

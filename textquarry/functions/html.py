@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions import text as T
+
 # Elements without content, left out, or that begin a block; table and infobox limits.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("script style nav header footer aside noscript template".split())
@@ -225,14 +227,37 @@ def section_text(markdown: Column, section: Column) -> Column:
     return F.substring(markdown, section["char_start"] + 1, section["char_end"] - section["char_start"])
 
 
-def section(bundles_: DataFrame, section_id: str, key: str = "page_id", subsections: bool = True) -> DataFrame:
-    """key, title, text, char_count of the section with an id on each page that has it."""
-    hit = F.get(F.filter("sections", lambda s: s["id"] == section_id), F.lit(0))
-    rows = bundles_.withColumn("__s", hit).where("__s is not null")
-    inner = F.array_min(F.transform(F.filter("sections", lambda s: s["parent_id"] == section_id), lambda s: s["char_start"]))
-    end = F.col("__s.char_end") if subsections else F.least(F.col("__s.char_end"), F.coalesce(inner, F.col("__s.char_end")))
-    text = F.substring("markdown", F.col("__s.char_start") + 1, end - F.col("__s.char_start"))
-    return rows.select(key, F.col("__s.title").alias("title"), text.alias("text"), F.length(text).alias("char_count"))
+NARROW = 20
+
+
+def section(bundles_: DataFrame, section_id: str, key: str = "page_id", subsections: bool = True, max_chars: int = 100_000) -> DataFrame:
+    """key, title, level, parent_id, text, char_count, truncated, widened of the section with an id on each page that has it.
+
+    Without subsections the text ends at the next heading; where that leaves no more than the
+    heading itself (``NARROW`` characters) and a subsection follows, it goes on to that one's end.
+    """
+    at = F.array_position(F.transform("sections", lambda s: s["id"]), section_id).cast("int")
+    rows = bundles_.withColumn("__i", at).where("__i > 0").withColumn("__s", F.element_at("sections", F.col("__i")))
+    own = F.col("__s")
+    later = F.filter(F.slice("sections", F.col("__i") + 1, F.size("sections")), lambda s: s["char_start"] > own["char_start"])
+    rows = rows.withColumns({"__n": F.get(later, F.lit(0)), "__m": F.get(later, F.lit(1))})
+    narrow = F.least(own["char_end"], F.coalesce(F.col("__n.char_start"), own["char_end"]))
+    widened = (narrow - own["char_start"] <= NARROW) & F.coalesce(F.col("__n.level") > own["level"], F.lit(False))
+    # The first subsection, up to the heading after it.
+    child = F.least(F.col("__n.char_end"), F.coalesce(F.col("__m.char_start"), F.col("__n.char_end")))
+    end = own["char_end"] if subsections else F.when(widened, child).otherwise(narrow)
+    text = F.substring("markdown", own["char_start"] + 1, end - own["char_start"])
+    rows = rows.select(key, own["title"].alias("title"), own["level"].alias("level"), own["parent_id"].alias("parent_id"), text.alias("__t"), (widened if not subsections else F.lit(False)).alias("widened"))
+    return rows.select(key, "title", "level", "parent_id", F.substring("__t", 1, max_chars).alias("text"), F.least(F.length("__t"), F.lit(max_chars)).alias("char_count"), (F.length("__t") > max_chars).alias("truncated"), "widened")
+
+
+def closest_sections(bundles_: DataFrame, section_id: str, key: str = "page_id", share: float = 0.6) -> DataFrame:
+    """key, reason, n_sections, closest of the pages without a section of an id: the id that is most like it, in any letter case."""
+    ids = F.transform("sections", lambda s: s["id"])
+    like = lambda i: 1 - F.levenshtein(F.lower(i), F.lit(section_id.lower())) / F.greatest(F.length(i), F.lit(len(section_id)))
+    best = F.array_max(F.transform(ids, lambda i: F.struct(like(i).alias("s"), i.alias("id"))))
+    rows = bundles_.where(~F.array_contains(ids, section_id))
+    return rows.select(key, F.when(F.size("sections") == 0, "no_headings").otherwise("section_not_found").alias("reason"), F.size("sections").cast("long").alias("n_sections"), F.when(best["s"] >= share, best["id"]).alias("closest"))
 
 
 def table_of_contents(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
@@ -254,8 +279,26 @@ def depths(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
     return bundles_.select(key, F.size("sections").cast("long").alias("n_headings"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["level"])), F.lit(0)).alias("max_depth"))
 
 
-def summary(bundles_: DataFrame, n_words: int = 200, key: str = "page_id") -> DataFrame:
-    """key, summary: the first words of the first section, or of the page."""
-    first = F.get("sections", F.lit(0))
-    text = F.when(F.size("sections") > 0, section_text(F.col("markdown"), first)).otherwise(F.col("markdown"))
-    return bundles_.select(key, F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, n_words), " ").alias("summary"))
+#: Words of headings by which a style of summary picks its section.
+STYLES = {"q_and_a": r"(?i)\b(accepted|best|top)?\s*answers?\b"}
+
+
+def summary(bundles_: DataFrame, n_words: int = 200, key: str = "page_id", style: str | None = None) -> DataFrame:
+    """key, summary: the first words of the section that the style asks for, else of the page up to its first section's end.
+
+    The answer of a question page loses the line of its votes.
+    """
+    end = F.coalesce(F.get("sections", F.lit(0))["char_end"], F.length("markdown"))
+    text = F.substring(F.col("markdown"), F.lit(1), end)
+    if style in STYLES:
+        hit = F.get(F.filter("sections", lambda s: s["title"].rlike(STYLES[style])), F.lit(0))
+        answer = F.regexp_replace(section_text(F.col("markdown"), hit), r"^#+ [^\n]*\n*", "")
+        text = F.when(hit.isNotNull(), T.without_votes(F.concat(F.lit("\n"), answer))).otherwise(text)
+    return bundles_.select(key, F.array_join(F.slice(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), 1, n_words), " ").alias("summary"))
+
+
+def lead_with_contents(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, lead, contents: the page up to its first heading of level 2 (the whole page without one), and a list of these headings."""
+    second = F.filter("sections", lambda s: s["level"] == 2)
+    lead = F.when(F.size(second) > 0, F.regexp_replace(F.substring(F.col("markdown"), F.lit(1), F.get(second, F.lit(0))["char_start"]), r"\s+$", "")).otherwise(F.col("markdown"))
+    return bundles_.select(key, lead.alias("lead"), F.array_join(F.transform(second, lambda s: F.concat(F.lit("- "), s["title"])), "\n").alias("contents"))

@@ -100,7 +100,11 @@ def search_terms(path: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(F.try_url_decode(name), name), r"[_\-.+]+", " "))
 
 
+def path_key(c: Column) -> Column:
+    """What is left of a path without case, marks, namespace and extension."""
+    return F.regexp_replace(F.lower(F.regexp_replace(search_terms(c), r"^[A-Za-z-]/", "")), r"[^\p{L}\p{N}]+", "")
+
+
 def same_path(a: Column, b: Column) -> Column:
     """Whether two paths name one entry: without case, marks, namespace and extension."""
-    bare = lambda c: F.regexp_replace(F.lower(F.regexp_replace(search_terms(c), r"^[A-Za-z-]/", "")), r"[^\p{L}\p{N}]+", "")
-    return (bare(a) != "") & (bare(a) == bare(b))
+    return (path_key(a) != "") & (path_key(a) == path_key(b))

@@ -63,6 +63,20 @@ def fetch(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.join(hits, "idx", "left").select("idx", "path", "entry_id", F.col("entry_id").isNotNull().alias("success"))
 
 
+def fetch_ladder(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """idx, path, entry_id, found_by: as ``fetch``, and where no spelling is a path, the entry whose last segment reads the same.
+
+    Refused paths (``urls.climbs``) are not looked up; found_by is path, search, refused or null.
+    """
+    safe = requests.where(~U.climbs(F.col("path")))
+    direct = fetch(safe, entries)
+    lost = direct.where("not success").select("idx", "path").withColumn("k", U.path_key(F.col("path"))).where("k <> ''")
+    near = entries.select("entry_id", U.path_key(F.col("path")).alias("k")).join(small(lost), "k").groupBy("idx").agg(F.min("entry_id").alias("near"))
+    rows = requests.join(direct.select("idx", "entry_id"), "idx", "left").join(near, "idx", "left")
+    by = F.when(U.climbs(F.col("path")), "refused").when(F.col("entry_id").isNotNull(), "path").when(F.col("near").isNotNull(), "search")
+    return rows.select("idx", "path", F.coalesce("entry_id", "near").alias("entry_id"), by.alias("found_by"))
+
+
 def binary(entries: DataFrame, cap: int, content: str = "html") -> DataFrame:
     """entry_id, size, truncated, data: base64 of contents of at most ``cap`` bytes."""
     size = F.octet_length(F.col(content)).cast("long")

@@ -120,6 +120,23 @@ def leakage_floor(hits: DataFrame, query: str, path: str, archive: str = "source
     return kept.where((F.col(archive) == F.col("__primary")) | (F.col("__n") <= most)).withColumn("is_primary", F.col(archive) == F.col("__primary")).drop("__primary", "__most", "__n")
 
 
+def shared_words(query: Column, text: Column) -> Column:
+    """The share of the query's words that stand in a text: a plain scorer of pairs."""
+    q = F.array_distinct(T.words(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.words(text))) / F.size(q)).otherwise(0.0)
+
+
+def rerank(ranked: DataFrame, query: str, text: str, scorer=shared_words, least: int = 4, cut: tuple[int, int] = (256, 512)) -> DataFrame:
+    """A page of hits by a scorer of (query, text): ``rerank_score`` and ``new_rn``.
+
+    Queries of fewer than ``least`` words keep their ranking; query and texts are cut to what a model reads.
+    """
+    if len(parsed_query(query)) < least:
+        return ranked.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("new_rn", F.col("rn"))
+    rows = ranked.withColumn("rerank_score", F.round(scorer(F.lit(query[: cut[0]]), F.substring(text, 1, cut[1])), 6))
+    return rows.withColumn("new_rn", F.row_number().over(Window.orderBy(F.desc("rerank_score"), "rn")))
+
+
 def weak_result(hits: DataFrame, query: str, title: str) -> DataFrame:
     """One row: hits, strong (hits sharing a stem with the query), low_relevance."""
     q = T.relevance_tokens(F.lit(query))

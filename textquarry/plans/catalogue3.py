@@ -540,6 +540,50 @@ def page_section_fetch(spark, sf):
     return HT.section(made_bundles(spark, sf), "at-2").select("page_id", "title", "text")
 
 
+@query(PAGES_SQL + """, h AS (SELECT k, '## ' || t || chr(10) || 'Text about ' || t || '. x' || chr(10) AS md FROM n WHERE i = 1), o AS (SELECT k, t, '# ' || t || chr(10) || 'pic out ' || chr(10) AS own FROM r)
+SELECT k AS page_id, t AS title, 1 AS level, own || CASE WHEN length(own) <= 20 THEN md ELSE '' END AS text, length(own) <= 20 AS widened FROM o JOIN h USING (k)""")
+def page_section_alone(spark, sf):
+    key = F.concat(F.lit("top-"), F.col("page_id").cast("string"))
+    b = made_bundles(spark, sf).withColumn("sections", F.transform("sections", lambda s: F.when(s["id"] == key, s.withField("id", F.lit("top"))).otherwise(s)))
+    return HT.section(b, "top", subsections=False).select("page_id", "title", "level", "text", "widened")
+
+
+@query(PAGES_SQL + f" SELECT k AS page_id, 'section_not_found' AS reason, count(*) + 1 AS n_sections, 'at-2' AS closest FROM n GROUP BY k")
+def page_section_closest(spark, sf):
+    return HT.closest_sections(made_bundles(spark, sf), "AT-22")
+
+
+@query(PAGES_SQL + " SELECT r.k AS page_id, '# ' || r.t || chr(10) || 'pic out' AS lead, (SELECT string_agg('- ' || n.t, chr(10) ORDER BY n.i) FROM n WHERE n.k = r.k) AS contents FROM r")
+def page_lead(spark, sf):
+    return HT.lead_with_contents(made_bundles(spark, sf))
+
+
+@query(PAGES_SQL + " SELECT k AS page_id, '# ' || t || ' pic out' AS summary FROM r")
+def page_summary(spark, sf):
+    b = made_bundles(spark, sf)
+    # The first heading's section is the whole page, so pages are cut where their second heading begins.
+    lead = b.withColumn("sections", F.transform("sections", lambda s: s.withField("char_end", F.least(s["char_end"], F.coalesce(F.get("sections", F.lit(1))["char_start"], s["char_end"])))))
+    return HT.summary(lead, 60)
+
+
+@query(RANKED + f", q AS (SELECT list_distinct(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}]+')) AS w), x AS (SELECT doc_id, rn, round(len(list_intersect(w, regexp_extract_all(lower(substr(text, 1, 512)), '[\\p{{L}}\\p{{N}}]+'))) / len(w), 6) AS rerank_score FROM t, q) SELECT *, row_number() OVER (ORDER BY rerank_score DESC, rn) AS new_rn FROM x")
+def rerank_page(spark, sf):
+    return S.rerank(S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20), QUERY, "text").select("doc_id", "rn", "rerank_score", "new_rn")
+
+
+LADDER_KEY = "regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_extract(split_part(split_part({0}, '?', 1), '#', 1), '([^/]*)/*$', 1), '\\.(html?|md|php)$', ''), '[_.+-]+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+@query("WITH e AS (SELECT p_partkey AS entry_id, 'C/' || replace(p_name, ' ', '_') || '_' || p_partkey AS path FROM part), r AS (SELECT entry_id * 4 + i AS idx, CASE i WHEN 0 THEN path WHEN 1 THEN '/' || path WHEN 2 THEN upper(replace(substr(path, 3), '_', '-')) || '.html' ELSE '../' || path END AS path FROM e, (SELECT unnest([0, 1, 2, 3]) AS i)),"
+ f" k AS (SELECT entry_id, path, {LADDER_KEY.format('path')} AS k FROM e) SELECT idx, r.path, CASE idx % 4 WHEN 0 THEN idx // 4 WHEN 1 THEN idx // 4 WHEN 2 THEN (SELECT min(entry_id) FROM k WHERE k.k = {LADDER_KEY.format('r.path')}) END AS entry_id, CASE idx % 4 WHEN 0 THEN 'path' WHEN 1 THEN 'path' WHEN 2 THEN CASE WHEN (SELECT min(entry_id) FROM k WHERE k.k = {LADDER_KEY.format('r.path')}) IS NOT NULL THEN 'search' END ELSE 'refused' END AS found_by FROM r")
+def fetch_by_ladder(spark, sf):
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.concat(F.lit("C/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")).alias("path"))
+    path = F.col("path")
+    forms = F.array(path, F.concat(F.lit("/"), path), F.concat(F.upper(F.replace(F.substring(path, F.lit(3), F.length(path)), F.lit("_"), F.lit("-"))), F.lit(".html")), F.concat(F.lit("../"), path))
+    r = e.select("entry_id", F.posexplode(forms).alias("i", "path")).select((F.col("entry_id") * 4 + F.col("i")).alias("idx"), "path")
+    return A.fetch_ladder(r, e)
+
+
 @query(PAGES_SQL + " SELECT k AS page_id, t AS title, 0 AS found FROM r")
 def page_title_bundle(spark, sf):
     b = made_bundles(spark, sf)
