@@ -87,6 +87,51 @@ def test_engine_synthesize_and_ask(engine):
     assert engine.ask("search for rivers")[1].total == 2
 
 
+def test_engine_answers_words_titles_and_ladders(engine):
+    assert engine.search(" ?! ").meta["reason"] == "0_hits" and engine.search("rivers", namespace="Q").meta["reason"] == "bad_namespace"
+    lost = engine.search("Rhein zzz")
+    assert lost.meta["reason"] == "0_hits" and all(x["type"] in ("alt_spelling", "alt_archive") for x in lost.meta["suggestions"])
+    assert {"type": "alt_archive", "value": "two"} not in engine.recovery("one", "0_hits") and engine.recovery("about archive two2", "low_relevance") == []
+    assert "**Rhine**" in engine.search("rhine").results[0]["snippet"]
+    assert engine.promoted("the capital").collect()[0]["path"] == "C/Berlin"  # by a redirect
+    got = engine.get(["RHINE", "C/Berlin", "../x", "M/Title"]).collect()
+    assert [(r["found_by"], r["success"]) for r in got] == [("search", True), ("path", True), ("refused", False), ("path", True)] and got[3]["content"] == "An archive"
+    with pytest.raises(ValueError):
+        engine.get(["x"] * 51)
+    assert engine.get(["C/Berlin"], "lead").first()["content"].endswith("- Geography\n- Geography")
+    why = engine.why_no_section("C/Berlin", "Geografy").first()
+    assert (why["reason"], why["closest"]) == ("section_not_found", "geography")
+
+
+@pytest.mark.parametrize(("request_", "kind", "test"), [
+    ("table of contents of Berlin", "toc", lambda r: '"geography"' in r.first()["content"]),
+    ("summary of the Rhine", "summary", lambda r: r.first()["content"].startswith("# Rhine")),
+    ("links in Berlin", "links", lambda r: len(r.results) == 5),
+    ("articles related to List of rivers", "related", lambda r: r.results[0]["target"] == "C/Rhine.html"),
+    ("get the geography section of Berlin", "get_section", lambda r: r.first()["title"] == "Geography"),
+    ("main page", "main_page", lambda r: r.count() == 2),
+    ("walk namespace C", "walk_namespace", lambda r: r.results[0]["entry_id"] == 0),
+    ("browse namespace M", "browse", lambda r: [x["path"] for x in r.results] == ["M/Title"]),
+    ("get the articles Berlin and Rhine", "get_zim_entries", lambda r: [x["success"] for x in r.collect()] == [True, True]),
+    ("find the article titled Rhine", "find_by_title", lambda r: r.results[0]["path"] == "C/Rhine.html"),
+    ("search all files for rivers", "search_all", lambda r: r.total == 2),
+])
+def test_engine_reads_requests(engine, request_, kind, test):
+    got, result = engine.ask(request_)
+    assert got == kind and test(result)
+
+
+def test_engine_answers_without_hits_by_title_and_lets_go(spark, entries):
+    engine = Engine(entries)
+    passages, _ = engine.synthesize("capital")
+    assert [r["path"] for r in passages.collect()][0] == "C/Berlin"
+    root = engine.index
+    engine.close()
+    assert "bundles" not in engine.__dict__ and "index" not in engine.__dict__
+    again = Engine(entries, root + "-kept")
+    assert again.search("rhine").total == 3 and Engine(entries, root + "-kept").index == root + "-kept"
+
+
 def test_redirects(spark):
     chain = [(f"p{i}", f"p{i + 1}") for i in range(12)] + [("p12", None), ("a", "b"), ("b", "a"), ("d", "gone")]
     got = {r["path"]: (r["canonical"], r["state"]) for r in links.resolve_redirects(spark.createDataFrame(chain, "path string, redirect_to string")).collect()}
