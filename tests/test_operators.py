@@ -32,6 +32,18 @@ def test_bundle():
     assert bundle(None)["markdown"] == "" and bundle("<b>open <p>x")["char_count"] > 0
 
 
+def test_bundle_leaves_furniture_out():
+    page = """<body><h1>Site</h1><div class="ad">buy</div><article><h1>Heart</h1><div class="hatnote">other <div>uses</div></div><p>It beats<sup class="reference">[1]</sup>.</p><figure><img src="x.png"><figcaption>pic</figcaption></figure>
+    <h2>Learn More</h2><p>links</p><h3>Sub</h3><p>more</p><h2>Parts</h2><p>Four.</p><h2>Review Date 2/10/2023</h2><p>by</p></article><p>foot <a href="z">z</a></p></body>"""
+    b = bundle(page)
+    assert [s["title"] for s in b["sections"]] == ["Heart", "Parts"] and b["markdown"].split() == "# Heart It beats. ## Parts Four.".split()
+    assert [x["url"] for x in b["links"]][-1] == "z"
+    assert [s["char_end"] for s in b["sections"]] == [len(b["markdown"])] * 2
+    empty = bundle("<article> </article><p>text</p>")
+    assert empty["markdown"].strip() == "text" and bundle("<article>a</article><article>b</article>")["markdown"].split() == ["a", "b"]
+    assert bundle("<h1>Learn more</h1><p>kept without a landmark</p>")["sections"][0]["title"] == "Learn more"
+
+
 @pytest.fixture(scope="module")
 def entries(spark):
     rows = [

@@ -19,7 +19,14 @@ from textquarry.functions import text as T
 
 # Elements without content, left out, or that begin a block; table and infobox limits.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style nav header footer aside noscript template".split())
+SKIPPED = frozenset("script style nav header footer aside noscript template figure figcaption".split())
+NOISE = frozenset("reflist mw-editsection thumb thumbcaption gallery hatnote sidebar navbox reference cite_ref mw-collapsible-toggle geo-default geo-dms geo-dec geo-nondefault geo-multi-punct".split())
+LANDMARKS = ("article", "main")
+FURNITURE = frozenset((
+    "test your knowledge", "see, play and learn", "find an expert", "patient handouts", "related issues", "related health topics", "related medlineplus health topics",
+    "learn more", "review date", "reference desk", "videos and tutorials",
+))
+FURNITURE_START = "review date "
 BLOCKS = frozenset("p div section article main ul ol li table tr blockquote pre dl dt dd figure h1 h2 h3 h4 h5 h6 hr br".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 TABLE_ROWS, TABLE_CHARS, INFOBOX_ROWS = 8, 600, 30
@@ -35,9 +42,20 @@ def slugify(heading: str) -> str:
     return re.sub(r"[^\w-]", "", s)
 
 
+def _furniture(heading: str) -> bool:
+    """Whether a heading stands over something that is no part of the article."""
+    text = " ".join(heading.split()).lower().rstrip(".:;,!?")
+    return text in FURNITURE or text.startswith(FURNITURE_START)
+
+
 class _Page(HTMLParser):
-    def __init__(self):
+    """One pass over a page.  With a landmark only what stands in that element is text; links are taken from everywhere."""
+
+    def __init__(self, landmark: str | None = None):
         super().__init__(convert_charrefs=True)
+        self.landmark, self.inside = landmark, 0
+        self.hidden: list | None = None  # an element of a noise class: its tag, and how many of that tag are open
+        self.dropped: int | None = None  # the level of a heading whose section is left out
         self.parts: list[str] = []
         self.size = 0
         self.title, self.in_title = "", False
@@ -52,6 +70,8 @@ class _Page(HTMLParser):
         self.infobox: list[tuple[str, str]] = []
 
     def _write(self, s: str) -> None:
+        if self.landmark and not self.inside or self.dropped is not None:
+            return
         if self.tables:
             self.tables[-1]["cell"].append(s)
         else:
@@ -68,6 +88,13 @@ class _Page(HTMLParser):
         a = dict(attrs)
         if tag == "title":
             self.in_title = True
+        if tag == self.landmark:
+            self.inside += 1
+        if self.hidden is not None:
+            self.hidden[1] += tag == self.hidden[0]
+        elif tag not in VOID and NOISE & set((a.get("class") or "").split()):
+            self.hidden = [tag, 1]
+            self.skip += 1
         if tag in SKIPPED:
             self.skip += 1
         if self.skip and tag != "a":
@@ -89,9 +116,11 @@ class _Page(HTMLParser):
         elif self.tables and tag in ("td", "th"):
             self.tables[-1]["cell"] = []
         elif tag in HEADINGS:
+            if self.dropped is not None and int(tag[1]) <= self.dropped:
+                self.dropped = None
             self._break()
             source = "id" if a.get("id") else "preceding_anchor" if self.anchor_id else "slug"
-            self.heading = {"level": int(tag[1]), "text": "", "id": a.get("id") or self.anchor_id, "source": source, "start": self.size}
+            self.heading = {"level": int(tag[1]), "text": "", "id": a.get("id") or self.anchor_id, "source": source, "start": self.size, "part": len(self.parts), "kept": (not self.landmark or self.inside > 0) and self.dropped is None}
             self.anchor_id = None
             self._write("#" * int(tag[1]) + " ")
         elif tag in ("b", "strong"):
@@ -109,6 +138,14 @@ class _Page(HTMLParser):
             self.in_title = False
         if tag == "a":
             self.link = None
+        if tag == self.landmark:
+            self.inside = max(0, self.inside - 1)
+        if self.hidden is not None and tag == self.hidden[0]:
+            self.hidden[1] -= 1
+            if not self.hidden[1]:
+                self.hidden = None
+                self.skip = max(0, self.skip - 1)
+                return
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
             return
@@ -125,8 +162,13 @@ class _Page(HTMLParser):
         elif tag in ("b", "strong"):
             self._write("**")
         elif tag in HEADINGS and self.heading is not None:
-            self.headings.append(self.heading)
-            self.heading = None
+            h, self.heading = self.heading, None
+            if self.landmark and h["kept"] and _furniture(h["text"]):
+                self.dropped = h["level"]
+                del self.parts[h["part"] :]
+                self.size = h["start"]
+            elif h["kept"]:
+                self.headings.append(h)
             self._break()
         elif tag in BLOCKS:
             self._break()
@@ -177,14 +219,24 @@ def link_kind(href: str) -> str:
     return "external" if re.match(r"(https?:)?//", low) else "internal"
 
 
-def bundle(html: str | None) -> dict:
-    """The bundle of one page; all fields are empty for a null."""
-    p = _Page()
-    p.feed(html or "")
+def _parsed(text: str, landmark: str | None) -> _Page:
+    p = _Page(landmark)
+    p.feed(text)
     p.close()
     while p.tables:
         p._table(p.tables.pop())
-    if p.heading is not None:
+    return p
+
+
+def bundle(html: str | None) -> dict:
+    """The bundle of one page; all fields are empty for a null."""
+    text = html or ""
+    # The article is in the one element of its kind, if there is one and it holds text.
+    landmark = next((t for t in LANDMARKS if len(re.findall(rf"<{t}[\s>]", text, re.I)) == 1), None)
+    p = _parsed(text, landmark)
+    if landmark and not "".join(p.parts).strip():
+        p = _parsed(text, None)
+    if p.heading is not None and p.heading["kept"]:
         p.headings.append(p.heading)
     text = "".join(p.parts)
     sections, seen, stack = [], {}, []

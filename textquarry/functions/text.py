@@ -10,6 +10,7 @@ LIST_PREFIX = r"(?i)^((lists?|index|outline|glossary|timeline|bibliography)_of_|
 LIST_SUFFIX = r"(?i)_(discography|filmography|videography|bibliography|appearances_and_filmography|awards_and_nominations|awards_and_honou?rs|honou?rs_and_awards)$"
 PSEUDO_PATHS = ("M/", "X/", "-/")
 PSEUDO_TITLES = ("File:", "Category:", "Template:")
+MORE_PSEUDO_TITLES = ("User:", "Wikipedia:", "Help:")
 ASSET_EXTENSIONS = "jpg jpeg png gif svg webp bmp ico tif tiff eot otf ttf woff woff2 css js mjs json pdf zip gz mp4 webm mp3 ogg wav avi mov m4a".split()
 ASSET_MIMES = (
     "text/css application/javascript text/javascript application/json application/pdf application/zip application/gzip "
@@ -135,11 +136,12 @@ def is_disambiguation(path: Column) -> Column:
     return F.lower(path).rlike(r"[_ ]\(disambiguation\)$")
 
 
-def is_pseudo_entry(path: Column, title: Column) -> Column:
+def is_pseudo_entry(path: Column, title: Column, extended: bool = False) -> Column:
+    """Whether an entry is of the archive's own and no article; ``extended`` adds user, project and help pages."""
     out = F.lit(False)
     for p in PSEUDO_PATHS:
         out = out | path.startswith(p)
-    for t in PSEUDO_TITLES:
+    for t in PSEUDO_TITLES + (MORE_PSEUDO_TITLES if extended else ()):
         out = out | title.startswith(t)
     return out
 

@@ -79,7 +79,7 @@ def suggest_ranked(hits: DataFrame, titles: DataFrame, prefix: str, limit: int =
     p = prefix.lower().strip()
     low = F.lower("title")
     kind = lambda name: F.when(low.startswith(p), f"{name}_start_match").otherwise(f"{name}_contains_match")
-    pool = hits.where((F.col("rn") <= 5 * limit) & (F.trim("title") != "") & ~T.is_pseudo_entry(F.col("path"), F.col("title")))
+    pool = hits.where((F.col("rn") <= 5 * limit) & (F.trim("title") != "") & ~T.is_pseudo_entry(F.col("path"), F.col("title"), True))
     pool = pool.groupBy("title").agg(F.min(F.struct("rn", "path")).alias("m")).select("title", "m.path", "m.rn").where(low.contains(p))
     first = pool.orderBy("rn").limit(limit).select("path", "title", kind("search").alias("match_type"), F.col("rn").cast("long").alias("o"))
     index = titles.where(low.contains(p) & (F.length(F.trim("title")) >= 2) & ~T.is_pseudo_entry(F.col("path"), F.col("title")))
