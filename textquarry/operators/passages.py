@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +89,19 @@ def content_pages(docs: DataFrame, size: int, text: str = "text", row_id: str =
     return rows.select(row_id, "page_no", (F.col("page_no") * size).alias("char_offset"), F.least(F.lit(size), F.col("__n") - F.col("page_no") * size).alias("n_chars"))
 
 
-def snippet(text: Column, term: str) -> Column:
-    """The first line that holds the word, else the first line."""
+def places(docs: DataFrame, mark: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """id, at: every place (from 1) at which a mark stands in a text, from left to right without overlap."""
+    rows = docs.select(row_id, F.col(text).alias("__t")).withColumn("__r", F.monotonically_increasing_id())
+    parts = rows.select(row_id, "__r", F.posexplode(F.split("__t", re.escape(mark))).alias("i", "part"))
+    upto = F.sum(F.length("part") + len(mark)).over(Window.partitionBy("__r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead("i").over(Window.partitionBy("__r").orderBy("i")).isNull()
+    return parts.select(row_id, (upto - len(mark) + 1).cast("int").alias("at"), last.alias("__l")).where(~F.col("__l")).drop("__l")
+
+
+def snippet(text: Column, *terms: str) -> Column:
+    """The first line that holds one of the words, else the first line."""
     lines = F.split(text, "\n")
-    hit = F.filter(lines, lambda x: F.array_contains(T.words(x), term))
+    hit = F.filter(lines, lambda x: F.arrays_overlap(T.words(x), F.array(*[F.lit(t) for t in terms])))
     return F.coalesce(F.get(hit, F.lit(0)), F.get(lines, F.lit(0)))
 
 

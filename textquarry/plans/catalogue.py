@@ -98,14 +98,14 @@ def rrf_fusion(spark, sf):
     return S.rrf(by_score.select("doc_id", "rn").unionByName(by_length.select("doc_id", "rn")))
 
 
-@query(bm25_sql() + f""", top AS (SELECT * FROM (SELECT source, doc_id, score, substr(text, 1, 80) AS path, {PER_SOURCE} AS rn FROM hits) WHERE rn <= 10),
+@query(bm25_sql() + f""", top AS (SELECT * FROM (SELECT source, doc_id, score, split_part(text, chr(10), 1) AS path, {PER_SOURCE} AS rn FROM hits) WHERE rn <= 10),
 o AS (SELECT *, len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(path), '[a-z0-9]+'), lambda x: length(x) >= 3)), ['that', 'with', 'tion', 'pour'])) AS overlap FROM top),
 p AS (SELECT source AS ps, overlap AS pmax FROM (SELECT source, overlap, score, doc_id FROM o) ORDER BY overlap DESC, score DESC, doc_id LIMIT 1),
 k AS (SELECT o.*, source = ps AS is_primary, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS kn FROM o, p WHERE source = ps OR overlap >= 1 OR pmax = 0)
 SELECT source, doc_id, score, overlap, is_primary FROM k WHERE is_primary OR kn <= 2""")
 def cross_archive_floor(spark, sf):
     hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
-    top = S.top_per_group(hits.select("source", "doc_id", "score", F.substring("text", 1, 80).alias("path")), "source", 10).drop("rn")
+    top = S.top_per_group(hits.select("source", "doc_id", "score", F.split_part("text", F.lit("\n"), F.lit(1)).alias("path")), "source", 10).drop("rn")
     return S.leakage_floor(top, QUERY, "path").select("source", "doc_id", "score", "overlap", "is_primary")
 
 

@@ -17,7 +17,7 @@ from textquarry.operators import links as L
 from textquarry.operators import passages as P
 from textquarry.operators import promote as PR
 from textquarry.operators import search as S
-from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TOP, bm25_sql, docs_of, query
+from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TERMS, TOP, bm25_sql, docs_of, query
 from textquarry.session import Scratch
 
 PATH = "regexp_replace(url, '^[a-z]+://', '')"
@@ -191,24 +191,23 @@ def section_offsets(spark, sf):
     return P.sections(docs_of(spark, sf)).select("doc_id", "pos", "char_start", "char_end")
 
 
-@query(SECTIONS_SQL + """, a AS (SELECT doc_id, instr(text, ' that ') AS "at" FROM documents WHERE instr(text, ' that ') > 0)
+@query(SECTIONS_SQL + """, p AS (SELECT doc_id, unnest(string_split(text, ' that ')) AS part, unnest(range(0, len(string_split(text, ' that ')))) AS i FROM documents), q AS (SELECT doc_id, i, sum(length(part) + 6) OVER (PARTITION BY doc_id ORDER BY i) - 5 AS "at", count(*) OVER (PARTITION BY doc_id) AS n FROM p), a AS (SELECT doc_id, "at" FROM q WHERE i < n - 1)
 SELECT a.doc_id, CAST("at" AS INTEGER) AS "at", CAST(pos AS INTEGER) AS section_pos, CAST(s AS INTEGER) AS section_start, CAST(s + length(line) AS INTEGER) AS section_end FROM a JOIN sec ON sec.doc_id = a.doc_id AND "at" >= s AND "at" < s + length(line)""")
 def passage_section_attribution(spark, sf):
     d = docs_of(spark, sf)
-    at = F.instr(F.col("text"), F.lit(" that "))
-    return P.attributed(d.where(at > 0).select("doc_id", at.alias("at")), P.sections(d).select("doc_id", "pos", "char_start", "char_end"), "doc_id")
+    return P.attributed(P.places(d, " that "), P.sections(d).select("doc_id", "pos", "char_start", "char_end"), "doc_id")
 
 
 RANKED = bm25_sql() + f", r AS (SELECT doc_id, text, source, score, {TOP} AS rn FROM hits), t AS (SELECT * FROM r WHERE rn <= 20)"
 
 
-@query(RANKED + """, h AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+'), lambda x: length(x) >= 1)) AS w, min(score) OVER (ORDER BY rn) AS f FROM t),
+@query(RANKED + """, h AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+'), lambda x: length(x) >= 1)) AS w, min(score) OVER (ORDER BY rn) AS f FROM t),
 a AS (SELECT doc_id, rn, score, CASE WHEN len(w) > 0 THEN len(list_intersect(w, ['that', 'with', 'tion', 'f', 'r', 'pour'])) / len(w) ELSE 0 END >= 0.1 AS affine, f FROM h),
 b AS (SELECT doc_id, rn, score, affine, round(CASE WHEN affine THEN f * 1.5 ELSE f END, 6) AS boosted FROM a)
 SELECT *, row_number() OVER (ORDER BY boosted DESC, rn) AS new_rn FROM b""")
 def section_affinity_boost(spark, sf):
     ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20)
-    return P.affinity(ranked.withColumn("h", F.substring("text", 1, 60)), QUERY, "h", threshold=0.1).select("doc_id", "rn", "score", "affine", "boosted", "new_rn")
+    return P.affinity(ranked.withColumn("h", F.split_part("text", F.lit("\n"), F.lit(1))), QUERY, "h", threshold=0.1).select("doc_id", "rn", "score", "affine", "boosted", "new_rn")
 
 
 @query(RANKED + ", b AS (SELECT doc_id, rn, length(text) AS n_chars, least(length(text), 4800 - (sum(length(text)) OVER (ORDER BY rn) - length(text))) AS kept FROM t) SELECT doc_id, rn, CAST(n_chars AS INTEGER) AS n_chars, CAST(kept AS BIGINT) AS kept FROM b WHERE kept > 0")
@@ -217,34 +216,36 @@ def budget_enforce(spark, sf):
     return P.within_budget(ranked, 4800)
 
 
-@query(bm25_sql() + """, w AS (SELECT list_distinct(list_filter(regexp_extract_all(translate(lower(substr(text, 1, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS w FROM hits),
+@query(bm25_sql() + """, w AS (SELECT list_distinct(list_filter(regexp_extract_all(translate(lower(split_part(text, chr(10), 1)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+'), lambda x: length(x) >= 3)) AS w FROM hits),
 s AS (SELECT len(list_filter(w, lambda a: a IN ('that', 'with', 'tion', 'pour') OR starts_with(a, 'that') OR starts_with(a, 'with') OR starts_with(a, 'tion') OR starts_with(a, 'pour') OR (length(a) >= 4 AND (starts_with('that', a) OR starts_with('with', a) OR starts_with('tion', a) OR starts_with('pour', a))))) > 0 AS strong FROM w)
 SELECT count(*) AS hits, count(*) FILTER (WHERE strong) AS strong, count(*) > 0 AND count(*) FILTER (WHERE strong) = 0 AS low_relevance FROM s""")
 def weak_result_flag(spark, sf):
     hits = S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY)
-    return S.weak_result(hits.select(F.substring("text", 1, 60).alias("h")), QUERY, "h")
+    return S.weak_result(hits.select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("h")), QUERY, "h")
 
 
 @query(bm25_sql() + """, k AS (SELECT source, doc_id, text, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rn FROM hits),
 f AS (SELECT source, doc_id, text, round(1.0 / (60 + rn), 9) AS rrf FROM k WHERE rn <= 10), o AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, doc_id) AS rn FROM f),
-t AS (SELECT * FROM o WHERE rn <= 5), p AS (SELECT source || '/' || doc_id AS cite_id, rn, coalesce(list_filter(string_split(text, chr(10)), lambda x: list_contains(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), 'that'))[1], string_split(text, chr(10))[1]) AS passage FROM t),
+t AS (SELECT * FROM o WHERE rn <= 5), p AS (SELECT source || '/' || doc_id AS cite_id, rn, coalesce(list_filter(string_split(text, chr(10)), lambda x: list_has_any(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), ['that', 'with', 'tion', 'für', 'pour']))[1], string_split(text, chr(10))[1]) AS passage FROM t),
 b AS (SELECT cite_id, rn, passage, least(length(passage), 4800 - (sum(length(passage)) OVER (ORDER BY rn) - length(passage))) AS kept FROM p)
 SELECT cite_id, rn, substr(passage, 1, CAST(kept AS INTEGER)) AS passage, CAST(kept AS BIGINT) AS kept FROM b WHERE kept > 0""")
 def synthesize_citations(spark, sf):
     hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
     top = S.top_per_group(hits, "source", 10)
     fused = top.withColumn("score", F.round(F.lit(1.0) / (F.lit(60) + F.col("rn")), 9)).drop("rn")
-    p = S.page(fused, 5).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("cite_id"), "rn", P.snippet(F.col("text"), "that").alias("passage"))
+    p = S.page(fused, 5).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("cite_id"), "rn", P.snippet(F.col("text"), *TERMS).alias("passage"))
     kept = P.within_budget(p.withColumn("n_chars", F.length("passage")), 4800)
     return kept.select("cite_id", "rn", F.substring(F.col("passage"), F.lit(1), F.col("kept").cast("int")).alias("passage"), "kept")
 
 
-@query("""WITH b AS (SELECT user_id, max(ts) AS mtime, count(*) AS size FROM events WHERE event_id % 2 = 0 GROUP BY user_id), a AS (SELECT user_id, max(ts) AS mtime, count(*) AS size FROM events WHERE event_type <> 'error' AND (event_id % 3 = 0 OR user_id % 5 = 0) GROUP BY user_id)
-SELECT coalesce(a.user_id, b.user_id) AS path, CASE WHEN b.user_id IS NULL THEN 'added' WHEN a.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.user_id = b.user_id WHERE b.user_id IS NULL OR a.user_id IS NULL OR a.mtime IS DISTINCT FROM b.mtime OR a.size IS DISTINCT FROM b.size""")
+@query("""WITH b AS (SELECT user_id, event_type, max(ts) AS mtime, count(*) AS size FROM events WHERE ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) GROUP BY user_id, event_type), a AS (SELECT user_id, event_type, max(ts) AS mtime, count(*) AS size FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type)
+SELECT coalesce(a.user_id, b.user_id) || '/' || coalesce(a.event_type, b.event_type) AS path, CASE WHEN b.user_id IS NULL THEN 'added' WHEN a.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE b.user_id IS NULL OR a.user_id IS NULL OR a.mtime IS DISTINCT FROM b.mtime OR a.size IS DISTINCT FROM b.size""")
 def snapshot_diff(spark, sf):
     e = table(spark, sf, "events")
-    snap = lambda where: e.where(where).groupBy(F.col("user_id").alias("path")).agg(F.max("ts").alias("mtime"), F.count("*").alias("size"))
-    return C.diff(snap("event_id % 2 = 0"), snap("event_type <> 'error' and (event_id % 3 = 0 or user_id % 5 = 0)"))
+    path = F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path")
+    snap = lambda rows: rows.groupBy(path).agg(F.max("ts").alias("mtime"), F.count("*").alias("size"))
+    half = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half"))  # one row
+    return C.diff(snap(e.join(F.broadcast(half)).where("ts < half")), snap(e.where("event_type <> 'error'")))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q)
@@ -414,13 +415,6 @@ def sample_entries(spark, sf):
     return A.sample(page_entries(spark, sf), 25, "17")
 
 
-@query("SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '(?i)\\b(that)\\b', '**\\1**') AS line FROM documents WHERE regexp_matches(split_part(text, chr(10), 1), '^[ -~]*\\bthat\\b[ -~]*$') AND NOT contains(lower(split_part(text, chr(10), 1)), '*')")
-def snippet_highlight(spark, sf):
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    rows = docs_of(spark, sf).where(line.rlike(r"^[ -~]*\bthat\b[ -~]*$") & ~F.contains(line, F.lit("*")))
-    return rows.select("doc_id", SN.highlight(["that"], 1)(line).alias("line"))
-
-
 @query()
 def snippet_highlight_whole(spark, sf):
     """The five terms in whole texts of all rows, with the default number of hits; SQL cannot count hits or skip zones."""

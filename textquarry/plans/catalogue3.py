@@ -473,10 +473,10 @@ def stored_link_graph(spark, sf):
     return GS.linkers(edges, nodes, top["path"] if top else "", 10)
 
 
-@query(LINKS + """, e AS (SELECT DISTINCT target AS path, 'about ' || target AS title FROM links WHERE target IS NOT NULL AND length(target) % 2 = 0) SELECT page_id, pos, target, e.title AS target_title FROM links LEFT JOIN e ON e.path = target""")
+@query(LINKS + """, e AS (SELECT DISTINCT target AS path, 'about ' || target AS title FROM links WHERE target IS NOT NULL AND contains(target, 'e')) SELECT page_id, pos, target, e.title AS target_title FROM links LEFT JOIN e ON e.path = target""")
 def link_titles(spark, sf):
     links = page_links(spark, sf)
-    e = links.where("target is not null and length(target) % 2 = 0").select(F.col("target").alias("path"), F.concat(F.lit("about "), "target").alias("title")).distinct()
+    e = links.where(F.contains("target", F.lit("e"))).select(F.col("target").alias("path"), F.concat(F.lit("about "), "target").alias("title")).distinct()
     return L.with_titles(links.select("page_id", "pos", "target"), e)
 
 
