@@ -144,6 +144,18 @@ def test_engine_answers_without_hits_by_title_and_lets_go(spark, entries):
     assert again.search("rhine").total == 3 and Engine(entries, root + "-kept").index == root + "-kept"
 
 
+def test_passages_find_the_smallest_section_around_them(spark):
+    import random
+
+    rng = random.Random(3)
+    sections = [(d, i, a, a + rng.choice((1, 40, 700, 3000))) for d in range(3) for i, a in enumerate(sorted(rng.sample(range(5000), 12)))]
+    passages = [(d, at) for d in range(4) for at in rng.sample(range(6000), 40)]
+    got = {(r["d"], r["at"]): (r["section_pos"], r["section_start"]) for r in P.attributed(spark.createDataFrame(passages, "d int, at int"), spark.createDataFrame(sections, "d int, pos int, char_start int, char_end int"), "d", 64).collect()}
+    for d, at in passages:
+        own = [(e - a, i, a) for x, i, a, e in sections if x == d and a <= at < e] or [(0, i, a) for x, i, a, e in sections if x == d and i == 0]
+        assert got[d, at] == (min(own)[1:] if own else (None, None))
+
+
 def test_redirects(spark):
     chain = [(f"p{i}", f"p{i + 1}") for i in range(12)] + [("p12", None), ("a", "b"), ("b", "a"), ("d", "gone")]
     got = {r["path"]: (r["canonical"], r["state"]) for r in links.resolve_redirects(spark.createDataFrame(chain, "path string, redirect_to string")).collect()}

@@ -25,7 +25,7 @@ from textquarry.operators import search as S
 from textquarry.operators import synthesis as SY
 from textquarry.operators import titles as TI
 from textquarry.plans import language, paging
-from textquarry.session import Scratch
+from textquarry.session import Scratch, small
 
 
 MOST_PATHS = 50
@@ -66,7 +66,7 @@ class Engine:
         order = self.entries.select("archive").distinct()
         ends = self.entries.select("archive", "path", "title").join(self.redirects.where("state = 'ok'"), "path")
         rows = ends.select("archive", F.col("canonical").alias("path"), "title", F.when(F.col("hops") > 0, F.col("path")).alias("pre"))
-        return rows.join(F.broadcast(order.withColumn("ord", F.dense_rank().over(Window.orderBy("archive")))), "archive")  # one row an archive
+        return rows.join(small(order.withColumn("ord", F.dense_rank().over(Window.orderBy("archive")))), "archive")
 
     def close(self) -> None:
         """Lets go of all frames and tables that calls shared."""
@@ -238,7 +238,7 @@ class Engine:
         gain, and the passages are cut to the budget.
         """
         names = self.entries.select("archive").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("archive")))  # one row an archive
-        hits = S.top_per_group(self.ranked(query), "archive", per_archive, "path").join(F.broadcast(names), "archive")
+        hits = S.top_per_group(self.ranked(query), "archive", per_archive, "path").join(small(names), "archive")
         hits = hits.select("archive", "ord", "path", "title", F.col("score").alias("relevance"), "rn")
         top = SY.select_hits(hits, self.promoted(query), query, names.count() > 1, keep)
         rows = self.bundles.select("path", "markdown", "sections")

@@ -105,13 +105,22 @@ def snippet(text: Column, *terms: str) -> Column:
     return F.coalesce(F.get(hit, F.lit(0)), F.get(lines, F.lit(0)))
 
 
-def attributed(passages: DataFrame, sections_: DataFrame, key: str) -> DataFrame:
-    """Each passage (key, at) with the smallest section [char_start, char_end) around it, else the first section."""
-    both = passages.join(sections_, key, "left")
+def attributed(passages: DataFrame, sections_: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """Each passage (key, at) with the smallest section [char_start, char_end) around it, else the first section.
+
+    Passages meet the sections of their stretch of ``width`` characters only, not all of
+    their page, so a long page costs no more than its length.
+    """
+    stretch = lambda c: F.floor(c / width)
+    last = stretch(F.greatest(F.col("char_end") - 1, F.col("char_start")))
+    parts = sections_.withColumn("__w", F.explode(F.sequence(stretch(F.col("char_start")), last)))
+    both = passages.withColumn("__w", stretch(F.col("at"))).join(parts, [key, "__w"], "left")
     inside = (F.col("at") >= F.col("char_start")) & (F.col("at") < F.col("char_end"))
-    span = F.when(inside, F.col("char_end") - F.col("char_start")).otherwise(F.lit(1 << 60))
-    best = F.min(F.struct(span.alias("span"), F.col("pos").alias("pos"), F.col("char_start").alias("s"), F.col("char_end").alias("e")))
-    return both.groupBy(*passages.columns).agg(best.alias("b")).select(*passages.columns, F.col("b.pos").alias("section_pos"), F.col("b.s").alias("section_start"), F.col("b.e").alias("section_end"))
+    section = F.struct(F.col("pos").alias("pos"), F.col("char_start").alias("s"), F.col("char_end").alias("e"))
+    best = F.min(F.when(inside, F.struct((F.col("char_end") - F.col("char_start")).alias("span"), section.alias("x")))).getField("x")
+    first = sections_.groupBy(key).agg(F.min(section).alias("__f"))
+    rows = both.groupBy(*passages.columns).agg(best.alias("__b")).join(first, key, "left").withColumn("b", F.coalesce("__b", "__f"))
+    return rows.select(*passages.columns, F.col("b.pos").alias("section_pos"), F.col("b.s").alias("section_start"), F.col("b.e").alias("section_end"))
 
 
 def affinity(ranked: DataFrame, query: str, heading: str, threshold: float = 0.25, boost: float = 1.5, by: str = "doc_id") -> DataFrame:

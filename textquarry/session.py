@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast only below this measured size (bytes of its optimised plan).
-BROADCAST_LIMIT = 32 << 20
+#: A side is broadcast only if its estimated size in memory is below this: for files, their size times COMPRESSED.
+BROADCAST_LIMIT, COMPRESSED = 32 << 20, 4
 
 _folders: dict[str, str] = {}
 
@@ -88,7 +88,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``broadcast(df)`` if its estimated size is proven below ``limit``, else ``df`` unchanged."""
+    """``broadcast(df)`` if its estimated size is below ``limit``, else ``df`` unchanged.
+
+    The plan's estimate of a table is the size of its compressed files, so ``COMPRESSED`` times as much is reckoned with.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    return F.broadcast(df) if plan_bytes(df) * COMPRESSED <= limit else df
