@@ -2,8 +2,8 @@
 
 P(grade <= k) = sigmoid(theta_k - w . x) with ordered thresholds theta_1 < ... and
 one weight vector w shared by all of them; x has log2(1 + count) of each hashed
-word.  The output is the distribution's mean (expected severity), the likelier
-grade and P(grade >= 1).
+word.  The output is the distribution's mean (expected severity), P(grade >= 1), and
+a grade: 0 where P(grade >= 1) is below the learnt threshold, else the likeliest of the others.
 
 The labels only tell toxic from not.  The ordered grades to learn from are made
 of the training rows: *cue words* are words whose smoothed log odds of standing in
@@ -128,7 +128,7 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def severities(docs: DataFrame, model: OrdinalModel, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, score (P(grade >= 1)), severity (expected grade), grade (the likeliest)."""
+    """doc_id, score (P(grade >= 1)), severity (expected grade), grade (0 below the model's threshold, else the likeliest above 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def score(batches):
@@ -136,8 +136,9 @@ def severities(docs: DataFrame, model: OrdinalModel, text: str = "text", row_id:
         for batch, a, b, (d, bucket, n), _ in X.documents(batches, BITS, False):
             off = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=b - a))))
             p = m.distribution(off, bucket, n)
+            grade = np.where(1 - p[:, 0] >= m.threshold, 1 + p[:, 1:].argmax(axis=1), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(1 - p[:, 0]), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1).astype(np.int32))],
+                [batch.column(0).slice(a, b - a), pa.array(1 - p[:, 0]), pa.array(p @ np.arange(p.shape[1])), pa.array(grade.astype(np.int32))],
                 ["doc_id", "score", "severity", "grade"],
             )
 
@@ -147,6 +148,6 @@ def severities(docs: DataFrame, model: OrdinalModel, text: str = "text", row_id:
 def toxic_severity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, max_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score, severity, grade, predicted (1 where the score is at least ``threshold``, by default the model's)."""
     model = fit(docs, labels, max_rows=max_rows)
-    threshold = model.threshold if threshold is None else threshold
+    model.threshold = model.threshold if threshold is None else threshold
     out = severities(docs, model)
-    return out.select("doc_id", X.held_out().alias("held_out"), "score", "severity", "grade", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", X.held_out().alias("held_out"), "score", "severity", "grade", (F.col("score") >= model.threshold).cast("int").alias("predicted"))
