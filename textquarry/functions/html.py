@@ -331,6 +331,24 @@ def depths(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
     return bundles_.select(key, F.size("sections").cast("long").alias("n_headings"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["level"])), F.lit(0)).alias("max_depth"))
 
 
+def meta_tags(html: Column) -> Column:
+    """The meta tags of a page as a map of their name or property to their content; the first of a name counts."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    value = lambda t, names: F.regexp_extract(t, rf'(?is)\b(?:{names})\s*=\s*["\']([^"\']*)["\']', 1)
+    pairs = F.filter(F.transform(tags, lambda t: F.struct(F.lower(value(t, "name|property")).alias("k"), F.trim(value(t, "content")).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
+    keys = F.transform(pairs, lambda p: p["k"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+
+
+def readable(entries: DataFrame, content: str = "html", mimetype: str = "mimetype", key: str = "path") -> DataFrame:
+    """key, kind, text of each entry by its MIME type: pages as markdown, other texts trimmed, of the rest only what they are."""
+    mime = F.coalesce(F.lower(F.col(mimetype)), F.lit(""))
+    pages = bundles(entries.where(mime.startswith("text/html")), content, key).select(key, F.lit("page").alias("kind"), F.col("markdown").alias("text"))
+    texts = entries.where(mime.startswith("text/") & ~mime.startswith("text/html")).select(key, F.lit("text").alias("kind"), F.trim(F.col(content)).alias("text"))
+    rest = entries.where(~mime.startswith("text/")).select(key, F.lit("other").alias("kind"), F.concat(F.lit("(Non-text content: "), F.coalesce(mimetype, F.lit("unknown")), F.lit(")")).alias("text"))
+    return pages.unionByName(texts).unionByName(rest)
+
+
 #: Words of headings by which a style of summary picks its section.
 STYLES = {"q_and_a": r"(?i)\b(accepted|best|top)?\s*answers?\b"}
 

@@ -62,6 +62,18 @@ def results(found: DataFrame, titles: DataFrame, cap: int = 10, archive: str = "
     return once.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
 
 
+def with_promotion(found: DataFrame, promoted: DataFrame, cap: int = 10) -> DataFrame:
+    """The pages of ``results`` with the title each topic is promoted to in front: moved there if it is on the page, else put in.
+
+    ``promoted`` has topic, archive, path, title; a topic without one keeps its page.
+    """
+    new = promoted.select("topic", "archive", "path", F.col("title").alias("__t"), F.lit(True).alias("__p"))
+    rows = found.join(new, ["topic", "archive", "path"], "full")
+    rows = rows.select("topic", "archive", "path", F.coalesce("title", "__t").alias("title"), F.coalesce("score", F.lit(DIRECT)).alias("score"), F.coalesce("match_type", F.lit("promoted")).alias("match_type"), F.when(F.col("__p"), 0).otherwise(F.col("rn")).alias("__o"))
+    w = Window.partitionBy("topic").orderBy("__o")
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("__o")
+
+
 def respelt(titles: DataFrame, topics: DataFrame) -> DataFrame:
     """topic, variant, key, title: titles that begin with a word one typo away from a topic of one word."""
     first = titles.select("key", "title", F.lower(F.regexp_extract("title", r"^[\p{L}\p{N}]+", 0)).alias("word")).where("word <> ''")

@@ -6,10 +6,13 @@ operators are written; rows that meet every branch are made from the tables' col
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.catalog import table
+from textquarry.engine import Engine
 from textquarry.functions import html as HT
 from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
@@ -22,9 +25,10 @@ from textquarry.operators import promotion as PM
 from textquarry.operators import search as S
 from textquarry.operators import synthesis as SY
 from textquarry.operators import titles as TI
-from textquarry.plans.catalogue import HOST, PAGE_TITLE, QUERY, TOP, bm25_sql, docs_of, part_titles, query, topics
-from textquarry.plans.catalogue2 import ASSET_ENDS, EDGES, LINKS, PATH, RANKED, SECTIONS_SQL, page_edges, page_entries, page_links
+from textquarry.plans.catalogue import ORACLE, QUERY, TOP, bm25_sql, docs_of, part_titles, query, topics
+from textquarry.plans.catalogue2 import ASSET_ENDS, EDGES, LINKS, PATH, RANKED, SECTIONS_SQL, page_edges, page_links
 from textquarry.session import Scratch
+from textquarry.sources import zim as ZIM
 from textquarry.streaming import watch as W
 
 
@@ -264,6 +268,14 @@ def title_results(spark, sf):
     return TI.results(TI.lookup(t.select("id", "title", "path"), topics(spark, ("Small Ring", "red widget", "hot gear"))), t, 5)
 
 
+@query(ORACLE["title_results"].replace("SELECT topic, archive, path, title, CAST(1.0 AS DOUBLE) AS score, match_type, rn FROM r WHERE rn <= 5", """, k AS (SELECT * FROM r WHERE rn <= 5), q2 AS (SELECT topic, 'Brand#9' AS archive, replace(lower(topic), ' ', '_') AS path, topic AS title FROM q WHERE topic <> 'hot gear'),
+j AS (SELECT topic, archive, path, coalesce(k.title, q2.title) AS title, coalesce(match_type, 'promoted') AS match_type, CASE WHEN q2.title IS NOT NULL THEN 0 ELSE k.rn END AS o FROM k FULL JOIN q2 USING (topic, archive, path)), z AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY o) AS rn FROM j)
+SELECT topic, archive, path, title, CAST(1.0 AS DOUBLE) AS score, match_type, rn FROM z WHERE rn <= 4"""))
+def title_results_promoted(spark, sf):
+    wanted = topics(spark, ("Small Ring", "red widget"))
+    return TI.with_promotion(title_results(spark, sf), wanted.select("topic", F.lit("Brand#9").alias("archive"), F.replace(F.lower("topic"), F.lit(" "), F.lit("_")).alias("path"), F.col("topic").alias("title")), 4)
+
+
 RESPELT = ("smal", "rde", "bleu", "larg", "coldd", "hot", "xyz", "olld bolt")
 
 
@@ -459,6 +471,56 @@ def content_entry_page(spark, sf):
     return A.content_page(e, "C", 12, 7)
 
 
+@query(MADE_SQL + " SELECT archive, 8 AS entries, 0 AS redirects, 0 AS empty FROM a")
+def archive_health(spark, sf):
+    return Engine(made_entries(spark, sf).withColumns({"title": F.col("path"), "mimetype": F.lit("text/plain"), "redirect_to": F.lit(None).cast("string")})).health()
+
+
+KINDS = ("text/html", "text/plain; charset=utf-8", "image/png", None)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS path, {sql_list(KINDS)}[p_partkey % 4 + 1] AS mime, p_name FROM part) SELECT path, CASE WHEN mime LIKE 'text/html%' THEN 'page' WHEN mime LIKE 'text/%' THEN 'text' ELSE 'other' END AS kind,
+ CASE WHEN mime LIKE 'text/html%' THEN '# ' || p_name || chr(10) || '**' || p_name || '** done' || chr(10) WHEN mime LIKE 'text/%' THEN '<h1>' || p_name || '</h1><p><b>' || p_name || '</b> done</p>' ELSE '(Non-text content: ' || coalesce(mime, 'unknown') || ')' END AS text FROM p""")
+def content_by_kind(spark, sf):
+    html = F.concat(F.lit(" <h1>"), "p_name", F.lit("</h1><p><b>"), "p_name", F.lit("</b> done</p> "))
+    e = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), picked(KINDS, F.col("p_partkey")).alias("mimetype"), html.alias("html"))
+    return HT.readable(e)
+
+
+@query("SELECT n_nationkey, 'description' AS k, 'About ' || n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'og:title', n_name FROM nation UNION ALL SELECT n_nationkey, 'keywords', 'a, b' FROM nation WHERE n_regionkey > 1")
+def page_meta_tags(spark, sf):
+    name = F.col("n_name")
+    words = F.when(F.col("n_regionkey") > 1, "a, b").otherwise("")
+    html = F.concat(F.lit('<head><meta charset="utf-8"><meta content="About '), name, F.lit('" name="Description"><META property=\'og:title\' content=\''), name, F.lit("'><meta name='keywords' content='"), words, F.lit("'><meta name='description' content='second'></head>"))
+    return table(spark, sf, "nation").select("n_nationkey", F.explode(HT.meta_tags(html)).alias("k", "v"))
+
+
+def zim_of_nations(spark, sf):
+    """A folder with an archive of the nations, one redirect for each region, and a file that is no archive."""
+    scratch = Scratch(spark, "zim")
+    folder = scratch.root.removeprefix("file://")
+    os.makedirs(folder)
+    n = table(spark, sf, "nation").orderBy("n_nationkey").collect()  # a dimension of 25 rows
+    rows = [("C", r["n_name"], f"Title {r['n_nationkey']}", "text/html", f"<p>{r['n_name']}</p>".encode()) for r in n] + [("C", f"to_{r['n_name']}", "again", None, i) for i, r in enumerate(n) if r["n_regionkey"] == 0]
+    ZIM.write_zim(f"{folder}/nations.zim", rows)
+    with open(f"{folder}/broken.zim", "wb") as f:
+        f.write(b"no archive")
+    return folder
+
+
+@query("SELECT 'C' AS namespace, n_name AS path, 'Title ' || n_nationkey AS title, 'text/html' AS mimetype, false AS is_redirect, NULL AS redirect_to, '<p>' || n_name || '</p>' AS body FROM nation UNION ALL SELECT 'C', 'to_' || n_name, 'again', NULL, true, n_name, NULL FROM nation WHERE n_regionkey = 0")
+def zim_entries(spark, sf):
+    e = ZIM.read_zim(spark, f"{zim_of_nations(spark, sf)}/nations.zim", 7)
+    return e.select("namespace", "path", "title", "mimetype", "is_redirect", "redirect_to", F.col("content").cast("string").alias("body"))
+
+
+@query("SELECT 'nations.zim' AS name, true AS readable, true AS ok, NULL AS warning UNION ALL SELECT 'broken.zim', false, false, 'not an archive'")
+def zim_listing(spark, sf):
+    found = ZIM.list_archives(spark, zim_of_nations(spark, sf))
+    rows = found.join(ZIM.check_archives(found), "path")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "readable", "ok", "warning")
+
+
 # Links.
 
 

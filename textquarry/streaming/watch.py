@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from textquarry.operators.changes import diff
 
@@ -68,8 +67,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day", ts
     rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     w = F.session_window(ts, gap)
     return rows.groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key of a batch frame, for publishing."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
