@@ -44,8 +44,10 @@ from pyspark.sql.window import Window
 from textquarry.session import Scratch, small
 
 # The form of a candidate and of the word and sign before it.
-CANDIDATE = r"(?:(?<![A-Za-z_.-])[A-Za-z_.-]{2,32}+[\"']?[ \t]{0,2}[=:]?[ \t]{0,2})?[\"']?(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
-VALUE = r"[A-Za-z0-9+/_-]{16,}$"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
+LEAD = r"(?:(?<![A-Za-z_.-])[A-Za-z_.-]{2,32}+[\"']?[ \t]{0,2}[=:]?[ \t]{0,2})?[\"']?\z"
+#: A lead has fewer characters than this, and one more tells where its word begins.
+LEAD_CHARS = 64
 RUN = r"^(?=.*[0-9])[A-Za-z0-9+/_-]{16,}$"
 BEFORE = r"^([A-Za-z_.-]{2,32})[\"']?[ \t]*[=: \"']"
 # Fixed value: a value assigned to a secret-bearing word; its last three groups hold the value.
@@ -72,9 +74,17 @@ class SecretModel:
 
 
 def _places(text: Column, hits: Column, pattern: str, kind: int) -> Column:
-    """kind, hit and the length of the text between it and the hit before, of each match in order."""
+    """kind, hit, the hit before, and the length and end of the text between them, of each match in order."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    return F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x: F.struct(F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.length(x["gap"]).cast("long").alias("gap")))
+    made = lambda x, i: F.struct(F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.get(hits, i - 1).alias("last"), F.length(x["gap"]).cast("long").alias("gap"), F.right(x["gap"], F.lit(LEAD_CHARS)).alias("near"))
+    return F.transform(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), made)
+
+
+def _lead(hit: Column, near: Column, last: Column) -> Column:
+    """The word and sign right before a run: of whole words only, and not what the run itself goes on from."""
+    near = F.when(last.rlike("[A-Za-z_-]$"), F.regexp_replace(near, "^[A-Za-z_.-]+", "")).otherwise(near)
+    lead = F.regexp_extract(near, LEAD, 0)
+    return F.when(hit.rlike("^[A-Za-z_-]") & lead.rlike("[A-Za-z_.-]$"), "").otherwise(lead)
 
 
 def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -96,7 +106,9 @@ def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", path
     length = F.length("h.hit").cast("long")
     upto = F.sum(F.col("h.gap") + length).over(Window.partitionBy("row", "h.kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     assigned = F.concat(*[F.regexp_extract("h.hit", ASSIGNED, i) for i in (1, 2, 3)])
-    rows = rows.select("row", "doc_id", "path", "h.kind", "h.hit", (upto - length).alias("at"), F.when(F.col("h.kind") == 0, F.regexp_extract("h.hit", VALUE, 0)).otherwise(assigned).alias("value"))
+    is_run = F.col("h.kind") == 0
+    before = F.when(is_run, _lead(F.col("h.hit"), F.col("h.near"), F.col("h.last"))).otherwise("")
+    rows = rows.select("row", "doc_id", "path", "h.kind", F.concat(before, "h.hit").alias("hit"), (upto - length - F.length(before)).alias("at"), F.when(is_run, F.col("h.hit")).otherwise(assigned).alias("value"))
     # Assigned values that are runs are candidates already.
     rows = rows.where((F.col("kind") == 0) | ~F.col("value").rlike(RUN))
     lead = F.substring("hit", F.lit(1), F.length("hit") - F.length("value"))
