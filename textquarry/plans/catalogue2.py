@@ -17,8 +17,7 @@ from textquarry.operators import links as L
 from textquarry.operators import passages as P
 from textquarry.operators import promote as PR
 from textquarry.operators import search as S
-from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TERMS, TOP, bm25_sql, docs_of, query
-from textquarry.session import Scratch
+from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TERMS, TOP, bm25_sql, docs_of, hits_of, indexed, query
 
 PATH = "regexp_replace(url, '^[a-z]+://', '')"
 LINKS = f"""WITH p AS (SELECT page_id, {PATH} AS path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 1) AS h, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 2) AS a FROM pages),
@@ -230,7 +229,7 @@ t AS (SELECT * FROM o WHERE rn <= 5), p AS (SELECT source || '/' || doc_id AS ci
 b AS (SELECT cite_id, rn, passage, least(length(passage), 4800 - (sum(length(passage)) OVER (ORDER BY rn) - length(passage))) AS kept FROM p)
 SELECT cite_id, rn, substr(passage, 1, CAST(kept AS INTEGER)) AS passage, CAST(kept AS BIGINT) AS kept FROM b WHERE kept > 0""")
 def synthesize_citations(spark, sf):
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
+    hits = hits_of(spark, sf, "text", "source")
     top = S.top_per_group(hits, "source", 10)
     fused = top.withColumn("score", F.round(F.lit(1.0) / (F.lit(60) + F.col("rn")), 9)).drop("rn")
     p = S.page(fused, 5).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("cite_id"), "rn", P.snippet(F.col("text"), *TERMS).alias("passage"))
@@ -375,23 +374,6 @@ def index_terms(spark, sf):
     return IX.term_counts(IX.postings(docs_of(spark, sf)))
 
 
-_INDEXES: dict[tuple[str, str], Scratch] = {}
-
-
-def stored_index(spark, sf) -> str:
-    """The folder of the documents' index, built at the first call of a session and kept for later ones."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES or not IX.exists(spark, _INDEXES[key].root):
-        _INDEXES[key] = Scratch(spark, "index")
-        IX.build(docs_of(spark, sf), _INDEXES[key].root)
-    return _INDEXES[key].root
-
-
-def indexed(spark, sf, query=QUERY):
-    """doc_id and score of the documents that hold a word of the query, from the stored index."""
-    return IX.search(spark, stored_index(spark, sf), query).withColumnRenamed("id", "doc_id")
-
-
 @query(ORACLE["fulltext_search"])
 def fulltext_search_indexed(spark, sf):
     return S.page(indexed(spark, sf))
