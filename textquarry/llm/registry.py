@@ -85,6 +85,13 @@ def op8_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_deleted", "deleted", F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def op11_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of two and three words of every language; see ``phrases``."""
+    from textquarry.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def shards_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row about op7's result: rows, bytes, shards, whether slots are gapless and shards within a hundredth of equal bytes (or the largest row)."""
     s = op7_histogram_sort(spark, sf_dir)
@@ -105,6 +112,28 @@ def mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["shards_law"] = "SELECT count(*) AS n, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes, 8 AS shards, true AS gapless, true AS near_equal FROM documents"
 ORACLE["mix_totals"] = "SELECT source, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens, true AS at_most_twice FROM documents GROUP BY source"
 
+ORACLE["op11_pivot_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words WHERE len(ws) > 0),
+grams AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(ws[:c], ' ') AS p, array_to_string(ws[c + 1 :], ' ') AS q FROM found, (SELECT unnest([1, 2]) AS c) WHERE c < k),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, c, fl.a AS l, fr.a AS r,
+    CAST((CAST(cuts.a AS HUGEINT) * cuts.a * 1000000) // (CAST(fl.a AS HUGEINT) * fr.a) AS BIGINT) AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.k = c AND fl.phrase = p JOIN f fr ON fr.lang = cuts.lang AND fr.k = cuts.k - c AND fr.phrase = q),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, phrase, max(a) AS inside FROM (
+  SELECT lang, unnest([array_to_string(ws[:2], ' '), array_to_string(ws[2:], ' ')]) AS phrase, a FROM found WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON best.k = 2 AND inside.lang = best.lang AND inside.phrase = best.phrase WHERE inside IS NULL OR 100 * inside < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "shards_law": shards_law,
     "mix_totals": mix_totals,
@@ -118,4 +147,5 @@ QUERIES = {
     "op8_suffix_line_dedup": op8_suffix_line_dedup,
     "op9_forest_secret_scan": op9_forest_secret_scan,
     "op10_temperature_mixing": op10_temperature_mixing,
+    "op11_pivot_phrases": op11_pivot_phrases,
 }
