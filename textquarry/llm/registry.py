@@ -92,6 +92,13 @@ def op11_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every query; see ``hash_forest``."""
+    from textquarry.llm.hash_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def shards_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row about op7's result: rows, bytes, shards, whether slots are gapless and shards within a hundredth of equal bytes (or the largest row)."""
     s = op7_histogram_sort(spark, sf_dir)
@@ -148,4 +155,5 @@ QUERIES = {
     "op9_forest_secret_scan": op9_forest_secret_scan,
     "op10_temperature_mixing": op10_temperature_mixing,
     "op11_pivot_phrases": op11_pivot_phrases,
+    "op13_prefix_forest": op13_prefix_forest,
 }
