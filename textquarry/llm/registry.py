@@ -92,6 +92,17 @@ def op11_pivot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of an anchor's five positives; see ``hard_negatives``."""
+    from textquarry.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    rows = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", moved.alias("label"), whole.alias("embedding"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every query; see ``hash_forest``."""
     from textquarry.llm.hash_forest import nearest
@@ -155,5 +166,6 @@ QUERIES = {
     "op9_forest_secret_scan": op9_forest_secret_scan,
     "op10_temperature_mixing": op10_temperature_mixing,
     "op11_pivot_phrases": op11_pivot_phrases,
+    "op12_vantage_negatives": op12_vantage_negatives,
     "op13_prefix_forest": op13_prefix_forest,
 }
