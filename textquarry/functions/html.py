@@ -255,23 +255,28 @@ def bundle(html: str | None) -> dict:
     return {"title": " ".join(p.title.split()), "markdown": text, "word_count": len(text.split()), "char_count": len(text), "sections": sections, "links": links, "infobox": [{"label": a, "value": b} for a, b in p.infobox]}
 
 
-def bundles(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key and the columns of ``BUNDLE`` for each page."""
+def keys(key: str | list[str]) -> list[str]:
+    """The columns that tell pages apart."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def bundles(pages: DataFrame, html: str = "html", key: str | list[str] = "page_id") -> DataFrame:
+    """The key columns and those of ``BUNDLE`` for each page."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    key_type = pages.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, {BUNDLE}"
+    own = keys(key)
+    schema = ", ".join([f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in own] + [BUNDLE])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                rows = [bundle(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[1:]]], schema=arrow)
+                rows = [bundle(x) for x in part.column(len(own)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *[pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[len(own) :]]], schema=arrow)
 
-    return pages.select(key, html).mapInArrow(parse, schema)
+    return pages.select(*own, html).mapInArrow(parse, schema)
 
 
 def section_text(markdown: Column, section: Column) -> Column:
@@ -282,7 +287,7 @@ def section_text(markdown: Column, section: Column) -> Column:
 NARROW = 20
 
 
-def section(bundles_: DataFrame, section_id: str, key: str = "page_id", subsections: bool = True, max_chars: int = 100_000) -> DataFrame:
+def section(bundles_: DataFrame, section_id: str, key: str | list[str] = "page_id", subsections: bool = True, max_chars: int = 100_000) -> DataFrame:
     """key, title, level, parent_id, text, char_count, truncated, widened of the section with an id on each page that has it.
 
     Without subsections the text ends at the next heading; where that leaves no more than the
@@ -299,36 +304,44 @@ def section(bundles_: DataFrame, section_id: str, key: str = "page_id", subsecti
     child = F.least(F.col("__n.char_end"), F.coalesce(F.col("__m.char_start"), F.col("__n.char_end")))
     end = own["char_end"] if subsections else F.when(widened, child).otherwise(narrow)
     text = F.substring("markdown", own["char_start"] + 1, end - own["char_start"])
-    rows = rows.select(key, own["title"].alias("title"), own["level"].alias("level"), own["parent_id"].alias("parent_id"), text.alias("__t"), (widened if not subsections else F.lit(False)).alias("widened"))
-    return rows.select(key, "title", "level", "parent_id", F.substring("__t", 1, max_chars).alias("text"), F.least(F.length("__t"), F.lit(max_chars)).alias("char_count"), (F.length("__t") > max_chars).alias("truncated"), "widened")
+    rows = rows.select(*keys(key), own["title"].alias("title"), own["level"].alias("level"), own["parent_id"].alias("parent_id"), text.alias("__t"), (widened if not subsections else F.lit(False)).alias("widened"))
+    return rows.select(*keys(key), "title", "level", "parent_id", F.substring("__t", 1, max_chars).alias("text"), F.least(F.length("__t"), F.lit(max_chars)).alias("char_count"), (F.length("__t") > max_chars).alias("truncated"), "widened")
 
 
-def closest_sections(bundles_: DataFrame, section_id: str, key: str = "page_id", share: float = 0.6) -> DataFrame:
+def closest_sections(bundles_: DataFrame, section_id: str, key: str | list[str] = "page_id", share: float = 0.6) -> DataFrame:
     """key, reason, n_sections, closest of the pages without a section of an id: the id that is most like it, in any letter case."""
     ids = F.transform("sections", lambda s: s["id"])
     like = lambda i: 1 - F.levenshtein(F.lower(i), F.lit(section_id.lower())) / F.greatest(F.length(i), F.lit(len(section_id)))
     best = F.array_max(F.transform(ids, lambda i: F.struct(like(i).alias("s"), i.alias("id"))))
     rows = bundles_.where(~F.array_contains(ids, section_id))
-    return rows.select(key, F.when(F.size("sections") == 0, "no_headings").otherwise("section_not_found").alias("reason"), F.size("sections").cast("long").alias("n_sections"), F.when(best["s"] >= share, best["id"]).alias("closest"))
+    return rows.select(*keys(key), F.when(F.size("sections") == 0, "no_headings").otherwise("section_not_found").alias("reason"), F.size("sections").cast("long").alias("n_sections"), F.when(best["s"] >= share, best["id"]).alias("closest"))
 
 
-def table_of_contents(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
+def table_of_contents(bundles_: DataFrame, key: str | list[str] = "page_id") -> DataFrame:
     """A row for each section: key, pos, level, id, title, parent_id, words."""
-    rows = bundles_.select(key, "markdown", F.posexplode("sections").alias("pos", "s"))
-    return rows.select(key, "pos", "s.level", "s.id", "s.title", "s.parent_id", F.regexp_count(section_text(F.col("markdown"), F.col("s")), F.lit(r"\S+")).alias("words"))
+    rows = bundles_.select(*keys(key), "markdown", F.posexplode("sections").alias("pos", "s"))
+    return rows.select(*keys(key), "pos", "s.level", "s.id", "s.title", "s.parent_id", F.regexp_count(section_text(F.col("markdown"), F.col("s")), F.lit(r"\S+")).alias("words"))
 
 
-def section_views(bundles_: DataFrame, key: str = "page_id", size: int = 300) -> DataFrame:
+def section_views(bundles_: DataFrame, key: str | list[str] = "page_id", size: int = 300) -> DataFrame:
     """A row for each section: key, pos, level, id, title, preview (``size`` characters after the heading line, white space squeezed), words."""
-    rows = bundles_.select(key, "markdown", F.posexplode("sections").alias("pos", "s"))
+    rows = bundles_.select(*keys(key), "markdown", F.posexplode("sections").alias("pos", "s"))
     text = section_text(F.col("markdown"), F.col("s"))
     body = F.trim(F.regexp_replace(F.regexp_replace(text, r"^#+ [^\n]*\n?", ""), r"\s+", " "))
-    return rows.select(key, "pos", "s.level", "s.id", "s.title", F.substring(body, 1, size).alias("preview"), F.regexp_count(body, F.lit(r"\S+")).cast("long").alias("words"))
+    return rows.select(*keys(key), "pos", "s.level", "s.id", "s.title", F.substring(body, 1, size).alias("preview"), F.regexp_count(body, F.lit(r"\S+")).cast("long").alias("words"))
 
 
-def depths(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
+def depths(bundles_: DataFrame, key: str | list[str] = "page_id") -> DataFrame:
     """key, n_headings, max_depth."""
-    return bundles_.select(key, F.size("sections").cast("long").alias("n_headings"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["level"])), F.lit(0)).alias("max_depth"))
+    return bundles_.select(*keys(key), F.size("sections").cast("long").alias("n_headings"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["level"])), F.lit(0)).alias("max_depth"))
+
+
+def structure(bundles_: DataFrame, key: str | list[str] = "page_id", size: int = 300) -> DataFrame:
+    """key, content: each page as JSON: title, word count, headings with their ids, and sections with a preview and words."""
+    text = lambda s: F.trim(F.regexp_replace(F.regexp_replace(section_text(F.col("markdown"), s), r"^#+ [^\n]*\n?", ""), r"\s+", " "))
+    heads = F.transform("sections", lambda s: F.struct(s["level"].alias("level"), s["title"].alias("text"), s["id"].alias("id"), s["id_source"].alias("id_source")))
+    parts = F.transform("sections", lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"), F.substring(text(s), 1, size).alias("content_preview"), F.regexp_count(text(s), F.lit(r"\S+")).alias("word_count")))
+    return bundles_.select(*keys(key), F.to_json(F.struct("title", "word_count", heads.alias("headings"), parts.alias("sections"))).alias("content"))
 
 
 def meta_tags(html: Column) -> Column:
@@ -343,9 +356,9 @@ def meta_tags(html: Column) -> Column:
 def readable(entries: DataFrame, content: str = "html", mimetype: str = "mimetype", key: str = "path") -> DataFrame:
     """key, kind, text of each entry by its MIME type: pages as markdown, other texts trimmed, of the rest only what they are."""
     mime = F.coalesce(F.lower(F.col(mimetype)), F.lit(""))
-    pages = bundles(entries.where(mime.startswith("text/html")), content, key).select(key, F.lit("page").alias("kind"), F.col("markdown").alias("text"))
-    texts = entries.where(mime.startswith("text/") & ~mime.startswith("text/html")).select(key, F.lit("text").alias("kind"), F.trim(F.col(content)).alias("text"))
-    rest = entries.where(~mime.startswith("text/")).select(key, F.lit("other").alias("kind"), F.concat(F.lit("(Non-text content: "), F.coalesce(mimetype, F.lit("unknown")), F.lit(")")).alias("text"))
+    pages = bundles(entries.where(mime.startswith("text/html")), content, key).select(*keys(key), F.lit("page").alias("kind"), F.col("markdown").alias("text"))
+    texts = entries.where(mime.startswith("text/") & ~mime.startswith("text/html")).select(*keys(key), F.lit("text").alias("kind"), F.trim(F.col(content)).alias("text"))
+    rest = entries.where(~mime.startswith("text/")).select(*keys(key), F.lit("other").alias("kind"), F.concat(F.lit("(Non-text content: "), F.coalesce(mimetype, F.lit("unknown")), F.lit(")")).alias("text"))
     return pages.unionByName(texts).unionByName(rest)
 
 
@@ -353,7 +366,7 @@ def readable(entries: DataFrame, content: str = "html", mimetype: str = "mimetyp
 STYLES = {"q_and_a": r"(?i)\b(accepted|best|top)?\s*answers?\b"}
 
 
-def summary(bundles_: DataFrame, n_words: int = 200, key: str = "page_id", style: str | None = None) -> DataFrame:
+def summary(bundles_: DataFrame, n_words: int = 200, key: str | list[str] = "page_id", style: str | None = None) -> DataFrame:
     """key, summary: the first words of the section that the style asks for, else of the page up to its first section's end.
 
     The answer of a question page loses the line of its votes.
@@ -364,11 +377,11 @@ def summary(bundles_: DataFrame, n_words: int = 200, key: str = "page_id", style
         hit = F.get(F.filter("sections", lambda s: s["title"].rlike(STYLES[style])), F.lit(0))
         answer = F.regexp_replace(section_text(F.col("markdown"), hit), r"^#+ [^\n]*\n*", "")
         text = F.when(hit.isNotNull(), T.without_votes(F.concat(F.lit("\n"), answer))).otherwise(text)
-    return bundles_.select(key, F.array_join(F.slice(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), 1, n_words), " ").alias("summary"))
+    return bundles_.select(*keys(key), F.array_join(F.slice(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), 1, n_words), " ").alias("summary"))
 
 
-def lead_with_contents(bundles_: DataFrame, key: str = "page_id") -> DataFrame:
+def lead_with_contents(bundles_: DataFrame, key: str | list[str] = "page_id") -> DataFrame:
     """key, lead, contents: the page up to its first heading of level 2 (the whole page without one), and a list of these headings."""
     second = F.filter("sections", lambda s: s["level"] == 2)
     lead = F.when(F.size(second) > 0, F.regexp_replace(F.substring(F.col("markdown"), F.lit(1), F.get(second, F.lit(0))["char_start"]), r"\s+$", "")).otherwise(F.col("markdown"))
-    return bundles_.select(key, lead.alias("lead"), F.array_join(F.transform(second, lambda s: F.concat(F.lit("- "), s["title"])), "\n").alias("contents"))
+    return bundles_.select(*keys(key), lead.alias("lead"), F.array_join(F.transform(second, lambda s: F.concat(F.lit("- "), s["title"])), "\n").alias("contents"))

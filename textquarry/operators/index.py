@@ -36,8 +36,19 @@ def term_counts(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def build(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id") -> None:
-    """Writes the index; texts are tokenised once, and the postings sorted from what was written."""
+def fingerprint(docs: DataFrame) -> str:
+    """What tells one set of rows from another: their number and the sum of their hashes over all columns."""
+    r = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*docs.columns).cast("decimal(20,0)")).alias("h")).first()
+    return f"{r['n']}:{r['h']}"
+
+
+def built_from(spark: SparkSession, path: str) -> str | None:
+    """The fingerprint that an index was stored with."""
+    return spark.read.parquet(f"{path}/corpus").select("built_from").first()[0]
+
+
+def build(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id", built_from: str | None = None) -> None:
+    """Writes the index, with the fingerprint of what it is built from; texts are tokenised once, and the postings sorted from what was written."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "postings")
     p = scratch.write(postings(docs, text, row_id), "raw")
@@ -46,7 +57,7 @@ def build(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id"
     scratch.drop()
     term_counts(spark.read.parquet(f"{path}/postings")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     size = F.size(T.words(F.coalesce(F.col(text), F.lit(""))))
-    docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
+    docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl")).withColumn("built_from", F.lit(built_from).cast("string")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

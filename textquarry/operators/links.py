@@ -18,10 +18,13 @@ def outbound(pages: DataFrame, html: str = "html", path: str = "path") -> DataFr
     return rows.withColumns({"kind": U.link_kind(F.col("href")), "target": U.resolved(F.col("href"), F.col(path))})
 
 
-def edges(links: DataFrame, source: str = "path") -> DataFrame:
-    """source, target, anchor: internal links to articles, once for each pair, with the first anchor text."""
+def edges(links: DataFrame, source: str = "path", within: tuple[str, ...] = ()) -> DataFrame:
+    """source, target, anchor: internal links to articles, once for each pair, with the first anchor text.
+
+    ``within`` names columns, such as the archive, that a link does not leave.
+    """
     kept = links.where("target is not null").where((F.col(source) != F.col("target")) & ~U.is_asset(F.col("target")))
-    return kept.groupBy(F.col(source).alias("source"), "target").agg(F.min(F.struct("pos", "anchor")).getField("anchor").alias("anchor"))
+    return kept.groupBy(*within, F.col(source).alias("source"), "target").agg(F.min(F.struct("pos", "anchor")).getField("anchor").alias("anchor"))
 
 
 def inbound_degree(edges_: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -61,30 +64,31 @@ def bucket_totals(links: DataFrame, source: str = "path") -> DataFrame:
     return with_media(links).groupBy(source).agg(of("internal"), of("external"), of("media"), of("anchor"))
 
 
-def with_titles(links: DataFrame, entries: DataFrame) -> DataFrame:
+def with_titles(links: DataFrame, entries: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """``links`` with the title of the entry each target names (null: no such entry)."""
-    return links.join(entries.select(F.col("path").alias("target"), F.col("title").alias("target_title")), "target", "left")
+    return links.join(entries.select(*within, F.col("path").alias("target"), F.col("title").alias("target_title")), [*within, "target"], "left")
 
 
-def resolve_redirects(entries: DataFrame, path: str = "path", to: str = "redirect_to", depth: int = REDIRECT_DEPTH) -> DataFrame:
+def resolve_redirects(entries: DataFrame, path: str = "path", to: str = "redirect_to", depth: int = REDIRECT_DEPTH, within: tuple[str, ...] = ()) -> DataFrame:
     """path, canonical, hops, state: where each path ends after at most ``depth`` redirects.
 
+    ``within`` names columns, such as the archive, that come first and that a redirect does not leave.
     Pointers of the redirects alone are doubled, so four joins follow ten hops; ``state`` is ok, dangling (the target
     does not exist), or unresolved (a cycle or too long a chain: the path itself stays).
     """
-    table = entries.select(F.col(path).alias("path"), F.col(to).alias("next"))
+    table = entries.select(*within, F.col(path).alias("path"), F.col(to).alias("next"))
     # Only redirects are followed: (path, here, next, hops), where ``next`` is null once ``here`` is no redirect.
-    jump = table.where("next is not null").select("path", F.col("next").alias("here"), F.lit(1).alias("hops"))
+    jump = table.where("next is not null").select(*within, "path", F.col("next").alias("here"), F.lit(1).alias("hops"))
     done = 1
     while done < depth:
         # Pointers double: what k hops lead to is looked up among what the same hops lead to from there.
-        step = jump.select(F.col("path").alias("here"), F.col("here").alias("far"), F.col("hops").alias("more"))
-        jump = jump.join(step, "here", "left").select("path", F.coalesce("far", "here").alias("here"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        step = jump.select(*within, F.col("path").alias("here"), F.col("here").alias("far"), F.col("hops").alias("more"))
+        jump = jump.join(step, [*within, "here"], "left").select(*within, "path", F.coalesce("far", "here").alias("here"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
         done *= 2
-    ends = table.select(F.col("path").alias("here"), F.lit(True).alias("exists"), F.col("next").isNotNull().alias("goes_on"))
-    jump = jump.join(ends, "here", "left")
+    ends = table.select(*within, F.col("path").alias("here"), F.lit(True).alias("exists"), F.col("next").isNotNull().alias("goes_on"))
+    jump = jump.join(ends, [*within, "here"], "left")
     # A cycle never ends, so its rows go on beyond the depth, as those of longer chains do.
     long = (F.col("hops") > depth) | F.coalesce("goes_on", F.lit(False))
-    jump = jump.select("path", F.when(long, F.col("path")).otherwise(F.col("here")).alias("canonical"), F.least("hops", F.lit(depth)).alias("hops"), F.when(long, "unresolved").when(F.col("exists").isNull(), "dangling").otherwise("ok").alias("state"))
-    own = table.where("next is null").select("path", F.col("path").alias("canonical"), F.lit(0).alias("hops"), F.lit("ok").alias("state"))
+    jump = jump.select(*within, "path", F.when(long, F.col("path")).otherwise(F.col("here")).alias("canonical"), F.least("hops", F.lit(depth)).alias("hops"), F.when(long, "unresolved").when(F.col("exists").isNull(), "dangling").otherwise("ok").alias("state"))
+    own = table.where("next is null").select(*within, "path", F.col("path").alias("canonical"), F.lit(0).alias("hops"), F.lit("ok").alias("state"))
     return own.unionByName(jump)

@@ -70,18 +70,6 @@ def trimmed_pages(docs: DataFrame, size: int, text: str = "text", row_id: str =
     return docs.select(row_id, F.col(text).cast("string")).mapInArrow(cut, f"`{row_id}` {kind}, page_no int, char_offset int, n_chars int")
 
 
-def located(passage: Column, markdown: Column, probe: int = 80, least: int = 12) -> Column:
-    """Where a passage stands in a page (from 0): as it is, both without bold marks, else by its first words with single spaces; -1 if nowhere.
-
-    The place is that in the markdown without bold marks.
-    """
-    plain, own = T.without_bold(markdown), T.without_bold(passage)
-    exact = F.instr(plain, own)
-    head = F.substring(T.squeezed(own), 1, probe)
-    loose = F.instr(T.squeezed(plain), head)
-    return F.when((own != "") & (exact > 0), exact - 1).when((F.length(head) >= least) & (loose > 0), loose - 1).otherwise(-1)
-
-
 def content_pages(docs: DataFrame, size: int, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """id, page_no, char_offset, n_chars: consecutive pages of ``size`` characters."""
     n = F.length(text)

@@ -140,12 +140,12 @@ def _topic_tokens(topics: DataFrame, titles: DataFrame) -> DataFrame:
     """topic, token, pos, last, path: the titles that are single tokens of the topics, and hold them."""
     rows = topics.select("topic", F.posexplode(tokens(F.col("topic"))).alias("pos", "token")).withColumn("last", F.size(tokens(F.col("topic"))) - 1)
     rows = rows.where(~F.col("token").isin(STOP_WORDS))
-    named = titles.select("path", "pre", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower(T.site_title(F.col("title")))))).alias("token"))
+    named = titles.select("ord", "path", "pre", F.explode(F.array_distinct(F.array(F.lower("title"), F.lower(T.site_title(F.col("title")))))).alias("token"))
     return named.join(small(rows), "token").where(F.array_contains(tokens(F.col("path")), F.col("token")) | F.array_contains(tokens(F.coalesce("pre", F.lit(""))), F.col("token")))
 
 
 def promote(topics: DataFrame, titles: DataFrame, passes: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
-    """topic, pass, path, title, match_type, score: for each topic the title that is put before its hits, if any.
+    """topic, pass, ord, path, title, match_type, score: for each topic the title that is put before its hits, if any.
 
     ``titles`` has path, title, ``ord`` (order of the archives) and ``pre`` (the path of the redirect that
     led here, null for none).  Passes: the whole topic; its tails, longest first; runs
@@ -172,15 +172,15 @@ def promote(topics: DataFrame, titles: DataFrame, passes: tuple[int, ...] = (0,
     found = found.withColumn("match_type", F.when(F.col("pre").isNotNull() & (F.col("match_type") != "typo_corrected"), "redirect").otherwise(F.col("match_type")))
     bar = F.when(F.col("pass") == 0, 0.95).when(F.col("pass") == 3, 0.8).otherwise(1.0)
     rows = probes.join(found, "probe").where((F.col("score") >= bar) & ~_smears(F.col("probe"), F.col("path")))
-    rows = rows.join(titles.groupBy("path").agg(F.min("title").alias("title")), "path")
+    rows = rows.join(titles.groupBy("ord", "path").agg(F.min("title").alias("title")), ["ord", "path"])
     hits = _topic_tokens(topics, titles)
     others = hits.where("pos < last").groupBy("topic").agg(F.count_distinct("token").alias("others"))
-    pages = hits.select("topic", "path", "token").where(F.array_contains(tokens(F.col("path")), F.col("token"))).select("topic", "path", F.lit(True).alias("same")).distinct()
-    rows = rows.join(others, "topic", "left").join(pages, ["topic", "path"], "left")
+    pages = hits.select("topic", "ord", "path", "token").where(F.array_contains(tokens(F.col("path")), F.col("token"))).select("topic", "ord", "path", F.lit(True).alias("same")).distinct()
+    rows = rows.join(others, "topic", "left").join(pages, ["topic", "ord", "path"], "left")
     topic, path, pre = F.col("topic"), F.col("path"), F.coalesce("pre", "path")
     name, same, other = name_of(path, F.col("title")), F.coalesce("same", F.lit(False)), F.coalesce("others", F.lit(0))
     by_part = tail_ok(topic, path, name, F.col("match_type"), pre, other, same)
     whole = base_ok(topic, name, F.col("match_type"), pre) & z4(topic, path, name, same)
     rows = rows.where(F.when(F.col("pass").isin(1, 2), by_part).otherwise(whole))
     best = F.min(F.struct("pass", "place", (-F.col("score")).alias("s"), "ord", "path", "title", "match_type")).alias("b")
-    return rows.groupBy("topic").agg(best).select("topic", "b.pass", "b.path", "b.title", "b.match_type", (-F.col("b.s")).alias("score"))
+    return rows.groupBy("topic").agg(best).select("topic", "b.pass", "b.ord", "b.path", "b.title", "b.match_type", (-F.col("b.s")).alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from textquarry.catalog import table
 from textquarry.engine import Engine
 from textquarry.functions import html as HT
+from textquarry.functions import places as PL
 from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
 from textquarry.functions import urls as U
@@ -255,7 +256,7 @@ PROMOTED = ("the best small ring", "red widget of blue bolt", "hot gear", "small
 def topic_promotion(spark, sf):
     """The title of the parts that each topic is promoted to, by all passes; tested against a plain version."""
     t = part_titles(spark, sf).select(F.lit("parts").alias("archive"), F.lit(1).alias("ord"), "path", "title", F.lit(None).cast("string").alias("pre"))
-    return PM.promote(topics(spark, PROMOTED), t)
+    return PM.promote(topics(spark, PROMOTED), t).drop("ord")
 
 
 # Titles and suggestions.
@@ -393,7 +394,7 @@ SELECT doc_id, CAST(CASE WHEN e <> '' AND instr(plain, e) > 0 THEN instr(plain,
 def passage_places(spark, sf):
     lines = F.split("text", "\n")
     d = docs_of(spark, sf).where("text is not null").select("doc_id", F.replace("text", F.lit(" that "), F.lit(" **that** ")).alias("md"), F.element_at(lines, -1).alias("exact"))
-    return d.select("doc_id", P.located(F.col("exact"), F.col("md")).alias("exact_at"), P.located(F.replace("exact", F.lit(" "), F.lit("  ")), F.col("md")).alias("loose_at"))
+    return d.select("doc_id", PL.located(F.col("exact"), F.col("md")).alias("exact_at"), PL.located(F.replace("exact", F.lit(" "), F.lit("  ")), F.col("md")).alias("loose_at"))
 
 
 @query()
