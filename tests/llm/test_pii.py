@@ -80,7 +80,11 @@ def test_field_reads_whole_regions_long_words_and_any_white_space():
     assert spans("{" + filler + ',"phone":"645-555-3345","n":12}') == {"645-555-3345"}
     assert spans("{" + filler + ',"phone":"(645) 555-3345","n":12}') == {phone}
     assert spans(",".join(["name"] * 20 + ["645-555-3345", "12"])) == {"645-555-3345"}
-    assert pii.regions("x" * 30 + "9" * 65) == []
+    for n in (0, 3, 55, 70, 300):  # the same at every length of the word
+        assert spans("k" * n + "tel:645-555-3345") == {"645-555-3345"}, n
+        assert spans("a;b=" + "k" * n + "-645-555-3345") == set() or n == 0, n
+    assert spans('{"a":1,"tel":"645-555-3345"}') == spans("7,645-555-3345,x") == spans("tel=645-555-3345;") == {"645-555-3345"}
+    assert [w for _, w in pii.regions("x" * 30 + "9" * 65)] == [[(0, 95)]]
     many = pii.regions("12 " * 100_000)
     assert len(many) == 1 and len(many[0][1]) == 100_000
 

@@ -5,9 +5,9 @@ pass its test (octets at most 255, 14 to 19 digits with a valid check digit, 10
 to 15 digits); a match that fails is dropped and not retried.
 
 The random field reads *regions*: runs of neighbouring words with a digit or an
-@, joined by up to ``MOST_GAP`` characters of white space of any kind.  Long words and
-words with a double quote inside are split at punctuation that numbers and addresses
-do not have, and pieces that are still long at any.  A region is cut into segments of one kind each (one to ``MOST_WORDS`` words) or
+@, joined by up to ``MOST_GAP`` characters of white space of any kind.  Words of any length
+are split at punctuation that numbers and addresses do not have, as in ``tel:645-555-3345``,
+JSON or CSV.  A region is cut into segments of one kind each (one to ``MOST_WORDS`` words) or
 of single other words; whole-segment features (digit count, shape, separators,
 check digit, octets, @ and dots, brackets, the word before) and transitions score
 a segmentation, and dynamic programming over (end, kind) picks boundaries and
@@ -17,9 +17,7 @@ the patterns miss (national phone numbers, grouped numbers, numbers that are
 nothing).  A decoded span is added where it meets no base span.
 
 Defined results
-* null or empty text: no spans.  Texts are read whole and regions decoded whole, however
-  long; only unbroken runs of more than ``LONGEST_WORD`` letters and digits, which no kind
-  the field adds can be, end a region and are left to the patterns.
+* null or empty text: no spans.  Texts are read whole and words and regions decoded whole, however long.
 * null ids and repeated rows pass through row by row; empty table: no rows.
 * extra columns are not read.
 """
@@ -49,10 +47,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MOST_WORDS, LONGEST_WORD, MOST_GAP, TAUGHT_WORDS = 6, 64, 4, 24
+MOST_WORDS, MOST_GAP, TAUGHT_WORDS = 6, 4, 24
 _SPACE = re.compile(r"\s+")
-_PIECE, _RUN = re.compile(r"[^\"'<>\[\]{},;:=|&/\\?!#*~^`$]+"), re.compile(r"[^\W_]+(?:@[^\W_]+)?")
-_JOIN = re.compile(r"[^\w\s@]{1,2}|_")
+_PIECE = re.compile(r"[^\"'<>\[\]{},;:=|&/\\?!#*~^`$]+")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
 _MARK = re.compile(r"[0-9@]")
@@ -102,19 +99,11 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _pieces(text: str, start: int, end: int) -> Iterator[tuple[bool, int, int]]:
-    """The parts of a word with a digit or @, and whether a part may go on across punctuation."""
-    if end - start <= LONGEST_WORD and '"' not in text[start:end].strip(_STRIP):
-        yield False, start, end
-        return
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a word with a digit or @."""
     for m in _PIECE.finditer(text, start, end):
-        if m.end() - m.start() <= LONGEST_WORD:
-            if _MARK.search(text, *m.span()):
-                yield False, *m.span()
-            continue
-        for x in _RUN.finditer(text, *m.span()):
-            if x.end() - x.start() <= LONGEST_WORD and _MARK.search(text, *x.span()):
-                yield x.start() > m.start(), *x.span()
+        if _MARK.search(text, *m.span()):
+            yield m.span()
 
 
 def regions(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -129,9 +118,9 @@ def regions(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
         end = m.end()
         while end < len(text) and not text[end].isspace():
             end += 1
-        for joins, start, at in _pieces(text, start, end):
+        for start, at in _pieces(text, start, end):
             gap = text[found[-1][1][-1][1] : start] if found and start - found[-1][1][-1][1] <= MOST_GAP else ""
-            if gap.isspace() or joins and _JOIN.fullmatch(gap):
+            if gap.isspace():
                 found[-1][1].append((start, at))
             else:
                 before = re.findall(r"[^\s\"]+", text[max(0, start - 24) : start])
@@ -333,21 +322,19 @@ def made_up(count: int = 900, seed: int = 3) -> list:
             s, kind = ".".join(str(r.randint(0, 255)) for _ in range(4)), "ip"
         else:
             s = r.choice([".".join(str(r.randint(256, 999)) for _ in range(4)), f"{d(18)}", f"{d(8)}{r.choice('abcdef')}{d(7)}", f"password={d(9)}a{d(3)}"])
-        words = [m.span() for m in re.finditer(r"\S+", s)]
-        out.append((s, "", words, [(0, len(words), kind)] if kind else []))
+        out.append((s, [(kind, 0, len(s))] if kind else []))
     # Regions of several forms and of plain numbers in rows, as in tables.
     for i in range(count // 3):
         parts = [r.choice(out[:count]) for _ in range(r.randint(2, 4))]
         for _ in range(2):
-            row = " ".join(d(r.randint(1, 5)) for _ in range(r.randint(1, 8)))
-            parts.insert(r.randint(0, len(parts)), (row, "", [m.span() for m in re.finditer(r"\S+", row)], []))
-        words, gold = [], []
-        for t, _, own, right in parts:
-            gold += [(a + len(words), b + len(words), k) for a, b, k in right]
-            words += own
-        s = " ".join(x[0] for x in parts)
-        out.append((s, "", [m.span() for m in re.finditer(r"\S+", s)], gold))
-    return out
+            parts.insert(r.randint(0, len(parts)), (" ".join(d(r.randint(1, 5)) for _ in range(r.randint(1, 8))), []))
+        s, spans = "", []
+        for t, own in parts:
+            s += " " if s else ""
+            spans += [(k, a + len(s), b + len(s)) for k, a, b in own]
+            s += t
+        out.append((s, spans))
+    return [x for s, spans in out for before, words in regions(s) if (x := _aligned(s, before, words, spans)) is not None]
 
 
 def _taught(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
