@@ -32,6 +32,27 @@ def test_one_text_everywhere(frame):
     assert max(sizes) - min(sizes) <= 2 * 14 + sum(sizes) * 0.002
 
 
+def test_repeated_rows_are_dealt_evenly(frame):
+    rows = [(7, "the same row", "en", "s", None)] * 3000 + [(i, f"another text {i}", "en", "s", None) for i in range(100)]
+    sizes = check(rows, histogram_shards(frame(rows), 8).collect(), 8)
+    assert max(sizes) - min(sizes) <= 2 * 20 + sum(sizes) * 0.002
+
+
+def test_against_the_sorted_rows(spark, frame, corpus):
+    """Shards are runs of the rows in key order, cut where the bytes before come nearest to equal shares; slots count in that order."""
+    got = histogram_shards(frame(corpus), 5, tolerance=0.0)
+    rows = got.selectExpr("xxhash64(text) as h", "doc_id", "size", "shard", "slot").collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
+    total, before, ends = sum(r["size"] for r in rows), 0, []
+    for i, r in enumerate(rows):
+        ends.append((before, i))
+        before += r["size"]
+    cuts = [min(ends + [(total, len(rows))], key=lambda e: (abs(e[0] - k * total / 5), e[1]))[1] for k in range(1, 5)]
+    for i, r in enumerate(rows):
+        shard = sum(c <= i for c in cuts)
+        assert (r["shard"], r["slot"]) == (shard, i - ([0] + cuts)[shard])
+
+
 def test_odd_rows_and_empty_table(frame, odd):
     check(odd, histogram_shards(frame(odd, clash=True), 8).collect(), 8)
     out = histogram_shards(frame([]), 8)

@@ -14,9 +14,9 @@ hash.  The bound is found by sums over the hash's high bits, then among the rows
 the one interval that holds it.  ``mix_key`` (0 to 1) is the place of a block in its
 source's stream; sorting by it interleaves the sources by weight throughout.
 
-Only expressions and joins: no Python on the executors.  Texts are never exchanged:
-hashes and token counts of the rows tell what is read, and the texts are filtered by
-block and bound.  A hot source has up to ``most_blocks`` blocks, so it is many small
+Only expressions and joins: no Python on the executors.  Hashes and token counts of the
+rows tell what is read, and the texts are filtered by block and bound: where they are while
+the table of blocks is small (``session.small``), exchanged by source and block beyond that.  A hot source has up to ``most_blocks`` blocks, so it is many small
 groups, and blocks are summed before anything is sorted.
 
 Defined results

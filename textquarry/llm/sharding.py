@@ -1,6 +1,7 @@
 """Sharding by histogram sort: equal-byte ranges of a hashed key, without sampling.
 
-The key of a row is (hash of its text, doc_id, hash of the other key columns).
+The key of a row is (hash of its text, doc_id).  Where rows share both, the rows are written
+once with a number each, and the key is (hash of the text, hash of doc_id and number).
 Borders are found by counting, over all rows, the exact bytes below candidate
 keys; candidates are refined between the counted ones until each border meets
 the tolerance; then rows are exchanged once, to sort the small buckets between
@@ -12,8 +13,8 @@ unless a border falls inside it; then ``doc_id`` splits it.
 
 Defined results
 * null text: size 1 (no bytes), crc32 of no bytes; null doc_id: before all ids.
-* rows equal in every key column are one key: they stay in one shard, and
-  their slots are dealt among them in any order.
+* rows repeated in text and doc_id have keys of their own, so the law holds for them
+  too; which of them is in which slot is settled once and stored.
 * empty table: no rows.  Columns of the input named like an output column are replaced.
 """
 
@@ -155,6 +156,10 @@ def histogram_shards(
     keyed = df.withColumns({"__h": h, "__d": d, "size": size})
     scratch = Scratch(spark, "shards")
     keys = scratch.write(keyed.select("__h", "__d", "size"), "keys")
+    if not keys.groupBy("__h", "__d").count().where("count > 1").isEmpty():
+        numbered = keyed.withColumn("__no", F.monotonically_increasing_id())
+        keyed = Scratch(spark, "numbered").write(numbered.withColumn("__d", F.xxhash64("__d", "__no")).drop("__no"), "rows")
+        keys = scratch.write(keyed.select("__h", "__d", "size"), "numbered-keys")
     counted, chosen, step = find_borders(keys, n_shards, bits, tolerance, parts)
     scratch.drop()
     if not counted:
