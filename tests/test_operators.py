@@ -194,6 +194,67 @@ def test_zim(spark, tmp_path):
     assert not zim.check_integrity(path)
 
 
+def test_zim_filters_reach_the_directory(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringContains, StringStartsWith
+
+    path = str(tmp_path / "big.zim")
+    items = [(ns, f"{ns}{i:04}é" if i % 7 else f"p{i:04}", f"t{i}", "text/html", f"{ns}{i}".encode() * 50) for ns in "CMW" for i in range(1000)]
+    data = bytearray(zim.zim_bytes(items, cluster_bytes=5000))
+    (tmp_path / "big.zim").write_bytes(data)
+    want = {(ns, p): c for ns, p, _, _, c in items}
+
+    def run(columns, *filters):
+        reader = zim.ZimReader({"path": path, "entriesPerTask": "400"}, SimpleNamespace(names=columns))
+        left = list(reader.pushFilters(list(filters)))
+        parts = reader.partitions()
+        probed, rows, read = reader.counts["entries"], [], 0
+        clusters = 0
+        for p in parts:
+            rows += list(reader.read(p))
+            read += reader.counts["entries"]
+            clusters += reader.counts["clusters"]
+        return rows, left, probed, read, clusters
+
+    rows, left, probed, read, clusters = run(["namespace", "path", "content"], EqualTo(("path",), "p0007"))
+    assert sorted(rows) == sorted((ns, "p0007", want[ns, "p0007"]) for ns in "CMW") and not left and read == 3 and clusters == 3 and probed < 200
+    rows, _, _, read, clusters = run(["path"], StringStartsWith(("path",), "C00"), EqualTo(("namespace",), "C"))
+    assert len(rows) == read == sum(ns == "C" and p.startswith("C00") for ns, p in want) and clusters == 0
+    rows, _, probed, read, _ = run(["entry_id"], GreaterThan(("entry_id",), 2990), In(("entry_id",), (5, 2995, 9999, None)))
+    assert rows == [(2995,)] and read == 1 and probed == 0
+    assert run(["path"], EqualTo(("namespace",), "Q"))[0] == [] and len(run(["path"], StringContains(("path",), "x"))[1]) == 1 and len(run(["entry_id"])[0]) == 3000
+    e = zim.read_zim(spark, path, 400)
+    assert [(r["namespace"], bytes(r["content"])) for r in e.where("path = 'C0011é' and namespace = 'C'").collect()] == [("C", want["C", "C0011é"])]
+    assert e.where("path like 'M09%'").count() == sum(p.startswith("M09") for _, p in want) and e.where("entry_id between 10 and 19").count() == 10
+    # Totals from a bounded share of the directory; exact in small archives.
+    got = {r["namespace"]: (r["sampled"], r["projected"], r["exact"]) for r in zim.projected_totals(spark, path, 300).collect()}
+    assert sum(s for s, _, _ in got.values()) == 300 and all(abs(p - 1000) < 60 and not x for _, p, x in got.values())
+    assert {(r["projected"], r["exact"]) for r in zim.projected_totals(spark, path, 3000).collect()} == {(1000, True)}
+    # A damaged entry and a damaged cluster are rows with an error.
+    z = zim.ZimFile(open(path, "rb"))
+    import struct
+
+    at = struct.unpack("<Q", z._at(z.paths + 8 * 1500, 8))[0]
+    data[at : at + 2] = b"\x77\x77"
+    data[struct.unpack("<Q", z._at(z.cluster_table, 8))[0] + 3] ^= 0xFF
+    (tmp_path / "big.zim").write_bytes(data)
+    e = zim.read_zim(spark, path, 400)
+    bad = e.where("error is not null")
+    assert e.count() == 3000 and e.where("path is null").select("entry_id").collect() == [(1500,)] and 1 < bad.count() < 40 and e.where("path = 'W0900é'").count() == 1
+
+
+def test_archives_written_by_tasks(spark, tmp_path):
+    rows = [(a, "C", f"p{i}", None, "text/plain", None, f"{a}{i}".encode()) for a in ("x", "y") for i in range(50)] + [("x", "C", "again", "t", None, "p7", None)]
+    made = zim.write_archives(spark.createDataFrame(rows, "archive string, namespace string, path string, title string, mimetype string, redirect_to string, content binary"), f"file:{tmp_path}").collect()
+    assert {(r["archive"], r["entries"]) for r in made} == {("x", 51), ("y", 50)} and zim.check_integrity(str(tmp_path / "x.zim"))
+    back = zim.read_zim(spark, str(tmp_path / "x.zim")).where("path in ('again', 'p9')").select("path", "redirect_to", "content").collect()
+    assert sorted((r["path"], r["redirect_to"], r["content"] and bytes(r["content"])) for r in back) == [("again", "p7", None), ("p9", None, b"x9")]
+    (tmp_path / "z.zim").write_bytes(b"no archive")
+    every = zim.read_archives(spark.createDataFrame([(str(tmp_path / f"{n}.zim"),) for n in "xyz"], "path string"), content=False)
+    assert every.count() == 102 and every.where("error is not null").count() == 1
+
+
 def test_sections_and_budget(spark):
     rows = [(1, 100, 0, 1, "Top", 0), (1, 100, 1, 2, "Part", 20), (1, 100, 2, 3, "Sub", 40), (1, 100, 3, 2, "Part", 60)]
     got = P.heading_sections(spark.createDataFrame(rows, "page_id int, length int, pos int, level int, text string, start int")).orderBy("pos").collect()

@@ -6,7 +6,6 @@ operators are written; rows that meet every branch are made from the tables' col
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -496,30 +495,32 @@ def page_meta_tags(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.explode(HT.meta_tags(html)).alias("k", "v"))
 
 
-def zim_of_nations(spark, sf):
-    """A folder with an archive of the nations, one redirect for each region, and a file that is no archive."""
-    scratch = Scratch(spark, "zim")
-    folder = scratch.root.removeprefix("file://")
-    os.makedirs(folder)
-    n = table(spark, sf, "nation").orderBy("n_nationkey").collect()  # a dimension of 25 rows
-    rows = [("C", r["n_name"], f"Title {r['n_nationkey']}", "text/html", f"<p>{r['n_name']}</p>".encode()) for r in n] + [("C", f"to_{r['n_name']}", "again", None, i) for i, r in enumerate(n) if r["n_regionkey"] == 0]
-    ZIM.write_zim(f"{folder}/nations.zim", rows)
-    with open(f"{folder}/broken.zim", "wb") as f:
-        f.write(b"no archive")
-    return folder
+def zim_of_documents(spark, sf):
+    """A folder of archives written by tasks: the documents in archives of some thousands, with a redirect to each that has a language."""
+    d = docs_of(spark, sf)
+    parts = max(1, -(-d.count() // 3000))
+    d = d.select(F.concat(F.lit("docs-"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("string")).alias("archive"), F.lit("C").alias("namespace"), F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("Title "), "doc_id").alias("title"), F.lit("text/plain").alias("mimetype"), F.lit(None).cast("string").alias("redirect_to"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), "lang")
+    to = d.where("lang is not null").select("archive", "namespace", F.concat_ws("-", F.lit("to"), "path").alias("path"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("mimetype"), F.col("path").alias("redirect_to"), F.lit(None).cast("binary").alias("content"))
+    return ZIM.write_archives(d.drop("lang").unionByName(to), Scratch(spark, "zim").root)
 
 
-@query("SELECT 'C' AS namespace, n_name AS path, 'Title ' || n_nationkey AS title, 'text/html' AS mimetype, false AS is_redirect, NULL AS redirect_to, '<p>' || n_name || '</p>' AS body FROM nation UNION ALL SELECT 'C', 'to_' || n_name, 'again', NULL, true, n_name, NULL FROM nation WHERE n_regionkey = 0")
+@query("SELECT 'C' AS namespace, CAST(doc_id AS VARCHAR) AS path, 'Title ' || doc_id AS title, 'text/plain' AS mimetype, false AS is_redirect, md5(coalesce(text, '')) AS body FROM documents UNION ALL SELECT 'C', 'to-' || doc_id, lang, NULL, true, NULL FROM documents WHERE lang IS NOT NULL")
 def zim_entries(spark, sf):
-    e = ZIM.read_zim(spark, f"{zim_of_nations(spark, sf)}/nations.zim", 7)
-    return e.select("namespace", "path", "title", "mimetype", "is_redirect", "redirect_to", F.col("content").cast("string").alias("body"))
+    e = ZIM.read_archives(zim_of_documents(spark, sf))
+    return e.select("namespace", "path", "title", "mimetype", "is_redirect", F.md5("content").alias("body"))
 
 
-@query("SELECT 'nations.zim' AS name, true AS readable, true AS ok, NULL AS warning UNION ALL SELECT 'broken.zim', false, false, 'not an archive'")
+@query("SELECT CAST(sum(n) AS BIGINT) AS entries, 0 AS damaged, true AS whole FROM (SELECT count(*) + count(lang) AS n FROM documents)")
 def zim_listing(spark, sf):
-    found = ZIM.list_archives(spark, zim_of_nations(spark, sf))
-    rows = found.join(ZIM.check_archives(found), "path")
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "readable", "ok", "warning")
+    """What the listing and the checksums of the archives say that the tasks wrote."""
+    made = zim_of_documents(spark, sf)
+    made = Scratch(spark, "zim-files").write(made, "files")
+    folder = made.agg(F.min(F.regexp_replace("path", "/[^/]*$", ""))).first()[0]
+    found = ZIM.list_archives(spark, folder) if folder else made.select("path").where("false")
+    rows = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", "readable", "length").join(ZIM.check_archives(found), "path")
+    rows = made.select(F.concat("archive", F.lit(".zim")).alias("file"), "entries", "bytes").join(rows, "file", "left")
+    bad = ~F.coalesce(F.col("readable") & F.col("ok"), F.lit(False))
+    return rows.agg(F.sum("entries").alias("entries"), F.count_if(bad).alias("damaged"), F.min(F.col("length") == F.col("bytes")).alias("whole"))
 
 
 # Links.
