@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
 from textquarry.functions import urls as U
 
@@ -57,7 +58,7 @@ def test_strong_title(spark, topic, title, want):
 def test_small_functions(spark):
     assert one(spark, T.without_links(F.col("x")), x="a [b](c) d") == "a b d"
     assert one(spark, T.without_votes(F.col("x")), x="\n-3\n\ntext") == "text"
-    assert one(spark, T.slug(F.col("x")), x="  The Great War! (1914) ") == "the-great-war-1914"
+    assert one(spark, SN.slug(F.col("x")), x="  The Great War! (1914) ") == "the-great-war-1914"
     assert one(spark, T.fold(F.col("x")), x="Gödel É") == "godel e"
     assert one(spark, T.size_text(F.col("x")), x=1536) == "1.5 KB"
     for path in ("A/List_of_rivers", "Lists_of_x", "listed_buildings_in_York", "Foo_discography", "C/Foo_awards_and_honors", "Foo_honours_and_awards"):

@@ -293,9 +293,14 @@ def test_event_streams(spark, tmp_path):
 
 
 def test_archive_types(spark):
-    rows = [("a", "sotoki 2.0", "", "", ""), ("b", "mwoffliner 1", "wiktionary_fr", "", ""), ("c", "", "wikipedia_de", "", ""), ("d", "", "", "en.wikivoyage.org", ""), ("e", None, None, None, None)]
-    got = A.archive_type(spark.createDataFrame(rows, "archive string, scraper string, name string, host string, creator string"))
-    assert {r["archive"]: (r["type"], r["confidence"]) for r in got.collect()} == {"a": ("stackexchange", "high"), "b": ("wiktionary", "high"), "c": ("wikipedia", "medium"), "d": ("wikivoyage", "medium"), "e": ("generic", "none")}
+    rows = [
+        ("a", "sotoki 2.0", "", "", "", "", "stackexchange", "high"), ("b", "mwoffliner 1", "wiktionary_fr", "", "", "", "wiktionary", "high"), ("c", "", "wikipedia_de", "", "", "", "wikipedia", "medium"),
+        ("d", "mwoffliner", "en.wikivoyage.org", "", "", "", "wikipedia", "high"), ("e", None, None, None, None, None, "generic", "none"), ("f", "", "superuser.com_en_all", "", "", "", "stackexchange", "medium"),
+        ("g", "", "ted_en_x", "", "", "", "ted", "medium"), ("h", "zimit", "x", "", "Stack Exchange", "", "stackexchange", "medium"), ("i", "mwoffliner", "x", "The Wiktionary", "", "", "wiktionary", "high"),
+        ("j", "", "notsuperuser.com_x", "", "", "", "generic", "none"), ("k", "", "", "", "", "a;wikipedia", "wikipedia", "medium"),
+    ]
+    frame = spark.createDataFrame(rows, "archive string, scraper string, name string, title string, creator string, tags string, t string, c string")
+    assert {r["archive"]: (r["type"], r["confidence"]) for r in A.archive_type(frame).collect()} == {r[0]: r[6:] for r in rows}
 
 
 def test_cursors():
@@ -322,7 +327,7 @@ def test_intents(request_, want):
 
 def test_language():
     assert language.topic("what is the Rhine?") == "Rhine"
-    assert language.snippet_terms('title:"Berlin wall" AND fal* in') == [("Berlin", False), ("wall", False)]
+    assert language.snippet_terms('title:"Berlin wall" AND fal* in') == [("berlin", False), ("wall", False)]
     assert language.respelt("Teh recieve's end", {"teh": "the", "recieve": "receive"}) == "The receive's end"
     assert language.of_parts("history of the Rhine") == ("Rhine", "history") and language.of_parts("list of rivers") is None
     assert language.entities("Rome, Paris and Berlin") == ["Rome", "Paris", "Berlin"] and language.entities("Rome and Paris") == []
@@ -416,8 +421,10 @@ def test_excerpts(spark):
     assert SN.excerpted("a\n\nphotosynthetic cells", "photosynthesis") == "photosynthetic cells"
     assert SN.excerpted("x " * 100, "x", length=20).endswith("...") and len(SN.excerpted("x " * 100, "yyy", length=20)) <= 20
     assert SN.excerpted(None, "a") is None and SN.excerpted("", "abc") == ""
-    assert SN.tex_text(r"\text{set} \Omega \in \foo{x}") == "set Ω∈ foox" or SN.tex_text(r"\alpha") == "α"
-    assert SN.bold_offsets("a **b** c") == ("a b c", [0, 1, 4, 7, 8])
+    assert SN.tex_text(r"\text{set} \Omega \in \foo{x}") == "set Ω ∈ foox" and SN.tex_text(r"\alpha") == "α"
+    assert SN.tex_text(r"\lambda \Lambda \varphi \neg x \land \vDash \\{a\\}") == "λ Λ φ ¬ x ∧ ⊨ {a}"
+    assert SN.excerpted("# T\n\n* Berlin\n* Hamburg Port\n\nText.", "hamburg").startswith("* Berlin\n* **Hamburg** Port")
+    assert SN.excerpted("## Only\n\n## Headings", "zzz") == "## Headings"
 
 
 def test_promotion_passes(spark):
@@ -460,12 +467,29 @@ def test_synthesis_stages(spark):
 def test_snippets(spark):
     from textquarry.functions import snippets as SN
 
-    assert SN.marked("Gödel met godel and GODELS", ["godel"]) == "**Gödel** met **godel** and GODELS"
-    assert SN.marked("a **rome** [rome](x) rome romes", ["rom*"], 1) == "a **rome** [rome](x) **rome** romes"
+    mark = lambda text, words, *most: SN.marked(text, SN.Terms.of([(w.rstrip("*"), w.endswith("*")) for w in words]), *most)
+    assert mark("Gödel met godel and GODELS", ["godel"]) == "**Gödel** met **godel** and GODELS"
+    assert mark("a **rome** [rome](x) rome romes", ["rom*"], 1) == "a **rome** [rome](x) **rome** romes"
+    assert mark("`Berlin()` _Berlin_ foo_berlin Berlin", ["berlin"]) == "`Berlin()` _Berlin_ foo_berlin **Berlin**"
+    assert mark("ﬁne ½", ["fine"]) == "**ﬁne** ½" and mark(None, ["a"]) is None and mark("x", []) == "x"
+    assert [SN.slugify(x) for x in ("- Foo Bar -", "ﬁne Title", "A_b  c!", "", "Ж ١")] == ["foo-bar", "fine-title", "a_b-c", "", "ж-١"]
+    assert language.snippet_terms("quantum-mechanics C/Berlin title:Rhine AND (diabet* car*) of") == [("quantum", False), ("mechanics", False), ("berlin", False), ("rhine", False), ("diabet", True)]
     assert SN.repaired("see [the li") == "see" and SN.repaired("a **b") == "a b" and SN.repaired(None) is None
     df = spark.createDataFrame([("Été",), (None,)], "t string")
     assert [r["x"] for r in df.select(SN.fold_all("t").alias("x")).collect()] == ["ete", None]
-    assert SN.token_estimate("x" * 40) == 11 and SN.token_estimate("x", lambda t: 100) == 106
+
+
+def test_places_are_counted_in_the_page_as_it_is():
+    from textquarry.functions.places import span_of
+
+    page = "**A** and **B** are **old** towns.\n\n  The  river\tis **wide** and deep here."
+    for passage in ("towns", "old towns.", "**wide** and", "river\tis wide"):
+        plain = passage.replace("**", "")
+        a, b = span_of(passage, page)
+        assert page[a:b].replace("**", "") == plain and page[a] == plain[0], passage
+    a, b = span_of("The river is wide  and deep", page)
+    assert page[a:].startswith("The  river\tis") and page[a:b].endswith("deep")
+    assert span_of("", page) is None and span_of("nowhere to be found", page) is None and span_of("river  is", page) is None
 
 
 def test_main_page(spark, entries):
@@ -488,9 +512,9 @@ def test_snippet_highlight_whole_reads_all_rows_and_lines(spark, tmp_path):
 
     def brute(text):
         out, hits = [], 0
-        for piece in re.split(r"(\*\*[^*]*\*\*|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\))", text):
+        for piece in re.split(r"(\*\*[^*\n]+\*\*|\[[^\]\n]*\]\([^)\n]*\))", text):
             for w in re.split(r"((?:\w|[\u0300-\u036f])+)", piece):
-                hit = fold(w) in ("that", "with", "tion", "fur", "pour") and hits < 5 and piece[:1] not in ("*", "[")
+                hit = fold(w) in ("that", "with", "tion", "fur", "pour") and hits < 5 and not re.match(r"\*\*|\[[^\]\n]*\]\(", piece)
                 hits += hit
                 out.append(f"**{w}**" if hit else w)
         return "".join(out)

@@ -7,7 +7,6 @@ Malformed markup never fails: unclosed elements end with the page.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.functions.snippets import slugify
 
 # Elements without content, left out, or that begin a block; table and infobox limits.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,11 +37,6 @@ LINK = "struct<kind:string,url:string,text:string,pos:int>"
 BUNDLE = f"title string, markdown string, word_count int, char_count int, sections array<{SECTION}>, links array<{LINK}>, infobox array<struct<label:string,value:string>>"
 
 
-def slugify(heading: str) -> str:
-    s = re.sub(r"\s+", "-", unicodedata.normalize("NFKC", heading).strip().lower())
-    return re.sub(r"[^\w-]", "", s)
-
-
 def _furniture(heading: str) -> bool:
     """Whether a heading stands over something that is no part of the article."""
     text = " ".join(heading.split()).lower().rstrip(".:;,!?")

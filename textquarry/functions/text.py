@@ -60,11 +60,6 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), *ACCENTS)
 
 
-def slug(c: Column) -> Column:
-    """A heading as an id: lower case, white space to ``-``, other marks dropped."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(c)), r"\s+", "-"), r"[^\p{L}\p{N}_-]", "")
-
-
 def plain_path(c: Column) -> Column:
     """A path as a title."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z-]/", ""), "_", " "))

@@ -11,11 +11,10 @@ from textquarry.session import small
 
 # Descriptions of namespaces, and marks of archive types.
 NAMESPACES = {"A": "Articles", "C": "Content", "I": "Images", "M": "Metadata", "W": "Well-known entries", "X": "Search indexes", "-": "Layout"}
-SCRAPERS = {"sotoki": "stackexchange", "ted2zim": "ted", "gutenberg2zim": "gutenberg", "youtube2zim": "youtube", "zimit": "website"}
+QUESTION_HOSTS = ("stackexchange.com", "superuser.com", "serverfault.com", "askubuntu.com", "stackoverflow.com", "mathoverflow.net")
 HTML_MARKS = ("<!doctype html", "<html", "<head", "<title>")
 METADATA_CAP = 800
 WELL_KNOWN = ("W/index", "W/robots.txt", "W/exception.html", "W/404.html")
-WIKIS = {"wikipedia": "wikipedia", "wiktionary": "wiktionary", "wikivoyage": "wikivoyage", "wikibooks": "wikibooks", "wikiquote": "wikiquote"}
 
 
 def pages_as_entries(pages: DataFrame) -> DataFrame:
@@ -84,19 +83,22 @@ def binary(entries: DataFrame, cap: int, content: str = "html") -> DataFrame:
 
 
 def archive_type(archives: DataFrame) -> DataFrame:
-    """archive, type, confidence from ``scraper``, ``name``, ``host`` and ``creator``: the first that tells wins."""
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    kind = conf = None
-    steps = [(low("scraper").startswith(k), v, "high") for k, v in SCRAPERS.items()]
-    steps += [(low("scraper").startswith("mwoffliner") & low("name").startswith(k), v, "high") for k, v in WIKIS.items()]
-    steps += [(low("scraper").startswith("mwoffliner"), "mediawiki", "high")]
-    steps += [(low("name").startswith(k), v, "medium") for k, v in WIKIS.items()]
-    steps += [(low("host").endswith(f"{k}.org"), v, "medium") for k, v in WIKIS.items()]
-    steps += [(low("creator").startswith(k), v, "medium") for k, v in WIKIS.items()]
-    for test, v, c in steps:
-        kind = F.when(test, v) if kind is None else kind.when(test, v)
-        conf = F.when(test, c) if conf is None else conf.when(test, c)
-    return archives.select("archive", kind.otherwise("generic").alias("type"), conf.otherwise("none").alias("confidence"))
+    """archive, type, confidence from ``scraper``, ``name``, ``title``, ``creator`` and ``tags``: the first rule that holds.
+
+    Only the scraper gives high confidence.  The host is what stands before the first ``_`` of the name.
+    """
+    scraper, name, title, creator, tags = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in ("scraper", "name", "title", "creator", "tags"))
+    host = F.split_part(name, F.lit("_"), F.lit(1))
+    about = lambda word: tags.contains(word) | creator.contains(word)
+    rules = (
+        (scraper.startswith("sotoki"), "stackexchange", "high"), (scraper.startswith("ted2zim"), "ted", "high"),
+        (scraper.startswith("mwoffliner") & (name.startswith("wiktionary") | title.contains("wiktionary")), "wiktionary", "high"), (scraper.startswith("mwoffliner"), "wikipedia", "high"),
+        (name.startswith("wikipedia"), "wikipedia", "medium"), (name.startswith("wiktionary"), "wiktionary", "medium"), (name.rlike("^ted[_-]"), "ted", "medium"),
+        (host.isin(*QUESTION_HOSTS) | host.endswith(".stackexchange.com"), "stackexchange", "medium"), (creator.contains("stack exchange") | tags.contains("stackexchange"), "stackexchange", "medium"),
+        (about("wiktionary"), "wiktionary", "medium"), (about("wikipedia"), "wikipedia", "medium"),
+    )
+    first = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))) for test, kind, sure in rules], F.struct(F.lit("generic").alias("type"), F.lit("none").alias("confidence")))
+    return archives.select("archive", first.alias("t")).select("archive", "t.type", "t.confidence")
 
 
 def effective_preset(types: DataFrame, pins: DataFrame, by_type: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.functions import text as T
 from textquarry.operators.search import B, K1, parsed_query
-from textquarry.session import Scratch
+from textquarry.session import Scratch, small
 
 #: Postings in a file, about 100 MB of them.
 PART_ROWS = 8_000_000
@@ -71,6 +72,32 @@ def search(spark: SparkSession, path: str, query: str) -> DataFrame:
     return score(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"), query)
 
 
+#: Terms that are handed to the scan as a list, so that it reads only their files.
+LISTED = 1000
+
+
+def search_many(spark: SparkSession, path: str, queries: DataFrame, key: str, query: str = "query", k: int = 10) -> DataFrame:
+    """key, id, score, rn: the ``k`` best documents of each query, all queries in one plan.
+
+    The queries' distinct words are joined with the postings and their document counts; scores are sums over the words
+    a document holds, and a group limit keeps ``k`` of a query before the exchange.
+    """
+    wanted = queries.select(key, F.explode(F.array_distinct(T.words(F.col(query)))).alias("term"))
+    p, terms, corpus = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus"))
+    some = wanted.select("term").distinct().limit(LISTED + 1).collect()  # bounded by its limit
+    if len(some) <= LISTED:
+        p = p.where(F.col("term").isin([r["term"] for r in some]))
+    c = corpus.first()
+    known = wanted.join(terms.select("term", "df"), "term")
+    idf = F.log(F.lit(1.0) + (F.lit(c["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    hits = p.join(small(known.select(key, "term", idf.alias("idf"))), "term")
+    n = F.col("tf").cast("double")
+    part = F.col("idf") * (n * (K1 + 1)) / (n + K1 * (1 - B + B * F.col("dl") / F.lit(c["avgdl"])))
+    scored = hits.groupBy(key, "id").agg(F.round(F.sum(part), 6).alias("score"))
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "id")
+    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+
+
 def score(postings_: DataFrame, terms: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
     wanted = parsed_query(query)
     c = corpus.first()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.functions import snippets as SN
 from textquarry.functions import text as T
 
 
@@ -38,7 +39,7 @@ def heading_sections(headings: DataFrame, page: str = "page_id", levels: int = 6
     ends = F.coalesce(*[F.when(level == k, F.last(F.when(level <= k, F.col("start")), True).over(after)) for k in range(1, levels + 1)], F.col("length"))
     # The nearest heading of a lower level, over all such levels.
     parents = F.coalesce(*[F.when(level == k, F.last(F.when(level < k, F.col("pos")), True).over(above)) for k in range(2, levels + 1)])
-    slug = T.slug(F.col("text"))
+    slug = SN.slug(F.col("text"))
     rows = headings.withColumns({"char_end": ends, "parent_pos": parents, "__s": slug})
     same = F.row_number().over(Window.partitionBy(page, "__s").orderBy("pos"))
     rows = rows.withColumn("id", F.concat("__s", F.when(same > 1, F.concat(F.lit("_"), same.cast("string"))).otherwise(F.lit(""))))

@@ -82,7 +82,7 @@ def fulltext_search(spark, sf):
 
 @query(bm25_sql() + f" SELECT * FROM (SELECT doc_id, score, {TOP} AS rn FROM hits) WHERE rn BETWEEN 11 AND 20")
 def fulltext_search_page2(spark, sf):
-    return S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY).select("doc_id", "score"), 10, 10)
+    return S.page(indexed(spark, sf), 10, 10)
 
 
 @query(bm25_sql("lang = 'de'") + f" SELECT doc_id, score, {TOP} AS rn FROM hits ORDER BY rn LIMIT 10")
@@ -92,8 +92,7 @@ def filtered_search_lang(spark, sf):
 
 @query(bm25_sql("starts_with(source, 'src1')") + f" SELECT doc_id, source, score, {TOP} AS rn FROM hits ORDER BY rn LIMIT 10")
 def filtered_search_mime_prefix(spark, sf):
-    d = docs_of(spark, sf).select("doc_id", "text", "source")
-    return S.page(S.bm25(d, QUERY, where=F.col("source").startswith("src1")).select("doc_id", "source", "score"))
+    return S.page(hits_of(spark, sf, "source").where(F.col("source").startswith("src1")))
 
 
 PER_SOURCE = "row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)"
@@ -101,13 +100,12 @@ PER_SOURCE = "row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id
 
 @query(bm25_sql() + f" SELECT * FROM (SELECT source, doc_id, score, {PER_SOURCE} AS rn FROM hits) WHERE rn <= 5")
 def search_all_sources(spark, sf):
-    d = docs_of(spark, sf).select("doc_id", "text", "source")
-    return S.top_per_group(S.bm25(d, QUERY).select("source", "doc_id", "score"), "source", 5)
+    return S.top_per_group(hits_of(spark, sf, "source"), "source", 5)
 
 
 @query(bm25_sql() + " SELECT count(DISTINCT source) AS sources_with_hits, count(*) AS hits, count(*) FILTER (WHERE score >= 1) AS strong_hits FROM hits")
 def search_totals(spark, sf):
-    h = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
+    h = hits_of(spark, sf, "source")
     return h.agg(F.count_distinct("source").alias("sources_with_hits"), F.count("*").alias("hits"), F.count_if(F.col("score") >= 1).alias("strong_hits"))
 
 
@@ -132,6 +130,20 @@ def cross_archive_floor(spark, sf):
     return S.leakage_floor(top, QUERY, "path").select("source", "doc_id", "score", "overlap", "is_primary")
 
 
+LONG_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{8,}')"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT item_id, unnest({LONG_WORDS}) AS term FROM benchmark), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents), c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN d USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10""")
+def search_many(spark, sf):
+    """The ten best documents for each item of the benchmark, asked by its long words, in one plan."""
+    q = table(spark, sf, "benchmark").select("item_id", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{8,}"), F.lit(0)), " ").alias("query"))
+    found = IX.search_many(spark, stored_index(spark, sf), q, "item_id", "query", 10)
+    return found.select("item_id", F.col("id").alias("doc_id"), "score", "rn")
+
+
 CANON = "split_part(split_part(regexp_replace(url, '^[a-z]+://', ''), '?', 1), '#', 1)"
 
 

@@ -121,28 +121,36 @@ def namespace_of_path(spark, sf):
     return e.select("entry_id", U.namespace(F.col("path")).alias("old_ns"), U.namespace(F.col("path"), F.lit(True)).alias("new_ns"), U.canonical_namespace(F.col("ns")).alias("canonical_ns"))
 
 
-ARCHIVES_SQL = "WITH a AS (SELECT n_name AS archive, n_regionkey, CASE n_nationkey % 4 WHEN 0 THEN 'sotoki 2' WHEN 1 THEN 'mwoffliner 1.13' ELSE '' END AS scraper, CASE n_nationkey % 3 WHEN 0 THEN 'wikipedia_en' WHEN 1 THEN 'wiktionary_fr' ELSE 'other' END AS name FROM nation)"
+# Values that meet every branch of the rules for archive types.
+SCRAPERS = ("Sotoki 2.0", "ted2zim 3", "mwoffliner 1.13", None, "zimit 1", "", " MWoffliner")
+NAMES = ("wikipedia_en_all", "Wiktionary_fr", "ted_en_x", "ted-talks", "superuser.com_en_all", "math.stackexchange.com_en", "notstackexchange.com_x", "other", None, "stackexchange.com_x", "evil.superuser.com_x")
+TITLES = (None, "English Wiktionary", "x")
+CREATORS = ("Stack Exchange", "Wikipedia", "The Wiktionary", "me", None)
+TAGS = ("_category:stackexchange", "a;wiktionary", "wikipedia;b", None)
+_list = lambda v: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + "]"
+_made = ", ".join(f"lower(trim(coalesce({_list(v)}[p_partkey % {len(v)} + 1], ''))) AS {c}" for c, v in (("s", SCRAPERS), ("n", NAMES), ("t", TITLES), ("c", CREATORS), ("g", TAGS)))
+ARCHIVES_SQL = f"""WITH m AS (SELECT 'archive ' || p_partkey AS archive, p_size, {_made} FROM part),
+a AS (SELECT archive, p_size, CASE WHEN starts_with(s, 'sotoki') THEN 'stackexchange high' WHEN starts_with(s, 'ted2zim') THEN 'ted high' WHEN starts_with(s, 'mwoffliner') THEN CASE WHEN starts_with(n, 'wiktionary') OR contains(t, 'wiktionary') THEN 'wiktionary high' ELSE 'wikipedia high' END
+ WHEN starts_with(n, 'wikipedia') THEN 'wikipedia medium' WHEN starts_with(n, 'wiktionary') THEN 'wiktionary medium' WHEN starts_with(n, 'ted_') OR starts_with(n, 'ted-') THEN 'ted medium'
+ WHEN split_part(n, '_', 1) IN ('stackexchange.com', 'superuser.com', 'serverfault.com', 'askubuntu.com', 'stackoverflow.com', 'mathoverflow.net') OR suffix(split_part(n, '_', 1), '.stackexchange.com') THEN 'stackexchange medium'
+ WHEN contains(c, 'stack exchange') OR contains(g, 'stackexchange') THEN 'stackexchange medium' WHEN contains(g, 'wiktionary') OR contains(c, 'wiktionary') THEN 'wiktionary medium' WHEN contains(g, 'wikipedia') OR contains(c, 'wikipedia') THEN 'wikipedia medium' ELSE 'generic none' END AS k FROM m)"""
 
 
 def made_archives(spark, sf):
-    n = table(spark, sf, "nation")
-    k = F.col("n_nationkey")
-    scraper = F.when(k % 4 == 0, "sotoki 2").when(k % 4 == 1, "mwoffliner 1.13").otherwise("")
-    name = F.when(k % 3 == 0, "wikipedia_en").when(k % 3 == 1, "wiktionary_fr").otherwise("other")
-    return n.select(F.col("n_name").alias("archive"), "n_regionkey", scraper.alias("scraper"), name.alias("name"), F.lit("").alias("host"), F.lit("").alias("creator"))
+    pick = lambda v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (F.col("p_partkey") % len(v) + 1).cast("int"))
+    named = [pick(v).alias(c) for c, v in (("scraper", SCRAPERS), ("name", NAMES), ("title", TITLES), ("creator", CREATORS), ("tags", TAGS))]
+    return table(spark, sf, "part").select(F.concat(F.lit("archive "), "p_partkey").alias("archive"), "p_size", *named)
 
 
-@query(ARCHIVES_SQL + """ SELECT archive, CASE WHEN starts_with(scraper, 'sotoki') THEN 'stackexchange' WHEN starts_with(scraper, 'mwoffliner') AND starts_with(name, 'wikipedia') THEN 'wikipedia' WHEN starts_with(scraper, 'mwoffliner') AND starts_with(name, 'wiktionary') THEN 'wiktionary' WHEN starts_with(scraper, 'mwoffliner') THEN 'mediawiki' WHEN starts_with(name, 'wikipedia') THEN 'wikipedia' WHEN starts_with(name, 'wiktionary') THEN 'wiktionary' ELSE 'generic' END AS type,
-CASE WHEN scraper <> '' THEN 'high' WHEN name <> 'other' THEN 'medium' ELSE 'none' END AS confidence FROM a""")
+@query(ARCHIVES_SQL + " SELECT archive, split_part(k, ' ', 1) AS type, split_part(k, ' ', 2) AS confidence FROM a")
 def archive_type(spark, sf):
     return A.archive_type(made_archives(spark, sf))
 
 
-@query(ARCHIVES_SQL + """, t AS (SELECT archive, CASE WHEN starts_with(scraper, 'sotoki') THEN 'qa' WHEN scraper <> '' AND name <> 'other' THEN 'wiki' END AS typed, n_regionkey = 4 AS pinned FROM a)
-SELECT archive, CASE WHEN pinned THEN 'pinned' ELSE coalesce(typed, 'default') END AS preset FROM t""")
+@query(ARCHIVES_SQL + " SELECT archive, CASE WHEN p_size % 5 = 4 THEN 'pinned' WHEN k = 'stackexchange high' THEN 'qa' WHEN k IN ('wikipedia high', 'wiktionary high') THEN 'wiki' ELSE 'default' END AS preset FROM a")
 def preset_resolve(spark, sf):
     a = made_archives(spark, sf)
-    pins = a.where("n_regionkey = 4").select("archive", F.lit("pinned").alias("preset"))
+    pins = a.where("p_size % 5 = 4").select("archive", F.lit("pinned").alias("preset"))
     presets = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(p).alias("preset")) for t, p in (("stackexchange", "qa"), ("wikipedia", "wiki"), ("wiktionary", "wiki"))])))
     return A.effective_preset(A.archive_type(a), pins, presets)
 
@@ -205,13 +213,13 @@ a AS (SELECT doc_id, rn, score, CASE WHEN len(w) > 0 THEN len(list_intersect(w,
 b AS (SELECT doc_id, rn, score, affine, round(CASE WHEN affine THEN f * 1.5 ELSE f END, 6) AS boosted FROM a)
 SELECT *, row_number() OVER (ORDER BY boosted DESC, rn) AS new_rn FROM b""")
 def section_affinity_boost(spark, sf):
-    ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20)
+    ranked = S.page(hits_of(spark, sf, "text"), 20)
     return P.affinity(ranked.withColumn("h", F.split_part("text", F.lit("\n"), F.lit(1))), QUERY, "h", threshold=0.1).select("doc_id", "rn", "score", "affine", "boosted", "new_rn")
 
 
 @query(RANKED + ", b AS (SELECT doc_id, rn, length(text) AS n_chars, least(length(text), 4800 - (sum(length(text)) OVER (ORDER BY rn) - length(text))) AS kept FROM t) SELECT doc_id, rn, CAST(n_chars AS INTEGER) AS n_chars, CAST(kept AS BIGINT) AS kept FROM b WHERE kept > 0")
 def budget_enforce(spark, sf):
-    ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20).select("doc_id", "rn", F.length("text").alias("n_chars"))
+    ranked = S.page(hits_of(spark, sf, "text"), 20).select("doc_id", "rn", F.length("text").alias("n_chars"))
     return P.within_budget(ranked, 4800)
 
 
@@ -219,7 +227,7 @@ def budget_enforce(spark, sf):
 s AS (SELECT len(list_filter(w, lambda a: a IN ('that', 'with', 'tion', 'pour') OR starts_with(a, 'that') OR starts_with(a, 'with') OR starts_with(a, 'tion') OR starts_with(a, 'pour') OR (length(a) >= 4 AND (starts_with('that', a) OR starts_with('with', a) OR starts_with('tion', a) OR starts_with('pour', a))))) > 0 AS strong FROM w)
 SELECT count(*) AS hits, count(*) FILTER (WHERE strong) AS strong, count(*) > 0 AND count(*) FILTER (WHERE strong) = 0 AS low_relevance FROM s""")
 def weak_result_flag(spark, sf):
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY)
+    hits = hits_of(spark, sf, "text")
     return S.weak_result(hits.select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("h")), QUERY, "h")
 
 
@@ -257,10 +265,10 @@ def vector_rerank(spark, sf):
     return S.page(e.select("vec_id", "label", F.round(score, 6).alias("score")), 10, by="vec_id")
 
 
-@query(f"SELECT page_id, {PAGE_TITLE} AS title, regexp_replace(regexp_replace(trim(lower({PAGE_TITLE})), '\\s+', '-', 'g'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS slug, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1 FROM pages")
+@query(f"SELECT page_id, {PAGE_TITLE} AS title, trim(regexp_replace(regexp_replace(trim(lower({PAGE_TITLE})), '\\s+', '-', 'g'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g'), '-') AS slug, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1 FROM pages")
 def heading_slugs(spark, sf):
     p = page_entries(spark, sf)
-    return p.select(F.col("entry_id").alias("page_id"), "title", T.slug(F.col("title")).alias("slug"), F.regexp_count("html", F.lit("<h1[ >]")).cast("long").alias("n_h1"))
+    return p.select(F.col("entry_id").alias("page_id"), "title", SN.slug(F.col("title")).alias("slug"), F.regexp_count("html", F.lit("<h1[ >]")).cast("long").alias("n_h1"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words, length(text) AS n_chars, CASE WHEN strlen(text) >= 1024 THEN (strlen(text) * 10 // 1024) // 10 || '.' || (strlen(text) * 10 // 1024) % 10 || ' KB' ELSE strlen(text) || ' B' END AS size FROM documents")
@@ -350,13 +358,13 @@ def canonical_prefix_probe(spark, sf):
 
 @query(RANKED + " SELECT doc_id, rn, score FROM t WHERE rn > 5 AND rn <= 8")
 def considered_articles(spark, sf):
-    ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20).select("doc_id", "rn", "score")
+    ranked = S.page(hits_of(spark, sf, "text"), 20).select("doc_id", "rn", "score")
     return ranked.join(ranked.where("rn <= 5").select("doc_id"), "doc_id", "left_anti").orderBy("rn").limit(3)
 
 
 @query(bm25_sql() + ", t AS (SELECT source, doc_id, score, max(score) OVER (PARTITION BY source) AS top FROM hits) SELECT source, doc_id, score FROM t WHERE score >= 0.25 * top")
 def relevance_floor(spark, sf):
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY).select("source", "doc_id", "score")
+    hits = hits_of(spark, sf, "source")
     top = hits.groupBy("source").agg(F.max("score").alias("top"))
     return hits.join(top, "source").where(F.col("score") >= F.lit(0.25) * F.col("top")).drop("top")
 

@@ -25,7 +25,7 @@ from textquarry.operators import promotion as PM
 from textquarry.operators import search as S
 from textquarry.operators import synthesis as SY
 from textquarry.operators import titles as TI
-from textquarry.plans.catalogue import ORACLE, QUERY, TOP, bm25_sql, docs_of, part_titles, query, topics
+from textquarry.plans.catalogue import ORACLE, QUERY, TOP, bm25_sql, docs_of, hits_of, part_titles, query, topics
 from textquarry.plans.catalogue2 import ASSET_ENDS, EDGES, LINKS, PATH, RANKED, SECTIONS_SQL, page_edges, page_links
 from textquarry.session import Scratch
 from textquarry.sources import zim as ZIM
@@ -290,7 +290,7 @@ def typo_whole_word(spark, sf):
 pool AS (SELECT *, CASE WHEN starts_with(lower(title), 'the') THEN 0 ELSE 1 END AS k FROM d WHERE contains(lower(title), 'the') ORDER BY rn LIMIT 10)
 SELECT path, title, CASE k WHEN 0 THEN 'search_start_match' ELSE 'search_contains_match' END AS match_type, row_number() OVER (ORDER BY k, length(title), rn) AS rn FROM pool""")
 def suggest_from_search(spark, sf):
-    hits = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 50)
+    hits = S.page(hits_of(spark, sf, "text"), 50)
     hits = hits.select(F.col("doc_id").cast("string").alias("path"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), "rn")
     return TI.suggest_ranked(hits, part_titles(spark, sf).select("path", "title"), "the", 10)
 
@@ -316,7 +316,7 @@ def filtered_search_distinct(spark, sf):
 
 @query(RANKED.replace("rn <= 20", "rn <= 200") + ", k AS (SELECT doc_id, score, rn, row_number() OVER (ORDER BY rn) AS n FROM t WHERE lang = 'de') SELECT doc_id, score, rn, (SELECT count(*) FROM t) AS scanned, (SELECT count(*) FROM k) AS matched, (SELECT count(*) > 200 FROM r) AS total_is_lower_bound, CASE WHEN (SELECT count(*) FROM k) > 15 THEN 15 END AS next_skip FROM k WHERE n > 5 AND n <= 15".replace("lang = 'de'", "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de')"))
 def filtered_scan_page(spark, sf):
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "lang"), QUERY).select("doc_id", "lang", "score")
+    hits = hits_of(spark, sf, "lang")
     got, about = S.scan_page(hits, F.col("lang") == "de", 10, 5, 200)
     return got.join(F.broadcast(about)).drop("lang")  # one row
 
@@ -327,7 +327,7 @@ p AS (SELECT source, path, min(rn) AS rn, max(score) AS score FROM t GROUP BY so
 
 @query(FUSED + " SELECT o.source AS archive, path, score, row_number() OVER (ORDER BY score DESC, path) AS rn FROM f ORDER BY rn LIMIT 5")
 def fused_owners(spark, sf):
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
+    hits = hits_of(spark, sf, "text", "source")
     top = S.top_per_group(hits.select("source", F.md5("text").alias("path"), "doc_id", "score"), "source", 10)
     top = top.groupBy(F.col("source").alias("archive"), "path").agg(F.min("rn").alias("rn"), F.max("score").alias("relevance"))
     rows = top.select("archive", F.col("archive").alias("ord"), "path", F.col("path").alias("title"), "relevance", "rn")
@@ -337,7 +337,7 @@ def fused_owners(spark, sf):
 @query()
 def synthesis_hits(spark, sf):
     """The stages fuse, promote, demote and the leakage floor over the documents' sources; the stages are tested one by one."""
-    hits = S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY)
+    hits = hits_of(spark, sf, "text", "source")
     top = S.top_per_group(hits.select("source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "score"), "source", 10)
     rows = top.select(F.col("source").alias("archive"), F.col("source").alias("ord"), "path", F.col("path").alias("title"), F.col("score").alias("relevance"), "rn")
     none = rows.where("false").select("archive", "path", "title")
@@ -348,20 +348,20 @@ def synthesis_hits(spark, sf):
 w AS (SELECT *, kept - instr(reverse(cut), ' ') AS stop FROM cuts)
 SELECT doc_id, rn, CASE WHEN length(line) <= kept THEN line WHEN contains(cut, ' ') AND stop > kept / 2 THEN rtrim(substr(line, 1, CAST(stop AS BIGINT))) ELSE cut END AS passage FROM w""")
 def budget_cut_at_word(spark, sf):
-    ranked = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20).select("doc_id", "rn", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    ranked = S.page(hits_of(spark, sf, "text"), 20).select("doc_id", "rn", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
     kept = P.within_budget(ranked.withColumn("n_chars", F.length("line")), 600)
     return kept.select("doc_id", "rn", P.cut_at_word(F.col("line"), F.col("kept").cast("int")).alias("passage"))
 
 
 @query(RANKED + " SELECT string_agg(split_part(text, chr(10), 1) || chr(10) || '[cite: ' || source || '/' || doc_id || ']', chr(10) || chr(10) ORDER BY rn) AS answer, count(*) AS n_passages FROM t WHERE rn <= 5")
 def answer_render(spark, sf):
-    p = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY), 5)
+    p = S.page(hits_of(spark, sf, "text", "source"), 5)
     return P.answer(p.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("cite_id"), "rn", F.split_part("text", F.lit("\n"), F.lit(1)).alias("passage")))
 
 
 @query(RANKED + " SELECT source AS cite_id, min(rn) AS rn FROM t GROUP BY source")
 def answer_citations(spark, sf):
-    p = S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text", "source"), QUERY), 20)
+    p = S.page(hits_of(spark, sf, "text", "source"), 20)
     return P.citations(p.select(F.col("source").alias("cite_id"), "rn"))
 
 
@@ -386,14 +386,23 @@ def content_pages_trimmed(spark, sf):
     return P.trimmed_pages(docs_of(spark, sf), 1000)
 
 
-@query("""WITH d AS (SELECT doc_id, replace(text, ' that ', ' **that** ') AS md, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, md, replace(l[len(l)], ' ', '  ') AS loose, l[len(l)] AS exact FROM d),
-q AS (SELECT doc_id, replace(md, '**', '') AS plain, replace(exact, '**', '') AS e, trim(regexp_replace(replace(loose, '**', ''), '\\s+', ' ', 'g')) AS l, loose FROM p), x AS (SELECT *, substr(l, 1, 80) AS head, trim(regexp_replace(plain, '\\s+', ' ', 'g')) AS flat FROM q)
-SELECT doc_id, CAST(CASE WHEN e <> '' AND instr(plain, e) > 0 THEN instr(plain, e) - 1 WHEN length(substr(trim(regexp_replace(e, '\\s+', ' ', 'g')), 1, 80)) >= 12 AND instr(flat, substr(trim(regexp_replace(e, '\\s+', ' ', 'g')), 1, 80)) > 0 THEN instr(flat, substr(trim(regexp_replace(e, '\\s+', ' ', 'g')), 1, 80)) - 1 ELSE -1 END AS INTEGER) AS exact_at,
- CAST(CASE WHEN loose <> '' AND instr(plain, loose) > 0 THEN instr(plain, loose) - 1 WHEN length(head) >= 12 AND instr(flat, head) > 0 THEN instr(flat, head) - 1 ELSE -1 END AS INTEGER) AS loose_at FROM x""")
+# Places are counted in the page as it is: marks before a hit and runs of spaces count in full.  The SQL cuts the page into
+# marks, spaces and words and sums their lengths in the page, without marks, and with single spaces.
+@query("""WITH d AS (SELECT doc_id, replace(text, ' that ', '  **that** ') AS md, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, md, replace(l[len(l)], '**', '') AS exact, replace(replace(l[len(l)], ' ', '   '), '**', '') AS loose FROM d),
+t AS (SELECT doc_id, unnest(regexp_extract_all(md, '\\*\\*|\\s+|(?:[^*\\s]|\\*[^*\\s])+|\\*')) AS tok, generate_subscripts(regexp_extract_all(md, '\\*\\*|\\s+|(?:[^*\\s]|\\*[^*\\s])+|\\*'), 1) AS i FROM p),
+s AS (SELECT *, CASE WHEN tok = '**' THEN 0 ELSE length(tok) END AS pl FROM t), r AS (SELECT *, pl > 0 AND trim(tok) = '' AND NOT regexp_matches(tok, '\\S') AS sp FROM s),
+v AS (SELECT *, lag(sp) OVER w AS was FROM r WHERE pl > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, CASE WHEN sp THEN CASE WHEN coalesce(was, true) THEN 0 ELSE 1 END ELSE pl END AS fl FROM v),
+u AS (SELECT r.doc_id, r.i, sum(length(tok)) OVER w - length(tok) AS o, pl, sum(pl) OVER w - pl AS po, coalesce(fl, 0) AS fl, sum(coalesce(fl, 0)) OVER w - coalesce(fl, 0) AS fo FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND c.i = r.i WINDOW w AS (PARTITION BY r.doc_id ORDER BY r.i)),
+q AS (SELECT doc_id, exact, loose, replace(md, '**', '') AS plain, trim(regexp_replace(replace(md, '**', ''), '\\s+', ' ', 'g')) AS flat, substr(trim(regexp_replace(loose, '\\s+', ' ', 'g')), 1, 80) AS head, substr(trim(regexp_replace(exact, '\\s+', ' ', 'g')), 1, 80) AS ehead FROM p),
+k AS (SELECT doc_id, CASE WHEN exact <> '' THEN instr(plain, exact) ELSE 0 END - 1 AS ep, CASE WHEN length(ehead) >= 12 THEN instr(flat, ehead) ELSE 0 END - 1 AS ef, CASE WHEN loose <> '' THEN instr(plain, loose) ELSE 0 END - 1 AS lp, CASE WHEN length(head) >= 12 THEN instr(flat, head) ELSE 0 END - 1 AS lf FROM q)
+SELECT k.doc_id, CAST(coalesce(max(o + ep - po) FILTER (WHERE ep >= 0 AND pl > 0 AND po <= ep AND ep < po + pl), max(o + ef - fo) FILTER (WHERE ep < 0 AND ef >= 0 AND fl > 0 AND fo <= ef AND ef < fo + fl), -1) AS INTEGER) AS exact_at,
+ CAST(coalesce(max(o + lp - po) FILTER (WHERE lp >= 0 AND pl > 0 AND po <= lp AND lp < po + pl), max(o + lf - fo) FILTER (WHERE lp < 0 AND lf >= 0 AND fl > 0 AND fo <= lf AND lf < fo + fl), -1) AS INTEGER) AS loose_at FROM k LEFT JOIN u ON u.doc_id = k.doc_id GROUP BY k.doc_id""")
 def passage_places(spark, sf):
     lines = F.split("text", "\n")
-    d = docs_of(spark, sf).where("text is not null").select("doc_id", F.replace("text", F.lit(" that "), F.lit(" **that** ")).alias("md"), F.element_at(lines, -1).alias("exact"))
-    return d.select("doc_id", PL.located(F.col("exact"), F.col("md")).alias("exact_at"), PL.located(F.replace("exact", F.lit(" "), F.lit("  ")), F.col("md")).alias("loose_at"))
+    d = docs_of(spark, sf).where("text is not null").select("doc_id", F.replace("text", F.lit(" that "), F.lit("  **that** ")).alias("md"), F.element_at(lines, -1).alias("exact"))
+    return d.select("doc_id", PL.located(F.col("exact"), F.col("md")).alias("exact_at"), PL.located(F.replace("exact", F.lit(" "), F.lit("   ")), F.col("md")).alias("loose_at"))
 
 
 @query()
@@ -632,7 +641,7 @@ def page_summary(spark, sf):
 
 @query(RANKED + f", q AS (SELECT list_distinct(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}]+')) AS w), x AS (SELECT doc_id, rn, round(len(list_intersect(w, regexp_extract_all(lower(substr(text, 1, 512)), '[\\p{{L}}\\p{{N}}]+'))) / len(w), 6) AS rerank_score FROM t, q) SELECT *, row_number() OVER (ORDER BY rerank_score DESC, rn) AS new_rn FROM x")
 def rerank_page(spark, sf):
-    return S.rerank(S.page(S.bm25(docs_of(spark, sf).select("doc_id", "text"), QUERY), 20), QUERY, "text").select("doc_id", "rn", "rerank_score", "new_rn")
+    return S.rerank(S.page(hits_of(spark, sf, "text"), 20), QUERY, "text").select("doc_id", "rn", "rerank_score", "new_rn")
 
 
 LADDER_KEY = "regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_extract(split_part(split_part({0}, '?', 1), '#', 1), '([^/]*)/*$', 1), '\\.(html?|md|php)$', ''), '[_.+-]+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"

@@ -33,6 +33,7 @@ INTENTS = (
     ("search", r"\b(search|find|look up|look for)\b", 0.7, 4),
     ("tell_me_about", r"\b(tell me about|what (is|are|was|were)|who (is|are|was|were)|explain|describe)\b", 0.75, 5),
 )
+# Misspelt words and their spellings.
 MISSPELLINGS = dict(x.split("=") for x in (
     "acommodate=accommodate accomodate=accommodate recieve=receive seperate=separate occured=occurred occurence=occurrence neccessary=necessary neccesary=necessary "
     "truely=truly embarass=embarrass embarrasing=embarrassing goverment=government independant=independent maintainance=maintenance mispell=misspell priviledge=privilege "
@@ -66,16 +67,12 @@ def topic(request: str) -> str:
 
 
 def snippet_terms(query: str) -> list[tuple[str, bool]]:
-    """(term, is prefix) of a query without operators, quotes and field names; three letters at least, four for prefixes."""
-    out = []
-    for raw in query.split():
-        word = re.sub(r"^(title|path):", "", raw.strip("()\"'+-"), flags=re.I).strip("()\"'+-")
-        prefix = word.endswith("*")
-        word = word.rstrip("*")
-        if word.lower() in OPERATORS or len(word) < (4 if prefix else 3):
-            continue
-        out.append((word, prefix))
-    return out
+    """(term, is prefix) of a folded query: its runs of word characters, without operators and field names; three letters at least, four for prefixes."""
+    from textquarry.functions.snippets import LEAST_PREFIX, LEAST_TERM, folded
+
+    plain = re.sub(r"(?<!\w)(?:title|path):", " ", folded(query))
+    found = [(m[1], bool(m[2])) for m in re.finditer(r"(\w+)(\*?)", plain)]
+    return [(w, prefix) for w, prefix in found if w not in OPERATORS and len(w) >= (LEAST_PREFIX if prefix else LEAST_TERM)]
 
 
 def respelt(query: str, misspellings: dict[str, str] | None = None, known: Callable[[str], bool] | None = None, excluded: frozenset[str] = frozenset()) -> str:
