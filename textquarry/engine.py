@@ -68,8 +68,8 @@ class Engine:
         else:
             wanted = IX.fingerprint(self.entries.select(*KEY, "mimetype", "redirect_to", "html"))
         if not IX.exists(self.spark, path):
-            rows = self.bundles.select(F.struct(*KEY).alias("key"), "markdown")
-            IX.build(rows, path, "markdown", "key", wanted)
+            rows = self.bundles.select(F.struct(*KEY).alias("key"), T.without_links(F.col("markdown")).alias("text"))  # targets are no words of a page
+            IX.build(rows, path, "text", "key", wanted)
         elif IX.built_from(self.spark, path) != wanted:
             raise ValueError(f"the index in {path} was built from other entries; name another folder")
         return path

@@ -1,35 +1,23 @@
-"""HTML pages as bundles: text, headings, sections, links, tables and infobox, in one parse.
+"""HTML pages as bundles: text, headings, sections, links and infobox, in one parse.
 
-The parser is the standard library's; pages are handled batch by batch in Arrow.
-Malformed markup never fails: unclosed elements end with the page.
+A page becomes a tree (``page_tree``), its article markdown (``markdown``); pages are handled
+batch by batch in Arrow.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.functions.markdown import Markdown
+from textquarry.functions.page_tree import Node, main_content, parse, without_furniture
 from textquarry.functions.snippets import slugify
 
-# Elements without content, left out, or that begin a block; table and infobox limits.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style nav header footer aside noscript template figure figcaption".split())
-NOISE = frozenset("reflist mw-editsection thumb thumbcaption gallery hatnote sidebar navbox reference cite_ref mw-collapsible-toggle geo-default geo-dms geo-dec geo-nondefault geo-multi-punct".split())
-LANDMARKS = ("article", "main")
-FURNITURE = frozenset((
-    "test your knowledge", "see, play and learn", "find an expert", "patient handouts", "related issues", "related health topics", "related medlineplus health topics",
-    "learn more", "review date", "reference desk", "videos and tutorials",
-))
-FURNITURE_START = "review date "
-BLOCKS = frozenset("p div section article main ul ol li table tr blockquote pre dl dt dd figure h1 h2 h3 h4 h5 h6 hr br".split())
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-TABLE_ROWS, TABLE_CHARS, INFOBOX_ROWS = 8, 600, 30
 MEDIA = {"img": "src", "video": "src", "audio": "src", "source": "src", "embed": "src", "object": "data"}
 
 SECTION = "struct<id:string,title:string,level:int,char_start:int,char_end:int,parent_id:string,id_source:string>"
@@ -37,174 +25,6 @@ LINK = "struct<kind:string,url:string,text:string,pos:int>"
 BUNDLE = f"title string, markdown string, word_count int, char_count int, sections array<{SECTION}>, links array<{LINK}>, infobox array<struct<label:string,value:string>>"
 
 
-def _furniture(heading: str) -> bool:
-    """Whether a heading stands over something that is no part of the article."""
-    text = " ".join(heading.split()).lower().rstrip(".:;,!?")
-    return text in FURNITURE or text.startswith(FURNITURE_START)
-
-
-class _Page(HTMLParser):
-    """One pass over a page.  With a landmark only what stands in that element is text; links are taken from everywhere."""
-
-    def __init__(self, landmark: str | None = None):
-        super().__init__(convert_charrefs=True)
-        self.landmark, self.inside = landmark, 0
-        self.hidden: list | None = None  # an element of a noise class: its tag, and how many of that tag are open
-        self.dropped: int | None = None  # the level of a heading whose section is left out
-        self.parts: list[str] = []
-        self.size = 0
-        self.title, self.in_title = "", False
-        self.skip = 0
-        self.headings: list[dict] = []
-        self.heading: dict | None = None
-        self.anchor_id: str | None = None
-        self.links: list[dict] = []
-        self.link: dict | None = None
-        self.tables: list[dict] = []
-        self.n_tables = 0
-        self.infobox: list[tuple[str, str]] = []
-
-    def _write(self, s: str) -> None:
-        if self.landmark and not self.inside or self.dropped is not None:
-            return
-        if self.tables:
-            self.tables[-1]["cell"].append(s)
-        else:
-            self.parts.append(s)
-            self.size += len(s)
-
-    def _break(self) -> None:
-        if not self.tables:
-            tail = "".join(self.parts[-2:])
-            if self.parts and not tail.endswith("\n"):
-                self._write("\n")
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "title":
-            self.in_title = True
-        if tag == self.landmark:
-            self.inside += 1
-        if self.hidden is not None:
-            self.hidden[1] += tag == self.hidden[0]
-        elif tag not in VOID and NOISE & set((a.get("class") or "").split()):
-            self.hidden = [tag, 1]
-            self.skip += 1
-        if tag in SKIPPED:
-            self.skip += 1
-        if self.skip and tag != "a":
-            return
-        if tag in MEDIA and a.get(MEDIA[tag]):
-            self.links.append({"kind": "media", "url": a[MEDIA[tag]], "text": a.get("alt") or ""})
-        if tag == "a":
-            if a.get("href") is not None:
-                self.link = {"kind": link_kind(a["href"]), "url": a["href"], "text": ""}
-                self.links.append(self.link)
-            elif a.get("id") or a.get("name"):
-                self.anchor_id = a.get("id") or a.get("name")
-        if self.skip:
-            return
-        if tag == "table":
-            self.tables.append({"rows": [], "cell": [], "infobox": "infobox" in (a.get("class") or "")})
-        elif self.tables and tag == "tr":
-            self.tables[-1]["rows"].append([])
-        elif self.tables and tag in ("td", "th"):
-            self.tables[-1]["cell"] = []
-        elif tag in HEADINGS:
-            if self.dropped is not None and int(tag[1]) <= self.dropped:
-                self.dropped = None
-            self._break()
-            source = "id" if a.get("id") else "preceding_anchor" if self.anchor_id else "slug"
-            self.heading = {"level": int(tag[1]), "text": "", "id": a.get("id") or self.anchor_id, "source": source, "start": self.size, "part": len(self.parts), "kept": (not self.landmark or self.inside > 0) and self.dropped is None}
-            self.anchor_id = None
-            self._write("#" * int(tag[1]) + " ")
-        elif tag in ("b", "strong"):
-            self._write("**")
-        elif tag == "li":
-            self._break()
-            self._write("* ")
-        elif tag in BLOCKS:
-            self._break()
-        if self.heading is not None and tag == "span" and a.get("id") and self.heading["source"] != "id":
-            self.heading.update(id=a["id"], source="descendant_anchor")
-
-    def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        if tag == "a":
-            self.link = None
-        if tag == self.landmark:
-            self.inside = max(0, self.inside - 1)
-        if self.hidden is not None and tag == self.hidden[0]:
-            self.hidden[1] -= 1
-            if not self.hidden[1]:
-                self.hidden = None
-                self.skip = max(0, self.skip - 1)
-                return
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-            return
-        if self.skip:
-            return
-        if tag in ("td", "th") and self.tables:
-            t = self.tables[-1]
-            if not t["rows"]:
-                t["rows"].append([])
-            t["rows"][-1].append(" ".join("".join(t["cell"]).split()))
-            t["cell"] = []
-        elif tag == "table" and self.tables:
-            self._table(self.tables.pop())
-        elif tag in ("b", "strong"):
-            self._write("**")
-        elif tag in HEADINGS and self.heading is not None:
-            h, self.heading = self.heading, None
-            if self.landmark and h["kept"] and _furniture(h["text"]):
-                self.dropped = h["level"]
-                del self.parts[h["part"] :]
-                self.size = h["start"]
-            elif h["kept"]:
-                self.headings.append(h)
-            self._break()
-        elif tag in BLOCKS:
-            self._break()
-
-    def _table(self, t: dict) -> None:
-        rows = [r for r in t["rows"] if r]
-        if t["infobox"]:
-            area = ""
-            for r in rows:
-                if len(r) == 1:
-                    area = r[0]
-                elif len(self.infobox) < INFOBOX_ROWS:
-                    self.infobox.append((f"{area} — {r[0]}" if area else r[0], " ".join(r[1:])))
-            return
-        self.n_tables += 1
-        text = "\n".join(" | ".join(r) for r in rows)
-        if len(rows) > TABLE_ROWS or len(text) > TABLE_CHARS:
-            text = f"[Table {self.n_tables}: {len(rows)} rows x {max(map(len, rows), default=0)} cols]"
-        self._break()
-        self._write(text)
-        self._break()
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-            return
-        if self.link is not None:
-            self.link["text"] += data
-        if self.skip:
-            return
-        if self.heading is not None:
-            self.heading["text"] += data
-            data = re.sub(r"\s+", " ", data)
-        elif not self.tables:
-            data = re.sub(r"\s+", " ", data)
-            if not self.parts or "".join(self.parts[-1:]).endswith("\n"):
-                data = data.lstrip()
-        if data:
-            self._write(data)
-
-
 def link_kind(href: str) -> str:
     low = href.strip().lower()
     if not low or re.match(r"(javascript|mailto|tel|data|blob|vbscript):", low):
@@ -214,40 +34,70 @@ def link_kind(href: str) -> str:
     return "external" if re.match(r"(https?:)?//", low) else "internal"
 
 
-def _parsed(text: str, landmark: str | None) -> _Page:
-    p = _Page(landmark)
-    p.feed(text)
-    p.close()
-    while p.tables:
-        p._table(p.tables.pop())
-    return p
+def _visible(node: Node, hidden: bool = False) -> Iterator[tuple[Node, bool]]:
+    """All elements in document order, and whether they stand in one that is no text."""
+    todo = [(node, hidden)]
+    while todo:
+        n, h = todo.pop()
+        if n.parent is not None:
+            yield n, h
+        todo += [(c, h or n.hidden) for c in reversed(n.children) if isinstance(c, Node)]
+
+
+def _links(root: Node) -> list[dict]:
+    """Anchors of the whole page and media that are shown, in document order; ``pos`` counts all anchors."""
+    out, pos = [], 0
+    for n, hidden in _visible(root):
+        if n.tag in MEDIA and n.attrs.get(MEDIA[n.tag]) and not hidden and not n.hidden:
+            out.append({"kind": "media", "url": n.attrs[MEDIA[n.tag]], "text": n.attrs.get("alt") or "", "pos": pos})
+            pos += 1
+        elif n.tag == "a" and "href" in n.attrs:
+            kind = link_kind(n.attrs["href"])
+            if kind != "skip":
+                out.append({"kind": kind, "url": n.attrs["href"], "text": " ".join(n.text().split()), "pos": pos})
+            pos += 1
+    return out
+
+
+def _identity(heading: Node, before: str | None) -> tuple[str | None, str]:
+    """The id of a heading and where it is from: its own, one inside it, an anchor before it, or none."""
+    if heading.attrs.get("id"):
+        return heading.attrs["id"], "id"
+    inside = next((n.attrs["id"] for n in heading.nodes() if n.attrs.get("id")), None)
+    if inside:
+        return inside, "descendant_anchor"
+    return (before, "preceding_anchor") if before else (None, "slug")
 
 
 def bundle(html: str | None) -> dict:
     """The bundle of one page; all fields are empty for a null."""
-    text = html or ""
-    # The article is in the one element of its kind, if there is one and it holds text.
-    landmark = next((t for t in LANDMARKS if len(re.findall(rf"<{t}[\s>]", text, re.I)) == 1), None)
-    p = _parsed(text, landmark)
-    if landmark and not "".join(p.parts).strip():
-        p = _parsed(text, None)
-    if p.heading is not None and p.heading["kept"]:
-        p.headings.append(p.heading)
-    text = "".join(p.parts)
+    root = parse(html or "")
+    article, landmark = main_content(root)
+    page = Markdown(without_furniture(article) if landmark else set())
+    page.children(article)
+    page.finish()
+    text = page.text()
+    title = next((n.text() for n in root.nodes() if n.tag == "title"), "")
     sections, seen, stack = [], {}, []
-    for i, h in enumerate(p.headings):
-        title = " ".join(h["text"].split())
-        ident = h["id"] or slugify(title) or f"section-{i + 1}"
+    for i, (node, start) in enumerate(page.headings):
+        level, name = int(node.tag[1]), " ".join(node_text(node).split())
+        before = next((a for a, n in reversed(page.anchors) if n == i), None)
+        own, source = _identity(node, before)
+        ident = own or slugify(name) or f"section-{i + 1}"
         seen[ident] = seen.get(ident, 0) + 1
         if seen[ident] > 1:
             ident = f"{ident}_{seen[ident]}"
-        while stack and stack[-1][0] >= h["level"]:
+        while stack and stack[-1][0] >= level:
             stack.pop()
-        end = next((g["start"] for g in p.headings[i + 1 :] if g["level"] <= h["level"]), len(text))
-        sections.append({"id": ident, "title": title, "level": h["level"], "char_start": h["start"], "char_end": end, "parent_id": stack[-1][1] if stack else None, "id_source": h["source"] if title or h["id"] else "none"})
-        stack.append((h["level"], ident))
-    links = [{"kind": x["kind"], "url": x["url"], "text": " ".join(x["text"].split()), "pos": i} for i, x in enumerate(p.links) if x["kind"] != "skip"]
-    return {"title": " ".join(p.title.split()), "markdown": text, "word_count": len(text.split()), "char_count": len(text), "sections": sections, "links": links, "infobox": [{"label": a, "value": b} for a, b in p.infobox]}
+        end = next((at for g, at in page.headings[i + 1 :] if int(g.tag[1]) <= level), len(text))
+        sections.append({"id": ident, "title": name, "level": level, "char_start": start, "char_end": end, "parent_id": stack[-1][1] if stack else None, "id_source": source if name or own else "none"})
+        stack.append((level, ident))
+    return {"title": " ".join(title.split()), "markdown": text, "word_count": len(text.split()), "char_count": len(text), "sections": sections, "links": _links(root), "infobox": [{"label": a, "value": b} for a, b in page.infobox]}
+
+
+def node_text(node: Node) -> str:
+    """The words of a heading, without what is hidden in it."""
+    return "".join(c if isinstance(c, str) else "" if c.hidden else " " if c.tag == "br" else node_text(c) for c in node.children)
 
 
 def keys(key: str | list[str]) -> list[str]:

@@ -71,7 +71,7 @@ def squeezed(c: Column) -> Column:
 
 def without_links(c: Column) -> Column:
     """Markdown links as their text."""
-    return F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return F.regexp_replace(c, r"\[([^\]\n]*)\]\((?:\\.|[^\n)\\])*\)", "$1")
 
 
 def without_bold(c: Column) -> Column:

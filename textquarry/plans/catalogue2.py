@@ -313,13 +313,13 @@ def html_bundle_counts(spark, sf):
     return b.select("page_id", (F.col("title") != "").alias("has_title"), F.size("sections").alias("n_sections"), F.size("links").alias("n_links"))
 
 
-# The text of a page's only article: emphasis stays in its line, other elements part words, and entities are read.
+# The text of a page's only article: bold runs end with their paragraph, other elements part words, and entities are read.
 ARTICLE = """WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS x, regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1) AS h FROM pages),
-m AS (SELECT page_id, replace(replace(h, '&quot;', '"'), '&amp;', '&') AS title, replace(replace(regexp_replace(replace(regexp_replace(x, '</?b>', '**', 'g'), '<h1>', ' # '), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&') AS md FROM a),
+m AS (SELECT page_id, replace(replace(h, '&quot;', '"'), '&amp;', '&') AS title, replace(replace(regexp_replace(replace(regexp_replace(x, '(?s)<b>(.*?)<br>', '**\\1** ', 'g'), '<h1>', ' # '), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&') AS md FROM a),
 t AS (SELECT page_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, regexp_extract_all(md, '\\S+') AS w FROM m)"""
 
 
-@query(ARTICLE + " SELECT page_id, 0 AS pos, 1 AS level, regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g') AS id, title, NULL AS parent_id, len(w) AS words FROM t")
+@query(ARTICLE + " SELECT page_id, 0 AS pos, 1 AS level, trim(regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g'), '-') AS id, title, NULL AS parent_id, len(w) AS words FROM t")
 def html_toc(spark, sf):
     return HT.table_of_contents(HT.bundles(table(spark, sf, "pages")))
 

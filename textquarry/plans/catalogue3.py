@@ -489,7 +489,7 @@ KINDS = ("text/html", "text/plain; charset=utf-8", "image/png", None)
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS path, {sql_list(KINDS)}[p_partkey % 4 + 1] AS mime, p_name FROM part) SELECT path, CASE WHEN mime LIKE 'text/html%' THEN 'page' WHEN mime LIKE 'text/%' THEN 'text' ELSE 'other' END AS kind,
- CASE WHEN mime LIKE 'text/html%' THEN '# ' || p_name || chr(10) || '**' || p_name || '** done' || chr(10) WHEN mime LIKE 'text/%' THEN '<h1>' || p_name || '</h1><p><b>' || p_name || '</b> done</p>' ELSE '(Non-text content: ' || coalesce(mime, 'unknown') || ')' END AS text FROM p""")
+ CASE WHEN mime LIKE 'text/html%' THEN '# ' || p_name || chr(10) || chr(10) || '**' || p_name || '** done' WHEN mime LIKE 'text/%' THEN '<h1>' || p_name || '</h1><p><b>' || p_name || '</b> done</p>' ELSE '(Non-text content: ' || coalesce(mime, 'unknown') || ')' END AS text FROM p""")
 def content_by_kind(spark, sf):
     html = F.concat(F.lit(" <h1>"), "p_name", F.lit("</h1><p><b>"), "p_name", F.lit("</b> done</p> "))
     e = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), picked(KINDS, F.col("p_partkey")).alias("mimetype"), html.alias("html"))
@@ -582,7 +582,7 @@ def page_headings(spark, sf):
     return b.select("page_id", "pos", "s.level", "s.id", "s.title", "s.parent_id", "s.id_source")
 
 
-@query(PAGES_SQL + " SELECT k AS page_id, t AS title, 'Text about ' || t || '. x' AS preview, CAST(3 + len(string_split(t, ' ')) AS BIGINT) AS words FROM n")
+@query(PAGES_SQL + " SELECT k AS page_id, t AS title, 'Text about ' || t || '. [x](' || t || ')' AS preview, CAST(3 + len(string_split(t, ' ')) AS BIGINT) AS words FROM n")
 def page_section_views(spark, sf):
     return HT.section_views(made_bundles(spark, sf)).where("level = 2").select("page_id", "title", "preview", "words")
 
@@ -608,16 +608,18 @@ def page_link_buckets(spark, sf):
     return L.bucket_totals(rows, "page_id")
 
 
-@query(PAGES_SQL + " SELECT k AS page_id, t AS title, '## ' || t || chr(10) || 'Text about ' || t || '. x' || chr(10) AS text FROM n WHERE i = 2")
+@query(PAGES_SQL + " SELECT k AS page_id, t AS title, '## ' || t || chr(10) || chr(10) || 'Text about ' || t || '. [x](' || t || ')' || chr(10) || chr(10) AS text FROM n WHERE i = 2")
 def page_section_fetch(spark, sf):
     return HT.section(made_bundles(spark, sf), "at-2").select("page_id", "title", "text")
 
 
-@query(PAGES_SQL + """, h AS (SELECT k, '## ' || t || chr(10) || 'Text about ' || t || '. x' || chr(10) AS md FROM n WHERE i = 1), o AS (SELECT k, t, '# ' || t || chr(10) || 'pic out ' || chr(10) AS own FROM r)
+@query(PAGES_SQL + """, h AS (SELECT k, '## ' || t || chr(10) || chr(10) || 'Text about ' || t || '. [x](' || t || ')' || chr(10) || chr(10) AS md FROM n WHERE i = 1), o AS (SELECT k, t, '# ' || t || chr(10) || chr(10) || CASE WHEN k % 2 = 0 THEN '[pic](pics/' || k || '.png) [out](http://e.org)' || chr(10) || chr(10) ELSE '' END AS own FROM r)
 SELECT k AS page_id, t AS title, 1 AS level, own || CASE WHEN length(own) <= 20 THEN md ELSE '' END AS text, length(own) <= 20 AS widened FROM o JOIN h USING (k)""")
 def page_section_alone(spark, sf):
     key = F.concat(F.lit("top-"), F.col("page_id").cast("string"))
-    b = made_bundles(spark, sf).withColumn("sections", F.transform("sections", lambda s: F.when(s["id"] == key, s.withField("id", F.lit("top"))).otherwise(s)))
+    # Every other page has no text between its first two headings.
+    bare = F.when(F.col("page_id") % 2 == 1, F.regexp_replace("html", '<p><a href="pics.*?</p>', "")).otherwise(F.col("html"))
+    b = HT.bundles(made_pages(spark, sf).withColumn("html", bare)).withColumn("sections", F.transform("sections", lambda s: F.when(s["id"] == key, s.withField("id", F.lit("top"))).otherwise(s)))
     return HT.section(b, "top", subsections=False).select("page_id", "title", "level", "text", "widened")
 
 
@@ -626,12 +628,12 @@ def page_section_closest(spark, sf):
     return HT.closest_sections(made_bundles(spark, sf), "AT-22")
 
 
-@query(PAGES_SQL + " SELECT r.k AS page_id, '# ' || r.t || chr(10) || 'pic out' AS lead, (SELECT string_agg('- ' || n.t, chr(10) ORDER BY n.i) FROM n WHERE n.k = r.k) AS contents FROM r")
+@query(PAGES_SQL + " SELECT r.k AS page_id, '# ' || r.t || chr(10) || chr(10) || '[pic](pics/' || r.k || '.png) [out](http://e.org)' AS lead, (SELECT string_agg('- ' || n.t, chr(10) ORDER BY n.i) FROM n WHERE n.k = r.k) AS contents FROM r")
 def page_lead(spark, sf):
     return HT.lead_with_contents(made_bundles(spark, sf))
 
 
-@query(PAGES_SQL + " SELECT k AS page_id, '# ' || t || ' pic out' AS summary FROM r")
+@query(PAGES_SQL + " SELECT k AS page_id, '# ' || t || ' [pic](pics/' || k || '.png) [out](http://e.org)' AS summary FROM r")
 def page_summary(spark, sf):
     b = made_bundles(spark, sf)
     # The first heading's section is the whole page, so pages are cut where their second heading begins.
