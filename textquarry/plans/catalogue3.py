@@ -22,13 +22,17 @@ from textquarry.operators import graph_store as GS
 from textquarry.operators import links as L
 from textquarry.operators import passages as P
 from textquarry.operators import promotion as PM
+from textquarry.operators import respell as RP
 from textquarry.operators import search as S
+from textquarry.operators import subjects as SJ
 from textquarry.operators import synthesis as SY
 from textquarry.operators import titles as TI
 from textquarry.plans.catalogue import ORACLE, QUERY, TOP, bm25_sql, docs_of, hits_of, part_titles, query, topics
 from textquarry.plans.catalogue2 import ASSET_ENDS, EDGES, LINKS, PATH, RANKED, SECTIONS_SQL, page_edges, page_links
+from textquarry.plans.language import MISSPELLINGS
 from textquarry.session import Scratch
 from textquarry.sources import zim as ZIM
+from textquarry.streaming import graph as G
 from textquarry.streaming import watch as W
 
 
@@ -665,9 +669,54 @@ def page_title_bundle(spark, sf):
     return b.select("page_id", "title", F.instr("markdown", F.lit("menu")).alias("found"))
 
 
+HEADS = ("Music and dance", "Microfilm", "Notable people", "Film", "Sports teams", "Content", "History", "Local politics", "Musicians", "", "Literature", "Government")
+ASKED = ("famous musician from ", "notable ", "actors in ", "music of the ", "People of ", "", "politicians and authors ", "persons ", "Customer scientists ")
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS k, c_name AS title, {sql_list(ASKED)}[c_custkey % {len(ASKED)} + 1] || c_name AS topic FROM customer), h AS (SELECT o_custkey AS k, o_orderkey AS pos, 2 + CAST(o_orderkey % 3 = 0 AS INTEGER) AS level, {sql_list(HEADS)}[o_orderkey % {len(HEADS)} + 1] AS section FROM orders),
+v AS (SELECT unnest({[(s, i, n) for s, names in SJ.SUBJECTS.items() if s not in SJ.WEAK for i, n in enumerate(names)]}) AS v), s AS (SELECT *, list_filter(regexp_extract_all(lower(topic), '[a-z0-9]+'), lambda t: list_contains({[x for x in SJ.SUBJECTS if x not in SJ.WEAK]}, t) AND NOT list_contains(regexp_extract_all(lower(title), '[a-z0-9]+'), t))[1] AS subject FROM a)
+SELECT k AS page_id, topic, title, subject, m.pos, m.section FROM (SELECT s.*, arg_min(struct_pack(pos := h.pos, section := h.section), v[2] * 1000000000000 + h.pos) AS m FROM s JOIN v ON v[1] = subject JOIN h ON h.k = s.k AND h.level = 2 AND h.section NOT IN ('', 'Content') AND regexp_matches(lower(h.section), '\\b' || lower(v[3]) || '\\b') GROUP BY ALL)""")
+def subject_sections(spark, sf):
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(picked(ASKED, F.col("c_custkey")), "c_name").alias("topic"), F.col("c_name").alias("title"))
+    h = table(spark, sf, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("pos"), (2 + (F.col("o_orderkey") % 3 == 0).cast("int")).alias("level"), picked(HEADS, F.col("o_orderkey")).alias("title"))
+    return SJ.subject_sections(a, h, "page_id")
+
+
+BITS = ("recieve", "(Goverment's)", "the", "'seperate'", "Bilogy.", "recieved", "truely,", "«existance»", "embarass's", "red", "millenium", "parralel")
+WRONG = {k: v for k, v in MISSPELLINGS.items()}
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS id, {sql_list(BITS)}[p_partkey % {len(BITS)} + 1] || '  ' || p_name || chr(9) || {sql_list(BITS)}[p_partkey // {len(BITS)} % {len(BITS)} + 1] AS query FROM part), m AS (SELECT unnest({list(WRONG.items())}) AS m),
+t AS (SELECT id, generate_subscripts(regexp_extract_all(query, '\\s+|\\S+'), 1) AS pos, unnest(regexp_extract_all(query, '\\s+|\\S+')) AS token FROM r), c AS (SELECT *, lower(token) AS low, regexp_extract(lower(token), '^[^\\p{{L}}\\p{{N}}_]*') AS a, regexp_extract(lower(token), '[^\\p{{L}}\\p{{N}}_]*$') AS z FROM t),
+d AS (SELECT *, substr(low, length(a) + 1, greatest(length(low) - length(a) - length(z), 0)) AS core FROM c), e AS (SELECT *, CASE WHEN suffix(core, chr(39) || 's') THEN chr(39) || 's' ELSE '' END AS own FROM d), f AS (SELECT *, CASE WHEN own <> '' THEN left(core, length(core) - 2) ELSE core END AS word FROM e),
+g AS (SELECT id, pos, CASE WHEN m IS NOT NULL AND word <> 'truely' AND NOT (low IN ('millenium', 'red')) THEN a || m[2] || own || z ELSE token END AS t FROM f LEFT JOIN m ON m[1] = word)
+SELECT id, query, string_agg(t, '' ORDER BY pos) AS respelt FROM g JOIN r USING (id) GROUP BY id, query""")
+def misspelling_rewrite(spark, sf):
+    """Thousands of requests with misspelt words in signs and possessives; one word is excluded and one is a title."""
+    r = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(picked(BITS, F.col("p_partkey")), F.lit("  "), "p_name", F.lit("\t"), picked(BITS, F.floor(F.col("p_partkey") / len(BITS)))).alias("query"))
+    wrong = spark.createDataFrame(list(WRONG.items()), "word string, spelling string")
+    titles = table(spark, sf, "part").select(F.col("p_name").alias("title")).unionByName(spark.createDataFrame([("Millenium",), ("red",)], "title string"))
+    return RP.respelt(r, wrong, titles, spark.createDataFrame([("truely",)], "word string"))
+
+
 # Streams: the same plans over files that arrive.
 
 
+@query(EDGES + ", kept AS (SELECT edges.* FROM edges JOIN (SELECT path, max(page_id) AS m FROM links GROUP BY path) p ON p.path = edges.source WHERE p.m % 3 <> 0) SELECT target AS path, CAST(count(*) AS BIGINT) AS inbound_degree FROM kept GROUP BY target")
+def stream_link_graph(spark, sf):
+    """Degrees after two batches: all pages, and then those of every third path again, without links."""
+    scratch = Scratch(spark, "graph")
+    links = page_links(spark, sf).select("page_id", "path", "pos", "anchor", "target")
+    every = links.groupBy("path").agg(F.max("page_id").alias("m"))
+    pages = scratch.write(links.select("path", "pos", "anchor", "target"), "links")
+    again = every.where("m % 3 = 0").select("path", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("target"))
+    for i, part in enumerate((pages, again)):
+        part.coalesce(1).write.mode("append").parquet(f"{scratch.root}/in/{i}")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{scratch.root}/in/*")
+        G.build(stream, lambda b: L.edges(b), f"{scratch.root}/graph", f"{scratch.root}/checkpoint").awaitTermination()
+    return G.degrees_of(spark, f"{scratch.root}/graph")
+
+
 def event_stream(spark, sf, scratch):
     """The events as a stream of files, each micro-batch one file."""
     table(spark, sf, "events").repartition(3).write.parquet(f"{scratch.root}/events")

@@ -19,16 +19,19 @@ def watch(snapshots: DataFrame, publish: Callable[[DataFrame, int], None], state
     The state is a table in shared storage, written anew beside the old one for each
     batch and named by its batch, so a batch that is run again after a failure
     starts from the same state.  An entry that comes back after its removal with
-    other values counts as changed; the newest removals are remembered for that.
+    other values counts as changed; the newest removals are remembered for that.  Rows
+    with a column ``complete`` that is false are an incomplete scan: it removes nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = _last_state(spark, state_path, batch_id)
+        whole = "complete" not in batch.columns or batch.where("not complete").isEmpty()
+        batch = batch.where("path is not null")
         latest = batch.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("x")).select("path", "x.mtime", "x.size")
         if last is None:
             last = latest.limit(0).withColumn("removed", F.lit(False))
-        changes = diff(last.where("not removed"), latest)
+        changes = diff(last.where("not removed"), latest, whole)
         gone = last.where("removed").select("path", "mtime", "size")
         back = changes.where("change = 'added'").join(gone, "path").join(latest.select("path", F.col("mtime").alias("m"), F.col("size").alias("s")), "path")
         again = back.where("m <> mtime or s <> size").select("path", F.lit("changed").alias("again"))
@@ -37,6 +40,8 @@ def watch(snapshots: DataFrame, publish: Callable[[DataFrame, int], None], state
         lost = last.where("not removed").join(latest.select("path"), "path", "left_anti").select("path", "mtime", "size")
         old = gone.join(latest.select("path"), "path", "left_anti")
         kept = lost.unionByName(old).orderBy(F.desc("mtime"), "path").limit(REMEMBERED_REMOVALS)
+        if not whole:  # what was not seen may still be there
+            latest, kept = latest.unionByName(lost), old.orderBy(F.desc("mtime"), "path").limit(REMEMBERED_REMOVALS)
         state = latest.withColumn("removed", F.lit(False)).unionByName(kept.withColumn("removed", F.lit(True)))
         state.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id:09d}")
 
