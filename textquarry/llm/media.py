@@ -78,27 +78,37 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DIGESTS_NAMES = [c.split()[0] for c in DIGESTS.split(", ")]
 
 
+#: Bytes of streams that are decoded together.
+TOGETHER = 1 << 20
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(len(batch)):
-            stored = batch.column(1)[i].as_py()
-            if stored is None:
-                continue
-            pcm, at = flac.payloads([stored])[0], flac.Stream(stored).starts()
-            for a in range(0, len(at), flac.CHUNK):
-                n = min(flac.CHUNK, len(at) - a)
-                no = np.arange(a, a + n, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[i].as_py()] * n, pa.int64()),
-                        pa.array(no),
-                        pa.array(no * flac.BLOCK),
-                        pa.array(np.full(n, flac.BLOCK, np.int32)),
-                        pa.array(at[a : a + n]),
-                        pa.array([pcm[j * flac.BLOCK : (j + 1) * flac.BLOCK] for j in range(a, a + n)], pa.binary()),
-                    ],
-                    [c.split()[0] for c in BLOCKS.split(", ")],
-                )
+        ids, stored = batch.column(0).to_pylist(), batch.column(1)
+        start = 0
+        while start < len(batch):
+            end, size = start, 0
+            while end < len(batch) and (end == start or size < TOGETHER):
+                size += len(stored[end].as_buffer() or b"")
+                end += 1
+            some = [(i, stored[i].as_py()) for i in range(start, end) if stored[i].is_valid]
+            for (i, s), pcm in zip(some, flac.payloads([s for _, s in some])):
+                at = flac.Stream(s).starts()
+                for a in range(0, len(at), flac.CHUNK):
+                    n = min(flac.CHUNK, len(at) - a)
+                    no = np.arange(a, a + n, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[i]] * n, pa.int64()),
+                            pa.array(no),
+                            pa.array(no * flac.BLOCK),
+                            pa.array(np.full(n, flac.BLOCK, np.int32)),
+                            pa.array(at[a : a + n]),
+                            pa.array([pcm[j * flac.BLOCK : (j + 1) * flac.BLOCK] for j in range(a, a + n)], pa.binary()),
+                        ],
+                        [c.split()[0] for c in BLOCKS.split(", ")],
+                    )
+            start = end
 
 
 def _pairs(df: DataFrame, value: str, row_id: str) -> DataFrame:

@@ -127,6 +127,36 @@ def mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(most, "source")
 
 
+def flac_pcm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_blocks, n_samples, last_sample, gapless: the PCM blocks of every stored text and where they begin."""
+    from textquarry.llm.media import pcm_blocks, to_flac
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = pcm_blocks(to_flac(docs)).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum("n_samples").alias("n_samples"), F.max("sample_offset").alias("last_sample"), F.count_distinct("block").alias("k"), F.sum(F.octet_length("pcm")).alias("b"))
+    return blocks.select("doc_id", "n_blocks", "n_samples", "last_sample", ((F.col("k") == F.col("n_blocks")) & (F.col("b") == F.col("n_samples"))).alias("gapless"))
+
+
+def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes of op3."""
+    return op3_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the counts of base spans of op6."""
+    return op6_semi_markov_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+ORACLE["flac_pcm_blocks"] = "SELECT doc_id, CAST(n AS BIGINT) AS n_blocks, CAST(n * 576 AS BIGINT) AS n_samples, CAST((n - 1) * 576 AS BIGINT) AS last_sample, true AS gapless FROM (SELECT doc_id, greatest(1, (coalesce(strlen(text), 0) + 575) // 576) AS n FROM documents)"
+ORACLE["media_sizes"] = "SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST(greatest(1, (coalesce(strlen(text), 0) + 575) // 576) * 576 AS BIGINT) AS payload_bytes FROM documents"
+ORACLE["pii_counts"] = r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS c, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+d AS (SELECT doc_id, e, i, list_transform(c, lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS c, list_transform(p, lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS p FROM m)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email,
+  CAST(len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR TRY_CAST(y AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(x, k, 1) AS INTEGER) WHEN CAST(substr(x, k, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(x, k, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(x, k, 1) AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(p, lambda x: length(x) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM d
+"""
 ORACLE["shards_law"] = "SELECT count(*) AS n, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes, 8 AS shards, true AS gapless, true AS near_equal FROM documents"
 ORACLE["mix_totals"] = "SELECT source, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens, true AS at_most_twice FROM documents GROUP BY source"
 
@@ -154,6 +184,9 @@ SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USIN
 
 QUERIES = {
     "shards_law": shards_law,
+    "flac_pcm_blocks": flac_pcm_blocks,
+    "media_sizes": media_sizes,
+    "pii_counts": pii_counts,
     "mix_totals": mix_totals,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_factorisation_quality": op2_factorisation_quality,
