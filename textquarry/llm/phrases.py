@@ -42,8 +42,8 @@ from pyspark.sql.window import Window
 from textquarry.llm import kernels as K
 from textquarry.session import Scratch
 
-#: Pair counters travel in blocks of this many.
-BLOCK = 1 << 16
+#: Pair counters travel in blocks of this many; a language's phrases are ranked in this many parts first.
+BLOCK, PARTS = 1 << 16, 32
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Sizes:
     words: int = 1 << 22
     pairs: int = 1 << 25
     run_bytes: int = K.RUN_BYTES
-    gather: int = 1 << 20
+    gather: int = 1 << 18
     split: int = 1 << 21
 
 
@@ -364,7 +364,7 @@ def _mine(min_count: int, sizes: Sizes):
             cols = [c.view(np.uint64) if i not in (1, 6) else c for i, c in enumerate(cols)]
             held.append(cols)
             size += len(batch)
-            if size > sizes.gather:
+            if size > sizes.gather // 2:  # five times as many n-grams may come of them
                 whole = [np.concatenate(c) for c in zip(*held)]
                 # The last pivot waits for its other rows, unless it fills what is gathered.
                 cut = int(np.flatnonzero(whole[0] == whole[0][-1])[0])
@@ -455,7 +455,10 @@ def collocations(
     score = "cast((cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * 1000000) div (cast(c.l as decimal(15,0)) * cast(c.r as decimal(15,0))) as long)"
     best = F.expr(f"array_min(transform(cuts, (c, k) -> named_struct('score', {score}, 'k', k, 'l', c.l, 'r', c.r)))")
     scored = two.unionByName(three).withColumn("best", best).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # First the best of a few parts of each language, so that the last window holds PARTS x top rows at most.
+    order = lambda *by: Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    scored = scored.withColumn("__p", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    scored = scored.withColumn("__n", F.row_number().over(order("__p"))).where(F.col("__n") <= top).drop("__p", "__n")
+    ranked = scored.withColumn("rank", F.row_number().over(order())).where(F.col("rank") <= top)
     # One row a language that has words.
     return ranked.join(per_lang, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
