@@ -18,6 +18,7 @@ from textquarry.operators import passages as P
 from textquarry.operators import promote as PR
 from textquarry.operators import search as S
 from textquarry.plans.catalogue import CANON, HOST, ORACLE, PAGE_TITLE, QUERY, TERMS, TOP, bm25_sql, docs_of, hits_of, indexed, query
+from textquarry.session import Scratch
 
 PATH = "regexp_replace(url, '^[a-z]+://', '')"
 LINKS = f"""WITH p AS (SELECT page_id, {PATH} AS path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 1) AS h, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)', 2) AS a FROM pages),
@@ -62,7 +63,8 @@ def inbound_degree(spark, sf):
 @query(EDGES + """, d AS (SELECT target, count(*) AS n FROM edges GROUP BY target), m AS (SELECT target FROM d ORDER BY n DESC, target LIMIT 1)
 SELECT e.source AS path, e.anchor, coalesce(d.n, 0) AS inbound_degree FROM edges e JOIN m ON e.target = m.target LEFT JOIN d ON d.target = e.source ORDER BY inbound_degree DESC, path LIMIT 10 OFFSET 5""")
 def inbound_links(spark, sf):
-    e = page_edges(spark, sf)
+    # Edges are made once; the degrees, the page asked for and its linkers all read the written table.
+    e = Scratch(spark, "edges").write(page_edges(spark, sf), "edges")
     top = L.inbound_degree(e).orderBy(F.desc("inbound_degree"), "path").first()
     return L.inbound(e, top["path"] if top else "", 10, 5)
 
