@@ -75,6 +75,14 @@ def test_pages_as_markdown(page):
         assert b["markdown"][s["char_start"]] == "#" and s["char_end"] <= len(b["markdown"])
 
 
+def test_entities_without_their_end():
+    page = '<title>a&amp b&ampc;</title><h1>x &amp;amp; &#38; &copy y&amp</h1><a href="/?a=1&b=2&amp;c">z</a>'
+    loose, strict = bundle(page), bundle(page, cut_entities=False)
+    assert (loose["title"], loose["sections"][0]["title"]) == ("a& b&c;", "x &amp; & © y&")
+    assert (strict["title"], strict["sections"][0]["title"]) == ("a&amp b&ampc;", "x &amp; & &copy y&amp")
+    assert loose["links"] == strict["links"] and strict["links"][0]["url"] == "/?a=1&b=2&c"
+
+
 def test_headings_and_their_ids():
     page = '<a name="before"></a><h2>One</h2><h2><span id="in">Two</span><span class="mw-editsection">[edit]</span></h2><h2 id="own">Three</h2><h2>One</h2><h2></h2><h4>Deep</h4>'
     b = bundle(page)

@@ -69,9 +69,9 @@ def _identity(heading: Node, before: str | None) -> tuple[str | None, str]:
     return (before, "preceding_anchor") if before else (None, "slug")
 
 
-def bundle(html: str | None) -> dict:
+def bundle(html: str | None, cut_entities: bool = True) -> dict:
     """The bundle of one page; all fields are empty for a null."""
-    root = parse(html or "")
+    root = parse(html or "", cut_entities)
     article, landmark = main_content(root)
     page = Markdown(without_furniture(article) if landmark else set())
     page.children(article)
@@ -105,8 +105,8 @@ def keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def bundles(pages: DataFrame, html: str = "html", key: str | list[str] = "page_id") -> DataFrame:
-    """The key columns and those of ``BUNDLE`` for each page."""
+def bundles(pages: DataFrame, html: str = "html", key: str | list[str] = "page_id", cut_entities: bool = True) -> DataFrame:
+    """The key columns and those of ``BUNDLE`` for each page; ``cut_entities`` as in ``page_tree.parse``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -118,7 +118,7 @@ def bundles(pages: DataFrame, html: str = "html", key: str | list[str] = "page_i
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                rows = [bundle(x) for x in part.column(len(own)).to_pylist()]
+                rows = [bundle(x, cut_entities) for x in part.column(len(own)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *[pa.array([r[f.name] for r in rows], f.type) for f in list(arrow)[len(own) :]]], schema=arrow)
 
     return pages.select(*own, html).mapInArrow(parse, schema)
