@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions import urls as U
-from textquarry.session import small
+from textquarry.session import few, small
 
 # Descriptions of namespaces, and marks of archive types.
 NAMESPACES = {"A": "Articles", "C": "Content", "I": "Images", "M": "Metadata", "W": "Well-known entries", "X": "Search indexes", "-": "Layout"}
@@ -55,10 +55,22 @@ def walk(entries: DataFrame, scan_at: int, limit: int) -> DataFrame:
 
 
 def fetch(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """idx, path, entry_id, success: each request by its raw, decoded or un-rooted spelling, in that order."""
+    """idx, path, entry_id, success: each request by its raw, decoded or un-rooted spelling, in that order.
+
+    A few requests are sent to all tasks; many are merged with the entries.
+    """
+    return _fetch(requests, entries, _way(requests))
+
+
+def _way(requests: DataFrame) -> str:
+    """How requests meet entries: a hint for joins."""
+    return "broadcast" if few(requests) else "merge"
+
+
+def _fetch(requests: DataFrame, entries: DataFrame, way: str) -> DataFrame:
     spelt = F.array(*[F.struct(F.lit(i).alias("prio"), c.alias("k")) for i, c in enumerate((F.col("path"), F.coalesce(F.try_url_decode("path"), F.col("path")), F.regexp_replace("path", "^/+", "")))])
     asked = requests.select("idx", "path", F.explode(spelt).alias("s")).select("idx", "path", "s.prio", "s.k")
-    hits = entries.select(F.col("path").alias("k"), "entry_id").join(small(asked), "k").groupBy("idx").agg(F.min(F.struct("prio", "entry_id")).getField("entry_id").alias("entry_id"))
+    hits = entries.select(F.col("path").alias("k"), "entry_id").join(asked.hint(way), "k").groupBy("idx").agg(F.min(F.struct("prio", "entry_id")).getField("entry_id").alias("entry_id"))
     return requests.join(hits, "idx", "left").select("idx", "path", "entry_id", F.col("entry_id").isNotNull().alias("success"))
 
 
@@ -68,9 +80,10 @@ def fetch_ladder(requests: DataFrame, entries: DataFrame) -> DataFrame:
     Refused paths (``urls.climbs``) are not looked up; found_by is path, search, refused or null.
     """
     safe = requests.where(~U.climbs(F.col("path")))
-    direct = fetch(safe, entries)
+    way = _way(requests)
+    direct = _fetch(safe, entries, way)
     lost = direct.where("not success").select("idx", "path").withColumn("k", U.path_key(F.col("path"))).where("k <> ''")
-    near = entries.select("entry_id", U.path_key(F.col("path")).alias("k")).join(small(lost), "k").groupBy("idx").agg(F.min("entry_id").alias("near"))
+    near = entries.select("entry_id", U.path_key(F.col("path")).alias("k")).join(lost.hint(way), "k").groupBy("idx").agg(F.min("entry_id").alias("near"))
     rows = requests.join(direct.select("idx", "entry_id"), "idx", "left").join(near, "idx", "left")
     by = F.when(U.climbs(F.col("path")), "refused").when(F.col("entry_id").isNotNull(), "path").when(F.col("near").isNotNull(), "search")
     return rows.select("idx", "path", F.coalesce("entry_id", "near").alias("entry_id"), by.alias("found_by"))

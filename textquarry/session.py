@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A side is broadcast only if its estimated size in memory is below this: for files, their size times COMPRESSED.
 BROADCAST_LIMIT, COMPRESSED = 32 << 20, 4
+#: Rows that are broadcast where a size cannot be estimated.
+FEW_ROWS = 20_000
 
 _folders: dict[str, str] = {}
 
@@ -95,3 +97,11 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if plan_bytes(df) * COMPRESSED <= limit else df
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> bool:
+    """Whether a frame has at most ``rows`` rows, counted up to there.
+
+    For frames that come from an ``explode``: estimates do not know how many rows it makes.
+    """
+    return df.limit(rows + 1).count() <= rows
